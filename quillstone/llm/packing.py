@@ -139,13 +139,12 @@ def pack(docs: DataFrame, capacity: int = 2048, separator_id: int = 1, docs_per_
                     out.append((group, row, doc_id, at, len(part), zlib.crc32(raw), len(ids), part if with_ids else None))
                 row += 1
             frame = pd.DataFrame(out, columns=["group", "row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
             frame["task"] = task
             yield frame if with_ids else frame.drop(columns="ids")
 
     extra = ", ids array<long>" if with_ids else ""
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        cut, f"group int, row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long{extra}, task int"
+    pieces = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
+        cut, f"group int, row long, doc_id string, start long, length long, ids_crc32 long, doc_tokens long{extra}, task int"
     )
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,6 +155,7 @@ def pack(docs: DataFrame, capacity: int = 2048, separator_id: int = 1, docs_per_
         out["offset"] = np.array(offsets, dtype=np.int64)
         return out
 
-    return pieces.groupBy("group").applyInPandas(
-        place, f"doc_id long, start long, length long, ids_crc32 long, doc_tokens long{extra}, sequence_id long, offset long"
+    placed = pieces.groupBy("group").applyInPandas(
+        place, f"doc_id string, start long, length long, ids_crc32 long, doc_tokens long{extra}, sequence_id long, offset long"
     )
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))  # text on the way, as pandas turns longs with nulls into floats

@@ -243,7 +243,7 @@ def repeats(docs: DataFrame, length: int = 400, runs_per_chunk: int = 2048) -> D
     shared_dir(spark)
     n = partitions(spark)
     key = [F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b")]
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length).select(*key, "doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length).select(*key, "doc_id", "text")
 
     def emit(batches):
         for pdf in batches:
@@ -253,10 +253,10 @@ def repeats(docs: DataFrame, length: int = 400, runs_per_chunk: int = 2048) -> D
                 value, first, last, twice = runs(np.frombuffer(data, dtype=np.uint8), length)
                 ends = (last + length).tolist()
                 sub = np.array([xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(first.tolist(), ends)], dtype=np.uint64)
-                parts.append(pd.DataFrame({"key_a": a, "key_b": b, "doc_id": pd.array([doc_id] * len(first), dtype="Int64"), "hash": value.view(np.int64), "string": sub.view(np.int64), "first": first, "last": last, "twice": twice}))
+                parts.append(pd.DataFrame({"key_a": a, "key_b": b, "doc_id": [doc_id] * len(first), "hash": value.view(np.int64), "string": sub.view(np.int64), "first": first, "last": last, "twice": twice}))
             yield pd.concat(parts) if parts else pd.DataFrame(columns=["key_a", "key_b", "doc_id", "hash", "string", "first", "last", "twice"])
 
-    run_type = "key_a long, key_b long, doc_id long, hash long, string long, first long, last long, twice boolean"
+    run_type = "key_a long, key_b long, doc_id string, hash long, string long, first long, last long, twice boolean"
     # one row a run; the texts stay behind
     found = texts.mapInPandas(emit, run_type)
     strings = found.groupBy("hash", "string").agg(F.count("*").alias("copies"), F.max("twice").alias("twice"))

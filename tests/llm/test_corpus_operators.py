@@ -232,7 +232,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = messy(spark)[0] + docs_of(spark)[:60] + [(70, "a <|endoftext|> b<|endoftext|>", "en", "s", 1), (71, "   \n\n  don't  stop é漢字🙂 \r\n\t", "en", "s", 1), (72, "x" * 5000, "en", "s", 1)]
+    rows = messy(spark)[0] + docs_of(spark)[:60] + [((1 << 60) + 1, "a <|endoftext|> b<|endoftext|>", "en", "s", 1), (71, "   \n\n  don't  stop é漢字🙂 \r\n\t", "en", "s", 1), (72, "x" * 5000, "en", "s", 1)]
     found = packing.pack(clashing(table(spark, rows)), docs_per_group=30, with_ids=True).collect()
     want = Counter()
     for r in rows:
