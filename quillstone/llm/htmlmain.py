@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import prepare
+from quillstone.llm.common import prepare, shared_dir
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -214,6 +214,7 @@ def templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> D
     before the shuffle, so a hot host does not matter.
     """
     prepare(pages.sparkSession)
+    shared_dir(pages.sparkSession)
 
     def emit(batches):
         for pdf in batches:
@@ -221,7 +222,7 @@ def templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> D
             yield pd.DataFrame(rows, columns=["host", "hash"])
 
     found = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(emit, "host string, hash long")
-    counts = found.groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counts = found.groupBy("host", "hash").agg(F.count("*").alias("n")).where(f"n >= {min_pages} OR hash = 0").checkpoint()
     total = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
     return (
         counts.where((F.col("hash") != 0) & (F.col("n") >= min_pages)).join(total, "host").where(F.col("n") >= min_share * F.col("pages"))
