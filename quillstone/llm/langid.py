@@ -55,8 +55,15 @@ def train(labelled: DataFrame, per_label: int = 300, landmarks_per_label: int =
     """
     prepare(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    top = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = known.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= per_label).select("lang", "text")
+    # only hashes are ranked; the highest hash of each lang then picks the texts where they are read
+    hashed = known.withColumn("_h", F.xxhash64("text"))
+    top = Window.partitionBy("lang").orderBy("_h")
+    ranked = hashed.select("lang", "_h").distinct().withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= per_label)
+    highest = {r["lang"]: r["_m"] for r in ranked.groupBy("lang").agg(F.max("_h").alias("_m")).collect()}
+    if not highest:
+        return Model([], np.zeros((0, dims), np.float32), np.zeros((0, 0), np.float32), dims)
+    limit = F.create_map(*[F.lit(x) for pair in highest.items() for x in pair])
+    sample = hashed.where(F.col("_h") <= F.try_element_at(limit, F.col("lang"))).groupBy("lang", "_h").agg(F.min("text").alias("text"))
 
     def bits(batches):
         for pdf in batches:
@@ -64,8 +71,6 @@ def train(labelled: DataFrame, per_label: int = 300, landmarks_per_label: int =
 
     rows = sorted((r["lang"], bytes(r["bits"])) for r in sample.mapInPandas(bits, "lang string, bits binary").collect())
     labels = sorted({lang for lang, _ in rows})
-    if not labels:
-        return Model([], np.zeros((0, dims), np.float32), np.zeros((0, 0), np.float32), dims)
     x = unpacked([b for _, b in rows])
     x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     y = np.array([[1.0 if lang == k else -1.0 for k in labels] for lang, _ in rows])
