@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,3 +58,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def groups_for(rows: int, per_group: int) -> int:
     return max(1, math.ceil(rows / per_group))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: read again it costs no work, and no executor's loss harms it."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import partitions, prepare, shared_dir
+from quillstone.llm.common import partitions, prepare, shared_dir, written
 
 GRAM = 64
 #: Positions a text is scanned by at a time, so that very long texts need no more memory.
@@ -258,7 +258,7 @@ def repeats(docs: DataFrame, length: int = 400, runs_per_chunk: int = 2048) -> D
 
     run_type = "key_a long, key_b long, doc_id string, hash long, string long, first long, last long, twice boolean"
     # one row a run; the texts stay behind
-    found = texts.mapInPandas(emit, run_type)
+    found = written(texts.mapInPandas(emit, run_type))
     strings = found.groupBy("hash", "string").agg(F.count("*").alias("copies"), F.max("twice").alias("twice"))
     hashes = strings.groupBy("hash").agg(F.sum("copies").alias("met"), F.count("*").alias("strings"), F.max("twice").alias("again"), F.min("copies").alias("least"))
     hashes = hashes.where("met >= 2 OR again")
@@ -349,26 +349,22 @@ def remove(docs: DataFrame, length: int = 400, keep_text: bool = False, **option
         out = []
         for t, r in zip(text, ranges):
             data, parts, at, gone = t.encode("utf-8", "surrogatepass"), [], 0, 0
-            merged = _merged([(int(x["lo"]), int(x["hi"])) for x in r])
+            merged = _merged([(int(x["lo"]), int(x["hi"])) for x in r]) if r is not None else []
             for lo, hi in merged:
                 parts.append(data[at:lo])
                 at, gone = hi, gone + hi - lo
             parts.append(data[at:])
             left = b"".join(parts)
-            out.append((gone, len(merged), hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "replace")] if keep_text else [])))
+            out.append((gone, len(merged), hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "replace") if gone else None] if keep_text else [])))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])])
 
     others = [c for c in keyed.columns if c not in ("text", "key_a", "key_b")]
     own = lambda *x: [*others, F.octet_length(whole).cast("long").alias("n_bytes"), *x]
     if keep_text:
-        both = keyed.join(found, ["key_a", "key_b"], "left")
-        cut = both.where("ranges IS NOT NULL").withColumn("_k", kept("text", "ranges")).select(*own("_k.n_removed", "_k.n_spans", "_k.kept_sha256", F.col("_k.kept").alias("text")))
-        plain = both.where("ranges IS NULL")
-    else:
-        # only the texts that lose something travel; the others are hashed where they are read
-        cut_texts = keyed.select("key_a", "key_b", "text").join(found, ["key_a", "key_b"]).withColumn("_k", kept("text", "ranges"))
-        changed = cut_texts.select("key_a", "key_b", "_k.*").groupBy("key_a", "key_b").agg(F.max("n_removed").alias("n_removed"), F.max("n_spans").alias("n_spans"), F.max("kept_sha256").alias("_sha"))
-        row = keyed.select(*own("key_a", "key_b", F.sha2(whole, 256).alias("_all"))).join(changed, ["key_a", "key_b"], "left")
-        return row.select(*others, "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("_sha", "_all").alias("kept_sha256"))
-    zero = F.lit(0).cast("long")
-    return cut.unionByName(plain.select(*own(zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), "text")))
+        cut = keyed.join(found, ["key_a", "key_b"], "left").withColumn("_k", kept(whole, "ranges"))
+        return cut.select(*own("_k.n_removed", "_k.n_spans", "_k.kept_sha256", F.when(F.col("_k.n_removed") > 0, F.col("_k.kept")).otherwise(F.col("text")).alias("text")))
+    # only the texts that lose something are cut; the others are hashed where they are read
+    cut_texts = keyed.select("key_a", "key_b", "text").join(found, ["key_a", "key_b"]).withColumn("_k", kept("text", "ranges"))
+    changed = cut_texts.select("key_a", "key_b", "_k.*").groupBy("key_a", "key_b").agg(F.max("n_removed").alias("n_removed"), F.max("n_spans").alias("n_spans"), F.max("kept_sha256").alias("_sha"))
+    row = keyed.select(*own("key_a", "key_b", F.sha2(whole, 256).alias("_all"))).join(changed, ["key_a", "key_b"], "left")
+    return row.select(*others, "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("_sha", "_all").alias("kept_sha256"))
