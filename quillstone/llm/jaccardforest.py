@@ -171,11 +171,10 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 16, d
     sets = of_text.join(ids, ["key_a", "key_b"]).groupBy("set_a", "set_b").agg(
         F.sum("rows").alias("rows"), F.min("least").alias("least"), F.min(F.struct("key_a", "key_b", "least")).alias("stands")).checkpoint()
 
-    nodes = signed.select("set_a", "set_b", F.posexplode("keys").alias("tree", "key")).distinct()
-    groups = nodes.groupBy("tree", "key").agg(
-        F.count("*").alias("g"), F.bit_xor("set_a").alias("x"), F.bit_xor("set_b").alias("y"),
-        F.min("set_a").alias("lo"), F.max("set_b").alias("hi")).where("g >= 2")
-    same = groups.groupBy("g", "x", "y", "lo", "hi").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mask"), F.min(F.struct("tree", "key")).alias("at"))
+    one = signed.groupBy("set_a", "set_b").agg(F.first("keys").alias("keys"))  # equal sets have equal prefixes
+    nodes = one.select("set_a", "set_b", F.posexplode("keys").alias("tree", "key"))
+    groups = nodes.groupBy("tree", "key").agg(F.count("*").alias("g"), F.bit_xor("set_a").alias("x"), F.bit_xor("set_b").alias("y")).where("g >= 2")
+    same = groups.groupBy("g", "x", "y").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mask"), F.min(F.struct("tree", "key")).alias("at"))
     kept = same.select(F.col("at.tree").alias("tree"), F.col("at.key").alias("key"), "g", "mask")
     members = nodes.join(kept, ["tree", "key"]).join(sets.select("set_a", "set_b", "rows", "stands.*"), ["set_a", "set_b"])
     # blocks of a large group: every pair of blocks is a task, so a set goes to as many as there are blocks

@@ -49,7 +49,7 @@ def op8_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccardforest.join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccardforest.join(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "class_id", "n_links")
 
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
