@@ -58,7 +58,8 @@ def refined_arrays(refined: DataFrame, key: str) -> DataFrame:
 
 def flatten(arrays: DataFrame, key: str) -> DataFrame:
     """Embedding input: keyword, named, triggered, activated and passive lines, in that order, with an id made of the place."""
-    every = F.concat(*[F.transform(F.coalesce(k, F.array().cast("array<string>")), lambda t, k=k: F.struct(F.lit(k).alias("text_type"), t.alias("text"))) for k in KINDS])
+    of = lambda k: F.transform(F.coalesce(k, F.array().cast("array<string>")), lambda t: F.struct(F.lit(k).alias("text_type"), t.alias("text")))
+    every = F.concat(*[of(k) for k in KINDS])
     rows = arrays.select(key, F.posexplode(every).alias("ordinal", "e")).select(key, "ordinal", "e.*")
     return rows.withColumn("text_entry_id", F.md5(F.concat_ws("|", F.col(key).cast("string"), "text_type", F.col("ordinal").cast("string")))).where(~X.is_blank(F.col("text")))
 

@@ -114,7 +114,7 @@ def umap(points: DataFrame, key: str, neighbors: int = 50, min_dist: float = 0.7
         edges = pdf[~pdf["b"].isna()].sort_values(["a", "b"])
         return pd.DataFrame({key: ids, "components": list(layout(ids, edges, min_dist, epochs, seed))})
 
-    return graph.unionByName(nodes).groupBy(F.lit(0)).applyInPandas(lambda pdf: place(pdf), f"{key} long, components array<double>")
+    return graph.unionByName(nodes).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(place, f"{key} long, components array<double>")
 
 
 def umap_grid(points: DataFrame, key: str, neighbors: tuple[int, ...] = (2, 4, 6, 8), min_dists: tuple[float, ...] = (0.25, 0.5, 0.75), epochs: int = 100, seed: int = 42, **options) -> DataFrame:

@@ -51,7 +51,8 @@ def sample_and_analyze(cards: DataFrame, key: str, n: int = 10, seed: int = 42)
 def summary(parsed: DataFrame) -> DataFrame:
     """One row: cards by outcome, abilities by kind, and the shares parsed."""
     p, n = F.col("parsed"), F.count("*")
-    kinds = [F.coalesce(F.sum(F.size(F.filter("parsed.abilities", lambda a, k=k: a["kind"] == k))), F.lit(0)).alias(k) for k in ("static", "triggered", "activated", "unparsed")]
+    of = lambda k: F.filter("parsed.abilities", lambda a: a["kind"] == k)
+    kinds = [F.coalesce(F.sum(F.size(of(k))), F.lit(0)).alias(k) for k in ("static", "triggered", "activated", "unparsed")]
     out = parsed.agg(n.alias("cards"), *[F.count_if(p["status"] == s).alias(a) for s, a in (("FullyParsed", "full"), ("Partial", "partial"), ("Failed", "failed"))], *kinds)
     return out.withColumn("percent", F.when(F.col("cards") > 0, 100.0 * F.col("full") / F.col("cards")).otherwise(0.0))
 

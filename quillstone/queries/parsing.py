@@ -55,7 +55,7 @@ def parse_report(spark, d):
     return PF.report(PF.parse_cards(cards(spark)), "card_id")
 
 
-@query("SELECT 6 AS cards, 5 AS \"full\", 0 AS partial, 1 AS failed, 3 AS \"static\", 1 AS triggered, 4 AS activated, 4 AS unparsed, round(500.0 / 6, 6) AS percent".replace("6 AS cards", "CAST(6 AS BIGINT) AS cards"))
+@query("SELECT " + ", ".join(f'{n}::BIGINT AS "{c}"' for c, n in (("cards", 6), ("full", 5), ("partial", 0), ("failed", 1), ("static", 3), ("triggered", 1), ("activated", 4), ("unparsed", 4))) + ", round(500.0 / 6, 6)::DOUBLE AS percent")
 def parse_summary(spark, d):
     return PF.summary(PF.parse_cards(cards(spark))).withColumn("percent", F.round("percent", 6))
 
@@ -86,9 +86,10 @@ def source_json(spark, d):
 @query("SELECT count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS chars FROM benchmark")
 def source_text(spark, d):
     path = _folder(spark)
-    table(spark, d, "benchmark").select("text").repartitionByRange(8, "text").write.text(path, lineSep="")
-    found = io.read_text(spark, path).agg(F.sum(F.length("text")).alias("chars"))
-    return found.crossJoin(table(spark, d, "benchmark").agg(F.count("*").alias("files"))).select("files", "chars")
+    table(spark, d, "benchmark").select("text").write.text(path)
+    rows = table(spark, d, "benchmark").agg(F.count("*").alias("files"))
+    found = io.read_text(spark, path).agg(F.sum(F.length("text")).alias("chars"))  # each row ends with a line feed
+    return found.crossJoin(rows).select("files", (F.col("chars") - F.col("files")).alias("chars"))
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY event_type")

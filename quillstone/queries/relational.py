@@ -145,7 +145,7 @@ def parameter_grid(spark, d):
     return n.crossJoin(m)  # two literal lists
 
 
-@query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem) WHERE rank <= 3""")
+@query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem) WHERE rank <= 3""")
 def topn_per_group(spark, d):
     order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]
     return R.top_per_group(table(spark, d, "lineitem"), ["l_suppkey"], order, 3).select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "rank")
@@ -213,7 +213,7 @@ def embedding_histogram(spark, d):
 @query("""WITH c AS (SELECT event_type AS category, CAST(json_extract(props, '$.k') AS INTEGER) % 5 AS pattern, user_id % 3 AS message, CAST(event_id AS VARCHAR) AS example, event_id FROM events),
 g AS (SELECT category, pattern, message, count(*) AS n FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, pattern, message) AS rank FROM g),
 x AS (SELECT category, pattern, message, string_agg(example, ',' ORDER BY event_id) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY category, pattern, message ORDER BY event_id) AS k FROM c) WHERE k <= 3 GROUP BY ALL)
-SELECT category, pattern, message, rank, n, round(100.0 * n / (SELECT count(*) FROM c), 6) AS percent, examples FROM r JOIN x USING (category, pattern, message) WHERE rank <= 3""")
+SELECT category, pattern, message, CAST(rank AS INTEGER) AS rank, n, round(100.0 * n / (SELECT count(*) FROM c), 6) AS percent, examples FROM r JOIN x USING (category, pattern, message) WHERE rank <= 3""")
 def diagnostics_topk(spark, d):
     e = table(spark, d, "events")
     rows = e.select(F.col("event_type").alias("category"), (F.get_json_object("props", "$.k").cast("int") % 5).alias("pattern"), (F.col("user_id") % 3).alias("message"), F.col("event_id").cast("string").alias("example"), "event_id")

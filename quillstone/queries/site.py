@@ -75,7 +75,7 @@ _HITS = """t AS (SELECT 'title' AS field, slug, unnest(string_split(lower(title)
 
 @query(f"""WITH {PAGES}, {_HITS}, f AS (SELECT field, slug, count(*) AS hits, count(DISTINCT w) AS terms FROM t JOIN (SELECT unnest(['red', 'wid']) AS w) ON starts_with(token, w) GROUP BY ALL),
 r AS (SELECT field, slug, row_number() OVER (PARTITION BY field ORDER BY hits DESC, slug) AS place FROM f WHERE terms = 2)
-SELECT slug, priority, place FROM (SELECT slug, CASE WHEN field = 'title' THEN 0 ELSE 1 END AS priority, place, row_number() OVER (PARTITION BY slug ORDER BY CASE WHEN field = 'title' THEN 0 ELSE 1 END, place) AS k FROM r WHERE place <= 8) WHERE k = 1""")
+SELECT slug, priority, CAST(place AS INTEGER) AS place FROM (SELECT slug, CASE WHEN field = 'title' THEN 0 ELSE 1 END AS priority, place, row_number() OVER (PARTITION BY slug ORDER BY CASE WHEN field = 'title' THEN 0 ELSE 1 END, place) AS k FROM r WHERE place <= 8) WHERE k = 1""")
 def search_basic(spark, d):
     return S.search(S.index(pages(spark, d)), "red wid")
 
@@ -87,14 +87,14 @@ def inverted_index(spark, d):
 
 @query(f"""WITH {PAGES}, {_HITS.replace('FROM pages_', "FROM pages_ WHERE list_contains(tags, 'Brand#2')")}, f AS (SELECT field, slug, count(*) AS hits FROM t WHERE starts_with(token, 're') GROUP BY ALL),
 r AS (SELECT field, slug, row_number() OVER (PARTITION BY field ORDER BY hits DESC, slug) AS place FROM f)
-SELECT slug, priority, place FROM (SELECT slug, CASE WHEN field = 'title' THEN 0 ELSE 1 END AS priority, place, row_number() OVER (PARTITION BY slug ORDER BY CASE WHEN field = 'title' THEN 0 ELSE 1 END, place) AS k FROM r WHERE place <= 8) WHERE k = 1""")
+SELECT slug, priority, CAST(place AS INTEGER) AS place FROM (SELECT slug, CASE WHEN field = 'title' THEN 0 ELSE 1 END AS priority, place, row_number() OVER (PARTITION BY slug ORDER BY CASE WHEN field = 'title' THEN 0 ELSE 1 END, place) AS k FROM r WHERE place <= 8) WHERE k = 1""")
 def search_tag(spark, d):
     return S.search(S.index(pages(spark, d).where(F.array_contains("tags", "Brand#2"))), "re")
 
 
-@query(r"""WITH w AS (SELECT doc_id, at, w FROM (SELECT doc_id, unnest(range(0, len(ws))) AS at, unnest(ws) AS w FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS ws FROM documents)) WHERE w <> ''),
-s AS (SELECT doc_id, at, sum(CASE WHEN contains(lower(w), 'the') OR contains(lower(w), 'que') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS h FROM w)
-SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(hits AS BIGINT) AS hits FROM (SELECT doc_id, at AS start, h AS hits, row_number() OVER (PARTITION BY doc_id ORDER BY h DESC, at DESC) AS k FROM s) WHERE k = 1""")
+@query(r"""WITH w AS (SELECT doc_id, pos, w FROM (SELECT doc_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS w FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS ws FROM documents)) WHERE w <> ''),
+s AS (SELECT doc_id, pos, sum(CASE WHEN contains(lower(w), 'the') OR contains(lower(w), 'que') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS h FROM w)
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(hits AS BIGINT) AS hits FROM (SELECT doc_id, pos AS start, h AS hits, row_number() OVER (PARTITION BY doc_id ORDER BY h DESC, pos DESC) AS k FROM s) WHERE k = 1""")
 def highlight_window(spark, d):
     return S.best_window(table(spark, d, "documents"), "doc_id", "text", ["the", "que"])
 

@@ -63,7 +63,7 @@ def search_tokens(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(t).cast("long").alias("n"), F.array_join(t, "|").alias("tokens"))
 
 
-@query("""SELECT doc_id, CASE WHEN at > 0 THEN trim(substr(text, 1, at - 1)) ELSE text END AS lhs, CASE WHEN at > 0 THEN substr(text, at) ELSE '' END AS rhs FROM (SELECT doc_id, text, strpos(text, chr(10)) AS at FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN pos > 0 THEN trim(substr(text, 1, pos - 1)) ELSE text END AS lhs, CASE WHEN pos > 0 THEN substr(text, pos) ELSE '' END AS rhs FROM (SELECT doc_id, text, strpos(text, chr(10)) AS pos FROM documents)""")
 def section_split(spark, d):
     s = X.section(F.col("text"), "\n")
     return table(spark, d, "documents").select("doc_id", s["left"].alias("lhs"), s["right"].alias("rhs"))
@@ -89,7 +89,7 @@ def flatten_entries(spark, d):
 
 
 @query("""WITH l AS (SELECT doc_id, line, trim(t) AS t FROM """ + _LINES + """ WHERE trim(t) <> '')
-SELECT doc_id, at, count(*) AS n, string_agg(t, ' ' ORDER BY line) AS body FROM (SELECT doc_id, line, t, max(CASE WHEN length(t) % 3 = 0 THEN line END) OVER (PARTITION BY doc_id ORDER BY line) AS at FROM l) WHERE at IS NOT NULL GROUP BY doc_id, at""")
+SELECT doc_id, "at", count(*) AS n, string_agg(t, ' ' ORDER BY line) AS body FROM (SELECT doc_id, line, t, max(CASE WHEN length(t) % 3 = 0 THEN line END) OVER (PARTITION BY doc_id ORDER BY line) AS "at" FROM l) WHERE "at" IS NOT NULL GROUP BY doc_id, "at" """)
 def line_continuation(spark, d):
     """The state scan behind rule hierarchies: lines hang on the last line that opens a rule."""
     from pyspark.sql import Window

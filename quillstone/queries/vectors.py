@@ -12,7 +12,7 @@ from quillstone.queries.registry import query, table
 
 
 @query("""WITH e AS (SELECT vec_id, vec_id % 97 AS card_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT t.card_id AS target, c.card_id, max(list_cosine_similarity(t.v, c.v)) AS similarity FROM e t, e c WHERE t.card_id IN (3, 50, 96) AND t.card_id <> c.card_id GROUP BY ALL)
-SELECT target, card_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, card_id) AS rank FROM s) WHERE rank <= 5""")
+SELECT target, card_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, card_id) AS rank FROM s) WHERE rank <= 5""")
 def knn_cosine(spark, d):
     e = table(spark, d, "embeddings").withColumn("card_id", F.col("vec_id") % 97)
     return VO.knn(e, e.where(F.col("card_id").isin(3, 50, 96))).withColumn("similarity", F.round("similarity", 6))
