@@ -13,10 +13,10 @@ from quillstone.llm.common import shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted language is known and agrees with lang, if they state one; texts without letters go."""
+    """Documents without letters go, and those whose language is surely (score of 0.9 or more) another than the lang they state."""
     model = langid.train(docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2))
     found = langid.identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang").isNull() | (F.col("lang") == F.col("lang_pred")))).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang").isNull() | (F.col("lang") == F.col("lang_pred")) | (F.col("score") < 0.9))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,10 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import prepare
-from quillstone.llm.grams import packed, presence, unpacked
+from quillstone.llm.grams import packed, presence_by_segment, unpacked
 
 LETTER = re.compile(r"[^\W\d_]")
 DIMS = 1 << 13
+#: Bytes of a segment: presence of n-grams tells little of long texts, which hold them all.
+WIDTH = 768
+#: Segments of a text that are learnt from, at most, spread over it.
+LEARNT = 4
 
 
 @dataclass
@@ -28,17 +32,34 @@ class Model:
     landmarks: np.ndarray  # a unit row of n-gram presence each
     weights: np.ndarray  # of landmark similarities, a column per label
     dims: int = DIMS
+    width: int = WIDTH
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.stack([presence(t, self.dims) for t in texts]).astype(np.float32)
-        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        return (x @ self.landmarks.T) @ self.weights
+        """Mean score of each text's segments, weighted by their bytes: a short passage in another language moves it little.
+
+        Similarities to landmarks times weights are one product with landmarks' transpose times weights.
+        """
+        primal = self.landmarks.T @ self.weights
+        parts = [presence_by_segment(t, self.dims, self.width) for t in texts]
+        x = np.concatenate([bits for bits, _ in parts])
+        size = np.concatenate([n for _, n in parts]).astype(np.float32)
+        s = np.concatenate([x[k : k + 512].astype(np.float32) @ primal for k in range(0, len(x), 512)])
+        s *= (size / np.sqrt(np.maximum(x.sum(1), 1)))[:, None]
+        first = np.cumsum([0, *[len(n) for _, n in parts]])[:-1]
+        return np.add.reduceat(s, first, axis=0) / np.add.reduceat(size, first)[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, sure = ["und"] * len(texts), [0.0] * len(texts)
         at = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
-        for k in range(0, len(at) if self.labels else 0, 256):
-            rows = at[k : k + 256]
+        batches: list[list[int]] = []
+        held = 0
+        for i in at if self.labels else []:  # bounded by bytes, as texts may be long
+            if not batches or held > 256 * self.width:
+                batches.append([])
+                held = 0
+            batches[-1].append(i)
+            held += len(texts[i])
+        for rows in batches:
             s = self.scores([texts[i] for i in rows])
             best = s.argmax(1)
             p = np.exp(8.0 * (s - s.max(1, keepdims=True)))
@@ -49,9 +70,9 @@ class Model:
 
 
 def train(labelled: DataFrame, per_label: int = 300, landmarks_per_label: int = 40, ridge: float = 1e-2, dims: int = DIMS) -> Model:
-    """Fit on at most per_label texts of each lang, chosen by hash of the text; whole texts are read.
+    """Fit on at most per_label distinct texts of each lang, chosen by hash of the text, and four segments of each.
 
-    The bound is on labelled rows: n-gram bits (dims / 8 bytes a text) are what reaches the driver.
+    The bound is on labelled rows: n-gram bits (dims / 8 bytes a segment) are what reaches the driver.
     """
     prepare(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
@@ -67,7 +88,11 @@ def train(labelled: DataFrame, per_label: int = 300, landmarks_per_label: int =
 
     def bits(batches):
         for pdf in batches:
-            yield pd.DataFrame({"lang": pdf["lang"], "bits": [packed(presence(t, dims)) for t in pdf["text"]]})
+            out = []
+            for lang, t in zip(pdf["lang"], pdf["text"]):
+                x, _ = presence_by_segment(t, dims, WIDTH)
+                out += [(lang, packed(x[i])) for i in sorted({round(i) for i in np.linspace(0, len(x) - 1, min(LEARNT, len(x)))})]
+            yield pd.DataFrame(out, columns=["lang", "bits"])
 
     rows = sorted((r["lang"], bytes(r["bits"])) for r in sample.mapInPandas(bits, "lang string, bits binary").collect())
     labels = sorted({lang for lang, _ in rows})
