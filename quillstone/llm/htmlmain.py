@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import prepare, shared_dir
+from quillstone.llm.common import partitions, prepare, shared_dir
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -230,19 +230,28 @@ def templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> D
     )
 
 
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2, broadcast_hashes: int = 200_000) -> DataFrame:
     """pages with text and n_chars (code points) in place of html.
 
     A null html is empty, a null url has the empty host; repeated rows count as pages of their own. Other columns are kept,
-    those named text or n_chars are replaced. An empty table gives no rows.
+    those named text or n_chars are replaced. An empty table gives no rows. Templates are broadcast if all hosts' lists hold
+    broadcast_hashes hashes at most (8 bytes each).
     """
     prepare(pages.sparkSession)
-    held = pages.drop("text", "n_chars", "_host", "_hashes").withColumn("_host", host(F.col("url")))
+    held = pages.drop("text", "n_chars", "_host", "_hashes", "_salt").withColumn("_host", host(F.col("url")))
     known = templates(pages, min_pages, min_share).select(F.col("host").alias("_host"), F.col("hashes").alias("_hashes"))
 
     @F.pandas_udf("string")
     def text(page: pd.Series, hashes: pd.Series) -> pd.Series:
         return pd.Series([main_text(p or "", frozenset(h) if h is not None else frozenset()) for p, h in zip(page, hashes)], dtype=object)
 
-    out = held.join(known, "_host", "left").withColumn("text", text("html", "_hashes"))
+    # a short list of templates is broadcast; beyond that, each host's list goes to every salt, and its pages are dealt over the salts
+    size = known.agg(F.sum(F.size("_hashes") + 8)).first()[0] or 0
+    if size <= broadcast_hashes:
+        joined = held.join(F.broadcast(known), "_host", "left")
+    else:
+        salts = partitions(pages.sparkSession)
+        salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = held.withColumn("_salt", F.pmod(F.xxhash64("html"), F.lit(salts)).cast("int")).join(salted, ["_host", "_salt"], "left").drop("_salt")
+    out = joined.withColumn("text", text("html", "_hashes"))
     return out.withColumn("n_chars", F.length("text").cast("long")).drop("html", "_host", "_hashes")

@@ -135,7 +135,9 @@ def test_html_main_text():
 def test_html_templates(spark):
     page = "<body><div class=q>Welcome to our site</div><div><p>Own text {0} of page {0}</p></div><div class=z><p>Call us</p></div></body>"
     rows = [(i, f"https://Host.example/{i}", page.format(i)) for i in range(12)] + [(99, "https://other.example/", page.format(99)), (100, None, None), (101, "x", "")]
-    found = {r["page_id"]: r for r in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in htmlmain.extract(pages).collect()}
+    assert found == {r["page_id"]: r for r in htmlmain.extract(pages, broadcast_hashes=0).collect()}
     assert all(found[i]["text"] == f"Own text {i} of page {i}" for i in range(12))
     assert found[99]["text"] == "Welcome to our site\nOwn text 99 of page 99\nCall us" and found[99]["n_chars"] == len(found[99]["text"])
     assert found[100]["text"] == "" and found[101]["n_chars"] == 0
