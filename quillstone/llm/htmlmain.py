@@ -152,10 +152,10 @@ def templatable(node: Node) -> bool:
 
 
 def subtrees(page: str) -> list[int]:
-    """Distinct hashes of the subtrees with text that a template may have."""
+    """Distinct hashes of the subtrees with content that a template may have, those set apart by their marks included."""
     root = parse(page)
     digest(root)
-    return sorted({n.digest for n, ends in walk(root) if ends and n.items and not n.apart and templatable(n)})
+    return sorted({n.digest for n, ends in walk(root) if ends and n.items and templatable(n)})
 
 
 def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
