@@ -136,7 +136,7 @@ def compare(sets: list[np.ndarray], keys: np.ndarray, mask: int, left: np.ndarra
     return left[i[linked]], right[j[linked]]
 
 
-def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 16, depth: int = 6, recall: float = 0.9999, block: int = 512) -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, depth: int = 6, recall: float = 0.999999, block: int = 512) -> DataFrame:
     """docs with n_shingles, class_id and n_links.
 
     n_links is the number of other rows whose set has a Jaccard similarity of threshold or more with the row's own, copies
