@@ -57,7 +57,7 @@ def split_two(c: Column, pattern: str) -> Column:
 
 
 def lines(c: Column, keep_empty: bool = False) -> Column:
-    every = F.transform(F.split(c, "\n"), F.trim)
+    every = F.transform(F.split(c, "\n"), lambda x: F.trim(x))
     return every if keep_empty else F.filter(every, lambda x: x != "")
 
 
@@ -120,7 +120,7 @@ def reading_minutes(c: Column, words_per_minute: int = 200) -> Column:
 
 def wikilinks(c: Column) -> Column:
     """Targets of [[target#heading|label]] links."""
-    return F.transform(F.regexp_extract_all(c, F.lit(r"!?\[\[([^\[\]|#\\]*)(?:#[^\[\]|]*)?(?:\\?\|[^\[\]]*)?\]\]"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(c, F.lit(r"!?\[\[([^\[\]|#\\]*)(?:#[^\[\]|]*)?(?:\\?\|[^\[\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
 
 
 def hashtags(c: Column) -> Column:
@@ -153,4 +153,4 @@ def hugo(c: Column) -> Column:
 
 def coerce_list(c: Column) -> Column:
     """A comma-separated string as a list of trimmed, non-empty values."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")

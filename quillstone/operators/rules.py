@@ -67,7 +67,7 @@ def flatten(arrays: DataFrame, key: str) -> DataFrame:
 def ability(line: Column) -> Column:
     """A line as struct(trigger or cost list, effect): triggers at the first comma, activated ones at the first colon."""
     trigger, cost = X.split_two(line, ","), X.split_two(line, ":")
-    costs = F.filter(F.transform(F.split(cost["head"], ", "), F.trim), lambda x: x != "")
+    costs = F.filter(F.transform(F.split(cost["head"], ", "), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(
         F.when(X.is_trigger(line), trigger["head"]).alias("trigger"), F.when(X.is_activated(line) & ~X.is_trigger(line), costs).alias("costs"),
         F.when(X.is_trigger(line), trigger["tail"]).when(X.is_activated(line), cost["tail"]).otherwise(line).alias("effect"))
