@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import partitions, prepare, shared_dir
+from quillstone.llm.common import partitions, prepare, release, shared_dir
 from quillstone.llm.components import components
 
 _RNG = np.random.default_rng(977)
@@ -216,6 +216,7 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
                     rows.append(row)
         if len(rows) > 1:
             yield links(rows)
+        release()
 
     def links(rows: list) -> pd.DataFrame:
         sets_ = [np.frombuffer(r.data, dtype=np.uint64) for r in rows]

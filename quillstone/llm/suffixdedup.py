@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import partitions, prepare, shared_dir, written
+from quillstone.llm.common import partitions, prepare, release, shared_dir, written
 
 GRAM = 64
 #: Positions a text is scanned by at a time, so that very long texts need no more memory.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Bytes of strings in one suffix array.
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -304,6 +304,7 @@ def repeats(docs: DataFrame, length: int = 400, runs_per_chunk: int = 2048) -> D
                 size += len(row[7])
         if held:
             yield from solve(held)
+        release()
 
     def solve(held: list[tuple]):
         strings = [r[7] for r in held]
