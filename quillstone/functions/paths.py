@@ -43,8 +43,10 @@ def strip_slashes(c: Column, only_lead: bool = False) -> Column:
 
 
 def join_segments(*parts: Column) -> Column:
-    kept = [F.regexp_replace(p, r"^/+|/+$", "") for p in parts]
-    return F.array_join(F.filter(F.array(*kept), lambda p: p != ""), "/")
+    """Parts joined by single slashes; a slash before the first and one after the last stay."""
+    kept = F.filter(F.array(*parts), lambda p: ~p.isin("", "/"))
+    body = F.array_join(F.transform(kept, lambda p: strip_slashes(p)), "/")
+    return F.concat(F.when(parts[0].startswith("/"), "/").otherwise(""), body, F.when(parts[-1].endswith("/"), "/").otherwise(""))
 
 
 def is_folder(c: Column) -> Column:
@@ -61,14 +63,51 @@ def resolve_relative(current: Column, target: Column) -> Column:
     return F.concat(path_to_root(current), F.lit("/"), F.when(simplify(target) == "/", "").otherwise(simplify(target)))
 
 
+def slug_anchor(title: Column) -> Column:
+    """A heading's anchor: lower case, without punctuation, hyphens for white space."""
+    return F.regexp_replace(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}\s_-]", ""), r"\s", "-")
+
+
 def split_anchor(link: Column) -> Column:
-    """struct(path, anchor): the anchor is a slug with its #."""
-    parts = F.split(link, "#", 2)
+    """struct(path, anchor): the anchor is a slug with its #, as it stands behind a .pdf."""
+    parts = F.split(link, "#")
     anchor = F.get(parts, F.lit(1))
-    slug = F.regexp_replace(F.regexp_replace(F.lower(anchor), r"[^\p{L}\p{N}\s_-]", ""), r"\s", "-")
+    slug = F.when(parts[0].endswith(".pdf"), anchor).otherwise(slug_anchor(anchor))
     return F.struct(parts[0].alias("path"), F.when(anchor.isNull(), "").otherwise(F.concat(F.lit("#"), slug)).alias("anchor"))
 
 
+def internal_link(link: Column) -> Column:
+    """A link as a relative URL of slugs: leading dots stay, folders keep a trailing slash, anchors are slugs."""
+    decoded = F.coalesce(F.try_url_decode(F.replace(link, F.lit("+"), F.lit("%2B"))), link)
+    parts = split_anchor(decoded)
+    segments = F.filter(F.split(parts["path"], "/"), lambda s: s != "")
+    dots = F.array_join(F.filter(segments, lambda s: s.isin(".", "..")), "/")
+    named = F.array_join(F.filter(segments, lambda s: ~s.isin(".", "..")), "/")
+    joined = join_segments(dots, strip_slashes(simplify(file_slug(named))))
+    relative = F.when(joined == "", ".").when(joined.startswith("."), joined).otherwise(F.concat(F.lit("./"), joined))
+    return F.concat(relative, F.when(is_folder(parts["path"]), "/").otherwise(""), parts["anchor"])
+
+
+def from_root(src: Column, link: Column) -> Column:
+    """What internal_link has made of a link, read from the root of the site and as seen from the page src."""
+    canonical = strip_slashes(F.substring(link, F.lit(2), F.length(link)))
+    return F.concat(join_segments(path_to_root(src), canonical), F.when(is_folder(link), "/").otherwise(""))
+
+
+def resolve_url(page: Column, link: Column) -> Column:
+    """The path that a relative URL on a page leads to, without a leading slash; .. never climbs above the root."""
+    path = F.split(link, "[#?]")[0]
+    rooted = path.startswith("/")
+    base = F.split(F.regexp_replace(page, r"[^/]*$", ""), "/")
+    segments = F.filter(F.concat(F.when(rooted, F.array().cast("array<string>")).otherwise(base), F.split(path, "/")), lambda s: ~s.isin("", "."))
+    walked = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        lambda acc, s: F.when(s != "..", F.concat(acc, F.array(s))).otherwise(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))))
+    joined = F.array_join(walked, "/")
+    folder = path.rlike(r"(^|/)\.{0,2}$") & (path != "") & (joined != "")
+    return F.when(path == "", page).otherwise(F.concat(joined, F.when(folder, "/").otherwise("")))
+
+
 def slug_tag(c: Column) -> Column:
     return slugify(c)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstone.functions import paths as P
+
 PARENTHESES = r"\s*\([^)]*\)"
 
 
@@ -154,3 +156,97 @@ def hugo(c: Column) -> Column:
 def coerce_list(c: Column) -> Column:
     """A comma-separated string as a list of trimmed, non-empty values."""
     return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def query_terms(query: str) -> list[str]:
+    """Words of a query and their runs from the first on, the longest first."""
+    words = query.split()
+    return sorted([*words, *(" ".join(words[: k + 1]) for k in range(1, len(words)))], key=len, reverse=True)
+
+
+def highlight(c: Column, query: str, trim: bool = False, width: int = 30) -> Column:
+    """Words that hold a term are marked. Trimmed: from `width` words before the window with most words that start with a term,
+    the last of equal ones, twice that width; three dots show what was cut off. A window that ends the text is never chosen."""
+    terms = query_terms(query)
+    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    n = F.size(words)
+
+    def starts(w: Column) -> Column:
+        found = F.lit(False)
+        for t in terms:
+            found = found | F.lower(w).startswith(t.lower())
+        return found.cast("int")
+
+    def mark(w: Column) -> Column:
+        out = w
+        for t in reversed(terms):
+            literal = "\\Q" + t.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E"
+            out = F.when(F.contains(F.lower(w), F.lit(t.lower())), F.regexp_replace(w, f"(?iu){literal}", '<span class="highlight">$0</span>')).otherwise(out)
+        return out
+
+    if not trim:
+        return F.array_join(F.transform(words, mark), " ")
+    hits = F.transform(words, starts)
+    sums = F.transform(F.sequence(F.lit(0), F.greatest(n - width - 1, F.lit(0))), lambda k: F.struct(F.aggregate(F.slice(hits, k + 1, width), F.lit(0), lambda a, h: a + h).alias("h"), k.alias("k")))
+    best = F.when(n > width, F.array_max(sums)["k"]).otherwise(0)
+    start = F.greatest(best - width, F.lit(0))
+    end = F.greatest(F.least(start + 2 * width, n - 1), F.lit(0))
+    shown = F.array_join(F.transform(F.slice(words, start + 1, F.greatest(end - start, F.lit(0))), mark), " ")
+    return F.concat(F.when(start > 0, "...").otherwise(""), shown, F.when(n > 0, "...").otherwise(""))
+
+
+def outline(c: Column) -> Column:
+    """array<struct(line, level, anchor)> of a text's headings; an anchor met before gets a number."""
+    rows = F.transform(F.split(c, "\n"), lambda x, i: F.struct(
+        i.alias("line"), F.length(F.regexp_extract(x, r"^(#{1,6})\s+\S", 1)).alias("level"),
+        P.slug_anchor(F.trim(F.regexp_replace(x, r"^#+\s+", ""))).alias("slug")))
+    found = F.filter(rows, lambda r: r["level"] > 0)
+
+    def numbered(r: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(found, F.lit(1), i), lambda o: o["slug"] == r["slug"]))
+        return F.struct(r["line"].alias("line"), r["level"].alias("level"), F.when(before > 0, F.concat_ws("-", r["slug"], before.cast("string"))).otherwise(r["slug"]).alias("anchor"))
+
+    return F.transform(found, numbered)
+
+
+def under_heading(c: Column, anchor: Column) -> Column:
+    """Lines from the heading with the anchor to the next of the same level or a higher one; null if there is none."""
+    heads, rows = outline(c), F.split(c, "\n")
+    at = F.get(F.filter(heads, lambda h: h["anchor"] == anchor), F.lit(0))
+    next_ = F.get(F.filter(heads, lambda h: (h["line"] > at["line"]) & (h["level"] <= at["level"])), F.lit(0))
+    return F.when(at.isNotNull(), F.array_join(F.slice(rows, at["line"] + 1, F.coalesce(next_["line"], F.size(rows)) - at["line"]), "\n"))
+
+
+def block(c: Column, name: Column) -> Column:
+    """The list item or paragraph that ends with ^name, without that mark; null if there is none."""
+    end = F.concat(F.lit("^"), name)
+    marked = lambda x: x.endswith(F.concat(F.lit(" "), end)) | (x == end)
+    item = F.get(F.filter(F.split(c, "\n"), lambda x: x.rlike(r"^\s*([-*+]|\d+\.)\s") & marked(x)), F.lit(0))
+    paragraph = F.get(F.filter(F.split(c, r"\n\s*\n"), marked), F.lit(0))
+    found = F.coalesce(item, paragraph)
+    return F.rtrim(F.substring(found, F.lit(1), F.length(found) - F.length(end)))
+
+
+def embedded(c: Column, reference: Column) -> Column:
+    """What a reference embeds of a text: #^name a block, #anchor a heading and what is below it, else all of it."""
+    rest = lambda k: F.substring(reference, F.lit(k), F.length(reference))
+    return F.when(reference.startswith("#^"), block(c, rest(3))).when(reference.startswith("#"), under_heading(c, rest(2))).otherwise(c)
+
+
+def date_or_now(now: Column, *chain: Column) -> Column:
+    """The first date given (not null or empty) as a time stamp; now if none is given or the one given is bad or the epoch."""
+    first = F.coalesce(*[F.when(c != "", c) for c in chain])
+    at = F.try_to_timestamp(first)
+    return F.when(at.isNotNull() & (at != F.lit("1970-01-01 00:00:00").cast("timestamp")), at).otherwise(now.cast("timestamp"))
+
+
+def clamped(c: Column, low: Column | int, high: Column | int) -> Column:
+    """Rounded half up and held between two bounds."""
+    bound = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.least(F.greatest(F.floor(c + 0.5), bound(low)), bound(high))
+
+
+def natural_key(c: Column) -> Column:
+    """Sorts as people do: case aside, numbers by value."""
+    padded = F.regexp_replace(F.lower(c), r"(\d+)", "0" * 20 + "$1")
+    return F.regexp_replace(padded, r"0*(\d{20})(?!\d)", "$1")
