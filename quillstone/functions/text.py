@@ -186,35 +186,47 @@ def highlight(c: Column, query: str, trim: bool = False, width: int = 30) -> Col
 
     if not trim:
         return F.array_join(F.transform(words, mark), " ")
-    hits = F.transform(words, starts)
-    sums = F.transform(F.sequence(F.lit(0), F.greatest(n - width - 1, F.lit(0))), lambda k: F.struct(F.aggregate(F.slice(hits, k + 1, width), F.lit(0), lambda a, h: a + h).alias("h"), k.alias("k")))
-    best = F.when(n > width, F.array_max(sums)["k"]).otherwise(0)
+    # one pass over the words: a mask of the hits among the last `width` of them; a lambda that named the words again would split the text anew each time
+    if not 0 < width < 63:
+        raise ValueError("width must be from 1 to 62")
+    zero = F.struct(F.lit(0).cast("long").alias("mask"), F.lit(0).alias("i"), F.lit(0).alias("most"), F.lit(0).alias("at"))
+
+    def step(acc: Column, w: Column) -> Column:
+        mask = F.shiftleft(acc["mask"], 1).bitwiseOR(starts(w).cast("long")).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        better = (acc["i"] >= width - 1) & (F.bit_count(mask) >= acc["most"])
+        return F.struct(mask.alias("mask"), (acc["i"] + 1).alias("i"), F.when(better, F.bit_count(mask)).otherwise(acc["most"]).alias("most"), F.when(better, acc["i"] - (width - 1)).otherwise(acc["at"]).alias("at"))
+
+    best = F.aggregate(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), zero, step, lambda acc: acc["at"])
     start = F.greatest(best - width, F.lit(0))
     end = F.greatest(F.least(start + 2 * width, n - 1), F.lit(0))
     shown = F.array_join(F.transform(F.slice(words, start + 1, F.greatest(end - start, F.lit(0))), mark), " ")
     return F.concat(F.when(start > 0, "...").otherwise(""), shown, F.when(n > 0, "...").otherwise(""))
 
 
-def outline(c: Column) -> Column:
-    """array<struct(line, level, anchor)> of a text's headings; an anchor met before gets a number."""
-    rows = F.transform(F.split(c, "\n"), lambda x, i: F.struct(
-        i.alias("line"), F.length(F.regexp_extract(x, r"^(#{1,6})\s+\S", 1)).alias("level"),
-        P.slug_anchor(F.trim(F.regexp_replace(x, r"^#+\s+", ""))).alias("slug")))
-    found = F.filter(rows, lambda r: r["level"] > 0)
-
-    def numbered(r: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(found, F.lit(1), i), lambda o: o["slug"] == r["slug"]))
-        return F.struct(r["line"].alias("line"), r["level"].alias("level"), F.when(before > 0, F.concat_ws("-", r["slug"], before.cast("string"))).otherwise(r["slug"]).alias("anchor"))
-
-    return F.transform(found, numbered)
-
-
 def under_heading(c: Column, anchor: Column) -> Column:
-    """Lines from the heading with the anchor to the next of the same level or a higher one; null if there is none."""
-    heads, rows = outline(c), F.split(c, "\n")
-    at = F.get(F.filter(heads, lambda h: h["anchor"] == anchor), F.lit(0))
-    next_ = F.get(F.filter(heads, lambda h: (h["line"] > at["line"]) & (h["level"] <= at["level"])), F.lit(0))
-    return F.when(at.isNotNull(), F.array_join(F.slice(rows, at["line"] + 1, F.coalesce(next_["line"], F.size(rows)) - at["line"]), "\n"))
+    """Lines from the heading with the anchor to the next of the same level or a higher one; null if there is none.
+
+    A heading's anchor gets a number if headings before it have the same. One fold over the headings, which only remembers those
+    that the anchor starts with.
+    """
+    rows = F.split(c, "\n")
+    heads = F.filter(F.transform(rows, lambda x, i: F.struct(
+        i.alias("line"), F.length(F.regexp_extract(x, r"^(#{1,6})\s+\S", 1)).alias("level"),
+        P.slug_anchor(F.trim(F.regexp_replace(x, r"^#+\s+", ""))).alias("slug"))), lambda h: h["level"] > 0)
+    zero = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("level"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def step(acc: Column, h: Column) -> Column:
+        before = F.size(F.filter(acc["seen"], lambda s: s == h["slug"]))
+        name = F.when(before > 0, F.concat_ws("-", h["slug"], before.cast("string"))).otherwise(h["slug"])
+        opens = (acc["first"] < 0) & (name == anchor)
+        closes = (acc["first"] >= 0) & (acc["last"] < 0) & (h["level"] <= acc["level"])
+        return F.struct(
+            F.when(F.startswith(anchor, h["slug"]), F.concat(acc["seen"], F.array(h["slug"]))).otherwise(acc["seen"]).alias("seen"), F.when(opens, h["level"]).otherwise(acc["level"]).alias("level"),
+            F.when(opens, h["line"]).otherwise(acc["first"]).alias("first"), F.when(closes, h["line"]).otherwise(acc["last"]).alias("last"))
+
+    span = F.aggregate(heads, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    end = F.when(span["last"] < 0, F.size(rows)).otherwise(span["last"])
+    return F.when(span["first"] >= 0, F.array_join(F.slice(rows, span["first"] + 1, end - span["first"]), "\n"))
 
 
 def block(c: Column, name: Column) -> Column:

@@ -96,9 +96,11 @@ def transclusion_parts(spark, d):
     return G.embeds(wanted, p.withColumn("content", text))
 
 
-@query(r"""WITH t AS (SELECT doc_id, ws, len(ws) AS n, list_transform(ws, lambda w: CASE WHEN starts_with(lower(w), 'th') OR starts_with(lower(w), 'que') THEN 1 ELSE 0 END) AS h FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents)),
-s AS (SELECT doc_id, ws, n, list_transform(range(0, greatest(n - 30, 0)), lambda i: list_sum(h[i + 1:i + 30])) AS sums FROM t),
-b AS (SELECT doc_id, ws, n, greatest(CASE WHEN n > 30 THEN len(sums) - list_position(list_reverse(sums), list_max(sums)) ELSE 0 END - 30, 0) AS a FROM s)
+@query(r"""WITH t AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents)),
+u AS (SELECT doc_id, n, unnest(range(0, n)) AS pos, lower(unnest(ws)) AS w FROM t),
+s AS (SELECT doc_id, n, pos, sum(CASE WHEN starts_with(w, 'th') OR starts_with(w, 'que') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS h FROM u),
+k AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY h DESC, pos DESC) AS r FROM s WHERE pos < n - 30) WHERE r = 1),
+b AS (SELECT doc_id, ws, n, greatest(coalesce(pos, 0) - 30, 0) AS a FROM t LEFT JOIN k USING (doc_id))
 SELECT doc_id, CASE WHEN a > 0 THEN '...' ELSE '' END || array_to_string(list_transform(ws[a + 1:greatest(least(a + 60, n - 1), 0)], lambda w: CASE WHEN contains(lower(w), 'que') THEN regexp_replace(w, 'que', '<span class="highlight">\0</span>', 'gi') ELSE regexp_replace(w, 'th', '<span class="highlight">\0</span>', 'gi') END), ' ') || CASE WHEN n > 0 THEN '...' ELSE '' END AS snippet FROM b""")
 def search_snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", X.highlight(F.col("text"), "th que", trim=True).alias("snippet"))
