@@ -34,6 +34,25 @@ def parse_cards(cards: DataFrame) -> DataFrame:
     return cards.withColumn("parsed", parse(*[F.col(c).cast("string") for c in cols]))
 
 
+def same_json(a: Column, b: Column) -> Column:
+    """Whether two JSON texts say the same (`rules_text.same_json`); null if either is null or not JSON."""
+
+    @F.pandas_udf("boolean")
+    def same(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([_same(x, y) for x, y in zip(left, right)], dtype=object)
+
+    return same(a, b)
+
+
+def _same(x: str | None, y: str | None) -> bool | None:
+    if x is None or y is None:
+        return None
+    try:
+        return R.same_json(json.loads(x), json.loads(y))
+    except ValueError:
+        return None
+
+
 def category() -> Column:
     """What a failed line looks like."""
     raw = F.lower("raw")

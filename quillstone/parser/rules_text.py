@@ -433,13 +433,15 @@ def expand_keyword(name: str, parameter: str | None = None) -> Json:
     return {"kind": "static", "keywordSource": known, "effect": {"effectType": "protection", "from": [quality(w) for w in words if w]}}
 
 
+def omissible(x: Any) -> bool:
+    """What an object may as well leave out: null, false, the integer 0, empty lists, and objects of nothing but a text."""
+    return x is None or x is False or type(x) is int and x == 0 or x == [] or isinstance(x, dict) and set(x) == {"text"}
+
+
 def same_json(a: Any, b: Any) -> bool:
-    """Equal but for absent, null, false, 0 and empty lists, which are one; a text object of one key counts as absent too."""
-    void = lambda x: x is None or x is False or x == 0 and not isinstance(x, str) or x == [] or isinstance(x, dict) and set(x) == {"text"}
-    if void(a) and void(b):
-        return True
+    """Equal but for the order of keys, and for keys of one side only whose value is omissible; numbers of different types differ."""
     if isinstance(a, dict) and isinstance(b, dict):
-        return all(same_json(a.get(k), b.get(k)) for k in {*a, *b})
+        return all(same_json(a[k], b[k]) if k in a and k in b else omissible(a.get(k, b.get(k))) for k in {*a, *b})
     if isinstance(a, list) and isinstance(b, list):
         return len(a) == len(b) and all(map(same_json, a, b))
     return type(a) is type(b) and a == b

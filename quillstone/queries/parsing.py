@@ -137,3 +137,18 @@ def pipeline_run(spark, d):
     registry.register(p)
     registry.run("suppliers")
     return spark.read.schema("region string, n long").json(catalog.path("counts"))
+
+
+# Pairs of JSON texts, and whether they say the same.
+JSON_PAIRS = [
+    ('{"a": 1, "b": [1, 2]}', '{"b": [1, 2], "a": 1}', True), ('{"a": 1}', '{"a": 1, "n": null, "f": false, "z": 0, "l": []}', True),
+    ('{"note": {"text": "x"}}', "{}", True), ('{"note": {"text": "x", "more": 1}}', "{}", False), ('{"a": null}', '{"a": false}', False),
+    ("[1, 2]", "[2, 1]", False), ("[]", "[0]", False), ('{"a": "0"}', "{}", False), ('{"a": 1}', '{"a": 1.0}', False), ('{"z": 0.0}', "{}", False), ("{", "{}", None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if same is None else same})" for i, (_, _, same) in enumerate(JSON_PAIRS)) + ") t(pair, same)")
+def json_same(spark, d):
+    """Golden comparison of JSON texts."""
+    rows = [(i, a, b) for i, (a, b, _) in enumerate(JSON_PAIRS)]
+    return spark.createDataFrame(rows, "pair int, a string, b string").select("pair", PF.same_json(F.col("a"), F.col("b")).alias("same"))

@@ -72,6 +72,7 @@ def test_keyword_expander():
 
 def test_json_equality():
     assert R.same_json({"a": 1, "b": None, "c": [], "d": False}, {"a": 1, "e": 0, "f": {"text": "x"}})
+    assert not R.same_json({"a": None}, {"a": False}) and not R.same_json({"a": 0.0}, {}) and not R.same_json(None, 0)
     assert not R.same_json([1, 2], [2, 1]) and not R.same_json({"a": 1}, {"a": 2}) and not R.same_json({"a": "0"}, {})
 
 
