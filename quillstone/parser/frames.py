@@ -34,6 +34,25 @@ def parse_cards(cards: DataFrame) -> DataFrame:
     return cards.withColumn("parsed", parse(*[F.col(c).cast("string") for c in cols]))
 
 
+def line_cases(cards: DataFrame, text: str = "oracle_text", expected: str = "expected") -> DataFrame:
+    """One row per line of text that parses to abilities: line (from 1, blank ones not counted), line_text and line_expected.
+
+    expected holds a card's abilities as JSON texts, in the order of the lines; each line takes as many as it parses to, and lines
+    for which none are left go, as do cards with a null or empty text or list. All within the row, so nothing is shuffled.
+    """
+
+    @F.pandas_udf("array<int>")
+    def counts(lines: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [len(R.parse_text(y).abilities) for y in x] for x in lines], dtype=object)
+
+    trimmed = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    with_counts = cards.withColumn("_lines", trimmed).withColumn("_counts", counts("_lines"))
+    split = with_counts.select("*", F.posexplode("_lines").alias("_at", "line_text"))
+    n, start = F.get("_counts", F.col("_at")), F.aggregate(F.slice("_counts", F.lit(1), F.col("_at")), F.lit(0), lambda a, x: a + x)
+    taken = split.withColumn("line", F.col("_at") + 1).withColumn("_n", n).withColumn("_start", start).where((F.col("_n") > 0) & (F.col("_start") < F.size(expected)))
+    return taken.withColumn("line_expected", F.slice(expected, F.col("_start") + 1, F.col("_n"))).drop("_lines", "_counts", "_at", "_n", "_start")
+
+
 def same_json(a: Column, b: Column) -> Column:
     """Whether two JSON texts say the same (`rules_text.same_json`); null if either is null or not JSON."""
 

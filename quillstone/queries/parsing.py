@@ -152,3 +152,11 @@ def json_same(spark, d):
     """Golden comparison of JSON texts."""
     rows = [(i, a, b) for i, (a, b, _) in enumerate(JSON_PAIRS)]
     return spark.createDataFrame(rows, "pair int, a string, b string").select("pair", PF.same_json(F.col("a"), F.col("b")).alias("same"))
+
+
+@query("SELECT * FROM (VALUES (1, 1, 'Flying, vigilance', 'a|b'), (1, 2, 'Flying', 'c'), (3, 1, 'Flying, vigilance', 'a')) t(card_id, line, line_text, abilities)")
+def line_cases(spark, d):
+    """Test cases of single lines, with the abilities that each is expected to give."""
+    rows = [(1, "Flying, vigilance\n\n  Flying ", ["a", "b", "c"]), (2, None, ["a"]), (3, "Flying, vigilance\nFlying", ["a"]), (4, "Flying", []), (5, "Flying", None), (6, "", ["a"])]
+    found = PF.line_cases(spark.createDataFrame(rows, "card_id int, oracle_text string, expected array<string>"))
+    return found.select("card_id", "line", "line_text", F.array_join("line_expected", "|").alias("abilities"))
