@@ -20,10 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one whose doc_id names the class."""
-    found = jaccardforest.join(docs)
-    kept = found.where(F.col("class_id").isNull() | F.col("doc_id").isNull() | (F.col("class_id") == F.col("doc_id")))
-    return kept.select(*docs.columns)
+    """One row of each class of near duplicates: that of the least doc_id; repeated rows and rows of null doc_id are copies."""
+    return jaccardforest.join(docs, one_each=True)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,14 +136,17 @@ def compare(sets: list[np.ndarray], keys: np.ndarray, mask: int, left: np.ndarra
     return left[i[linked]], right[j[linked]]
 
 
-def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, depth: int = 6, recall: float = 0.999999, block: int = 512) -> DataFrame:
-    """docs with n_shingles, class_id and n_links.
+def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, depth: int = 6, recall: float = 0.999999, block: int = 512, one_each: bool = False) -> DataFrame:
+    """docs with n_shingles, class_id and n_links; with one_each, docs themselves, of each class one row.
 
     n_links is the number of other rows whose set has a Jaccard similarity of threshold or more with the row's own, copies
     counted; class_id is the least doc_id of the rows linked with it, directly or in turn. A text of fewer than k words has
     all its words as one shingle. Null texts and texts without words have no shingles, no links, and are classes of their own; so are
     rows of null doc_id that link to nothing (class_id null). Repeated rows are copies. Other columns stay; those named like a result are
     replaced. An empty table gives no rows.
+
+    The row that stays of a class is that of the least doc_id, nulls last; among rows of one doc_id, that of the least hash. A class
+    is one of linked sets here, whatever ids its rows have. Rows without shingles all stay.
     """
     spark = docs.sparkSession
     prepare(spark, 256)
@@ -257,6 +260,8 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
     name = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
     roots = components(found.select(name("set_a", "set_b").alias("a"), name("top_a", "top_b").alias("b")))
     placed = sets.withColumn("node", name("set_a", "set_b")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if one_each:
+        return _one_of_each(docs, of_text, placed.select("set_a", "set_b", "root"))
     least = placed.groupBy("root").agg(F.min("least").alias("class_id"))
     by_set = placed.join(least, "root").join(counts, ["set_a", "set_b"], "left").select("set_a", "set_b", "class_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     by_text = of_text.join(by_set, ["set_a", "set_b"]).select("key_a", "key_b", "n_shingles", "class_id", "n_links")
@@ -264,3 +269,22 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
     return keyed.join(by_text, ["key_a", "key_b"], "left").select(
         *held.columns, F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"),
         F.coalesce("class_id", "doc_id").cast("long").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _one_of_each(docs: DataFrame, of_text: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of each class; of_text has the set of each text, roots the class of each set.
+
+    Rows are told apart by hashes, and only those that repeat as a whole are compared with their text.
+    """
+    every = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    names = {"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), "text"), "_r": F.xxhash64(*every), "_s": F.xxhash64(F.lit(1), *every)}
+    keyed = docs.withColumns(names)
+    rows = keyed.where("text IS NOT NULL").groupBy("_a", "_b", "doc_id", "_r", "_s").agg(F.count("*").alias("copies"))
+    texts = of_text.join(roots, ["set_a", "set_b"]).select(F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_r").alias("r"), F.col("_s").alias("s"), "_a", "_b", "copies")
+    chosen = rows.join(texts, ["_a", "_b"]).groupBy("root").agg(F.min(order).alias("m")).select("m._a", "m._b", "m.r", "m.s", "m.copies").checkpoint()
+    worded = texts.drop("root").join(chosen, ["_a", "_b"], "left").withColumn("worded", F.lit(True))
+    own = (F.col("_r") == F.col("r")) & (F.col("_s") == F.col("s"))
+    stay = keyed.join(worded, ["_a", "_b"], "left").where(F.col("worded").isNull() | own & (F.col("copies") == 1)).select(*docs.columns)
+    again = keyed.join(chosen.where("copies > 1"), ["_a", "_b"]).where(own).dropDuplicates(["_a", "_b"]).select(*docs.columns)
+    return stay.unionByName(again)

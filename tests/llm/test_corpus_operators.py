@@ -539,3 +539,22 @@ def test_pipeline(spark):
         assert want[r["doc_id"]] > 0 or texts[r["doc_id"]] == r["text"]
     assert 0 < mixture.count() and packed.count() >= mixture.count()
     assert sum(r["length"] for r in packed.collect()) == sum(len(packing.Encoder.get()(r["text"])) + 1 for r in mixture.collect())
+
+
+def test_pipeline_repeated_rows_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    word = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n))
+    texts = [word(150) for _ in range(7)]
+    near = texts[2].rsplit(" ", 1)[0] + " edited"
+    rows = [(1, texts[0], "en", "s", 1)] * 3 + [(2, texts[1], "en", "s", 1), (None, texts[1], "en", "s", 1), (None, texts[1], "en", "t", 1)]
+    rows += [(4, texts[2], "en", "s", 1), (3, near, "en", "s", 1), (None, near, None, None, None)] + [(None, texts[3], "en", "s", 1)] * 2
+    rows += [(None, texts[4], "en", "s", 1), (5, texts[5], "en", "s", 1), (5, texts[6], "de", "s", 1)]  # one doc_id, two documents
+    rows += [(6, " \n", "en", "s", 1), (6, " \n", "en", "s", 1), (None, None, None, None, None)]
+    want = [(1, texts[0], "en", "s", 1), (2, texts[1], "en", "s", 1), (3, near, "en", "s", 1), (None, texts[3], "en", "s", 1), *rows[11:]]
+    near_rows = corpus_pipeline.near_duplicates(spark, table(spark, rows), SF).checkpoint()
+    assert Counter(map(tuple, near_rows.collect())) == Counter(want)
+    left = corpus_pipeline.repeated_passages(spark, near_rows, SF)
+    assert Counter(map(tuple, left.collect())) == Counter(want)  # no document is lost
+    assert corpus_pipeline.near_duplicates(spark, table(spark, []), SF).count() == 0
