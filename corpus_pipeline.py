@@ -25,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of strings of 400 bytes or more that occur again; those of which no word stays go."""
-    found = suffixdedup.remove(docs, keep_text=True)
+    """Documents without the passages of over 50 words that occur again; those of which no word stays go."""
+    found = suffixdedup.remove(docs, length=51, by_word=True, keep_text=True)
     kept = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -50,18 +50,20 @@ class Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def shingles(text: str, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of k words; all words as one run if there are fewer; none of no words."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
+def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, hash) of each word."""
     edge = np.diff(np.concatenate(([True], _BLANK[raw], [True])).astype(np.int8))
     start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return np.zeros(0, np.uint64)
     up, down = Powers.to(len(raw) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)])))
-    word = _mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    return start, stop, _mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
+def shingles(text: str, k: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the runs of k words; all words as one run if there are fewer; none of no words."""
+    _, _, word = words(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8))
+    if not len(word):
+        return np.zeros(0, np.uint64)
     k = min(k, len(word))
     run = np.zeros(len(word) - k + 1, np.uint64)
     for i in range(k):

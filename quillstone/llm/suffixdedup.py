@@ -22,8 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import partitions, prepare, release, shared_dir, written
+from quillstone.llm.jaccardforest import words
 
 GRAM = 64
+#: Bytes that stand for a word where windows are counted in words.
+WIDE = 6
 #: Positions a text is scanned by at a time, so that very long texts need no more memory.
 SEGMENT = 1 << 18
 #: Bytes of strings in one suffix array.
@@ -37,6 +40,11 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_B), n, 1 << 64))
 
 
+def coded(data: bytes) -> bytes:
+    """WIDE bytes of hash for each word, so that windows of words are windows of bytes; white space has no part in them."""
+    return words(np.frombuffer(data, dtype=np.uint8))[2].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE].tobytes()
+
+
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
     """Hash of the 64 bytes from every position, by doubling; empty if there are fewer."""
     h = _BYTE[raw]
@@ -236,20 +244,26 @@ def _digest(text: bytes) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
-def repeats(docs: DataFrame, length: int = 400, runs_per_chunk: int = 2048) -> DataFrame:
-    """key_a, key_b, ranges: the byte ranges that repeat in each distinct text with any; the key is a hash of the text."""
+def repeats(docs: DataFrame, length: int = 400, runs_per_chunk: int = 2048, by_word: bool = False) -> DataFrame:
+    """key_a, key_b, ranges: the byte ranges that repeat in each distinct text with any; the key is a hash of the text.
+
+    With by_word, length is a number of words, and ranges are those of coded().
+    """
+    least = 2 * length - 1 if by_word else length
+    length = length * WIDE if by_word else length
+    own = coded if by_word else bytes
     spark = docs.sparkSession
     prepare(spark, 256)
     shared_dir(spark)
     n = partitions(spark)
     key = [F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b")]
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length).select(*key, "doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= least).select(*key, "doc_id", "text")
 
     def emit(batches):
         for pdf in batches:
             parts = []
             for a, b, doc_id, text in zip(pdf["key_a"], pdf["key_b"], pdf["doc_id"], pdf["text"]):
-                data = text.encode("utf-8", "surrogatepass")
+                data = own(text.encode("utf-8", "surrogatepass"))
                 value, first, last, twice = runs(np.frombuffer(data, dtype=np.uint8), length)
                 ends = (last + length).tolist()
                 sub = np.array([xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(first.tolist(), ends)], dtype=np.uint64)
@@ -279,7 +293,7 @@ def repeats(docs: DataFrame, length: int = 400, runs_per_chunk: int = 2048) -> D
         for pdf in batches:
             out, seen = [], None
             for a, b, text, wanted in zip(pdf["key_a"], pdf["key_b"], pdf["text"], pdf["runs"]):
-                data = text.encode("utf-8", "surrogatepass")
+                data = own(text.encode("utf-8", "surrogatepass"))
                 for r in wanted:
                     chunk = int(r["string"]) % max(1, -(-int(r["strings"]) // runs_per_chunk))
                     out.append((r["hash"], chunk, r["strings"] > runs_per_chunk, a, b, r["first"], r["copies"], data[r["first"] : r["last"] + length]))
@@ -331,16 +345,17 @@ def repeats(docs: DataFrame, length: int = 400, runs_per_chunk: int = 2048) -> D
     return ranges
 
 
-def remove(docs: DataFrame, length: int = 400, keep_text: bool = False, **options) -> DataFrame:
+def remove(docs: DataFrame, length: int = 400, keep_text: bool = False, by_word: bool = False, **options) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept_sha256, and with text as the bytes kept if asked for, else without text.
 
     A byte goes if a string of `length` bytes over it also starts elsewhere in the input, the same document included.
     A null text is empty, texts shorter than length keep all. Repeated rows are documents of their own, so equal long texts
     go as a whole. Kept bytes that are no valid UTF-8 by themselves (a character was cut) are hashed as they are; in a kept
-    text they become U+FFFD. Other columns stay; those named like a result are replaced. An empty table gives no rows.
+    text they become U+FFFD. With by_word, length is a number of words: what goes are runs of words that occur again, from their first
+    word to their last, whatever white space is between them (words are compared by 48 bits of hash). Other columns stay; those named like a result are replaced. An empty table gives no rows.
     """
     prepare(docs.sparkSession, 256)
-    found = repeats(docs, length, **options)
+    found = repeats(docs, length, by_word=by_word, **options)
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "key_a", "key_b"]
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.drop(*results).withColumns({"key_a": F.xxhash64(whole), "key_b": F.xxhash64(F.lit(1), whole)})
@@ -351,6 +366,9 @@ def remove(docs: DataFrame, length: int = 400, keep_text: bool = False, **option
         for t, r in zip(text, ranges):
             data, parts, at, gone = t.encode("utf-8", "surrogatepass"), [], 0, 0
             merged = _merged([(int(x["lo"]), int(x["hi"])) for x in r]) if r is not None else []
+            if merged and by_word:
+                start, stop, _ = words(np.frombuffer(data, dtype=np.uint8))
+                merged = [(int(start[-(-lo // WIDE)]), int(stop[hi // WIDE - 1])) for lo, hi in merged]
             for lo, hi in merged:
                 parts.append(data[at:lo])
                 at, gone = hi, gone + hi - lo

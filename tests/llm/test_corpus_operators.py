@@ -558,3 +558,30 @@ def test_pipeline_repeated_rows_and_null_ids(spark):
     left = corpus_pipeline.repeated_passages(spark, near_rows, SF)
     assert Counter(map(tuple, left.collect())) == Counter(want)  # no document is lost
     assert corpus_pipeline.near_duplicates(spark, table(spark, []), SF).count() == 0
+
+
+def brute_words_left(texts, n):
+    """The words of each text that are in no run of n words that also starts elsewhere."""
+    split = [WORD.findall(t) for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in split for i in range(len(w) - n + 1))
+    out = []
+    for w in split:
+        gone = {j for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] >= 2 for j in range(i, i + n)}
+        out.append([x for j, x in enumerate(w) if j not in gone])
+    return out
+
+
+def test_pipeline_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    word = lambda n, most=9: " ".join("".join(rng.choices("abcdefghé", k=rng.randint(1, most))) for _ in range(n))
+    texts = [word(rng.randint(1, 200)) for _ in range(10)]
+    for n, most in [(51, 9), (51, 1), (55, 3), (58, 6), (65, 9), (50, 9), (50, 20), (80, 9)]:
+        passage = word(n, most)
+        texts += [f"{word(30)}x {passage} x{word(40)}", f"{word(20)}y\n{passage.replace(' ', rng.choice([' ', '  ']))}\ny{word(60)}"]
+    texts += ["same word " * 60, "é " * 51, "é " * 52 + "z"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, table(spark, rows), SF).collect()}
+    want = dict(enumerate(brute_words_left(texts, 51)))
+    assert {i: WORD.findall(t) for i, t in found.items()} == {i: w for i, w in want.items() if w}
