@@ -1,8 +1,8 @@
 """Main text of web pages.
 
 What marks itself as apart from the article (by element, role, class or id) goes first. Then site templates go:
-element subtrees are hashed, the hashes are counted per host, and subtrees that recur on many pages of their
-host are deleted. Plain text blocks within an article are never taken for a template.
+element subtrees are hashed, the hashes are counted per host, and subtrees that recur beside several different main
+texts of their host are deleted. Plain text blocks within an article are never taken for a template.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,9 +152,8 @@ def templatable(node: Node) -> bool:
     return not (node.article and node.name in TEXT_BLOCKS)
 
 
-def subtrees(page: str) -> list[int]:
+def subtrees(root: Node) -> list[int]:
     """Distinct hashes of the subtrees with content that a template may have, those set apart by their marks included."""
-    root = parse(page)
     digest(root)
     return sorted({n.digest for n, ends in walk(root) if ends and n.items and templatable(n)})
 
@@ -162,6 +162,10 @@ def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) ->
     root = parse(page)
     if templates:
         digest(root)
+    return text_of(root, templates)
+
+
+def text_of(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> str:
     has_article = any(n.name in ("article", "main") and not n.apart for n, _ in walk(root))
     blocks: list[str] = []
     now: list[str] = []
@@ -207,51 +211,64 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> DataFrame:
-    """host, hashes: the subtrees on at least min_pages pages and min_share of the pages of the host.
+def templates(pages: DataFrame, min_pages: int = 5) -> DataFrame:
+    """host, hash: the subtrees that the host has beside at least min_pages different main texts.
 
-    A host's list is bounded by its mean number of subtrees a page over min_share. Counts are summed
-    before the shuffle, so a hot host does not matter.
+    Copies of a page, whatever their URLs, are one; the number does not rise with the size of the host. Each (host, hash,
+    main text) is counted once, dealt by all three, so a hot host does not matter.
     """
     prepare(pages.sparkSession)
     shared_dir(pages.sparkSession)
 
     def emit(batches):
         for pdf in batches:
-            rows = [(h, x) for h, page in zip(pdf["host"], pdf["html"]) for x in (0, *subtrees(page or ""))]
-            yield pd.DataFrame(rows, columns=["host", "hash"])
+            rows = []
+            for h, page in zip(pdf["host"], pdf["html"]):
+                root = parse(page or "")
+                found = subtrees(root)
+                content = xxhash.xxh3_64_intdigest(text_of(root).encode("utf-8", "surrogatepass")) - (1 << 63)
+                rows += [(h, x, content) for x in found]
+            yield pd.DataFrame(rows, columns=["host", "hash", "content"])
+
+    found = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(emit, "host string, hash long, content long")
+    return found.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(f"n >= {min_pages}").select("host", "hash").checkpoint()
+
+
+def templates_of_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """_a, _b, _hashes: of each distinct text of _host and html (named by _a, _b), the templates of its host that it has."""
+    salts = partitions(pages.sparkSession)
+
+    def emit(batches):
+        for pdf in batches:
+            rows = [(h, a, b, x) for h, a, b, page in zip(pdf["_host"], pdf["_a"], pdf["_b"], pdf["html"]) for x in subtrees(parse(page or ""))]
+            yield pd.DataFrame(rows, columns=["_host", "_a", "_b", "hash"])
 
-    found = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(emit, "host string, hash long")
-    counts = found.groupBy("host", "hash").agg(F.count("*").alias("n")).where(f"n >= {min_pages} OR hash = 0").checkpoint()
-    total = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    return (
-        counts.where((F.col("hash") != 0) & (F.col("n") >= min_pages)).join(total, "host").where(F.col("n") >= min_share * F.col("pages"))
-        .groupBy("host").agg(F.collect_list("hash").alias("hashes"))
-    )
+    found = pages.select("_host", "_a", "_b", "html").mapInPandas(emit, "_host string, _a long, _b long, hash long").withColumn("_salt", F.pmod("_a", F.lit(salts)).cast("int"))
+    # each template goes to every salt, and pages are dealt over the salts
+    salted = known.select(F.col("host").alias("_host"), "hash", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return found.join(salted, ["_host", "hash", "_salt"]).groupBy("_a", "_b").agg(F.collect_set("hash").alias("_hashes"))
 
 
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2, broadcast_hashes: int = 200_000) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, broadcast_hashes: int = 200_000) -> DataFrame:
     """pages with text and n_chars (code points) in place of html.
 
-    A null html is empty, a null url has the empty host; repeated rows count as pages of their own. Other columns are kept,
+    A null html is empty, a null url has the empty host; repeated rows stay, but count once for templates. Other columns are kept,
     those named text or n_chars are replaced. An empty table gives no rows. Templates are broadcast if all hosts' lists hold
-    broadcast_hashes hashes at most (8 bytes each).
+    broadcast_hashes hashes at most (8 bytes each); beyond that each page gets those that it has.
     """
     prepare(pages.sparkSession)
-    held = pages.drop("text", "n_chars", "_host", "_hashes", "_salt").withColumn("_host", host(F.col("url")))
-    known = templates(pages, min_pages, min_share).select(F.col("host").alias("_host"), F.col("hashes").alias("_hashes"))
+    held = pages.drop("text", "n_chars", "_host", "_hashes", "_a", "_b").withColumn("_host", host(F.col("url")))
+    known = templates(pages, min_pages)
 
     @F.pandas_udf("string")
     def text(page: pd.Series, hashes: pd.Series) -> pd.Series:
         return pd.Series([main_text(p or "", frozenset(h) if h is not None else frozenset()) for p, h in zip(page, hashes)], dtype=object)
 
-    # a short list of templates is broadcast; beyond that, each host's list goes to every salt, and its pages are dealt over the salts
-    size = known.agg(F.sum(F.size("_hashes") + 8)).first()[0] or 0
-    if size <= broadcast_hashes:
-        joined = held.join(F.broadcast(known), "_host", "left")
+    if known.count() <= broadcast_hashes:
+        lists = known.groupBy(F.col("host").alias("_host")).agg(F.collect_list("hash").alias("_hashes"))
+        joined = held.join(F.broadcast(lists), "_host", "left")
     else:
-        salts = partitions(pages.sparkSession)
-        salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = held.withColumn("_salt", F.pmod(F.xxhash64("html"), F.lit(salts)).cast("int")).join(salted, ["_host", "_salt"], "left").drop("_salt")
+        named = held.withColumns({"_a": F.xxhash64("_host", "html"), "_b": F.xxhash64(F.lit(1), "_host", "html")})
+        joined = named.join(templates_of_pages(named, known), ["_a", "_b"], "left").drop("_a", "_b")
     out = joined.withColumn("text", text("html", "_hashes"))
     return out.withColumn("n_chars", F.length("text").cast("long")).drop("html", "_host", "_hashes")

@@ -585,3 +585,21 @@ def test_pipeline_passages_of_over_50_words(spark):
     found = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, table(spark, rows), SF).collect()}
     want = dict(enumerate(brute_words_left(texts, 51)))
     assert {i: WORD.findall(t) for i, t in found.items()} == {i: w for i, w in want.items() if w}
+
+
+def test_html_templates_of_distinct_pages(spark):
+    own = "<html><body><article><h1>T{0}</h1><div><p>Text {0} of one</p><div>Part {0}</div></div></article><div>Foot {0}</div></body></html>"
+    bare = "<body><div><p>Bare {0}</p></div></body>"
+    box = "<body><div class=q7>Our box</div><div><p>Page {0}</p></div></body>"
+    few = "<body><div class=q8>Few</div><div><p>Other {0}</p></div></body>"
+    rows = [(f"https://a.example/1?utm_source={i}", own.format(1)) for i in range(6)] + [("https://a.example/1#top", own.format(1))] + [("https://a.example/2", own.format(2))]
+    rows += [("https://b.example/1", bare.format(1))] * 8
+    rows += [(f"https://c.example/{i}", box.format(i)) for i in range(6)] + [(f"https://c.example/{i}", few.format(i)) for i in range(4)]
+    rows += [(f"https://c.example/p{i}", bare.format(i)) for i in range(100)]  # a large host
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    for most in (200_000, 0):
+        found = {r["page_id"]: r["text"] for r in htmlmain.extract(pages, broadcast_hashes=most).collect()}
+        texts = [found[i] for i in range(len(rows))]
+        assert texts[:8] == ["T1\nText 1 of one\nPart 1"] * 7 + ["T2\nText 2 of one\nPart 2"]  # copies are no template
+        assert texts[8:16] == ["Bare 1"] * 8
+        assert texts[16:22] == [f"Page {i}" for i in range(6)] and texts[22:26] == [f"Few\nOther {i}" for i in range(4)]
