@@ -48,3 +48,8 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_links_of_the_whole_table(spark):
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert QUERIES["shortest_link_resolution_all"](spark, "/root/testdata/sf0.001").count() == n
