@@ -7,8 +7,10 @@ each share of them is put into a suffix array by two-stage sorting: suffixes sma
 are sorted directly, the rest are induced by scanning buckets of first bytes; common prefixes of neighbours
 then tell the windows that occur again.
 
-Hot hashes (a passage in a third of all documents) are dealt into chunks of bounded size. What a chunk can't find
-within itself meets the other chunks' windows as 128-bit fingerprints.
+A hash with too many distinct strings for one task (a passage in a third of all documents, each time between other texts)
+is refined: its windows go by longer and longer content keys, minima of further hash functions over their 64-byte strings and
+in the end all of their bytes. Equal windows have equal keys, so they still meet; strings within the passage become equal and
+collapse, those that reach far out of it are met once and go, and only the few windows at its edges are refined again.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import partitions, prepare, release, shared_dir, written
+from quillstone.llm.common import fresh, partitions, prepare, release, shared_dir, written
 from quillstone.llm.jaccardforest import words
 
 GRAM = 64
+#: Minima in the content keys that a hot hash is refined by, one after the other; 0 is the whole window.
+KEYS = (4, 32, 0)
 #: Bytes that stand for a word where windows are counted in words.
 WIDE = 6
 #: Positions a text is scanned by at a time, so that very long texts need no more memory.
@@ -193,8 +197,8 @@ def common_prefixes(text: np.ndarray, suffixes: np.ndarray, stop_of: np.ndarray,
     return shared
 
 
-def repeated_windows(strings: list[bytes], weights: list[int], length: int) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
-    """(of each string, which window starts occur again in total; one (string, start) of each distinct window)."""
+def repeated_windows(strings: list[bytes], weights: list[int], length: int) -> list[np.ndarray]:
+    """Of each string, which window starts occur again in total."""
     counts = [len(s) - length + 1 for s in strings]
     suffixes, shared, _ = suffix_order(strings, counts, length)
     sizes = np.array([len(s) for s in strings], dtype=np.int64)
@@ -210,8 +214,7 @@ def repeated_windows(strings: list[bytes], weights: list[int], length: int) -> t
     flags = [np.zeros(c, bool) for c in counts]
     for i, s in zip(owner[again].tolist(), start[again].tolist()):
         flags[i][s] = True
-    _, first = np.unique(group, return_index=True)
-    return flags, list(zip(owner[first].tolist(), start[first].tolist()))
+    return flags
 
 
 def spans(flags: np.ndarray, begin: int, length: int) -> list[tuple[int, int]]:
@@ -239,15 +242,66 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _digest(text: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(text)
-    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+def content_keys(raw: np.ndarray, length: int, minima: int) -> np.ndarray:
+    """A key of each window of the bytes: the same for equal windows, and with more minima the same for fewer windows around."""
+    if minima == 0:
+        data = raw.tobytes()
+        return np.array([xxhash.xxh3_64_intdigest(data[i : i + length]) for i in range(len(raw) - length + 1)], dtype=np.uint64)
+    h = gram_hashes(raw)
+    width = length - GRAM + 1
+    factors = np.random.default_rng(minima).integers(1, 1 << 63, (minima, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    key = np.zeros(len(h) - width + 1, np.uint64)
+    for a, b in factors:
+        x = h * a + b
+        x ^= x >> np.uint64(29)
+        key = (key ^ sliding(x, width, np.minimum)) * _B
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def finer_runs(data: bytes, length: int, minima: int) -> list[tuple[int, int, int, bool]]:
+    """(key, first start, last start, whether a window may be met twice within) of each run of windows of one key."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    key = content_keys(raw, length, minima)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    last = np.concatenate((first[1:], [len(key)])) - 1
+    h = np.sort(gram_hashes(raw))
+    again = bool((h[1:] == h[:-1]).any())
+    return [(k, a, b, again and b > a) for k, a, b in zip(key[first].tolist(), first.tolist(), last.tolist())]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 63)
+
 
+def _known(strings: DataFrame) -> DataFrame:
+    """hash, string, copies and of the hash: met, strings, again, least; of the strings (with copies and twice) whose hash may hold a repeat."""
+    hashes = strings.groupBy("hash").agg(F.sum("copies").alias("met"), F.count("*").alias("strings"), F.max("twice").alias("again"), F.min("copies").alias("least"))
+    return strings.drop("twice").join(hashes.where("met >= 2 OR again"), "hash")
+
+
+#: A string met twice repeats as a whole; these, the others and one of each that they may share windows with, are compared.
+UNSETTLED = "again OR (strings > 1 AND least = 1)"
+
+
+def _picked(repeated: DataFrame, *names: str) -> DataFrame:
+    """The unsettled strings, once each; names are the columns besides the key that say where a string is."""
+    held = repeated.where(UNSETTLED)
+    place = ["key_a", "key_b", "first", "last", *names]
+    single = held.where("copies = 1").select("hash", "string", *place, "copies", "strings")
+    # one of the equal strings stands for all: the one of the least key
+    stands = held.where("copies >= 2").groupBy("hash", "string").agg(F.min(F.struct(*place)).alias("m"), F.first("copies").alias("copies"), F.first("strings").alias("strings"))
+    return single.unionByName(stands.select("hash", "string", "m.*", "copies", "strings"))
 
-def repeats(docs: DataFrame, length: int = 400, runs_per_chunk: int = 2048, by_word: bool = False) -> DataFrame:
+
+STRING = "hash long, strings long, key_a long, key_b long, first long, copies long, data binary"
+
+
+def repeats(docs: DataFrame, length: int = 400, strings_per_task: int = 2048, by_word: bool = False) -> DataFrame:
     """key_a, key_b, ranges: the byte ranges that repeat in each distinct text with any; the key is a hash of the text.
 
-    With by_word, length is a number of words, and ranges are those of coded().
+    With by_word, length is a number of words, and ranges are those of coded(). A hash of more than strings_per_task distinct
+    strings is refined.
     """
     least = 2 * length - 1 if by_word else length
     length = length * WIDE if by_word else length
@@ -270,79 +324,100 @@ def repeats(docs: DataFrame, length: int = 400, runs_per_chunk: int = 2048, by_w
                 parts.append(pd.DataFrame({"key_a": a, "key_b": b, "doc_id": [doc_id] * len(first), "hash": value.view(np.int64), "string": sub.view(np.int64), "first": first, "last": last, "twice": twice}))
             yield pd.concat(parts) if parts else pd.DataFrame(columns=["key_a", "key_b", "doc_id", "hash", "string", "first", "last", "twice"])
 
-    run_type = "key_a long, key_b long, doc_id string, hash long, string long, first long, last long, twice boolean"
     # one row a run; the texts stay behind
-    found = written(texts.mapInPandas(emit, run_type))
+    found = written(texts.mapInPandas(emit, "key_a long, key_b long, doc_id string, hash long, string long, first long, last long, twice boolean"))
     strings = found.groupBy("hash", "string").agg(F.count("*").alias("copies"), F.max("twice").alias("twice"))
-    hashes = strings.groupBy("hash").agg(F.sum("copies").alias("met"), F.count("*").alias("strings"), F.max("twice").alias("again"), F.min("copies").alias("least"))
-    hashes = hashes.where("met >= 2 OR again")
-    known = strings.drop("twice").join(hashes, "hash")
-    repeated = found.drop("twice").join(known, ["hash", "string"]).checkpoint()
-
-    # a string met twice repeats as a whole; the others, and one of each string they may share windows with, are sorted
+    repeated = found.drop("twice").join(_known(strings), ["hash", "string"]).checkpoint()
     whole = repeated.where("copies >= 2").select("key_a", "key_b", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
-    to_sort = repeated.where("again OR (strings > 1 AND least = 1)")
-    single = to_sort.where("copies = 1").drop("least", "met")
-    # one of the equal strings stands for all: the one of the least key
-    stands = to_sort.where("copies >= 2").groupBy("hash", "string").agg(
-        F.min(F.struct("key_a", "key_b", "first", "last", "doc_id")).alias("m"), F.first("copies").alias("copies"), F.first("strings").alias("strings"), F.first("again").alias("again"))
-    picked = single.unionByName(stands.select("hash", "string", "m.*", "copies", "strings", "again"))
-    asked = picked.groupBy("key_a", "key_b", F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("hash", "string", "first", "last", "copies", "strings")).alias("runs"))
+    wanted = F.collect_list(F.struct("hash", "strings", "first", "last", "copies")).alias("runs")
+    asked = _picked(repeated, "doc_id").groupBy("key_a", "key_b", F.col("doc_id").alias("_d")).agg(wanted)
 
     def cut(batches):
         for pdf in batches:
-            out, seen = [], None
-            for a, b, text, wanted in zip(pdf["key_a"], pdf["key_b"], pdf["text"], pdf["runs"]):
+            out = []
+            for a, b, text, runs_ in zip(pdf["key_a"], pdf["key_b"], pdf["text"], pdf["runs"]):
                 data = own(text.encode("utf-8", "surrogatepass"))
-                for r in wanted:
-                    chunk = int(r["string"]) % max(1, -(-int(r["strings"]) // runs_per_chunk))
-                    out.append((r["hash"], chunk, r["strings"] > runs_per_chunk, a, b, r["first"], r["copies"], data[r["first"] : r["last"] + length]))
-            yield pd.DataFrame(out, columns=["hash", "chunk", "split", "key_a", "key_b", "first", "copies", "data"])
+                out += [(r["hash"], r["strings"], a, b, r["first"], r["copies"], data[r["first"] : r["last"] + length]) for r in runs_]
+            yield pd.DataFrame(out, columns=["hash", "strings", "key_a", "key_b", "first", "copies", "data"])
 
     # a string is cut out of one document; repeated rows send it again, which sort() passes over
     same = (texts["key_a"] == asked["key_a"]) & (texts["key_b"] == asked["key_b"]) & texts["doc_id"].eqNullSafe(asked["_d"])
-    joined = texts.join(asked, same).select(texts["key_a"], texts["key_b"], "text", "runs").mapInPandas(cut, "hash long, chunk int, split boolean, key_a long, key_b long, first long, copies long, data binary")
-    dealt = joined.repartition(n, "hash", "chunk").sortWithinPartitions("hash", "chunk", "key_a", "key_b", "first")
+    cut_out = texts.join(asked, same).select(texts["key_a"], texts["key_b"], "text", "runs").mapInPandas(cut, STRING)
+    hot = F.col("strings") > strings_per_task
+    if repeated.where(UNSETTLED).where(hot).isEmpty():
+        ready = cut_out
+    else:
+        ready, finer = _refined(written(cut_out), length, strings_per_task)
+        whole = whole.unionByName(finer)
+    dealt = ready.repartition(n, "hash").sortWithinPartitions("hash", "key_a", "key_b", "first")
 
     def sort(batches):
         held: list[tuple] = []
         size = 0
         for pdf in batches:
-            for row in zip(pdf["hash"], pdf["chunk"], pdf["split"], pdf["key_a"], pdf["key_b"], pdf["first"], pdf["copies"], pdf["data"]):
-                if held and size >= BATCH and row[:2] != held[-1][:2]:
-                    yield from solve(held)
+            for row in zip(pdf["hash"], pdf["key_a"], pdf["key_b"], pdf["first"], pdf["copies"], pdf["data"]):
+                if held and size >= BATCH and row[0] != held[-1][0]:
+                    yield solve(held)
                     held, size = [], 0
-                if held and row[:2] == held[-1][:2] and row[3:6] == held[-1][3:6]:
+                if held and row[:4] == held[-1][:4]:
                     continue  # the same place of an equal text
                 held.append(row)
-                size += len(row[7])
+                size += len(row[5])
         if held:
-            yield from solve(held)
+            yield solve(held)
         release()
 
-    def solve(held: list[tuple]):
-        strings = [r[7] for r in held]
-        flags, distinct = repeated_windows(strings, [int(r[6]) for r in held], length)
-        rows = []
-        for r, f in zip(held, flags):
-            rows += [(r[3], r[4], lo, hi, None, None) for lo, hi in spans(f, int(r[5]), length)]
-        for i, s in distinct:
-            r = held[i]
-            if r[2]:  # other chunks of this hash may hold the window
-                fa, fb = _digest(strings[i][s : s + length])
-                open_ = not flags[i][s]
-                at = int(r[5]) + s
-                rows.append((r[3] if open_ else None, r[4] if open_ else None, at, at + length, fa, fb))
-        names = ("key_a", "key_b", "lo", "hi", "window_a", "window_b")
-        yield pd.DataFrame({c: pd.array([r[k] for r in rows], dtype="Int64") for k, c in enumerate(names)})  # never through floats
-
-    sorted_ = dealt.mapInPandas(sort, "key_a long, key_b long, lo long, hi long, window_a long, window_b long").checkpoint()
-    near = sorted_.where("window_a IS NULL").select("key_a", "key_b", "lo", "hi")
-    apart = sorted_.where("window_a IS NOT NULL")
-    met = apart.groupBy("window_a", "window_b").agg(F.count("*").alias("n")).where("n >= 2").select("window_a", "window_b")
-    far = apart.where("key_a IS NOT NULL").join(met, ["window_a", "window_b"]).select("key_a", "key_b", "lo", "hi")
-    ranges = whole.unionByName(near).unionByName(far).groupBy("key_a", "key_b").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
-    return ranges
+    def solve(held: list[tuple]) -> pd.DataFrame:
+        flags = repeated_windows([r[5] for r in held], [int(r[4]) for r in held], length)
+        rows = [(r[1], r[2], lo, hi) for r, f in zip(held, flags) for lo, hi in spans(f, int(r[3]), length)]
+        return pd.DataFrame(rows, columns=["key_a", "key_b", "lo", "hi"]).astype("int64")
+
+    near = dealt.mapInPandas(sort, "key_a long, key_b long, lo long, hi long")
+    return whole.unionByName(near).groupBy("key_a", "key_b").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
+
+
+def _refined(strings: DataFrame, length: int, strings_per_task: int) -> tuple[DataFrame, DataFrame]:
+    """(strings as STRING of which none has a hot hash, ranges that repeat as a whole) of strings as STRING.
+
+    Strings go on by each of KEYS while their hash is hot. By whole windows, all strings of a hash are repetitions of one byte run
+    or single windows, so nothing is left to part.
+    """
+    hot = F.col("strings") > strings_per_task
+    ready, whole, hotter = strings.where(~hot), None, strings.where(hot)
+    for minima in KEYS:
+        if hotter.isEmpty():
+            break
+
+        def name(batches, minima=minima):
+            for pdf in batches:
+                out = []
+                for h, a, b, at, copies, data in zip(pdf["hash"], pdf["key_a"], pdf["key_b"], pdf["first"], pdf["copies"], pdf["data"]):
+                    seed = h & (1 << 64) - 1
+                    for value, first, last, twice in finer_runs(data, length, minima):
+                        own = xxhash.xxh3_64_intdigest(value.to_bytes(8, "little"), seed=seed)
+                        out.append((_signed(own), _signed(xxhash.xxh3_64_intdigest(data[first : last + length])), a, b, at, at + first, at + last, copies, twice))
+                yield pd.DataFrame(out, columns=["hash", "string", "key_a", "key_b", "origin", "first", "last", "n", "twice"])
+
+        found = written(hotter.mapInPandas(name, "hash long, string long, key_a long, key_b long, origin long, first long, last long, n long, twice boolean"))
+        known = _known(found.groupBy("hash", "string").agg(F.sum("n").alias("copies"), F.max("twice").alias("twice")))
+        repeated = found.drop("twice", "n").join(known, ["hash", "string"]).checkpoint()
+        ranges = repeated.where("copies >= 2").select("key_a", "key_b", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
+        whole = ranges if whole is None else whole.unionByName(ranges)
+        wanted = F.collect_list(F.struct("hash", "strings", "first", "last", "copies")).alias("runs")
+        asked = _picked(repeated, "origin").groupBy("key_a", "key_b", "origin").agg(wanted)
+
+        def cut(batches):
+            for pdf in batches:
+                out = []
+                for a, b, at, data, runs_ in zip(pdf["key_a"], pdf["key_b"], pdf["origin"], pdf["data"], pdf["runs"]):
+                    out += [(r["hash"], r["strings"], a, b, r["first"], r["copies"], data[r["first"] - at : r["last"] - at + length]) for r in runs_]
+                yield pd.DataFrame(out, columns=["hash", "strings", "key_a", "key_b", "first", "copies", "data"])
+
+        again = hotter.select("key_a", "key_b", F.col("first").alias("origin"), "data").join(asked, ["key_a", "key_b", "origin"])
+        finer = written(again.mapInPandas(cut, STRING))
+        ready = ready.unionByName(finer.where(~hot) if minima else finer)
+        hotter = finer.where(hot)
+    return ready, whole
 
 
 def remove(docs: DataFrame, length: int = 400, keep_text: bool = False, by_word: bool = False, **options) -> DataFrame:
@@ -355,10 +430,12 @@ def remove(docs: DataFrame, length: int = 400, keep_text: bool = False, by_word:
     word to their last, whatever white space is between them (words are compared by 48 bits of hash). Other columns stay; those named like a result are replaced. An empty table gives no rows.
     """
     prepare(docs.sparkSession, 256)
-    found = repeats(docs, length, by_word=by_word, **options)
-    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "key_a", "key_b"]
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    held = docs.drop(*results)
+    ka, kb, ranges, cut, sha, gone, parts = fresh(held, "key_a", "key_b", "ranges", "cut", "sha", "gone", "parts")
+    found = repeats(docs, length, by_word=by_word, **options).withColumnsRenamed({"key_a": ka, "key_b": kb, "ranges": ranges})
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.drop(*results).withColumns({"key_a": F.xxhash64(whole), "key_b": F.xxhash64(F.lit(1), whole)})
+    keyed = held.withColumns({ka: F.xxhash64(whole), kb: F.xxhash64(F.lit(1), whole)})
 
     @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text)
     def kept(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
@@ -377,13 +454,15 @@ def remove(docs: DataFrame, length: int = 400, keep_text: bool = False, by_word:
             out.append((gone, len(merged), hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "replace") if gone else None] if keep_text else [])))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])])
 
-    others = [c for c in keyed.columns if c not in ("text", "key_a", "key_b")]
+    others = [c for c in held.columns if c != "text"]
     own = lambda *x: [*others, F.octet_length(whole).cast("long").alias("n_bytes"), *x]
     if keep_text:
-        cut = keyed.join(found, ["key_a", "key_b"], "left").withColumn("_k", kept(whole, "ranges"))
-        return cut.select(*own("_k.n_removed", "_k.n_spans", "_k.kept_sha256", F.when(F.col("_k.n_removed") > 0, F.col("_k.kept")).otherwise(F.col("text")).alias("text")))
+        done = keyed.join(found, [ka, kb], "left").withColumn(cut, kept(whole, ranges))
+        left = F.when(F.col(cut)["n_removed"] > 0, F.col(cut)["kept"]).otherwise(F.col("text")).alias("text")
+        return done.select(*own(f"{cut}.n_removed", f"{cut}.n_spans", f"{cut}.kept_sha256", left))
     # only the texts that lose something are cut; the others are hashed where they are read
-    cut_texts = keyed.select("key_a", "key_b", "text").join(found, ["key_a", "key_b"]).withColumn("_k", kept("text", "ranges"))
-    changed = cut_texts.select("key_a", "key_b", "_k.*").groupBy("key_a", "key_b").agg(F.max("n_removed").alias("n_removed"), F.max("n_spans").alias("n_spans"), F.max("kept_sha256").alias("_sha"))
-    row = keyed.select(*own("key_a", "key_b", F.sha2(whole, 256).alias("_all"))).join(changed, ["key_a", "key_b"], "left")
-    return row.select(*others, "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("_sha", "_all").alias("kept_sha256"))
+    cut_texts = keyed.select(ka, kb, "text").join(found, [ka, kb]).withColumn(cut, kept("text", ranges))
+    changed = cut_texts.groupBy(ka, kb).agg(F.max(f"{cut}.n_removed").alias(gone), F.max(f"{cut}.n_spans").alias(parts), F.max(f"{cut}.kept_sha256").alias(sha))
+    row = keyed.select(*own(ka, kb, F.sha2(whole, 256).alias("kept_sha256"))).join(changed, [ka, kb], "left")
+    count = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return row.select(*others, "n_bytes", count(gone, "n_removed"), count(parts, "n_spans"), F.coalesce(sha, "kept_sha256").alias("kept_sha256"))

@@ -338,9 +338,9 @@ def test_suffix_dedup(spark, chunk):
     rows = [(i % 50 if i % 7 else None, t, "en", "s", 1) for i, t in enumerate(texts)]
     raw = [(t or "").encode() for t in texts]
     want = Counter(zip([r[0] for r in rows], *[[w[k] for w in brute_removed(raw, 400)] for k in range(4)]))
-    found = suffixdedup.remove(clashing(table(spark, rows)), runs_per_chunk=chunk).collect()
+    found = suffixdedup.remove(clashing(table(spark, rows)), strings_per_task=chunk).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found) == want
-    with_text = suffixdedup.remove(table(spark, rows), runs_per_chunk=chunk, keep_text=True).collect()
+    with_text = suffixdedup.remove(table(spark, rows), strings_per_task=chunk, keep_text=True).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in with_text) == want
     assert suffixdedup.remove(table(spark, [])).count() == 0
 
@@ -603,3 +603,28 @@ def test_html_templates_of_distinct_pages(spark):
         assert texts[:8] == ["T1\nText 1 of one\nPart 1"] * 7 + ["T2\nText 2 of one\nPart 2"]  # copies are no template
         assert texts[8:16] == ["Bare 1"] * 8
         assert texts[16:22] == [f"Page {i}" for i in range(6)] and texts[22:26] == [f"Few\nOther {i}" for i in range(4)]
+
+
+def test_suffix_dedup_hot_passage(spark):
+    """One passage in many documents: equal to brute force, in a few rows a document however many they are."""
+    rng = random.Random(77)
+    word = lambda n: " ".join("".join(rng.choices("abcdefg", k=rng.randint(2, 8))) for _ in range(n))
+    passage = word(100)
+    texts = [word(rng.randint(40, 90)) + " " + passage + " " + word(rng.randint(40, 90)) for _ in range(90)] + ["z" * 3000, "z" * 1200, passage[:450]]
+    want = Counter(zip(range(len(texts)), *zip(*brute_removed([t.encode() for t in texts], 400))))
+    found = suffixdedup.remove(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), strings_per_task=10).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found) == want
+    data = [t.encode() for t in texts[:90]]
+    level = [(7, 90, i, i, 0, 1, d) for i, d in enumerate(data)]
+    strings = spark.createDataFrame(level, suffixdedup.STRING)
+    ready, ranges = suffixdedup._refined(strings, 400, 10)
+    assert ready.count() + ranges.count() <= 40 * 90  # of some 500 windows each
+
+
+def test_suffix_content_keys():
+    rng = np.random.default_rng(3)
+    core = rng.integers(0, 256, 500, dtype=np.uint8)
+    a, b = (np.concatenate((rng.integers(0, 256, 300, dtype=np.uint8), core, rng.integers(0, 256, 200, dtype=np.uint8))) for _ in range(2))
+    for minima in suffixdedup.KEYS:
+        x, y = suffixdedup.content_keys(a, 400, minima), suffixdedup.content_keys(b, 400, minima)
+        assert (x[300:401] == y[300:401]).all() and len(x) == len(a) - 399
