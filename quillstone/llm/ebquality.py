@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import prepare
+from quillstone.llm.common import fresh, prepare, written
 from quillstone.llm.grams import packed, presence
 
 DIMS = 1 << 11
@@ -47,7 +47,8 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 6000, steps: int = 400) -> Classifier:
     """Fit on at most `most` labelled documents, chosen by hash of doc_id; their whole texts are read.
 
-    What reaches the driver is a fixed number of bytes a labelled document. Of a doc_id labelled twice, the least label counts.
+    What reaches the driver is a fixed number of bytes a labelled document. Of a doc_id labelled twice, the least label counts; of
+    one that several rows have, the least text. Nothing labelled gives a classifier that answers one half.
     """
     prepare(docs.sparkSession, 256)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_y"))
@@ -57,7 +58,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
         for pdf in batches:
             yield pd.DataFrame({"y": pdf["_y"].astype(float), "bits": [packed(presence(t or "", DIMS)) for t in pdf["text"]], "style": [style(t or "") for t in pdf["text"]]})
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "_y").mapInPandas(features, "y double, bits binary, style array<double>").collect()
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_y").alias("_y")).select("text", "_y").mapInPandas(features, "y double, bits binary, style array<double>").collect()
     rows.sort(key=lambda r: (bytes(r["bits"]), r["style"], r["y"]))
     if not rows:
         return Classifier(np.zeros(DIMS + 8), 0.0)
@@ -83,10 +84,11 @@ def _logit(p: Column) -> Column:
 
 
 def score(docs: DataFrame, classifier: Classifier, site: Column, path: Column, floor: float = 0.2) -> DataFrame:
-    """docs with p_doc, site_mean, path_mean (posteriors), quality_score and kept (score of floor or more).
+    """docs with p_doc, site_mean, path_mean (posteriors), quality_score and kept (score of floor or more) in place of text.
 
     A null text counts as empty; null sites and paths are groups of their own. All documents, repeated rows too, count in their groups;
-    the groups' sums are made before the shuffle. Columns named like a result are replaced, the others stay. An empty table gives no rows.
+    the groups' sums are made before the shuffle. Texts are classified once, and what follows reads the written probabilities.
+    Columns named like a result are replaced, the others stay. An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark, 256)
@@ -98,9 +100,12 @@ def score(docs: DataFrame, classifier: Classifier, site: Column, path: Column, f
 
     results = ["p_doc", "site_mean", "path_mean", "quality_score", "kept"]
     held = docs.drop(*results)
-    judged = held.withColumns({"_site": site, "_path": path}).withColumn("p_doc", own("text"))
-    paths = judged.groupBy("_site", "_path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"), F.sum(F.col("p_doc") * F.col("p_doc")).alias("q"))
-    sites = paths.groupBy("_site").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    at, below = fresh(held, "site", "path")
+    others = [c for c in held.columns if c.lower() != "text"]
+    judged = written(held.withColumns({at: site, below: path}).withColumn("p_doc", own("text")).drop("text"))
+    p = F.col("p_doc")
+    paths = judged.groupBy(F.col(at).alias("site"), F.col(below).alias("path")).agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q"))
+    sites = paths.groupBy("site").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     # prior strength by moments: the spread of group means beyond what documents' own spread explains
     whole = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b")).first()
     n, s, q, k, b = (float(x or 0) for x in whole)
@@ -108,9 +113,11 @@ def score(docs: DataFrame, classifier: Classifier, site: Column, path: Column, f
     within = max((q - b) / max(n - k, 1), 1e-6)
     between = max((b - s * s / max(n, 1)) / max(k - 1, 1) - within, 0) / max(n / max(k, 1), 1)
     strength = float(min(max(within / max(between, 1e-9), 1.0), 1e4))
-    site_mean = sites.select(F.col("_site").alias("_a"), ((F.col("s") + strength * mean) / (F.col("n") + strength)).alias("site_mean"))
-    path_mean = paths.join(site_mean, F.col("_site").eqNullSafe(F.col("_a"))).select(
-        F.col("_site").alias("_b"), F.col("_path").alias("_c"), "site_mean", ((F.col("s") + strength * F.col("site_mean")) / (F.col("n") + strength)).alias("path_mean"))
-    joined = judged.join(path_mean, F.col("_site").eqNullSafe(F.col("_b")) & F.col("_path").eqNullSafe(F.col("_c")))
+    site_mean = sites.select(F.col("site").alias("a"), ((F.col("s") + strength * mean) / (F.col("n") + strength)).alias("site_mean"))
+    shrunk = (F.col("s") + strength * F.col("site_mean")) / (F.col("n") + strength)
+    path_mean = paths.join(site_mean, F.col("site").eqNullSafe(F.col("a"))).select("site", "path", "site_mean", shrunk.alias("path_mean"))
+    joined = judged.join(path_mean, judged[at].eqNullSafe(path_mean["site"]) & judged[below].eqNullSafe(path_mean["path"]))
     odds = _logit(F.col("p_doc")) + _logit(F.col("path_mean")) - _logit(F.lit(mean))
-    return joined.withColumn("quality_score", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("quality_score") >= floor).select(*held.columns, *results)
+    means = {c: path_mean[c] for c in ("site_mean", "path_mean")}
+    scored = joined.select(*[judged[c] for c in others], judged["p_doc"], *means.values(), (1 / (1 + F.exp(-odds))).alias("quality_score"))
+    return scored.withColumn("kept", F.col("quality_score") >= floor)

@@ -1,22 +1,26 @@
 """Joining documents whose sets of word 5-grams have a Jaccard similarity of 0.8 or more.
 
-Equal sets collapse first. Signatures of minima (one group of hash functions a tree) are the words of prefix tries, one
-trie a tree; the matched prefix is shortened until a pair at the threshold is found with the recall asked for. Sets
-below one trie node form a group; groups of the same members in several trees are one. Sets are compared exactly within
-groups, each pair in the group of the first tree that matches it, and links are counted, not listed.
-
-A node that holds very many sets is dealt into blocks, and pairs of blocks go to different tasks.
+Equal sets collapse first. A MinHash LSH forest holds the others: in each tree a set's signature, minima of the tree's own hash
+functions, is a word of a prefix trie. A node is the sets below one prefix. Every set goes up from its longest prefix while
+the node above holds few enough sets, at the most to the prefix at which a pair at the threshold is found with the recall asked for;
+a node that is too full is not gone up to, down to the prefix that still finds a pair at the threshold with the least recall allowed.
+Nodes of the same members in several trees are one. Sets are compared exactly within nodes, each pair in that of the
+first tree that matches it, and links are counted, not listed.
+
+A node that holds very many sets even so is dealt into blocks, and pairs of blocks go to different tasks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import partitions, prepare, release, shared_dir
+from quillstone.llm.common import fresh, partitions, prepare, release, shared_dir
 from quillstone.llm.components import components
 
 _RNG = np.random.default_rng(977)
@@ -79,21 +83,20 @@ def depth_for(threshold: float, trees: int, recall: float, most: int) -> int:
     return 1
 
 
-def tries(sets: np.ndarray, trees: int, depth: int) -> list[int]:
-    """Of every tree, the hash of the set's prefix: minima of `depth` hash functions."""
+def tries(sets: np.ndarray, trees: int, least: int, most: int) -> list[list[int]]:
+    """Of every tree, the set's nodes from the prefix of `least` minima to that of `most`, each named by a hash of the prefix."""
     rng = np.random.default_rng(4242)
-    a = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
-    low = np.empty(trees * depth, np.uint64)
-    for j in range(trees * depth):
-        y = sets * a[j] + b[j]
+    a = rng.integers(0, 1 << 63, trees * most, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 1 << 63, trees * most, dtype=np.uint64)
+    low = np.empty(trees * most, np.uint64)
+    step = max(1, (1 << 15) // len(sets))  # functions at a time
+    for j in range(0, trees * most, step):
+        y = sets[None, :] * a[j : j + step, None] + b[j : j + step, None]
         y ^= y >> np.uint64(29)
         y *= np.uint64(0xBF58476D1CE4E5B9)
-        low[j] = y.min()
-    out = []
-    for t in range(trees):
-        out.append(xxhash.xxh3_64_intdigest(low[t * depth : (t + 1) * depth].tobytes(), seed=t) - (1 << 63))
-    return out
+        low[j : j + step] = y.min(1)
+    raw = low.tobytes()
+    return [[xxhash.xxh3_64_intdigest(raw[8 * t * most : 8 * (t * most + d)], seed=t) - (1 << 63) for d in range(least, most + 1)] for t in range(trees)]
 
 
 def compare(sets: list[np.ndarray], keys: np.ndarray, mask: int, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +141,8 @@ def compare(sets: list[np.ndarray], keys: np.ndarray, mask: int, left: np.ndarra
     return left[i[linked]], right[j[linked]]
 
 
-def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, depth: int = 6, recall: float = 0.999999, block: int = 512, one_each: bool = False) -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, depth: int = 6, recall: float = 0.999999, least_recall: float = 0.9999,
+         full: int = 128, block: int = 512, one_each: bool = False) -> DataFrame:
     """docs with n_shingles, class_id and n_links; with one_each, docs themselves, of each class one row.
 
     n_links is the number of other rows whose set has a Jaccard similarity of threshold or more with the row's own, copies
@@ -147,15 +151,17 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
     rows of null doc_id that link to nothing (class_id null). Repeated rows are copies. Other columns stay; those named like a result are
     replaced. An empty table gives no rows.
 
-    The row that stays of a class is that of the least doc_id, nulls last; among rows of one doc_id, that of the least hash. A class
-    is one of linked sets here, whatever ids its rows have. Rows without shingles all stay.
+    A pair at the threshold is found with `recall`, or `least_recall` if its nodes in all trees hold more than `full` sets; a more
+    similar pair is found more surely. The row that stays of a class is that of the least doc_id, nulls last; among rows of one doc_id,
+    that of the least hash. A class is one of linked sets here, whatever ids its rows have. Rows without shingles all stay.
     """
     spark = docs.sparkSession
     prepare(spark, 256)
     shared_dir(spark)
     n = partitions(spark)
-    depth = depth_for(threshold, trees, recall, depth)
-    held = docs.drop("n_shingles", "class_id", "n_links", "key_a", "key_b")
+    low = depth_for(threshold, trees, recall, depth)
+    high = max(low, min(depth_for(threshold, trees, least_recall, depth), low + 3))
+    held = docs.drop("n_shingles", "class_id", "n_links")
     key = [F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b")]
 
     def emit(batches):
@@ -165,39 +171,56 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
                 s = shingles(text, k)
                 if len(s):
                     d = xxhash.xxh3_128_intdigest(s.tobytes())
-                    out.append((a, b, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), len(s), tries(s, trees, depth)))
-            yield pd.DataFrame(out, columns=["key_a", "key_b", "set_a", "set_b", "n_shingles", "keys"])
+                    out.append((a, b, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), len(s), tries(s, trees, low, high)))
+            yield pd.DataFrame(out, columns=["key_a", "key_b", "set_a", "set_b", "n_shingles", "paths"])
 
     texts = held.where("text IS NOT NULL").select(*key, "text")
-    signed = texts.mapInPandas(emit, "key_a long, key_b long, set_a long, set_b long, n_shingles long, keys array<long>").checkpoint()
+    signed = texts.mapInPandas(emit, "key_a long, key_b long, set_a long, set_b long, n_shingles long, paths array<array<long>>").checkpoint()
     # a text's key stands for it: equal texts give equal rows here
     of_text = signed.groupBy("key_a", "key_b").agg(F.min("set_a").alias("set_a"), F.min("set_b").alias("set_b"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("rows"))
     ids = held.select(*key, "doc_id").where("text IS NOT NULL").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("least"))
     sets = of_text.join(ids, ["key_a", "key_b"]).groupBy("set_a", "set_b").agg(
         F.sum("rows").alias("rows"), F.min("least").alias("least"), F.min(F.struct("key_a", "key_b", "least")).alias("stands")).checkpoint()
 
-    one = signed.groupBy("set_a", "set_b").agg(F.first("keys").alias("keys"))  # equal sets have equal prefixes
-    nodes = one.select("set_a", "set_b", F.posexplode("keys").alias("tree", "key"))
-    groups = nodes.groupBy("tree", "key").agg(F.count("*").alias("g"), F.bit_xor("set_a").alias("x"), F.bit_xor("set_b").alias("y")).where("g >= 2")
-    same = groups.groupBy("g", "x", "y").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mask"), F.min(F.struct("tree", "key")).alias("at"))
+    one = signed.groupBy("set_a", "set_b").agg(F.first("paths").alias("paths"))  # equal sets have equal prefixes
+    live = one.select("set_a", "set_b", F.posexplode("paths").alias("tree", "path"))
+    placed, groups, deeper = [], [], []
+    for level in range(high - low + 1):
+        nodes = live.withColumn("key", F.col("path")[level])
+        found = nodes.groupBy("tree", "key").agg(F.count("*").alias("g"), F.bit_xor("set_a").alias("x"), F.bit_xor("set_b").alias("y")).where("g >= 2")
+        last = level == high - low
+        groups.append(found if last else found.where(F.col("g") <= full))
+        placed.append(nodes.select("set_a", "set_b", "tree", "key"))
+        if not last:  # the sets of nodes that are too full stay below, on a longer prefix
+            live = nodes.join(found.where(F.col("g") > full).select("tree", "key"), ["tree", "key"], "left_semi").select("set_a", "set_b", "tree", "path")
+            deeper.append(live.select("set_a", "set_b", F.expr("shiftleft(1L, 2 * tree)").alias("deep")))
+    every = lambda x: reduce(DataFrame.unionByName, x)
+    same = every(groups).groupBy("g", "x", "y").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mask"), F.min(F.struct("tree", "key")).alias("at"))
     kept = same.select(F.col("at.tree").alias("tree"), F.col("at.key").alias("key"), "g", "mask")
-    members = nodes.join(kept, ["tree", "key"]).join(sets.select("set_a", "set_b", "rows", "stands.*"), ["set_a", "set_b"])
+    members = every(placed).join(kept, ["tree", "key"]).join(sets.select("set_a", "set_b", "rows", "stands.*"), ["set_a", "set_b"])
+    # two bits a tree: how many minima longer than the shortest prefix the set's node is
+    if deeper:
+        depths = every(deeper).groupBy("set_a", "set_b").agg(F.sum("deep").alias("deep"))
+        members = members.join(depths, ["set_a", "set_b"], "left")
+    else:
+        members = members.withColumn("deep", F.lit(0).cast("long"))
     # blocks of a large group: every pair of blocks is a task, so a set goes to as many as there are blocks
     blocks = F.greatest(F.lit(1), F.ceil(F.col("g") / block)).cast("int")
     own = F.pmod(F.xxhash64("set_a", "set_b"), F.col("_m")).cast("int")
-    wanted = members.withColumn("_m", blocks).withColumn("_o", own).groupBy("key_a", "key_b", "least").agg(
+    wanted = members.withColumn("_m", blocks).withColumn("_o", own).groupBy("key_a", "key_b", "least", F.coalesce("deep", F.lit(0)).cast("long").alias("deep")).agg(
         F.collect_list(F.struct("tree", "key", "mask", "rows", "_m", "_o")).alias("nodes"))
     # of equal texts, the one of the least doc_id is sent
     named = held.where("text IS NOT NULL").select(*key, "doc_id", "text")
-    first_text = named.join(wanted, (named["key_a"] == wanted["key_a"]) & (named["key_b"] == wanted["key_b"]) & named["doc_id"].eqNullSafe(wanted["least"])).select("text", "nodes")
+    first_text = named.join(wanted, (named["key_a"] == wanted["key_a"]) & (named["key_b"] == wanted["key_b"]) & named["doc_id"].eqNullSafe(wanted["least"])).select("text", "deep", "nodes")
 
     def send(batches):
         for pdf in batches:
             out = []
-            for text, at in zip(pdf["text"], pdf["nodes"]):
+            for text, deep, at in zip(pdf["text"], pdf["deep"], pdf["nodes"]):
                 s = shingles(text, k)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
-                sa, sb, prefixes, raw = (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), tries(s, trees, depth), s.tobytes()
+                sa, sb, raw = (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), s.tobytes()
+                prefixes = [path[deep >> 2 * t & 3] for t, path in enumerate(tries(s, trees, low, high))]
                 for r in at:
                     m, o = int(r["_m"]), int(r["_o"])
                     for other in range(m):
@@ -267,8 +290,9 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
     least = placed.groupBy("root").agg(F.min("least").alias("class_id"))
     by_set = placed.join(least, "root").join(counts, ["set_a", "set_b"], "left").select("set_a", "set_b", "class_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     by_text = of_text.join(by_set, ["set_a", "set_b"]).select("key_a", "key_b", "n_shingles", "class_id", "n_links")
-    keyed = held.withColumns({"key_a": F.xxhash64("text"), "key_b": F.xxhash64(F.lit(1), "text")})
-    return keyed.join(by_text, ["key_a", "key_b"], "left").select(
+    ka, kb = fresh(held, "key_a", "key_b")
+    keyed = held.withColumns({ka: F.xxhash64("text"), kb: F.xxhash64(F.lit(1), "text")})
+    return keyed.join(by_text.withColumnsRenamed({"key_a": ka, "key_b": kb}), [ka, kb], "left").select(
         *held.columns, F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"),
         F.coalesce("class_id", "doc_id").cast("long").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -279,14 +303,15 @@ def _one_of_each(docs: DataFrame, of_text: DataFrame, roots: DataFrame) -> DataF
     Rows are told apart by hashes, and only those that repeat as a whole are compared with their text.
     """
     every = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
-    names = {"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), "text"), "_r": F.xxhash64(*every), "_s": F.xxhash64(F.lit(1), *every)}
-    keyed = docs.withColumns(names)
-    rows = keyed.where("text IS NOT NULL").groupBy("_a", "_b", "doc_id", "_r", "_s").agg(F.count("*").alias("copies"))
-    texts = of_text.join(roots, ["set_a", "set_b"]).select(F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), "root")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_r").alias("r"), F.col("_s").alias("s"), "_a", "_b", "copies")
-    chosen = rows.join(texts, ["_a", "_b"]).groupBy("root").agg(F.min(order).alias("m")).select("m._a", "m._b", "m.r", "m.s", "m.copies").checkpoint()
-    worded = texts.drop("root").join(chosen, ["_a", "_b"], "left").withColumn("worded", F.lit(True))
-    own = (F.col("_r") == F.col("r")) & (F.col("_s") == F.col("s"))
-    stay = keyed.join(worded, ["_a", "_b"], "left").where(F.col("worded").isNull() | own & (F.col("copies") == 1)).select(*docs.columns)
-    again = keyed.join(chosen.where("copies > 1"), ["_a", "_b"]).where(own).dropDuplicates(["_a", "_b"]).select(*docs.columns)
+    a, b, r, s, root, copies, worded, x, y, n = fresh(docs, "a", "b", "r", "s", "root", "copies", "worded", "x", "y", "n")
+    keyed = docs.withColumns({a: F.xxhash64("text"), b: F.xxhash64(F.lit(1), "text"), r: F.xxhash64(*every), s: F.xxhash64(F.lit(1), *every)})
+    rows = keyed.where("text IS NOT NULL").groupBy(a, b, "doc_id", r, s).agg(F.count("*").alias(copies))
+    texts = of_text.join(roots, ["set_a", "set_b"]).select(F.col("key_a").alias(a), F.col("key_b").alias(b), F.col("root").alias(root))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", r, s, a, b, copies)
+    least = rows.join(texts, [a, b]).groupBy(root).agg(F.min(order).alias("m"))
+    chosen = least.select(F.col("m")[a].alias(a), F.col("m")[b].alias(b), F.col("m")[r].alias(x), F.col("m")[s].alias(y), F.col("m")[copies].alias(n)).checkpoint()
+    own = (F.col(r) == F.col(x)) & (F.col(s) == F.col(y))
+    known = texts.drop(root).join(chosen, [a, b], "left").withColumn(worded, F.lit(True))
+    stay = keyed.join(known, [a, b], "left").where(F.col(worded).isNull() | own & (F.col(n) == 1)).select(*docs.columns)
+    again = keyed.join(chosen.where(F.col(n) > 1), [a, b]).where(own).dropDuplicates([a, b]).select(*docs.columns)
     return stay.unionByName(again)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import prepare
+from quillstone.llm.common import fresh, prepare
 from quillstone.llm.grams import packed, presence_by_segment, unpacked
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -72,14 +72,19 @@ class Model:
 def train(labelled: DataFrame, per_label: int = 300, landmarks_per_label: int = 40, ridge: float = 1e-2, dims: int = DIMS) -> Model:
     """Fit on at most per_label distinct texts of each lang, chosen by hash of the text, and four segments of each.
 
-    The bound is on labelled rows: n-gram bits (dims / 8 bytes a segment) are what reaches the driver.
+    The bound is on labelled rows: n-gram bits (dims / 8 bytes a segment) are what reaches the driver. Rows of a null lang, a null text
+    or one without letters are passed over; if none is left, the model knows no language and answers und.
     """
     prepare(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
     # only hashes are ranked; the highest hash of each lang then picks the texts where they are read
     hashed = known.withColumn("_h", F.xxhash64("text"))
+    # ranked in parts first, so that what meets for a lang does not grow with the rows
+    part = Window.partitionBy("lang", F.pmod("_h", F.lit(8))).orderBy("_h")
     top = Window.partitionBy("lang").orderBy("_h")
-    ranked = hashed.select("lang", "_h").distinct().withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= per_label)
+    ranked = hashed.select("lang", "_h").distinct()
+    for window in (part, top):
+        ranked = ranked.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= per_label).select("lang", "_h")
     highest = {r["lang"]: r["_m"] for r in ranked.groupBy("lang").agg(F.max("_h").alias("_m")).collect()}
     if not highest:
         return Model([], np.zeros((0, dims), np.float32), np.zeros((0, 0), np.float32), dims)
@@ -127,7 +132,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         labels, sure = shared.value.predict(list(texts))
         return pd.DataFrame({"lang_pred": labels, "score": sure})
 
-    return held.withColumn("_p", judged("text")).select(*held.columns, "_p.lang_pred", "_p.score")
+    (found,) = fresh(held, "found")
+    return held.withColumn(found, judged("text")).select(*held.columns, F.col(found)["lang_pred"].alias("lang_pred"), F.col(found)["score"].alias("score"))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import WORD, shared_dir
+from quillstone.llm.common import WORD, fresh, shared_dir
 
 #: Golden-ratio step of a sequence over 2**31 points: odd, nearest to 2**31 / phi, so products stay within 63 bits.
 STEP, POINTS = 1327217885, 1 << 31
@@ -99,8 +99,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     repeats. A null source is a source of its own. Repeated rows count as documents of their own and share
     taken words in any order among themselves; documents without words take none. key_a and key_b are hashes of the row,
     to join whole texts again. Other columns are left out. An empty table gives no rows.
-    A source's first block opens the mix; the sequence deals the rest, with a little to spare, and each
-    source stops at its target, so a source's words differ from its target by rounding.
+    A source's first block opens the mix and the sequence deals the rest, with a little to spare. A source of a few blocks
+    that the sequence serves late gets the ranks it still lacks after it, and each source stops at its target, so a source's words
+    differ from its target by rounding, however large a block is.
     """
     keyed = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"),
@@ -134,9 +135,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
         "_block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"_lo div {block}"), F.expr(f"(_lo + size - 1) div {block}"))))
     )
     dealt = schedule(targets, math.ceil(1.02 * slots) + 64).select(F.col("source").alias("_s"), F.col("rank").alias("_k"))
-    opening = targets.select(F.col("source").alias("_s"), F.lit(0).cast("long").alias("_k"))
-    taken = pieces.join(dealt.unionByName(opening), pieces["source"].eqNullSafe(F.col("_s")) & (pieces["_block"] == F.col("_k")), "left")
     limit = F.floor(F.col("target") + 0.5)
+    # the ranks that the sequence has not come to: from one after its last to that of the target's last block
+    got = dealt.groupBy(F.col("_s").alias("_g")).agg(F.max("_k").alias("_most"))
+    first = F.coalesce(F.col("_most"), F.lit(0)) + 1
+    behind = targets.join(got, F.col("source").eqNullSafe(F.col("_g")), "left").withColumn("_need", F.expr(f"(floor(target + 0.5) - 1) div {block}")).where(first <= F.col("_need"))
+    rest = behind.select(F.col("source").alias("_s"), F.explode(F.sequence(first, F.col("_need"))).alias("_k"))
+    opening = targets.select(F.col("source").alias("_s"), F.lit(0).cast("long").alias("_k"))
+    taken = pieces.join(dealt.unionByName(rest).unionByName(opening), pieces["source"].eqNullSafe(F.col("_s")) & (pieces["_block"] == F.col("_k")), "left")
     part = F.least(F.col("_lo") + F.col("size"), (F.col("_block") + 1) * block, limit) - F.greatest(F.col("_lo"), F.col("_block") * block)
     words = F.when(F.col("_k").isNotNull(), F.greatest(part, F.lit(0)))
     by = ["source", "_bucket", "_r", "doc_id", "key_a", "key_b", "size", "source_size", "target"]
@@ -144,12 +150,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the mix holds, each as many times as its taken words make it whole, to the nearest whole document."""
+    """The rows of docs that the mix holds, each as many times as its taken words make it whole, to the nearest whole document.
+
+    All columns stay as they are, whatever their names. An empty table gives no rows.
+    """
     found = mix(docs, **options)
     seed = options.get("seed", 7)
-    copies = (
-        found.groupBy("key_a", "key_b").agg(F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")))).alias("_c"), F.count("*").alias("_m"))
-        .select("key_a", "key_b", F.round(F.col("_c") / F.col("_m")).cast("int").alias("_copies")).where("_copies > 0")
+    ka, kb, copies, n = fresh(docs, "key_a", "key_b", "copies", "n")
+    whole = (
+        found.groupBy(F.col("key_a").alias(ka), F.col("key_b").alias(kb)).agg(F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")))).alias("_c"), F.count("*").alias("_m"))
+        .select(ka, kb, F.round(F.col("_c") / F.col("_m")).cast("int").alias(copies)).where(F.col(copies) > 0)
     )
-    keyed = docs.withColumns({"key_a": F.xxhash64(F.lit(seed), "doc_id", "source", "text"), "key_b": F.xxhash64(F.lit(~seed), "text", "source", "doc_id")})
-    return keyed.join(copies, ["key_a", "key_b"]).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    keyed = docs.withColumns({ka: F.xxhash64(F.lit(seed), "doc_id", "source", "text"), kb: F.xxhash64(F.lit(~seed), "text", "source", "doc_id")})
+    return keyed.join(whole, [ka, kb]).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

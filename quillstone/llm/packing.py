@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import groups_for, prepare
+from quillstone.llm.common import groups_for, prepare, written
 
 END = "<|endoftext|>"
 
@@ -118,8 +118,9 @@ def pack(docs: DataFrame, capacity: int = 2048, separator_id: int = 1, docs_per_
 
     A null text is empty, so its document is the separator alone. Every row is a document of its own: repeated
     rows, equal or null doc_ids are packed apart, and other columns are left out. Documents longer than
-    the capacity are cut at multiples of it; every other piece is placed by first-fit decreasing in its group.
-    An empty table gives no rows. Sequence ids are unique, not consecutive.
+    the capacity are cut at multiples of it; full pieces are sequences by themselves, every other piece is placed by first-fit
+    decreasing in its group. An empty table gives no rows. Sequence ids are unique, not consecutive.
+    Pieces are written before they are grouped, so that a task that runs again finds them as they were.
     """
     prepare(docs.sparkSession)
     groups = groups_for(docs.count(), docs_per_group)
@@ -143,9 +144,9 @@ def pack(docs: DataFrame, capacity: int = 2048, separator_id: int = 1, docs_per_
             yield frame if with_ids else frame.drop(columns="ids")
 
     extra = ", ids array<long>" if with_ids else ""
-    pieces = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
+    pieces = written(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
         cut, f"group int, row long, doc_id string, start long, length long, ids_crc32 long, doc_tokens long{extra}, task int"
-    )
+    ))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["task", "row", "start"], kind="stable")
@@ -155,7 +156,10 @@ def pack(docs: DataFrame, capacity: int = 2048, separator_id: int = 1, docs_per_
         out["offset"] = np.array(offsets, dtype=np.int64)
         return out
 
-    placed = pieces.groupBy("group").applyInPandas(
+    placed = pieces.where(F.col("length") < capacity).groupBy("group").applyInPandas(
         place, f"doc_id string, start long, length long, ids_crc32 long, doc_tokens long{extra}, sequence_id long, offset long"
     )
+    alone = (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id")  # groups number theirs below
+    full = pieces.where(F.col("length") == capacity).select(*placed.columns[:-2], alone, F.lit(0).cast("long").alias("offset"))
+    placed = placed.unionByName(full)
     return placed.withColumn("doc_id", F.col("doc_id").cast("long"))  # text on the way, as pandas turns longs with nulls into floats

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import prepare
+from quillstone.llm.common import fresh, prepare
 from quillstone.llm.packing import Encoder
 
 LEAVES = 64  # pre-tokens in a leaf chunk
@@ -186,4 +186,5 @@ def count_edited(docs: DataFrame, pattern: str = EMAIL, mask: str = "<EMAIL>") -
         return pd.DataFrame(out, columns=results)
 
     held = docs.drop(*results)
-    return held.withColumn("_c", counted("text")).select(*[c for c in held.columns if c != "text"], *[f"_c.{r}" for r in results])
+    (found,) = fresh(held, "found")
+    return held.withColumn(found, counted("text")).select(*[c for c in held.columns if c.lower() != "text"], *[F.col(found)[r].alias(r) for r in results])
