@@ -1,8 +1,12 @@
 """Main text of web pages.
 
-What marks itself as apart from the article (by element, role, class or id) goes first. Then site templates go:
-element subtrees are hashed, the hashes are counted per host, and subtrees that recur beside several different main
-texts of their host are deleted. Plain text blocks within an article are never taken for a template.
+Site templates go: element subtrees are hashed, the hashes are counted per host over its different main texts, and subtrees that
+recur are deleted. A subtree has two hashes: one of all that is in it, and one of its shape, which is the elements, their marks (class, id and
+role, without digits) and no text, as a menu or an advert says something else on each page. A shape stands for a template only outside the
+article, where it is marked or an element made for the purpose, and holds little of its pages' words.
+
+What a host of few pages repeats can't be told. There, and inside an article, names decide: elements, roles, classes and ids that
+set a part of the page apart. Plain text blocks within an article are never taken for a template.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import partitions, prepare, shared_dir
+from quillstone.llm.common import fresh, partitions, prepare, shared_dir
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -29,16 +33,18 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 # Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-APART = frozenset(
-    "nav header footer aside form script style noscript iframe template head title svg math canvas object embed audio video "
-    "button select textarea input option datalist fieldset legend label dialog menu map noembed noframes xmp".split()
+NO_TEXT = frozenset(
+    "script style noscript iframe template head title svg math canvas object embed audio video button select textarea input option datalist map noembed noframes xmp".split()
 )
+SECTIONS = frozenset("nav header footer aside form fieldset legend label dialog menu".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr b i em strong a span code q cite sub sup u br".split())
+INLINE = frozenset("b i em strong span code cite sub sup u br q small mark abbr time".split())
+DIGITS = re.compile(r"[0-9]+")
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
@@ -51,12 +57,16 @@ MARKS = frozenset(
 SPLIT_NAMES = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
+#: How far a node is set apart: by names, or as an element that never holds text of the page.
+NAMED, SILENT = 1, 2
+
+
 class Node:
-    __slots__ = ("name", "mark", "items", "digest", "apart", "article")
+    __slots__ = ("name", "mark", "items", "digest", "shape", "words", "holds", "apart", "article")
 
-    def __init__(self, name: str, mark: str = "", apart: bool = False, article: bool = False):
-        self.name, self.mark, self.items, self.digest = name, mark, [], 0
-        self.apart, self.article = apart, article
+    def __init__(self, name: str, mark: str = "", apart: int = 0, article: bool = False):
+        self.name, self.mark, self.items, self.digest, self.shape, self.words = name, mark, [], 0, 0, 0
+        self.apart, self.article, self.holds = apart, article, name in ("article", "main")
 
 
 def _marks(attributes: str) -> tuple[str, bool]:
@@ -116,7 +126,8 @@ def parse(page: str) -> Node:
                     break
         mark, apart = _marks(m[3]) if m[3] and m[3].strip(" /") else ("", False)
         top = stack[-1]
-        node = Node(name, mark, top.apart or name in APART or apart and name not in ("html", "body", "article", "main"), top.article or name in ("article", "main"))
+        named = name in SECTIONS or apart and name not in ("html", "body", "article", "main")
+        node = Node(name, mark, max(top.apart, SILENT if name in NO_TEXT else NAMED if named else 0), top.article or name in ("article", "main"))
         top.items.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -137,12 +148,24 @@ def walk(root: Node) -> Iterator[tuple[Node, bool]]:
             todo += [(x, False) for x in reversed(node.items) if isinstance(x, Node)]
 
 
+def _hash(parts: list[str]) -> int:
+    raw = "\x00".join(p for p in parts if p).encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw) << 31 | zlib.adler32(raw[::-1]) >> 1
+
+
 def digest(root: Node) -> None:
+    """Both hashes of every element, its words, and whether it holds an article."""
     for node, ends in walk(root):
         if ends:
-            parts = [node.name, node.mark, *(str(x.digest) if isinstance(x, Node) else " ".join(x.split()) for x in node.items)]
-            raw = "\x00".join(p for p in parts if p).encode("utf-8", "surrogatepass")
-            node.digest = zlib.crc32(raw) << 31 | zlib.adler32(raw[::-1]) >> 1
+            inner = [x for x in node.items if isinstance(x, Node)]
+            texts = [" ".join(x.split()) for x in node.items if isinstance(x, str)]
+            own = iter(texts)
+            node.digest = _hash([node.name, node.mark, *(str(x.digest) if isinstance(x, Node) else next(own) for x in node.items)])
+            shapes = [x.shape for x in inner if x.name not in INLINE]
+            runs = [str(x) for k, x in enumerate(shapes) if not k or shapes[k - 1] != x]  # as many alike in a row as there are
+            node.shape = _hash(["shape", node.name, DIGITS.sub("#", node.mark), *runs])
+            node.words = 0 if node.apart == SILENT else sum(x.words for x in inner) + sum(len(x.split()) for x in texts)
+            node.holds = node.holds or any(x.holds for x in inner)
 
 
 def templatable(node: Node) -> bool:
@@ -152,21 +175,35 @@ def templatable(node: Node) -> bool:
     return not (node.article and node.name in TEXT_BLOCKS)
 
 
-def subtrees(root: Node) -> list[int]:
-    """Distinct hashes of the subtrees with content that a template may have, those set apart by their marks included."""
+def shapely(node: Node, has_article: bool) -> bool:
+    """Whether the subtree's shape may be a template: outside the article, marked or made for it; without an article only the latter."""
+    return not node.article and not node.holds and node.words > 0 and (node.name in SECTIONS or bool(node.mark) and has_article)
+
+
+def subtrees(root: Node) -> dict[int, int]:
+    """The hashes of the subtrees that a template may have, with the words of those that are shapes and -1 for the others."""
     digest(root)
-    return sorted({n.digest for n, ends in walk(root) if ends and n.items and templatable(n)})
+    out: dict[int, int] = {}
+    for n, ends in walk(root):
+        if ends and n.items and templatable(n):
+            out.setdefault(n.digest, -1)
+            if shapely(n, root.holds):
+                out[n.shape] = out.get(n.shape, 0) + n.words
+    return out
 
 
-def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
+def main_text(page: str, templates: frozenset[int] | set[int] | None = None) -> str:
     root = parse(page)
-    if templates:
+    if templates is not None:
         digest(root)
     return text_of(root, templates)
 
 
-def text_of(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    has_article = any(n.name in ("article", "main") and not n.apart for n, _ in walk(root))
+def text_of(root: Node, templates: frozenset[int] | set[int] | None = None) -> str:
+    """The text outside of templates; if they are None, as of a host of few pages, that which no name sets apart."""
+    named = templates is None
+    known = templates or ()
+    has_article = named and any(n.name in ("article", "main") and not n.apart for n, _ in walk(root))
     blocks: list[str] = []
     now: list[str] = []
 
@@ -176,7 +213,12 @@ def text_of(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> s
         if text:
             blocks.append(text)
 
-    todo: list[Node | str | None] = [root]
+    def gone(x: Node) -> bool:
+        if x.apart == SILENT or x.apart and (named or x.article):
+            return True
+        return bool(known) and (x.digest in known and templatable(x) or x.shape in known and shapely(x, root.holds))
+
+    todo: list = [root]
     inside = [not has_article]
     while todo:
         x = todo.pop()
@@ -187,7 +229,7 @@ def text_of(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> s
         elif isinstance(x, tuple):
             if inside[-1]:
                 now.append(x[0])
-        elif x.apart or x.digest in templates and templatable(x):
+        elif gone(x):
             if x.name in BLOCK:
                 close()
         elif x.name == "br":  # a line break is white space of its block
@@ -212,10 +254,11 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, min_pages: int = 5) -> DataFrame:
-    """host, hash: the subtrees that the host has beside at least min_pages different main texts.
+    """host, hash: the subtrees that the host has beside at least min_pages different main texts; of a host of so many, null if there is none.
 
-    Copies of a page, whatever their URLs, are one; the number does not rise with the size of the host. Each (host, hash,
-    main text) is counted once, dealt by all three, so a hot host does not matter.
+    Main texts are told by names here. Copies of a page, whatever their URLs, are one; the number does not rise with the size of the host.
+    A shape must also hold a quarter of its pages' words at most, over all of them. Each (host, hash, main text) is counted once, dealt by all
+    three, so a hot host does not matter.
     """
     prepare(pages.sparkSession)
     shared_dir(pages.sparkSession)
@@ -227,48 +270,56 @@ def templates(pages: DataFrame, min_pages: int = 5) -> DataFrame:
                 root = parse(page or "")
                 found = subtrees(root)
                 content = xxhash.xxh3_64_intdigest(text_of(root).encode("utf-8", "surrogatepass")) - (1 << 63)
-                rows += [(h, x, content) for x in found]
-            yield pd.DataFrame(rows, columns=["host", "hash", "content"])
+                rows += [(h, x, content, words, root.words) for x, words in found.items()]
+                rows.append((h, 0, content, -1, 0))  # for the page itself
+            yield pd.DataFrame(rows, columns=["host", "hash", "content", "words", "page_words"])
 
-    found = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(emit, "host string, hash long, content long")
-    return found.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(f"n >= {min_pages}").select("host", "hash").checkpoint()
+    found = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(emit, "host string, hash long, content long, words long, page_words long")
+    each = found.groupBy("host", "hash", "content").agg(F.max("words").alias("words"), F.max("page_words").alias("page_words"))
+    counted = each.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("words").alias("most"), F.sum("words").alias("words"), F.sum("page_words").alias("page_words"))
+    return counted.where((F.col("n") >= min_pages) & ((F.col("most") < 0) | (4 * F.col("words") <= F.col("page_words")))).select("host", "hash").checkpoint()
 
 
 def templates_of_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """_a, _b, _hashes: of each distinct text of _host and html (named by _a, _b), the templates of its host that it has."""
+    """a, b, hashes: of each distinct text of host and html (named by a, b), the templates of its host that it has."""
     salts = partitions(pages.sparkSession)
 
     def emit(batches):
         for pdf in batches:
-            rows = [(h, a, b, x) for h, a, b, page in zip(pdf["_host"], pdf["_a"], pdf["_b"], pdf["html"]) for x in subtrees(parse(page or ""))]
-            yield pd.DataFrame(rows, columns=["_host", "_a", "_b", "hash"])
+            rows = [(h, a, b, x) for h, a, b, page in zip(pdf["host"], pdf["a"], pdf["b"], pdf["html"]) for x in (0, *subtrees(parse(page or "")))]
+            yield pd.DataFrame(rows, columns=["host", "a", "b", "hash"])
 
-    found = pages.select("_host", "_a", "_b", "html").mapInPandas(emit, "_host string, _a long, _b long, hash long").withColumn("_salt", F.pmod("_a", F.lit(salts)).cast("int"))
+    found = pages.mapInPandas(emit, "host string, a long, b long, hash long").withColumn("salt", F.pmod("a", F.lit(salts)).cast("int"))
     # each template goes to every salt, and pages are dealt over the salts
-    salted = known.select(F.col("host").alias("_host"), "hash", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    return found.join(salted, ["_host", "hash", "_salt"]).groupBy("_a", "_b").agg(F.collect_set("hash").alias("_hashes"))
+    salted = known.select("host", "hash", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return found.join(salted, ["host", "hash", "salt"]).groupBy("a", "b").agg(F.collect_set("hash").alias("hashes"))
 
 
 def extract(pages: DataFrame, min_pages: int = 5, broadcast_hashes: int = 200_000) -> DataFrame:
     """pages with text and n_chars (code points) in place of html.
 
     A null html is empty, a null url has the empty host; repeated rows stay, but count once for templates. Other columns are kept,
-    those named text or n_chars are replaced. An empty table gives no rows. Templates are broadcast if all hosts' lists hold
-    broadcast_hashes hashes at most (8 bytes each); beyond that each page gets those that it has.
+    those named text or n_chars are replaced. An empty table gives no rows. A host of min_pages different main texts goes by its templates,
+    others by names. Templates are broadcast if all hosts' lists hold broadcast_hashes hashes at most (8 bytes each); beyond
+    that each page gets those that it has.
     """
     prepare(pages.sparkSession)
-    held = pages.drop("text", "n_chars", "_host", "_hashes", "_a", "_b").withColumn("_host", host(F.col("url")))
+    held = pages.drop("text", "n_chars")
+    at, hashes, a, b = fresh(held, "host", "hashes", "a", "b")
+    placed = held.withColumn(at, host(F.col("url")))
     known = templates(pages, min_pages)
 
     @F.pandas_udf("string")
     def text(page: pd.Series, hashes: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p or "", frozenset(h) if h is not None else frozenset()) for p, h in zip(page, hashes)], dtype=object)
+        return pd.Series([main_text(p or "", frozenset(h) if h is not None else None) for p, h in zip(page, hashes)], dtype=object)
 
     if known.count() <= broadcast_hashes:
-        lists = known.groupBy(F.col("host").alias("_host")).agg(F.collect_list("hash").alias("_hashes"))
-        joined = held.join(F.broadcast(lists), "_host", "left")
+        lists = known.groupBy(F.col("host").alias(at)).agg(F.collect_list("hash").alias(hashes))
+        joined = placed.join(F.broadcast(lists), at, "left")
     else:
-        named = held.withColumns({"_a": F.xxhash64("_host", "html"), "_b": F.xxhash64(F.lit(1), "_host", "html")})
-        joined = named.join(templates_of_pages(named, known), ["_a", "_b"], "left").drop("_a", "_b")
-    out = joined.withColumn("text", text("html", "_hashes"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).drop("html", "_host", "_hashes")
+        named = placed.withColumns({a: F.xxhash64(at, "html"), b: F.xxhash64(F.lit(1), at, "html")})
+        mine = templates_of_pages(named.select(F.col(at).alias("host"), F.col(a).alias("a"), F.col(b).alias("b"), "html"), known)
+        joined = named.join(mine.withColumnsRenamed({"a": a, "b": b, "hashes": hashes}), [a, b], "left")
+    out = joined.withColumn("text", text("html", hashes))
+    others = [c for c in held.columns if c.lower() != "html"]
+    return out.select(*others, "text", F.length("text").cast("long").alias("n_chars"))

@@ -159,6 +159,53 @@ def test_html_templates(spark):
     assert htmlmain.extract(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
 
 
+def own_pages():
+    """Two hosts: one with articles, where nothing outside recurs word for word, and one without; boilerplate within as well."""
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
+    rows, want = [], {}
+    for i in range(14):
+        body = [say(40), say(30)]
+        rows.append((i, f"http://one.example/{i}", f"<body><div class='q{i}'><a>{say(2)}</a> <a>{say(1)}</a></div><article><p>{body[0]}</p><div class=ad>{say(3)}</div><div><b>Read on at our shop</b></div>"
+                     f"<p>{body[1]}</p></article><div id=x7><p>{say(4)}</p></div><footer>{say(3)}</footer></body>"))
+        want[i] = "\n".join(body)
+        body = [say(40), say(30)]
+        rows.append((100 + i, f"http://two.example/{i}", f"<body><nav><a>{say(2)}</a></nav><div>All rights with us</div><div class=lead><p>{body[0]}</p></div><p>{body[1]}</p><footer>{say(3)}</footer></body>"))
+        want[100 + i] = "\n".join(body)
+    rows.append((900, "http://two.example/0?utm=1", rows[1][2]))
+    want[900] = want[100]
+    return rows, want
+
+
+def test_html_templates_decide(spark):
+    rows, want = own_pages()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in htmlmain.extract(pages).collect()}
+    assert found == want == {r["page_id"]: r["text"] for r in htmlmain.extract(pages, broadcast_hashes=0).collect()}
+    assert all(htmlmain.main_text(h, frozenset()) != want[i] for i, _, h in rows)  # without them, the rest stays
+    # names alone would miss boilerplate within the article
+    assert any(htmlmain.main_text(h) != want[i] for i, _, h in rows)
+
+
+def test_html_templates_counted(spark):
+    """Brute-force counts of subtrees over distinct main texts of a host."""
+    rows, _ = own_pages()
+    rows += [(r["page_id"] + 1000, r["url"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").limit(150).collect()]
+    seen: dict = {}
+    for _, url, html in rows:
+        root = htmlmain.parse(html)
+        host, text = re.match(r"https?://([^/]*)", url)[1].lower(), htmlmain.text_of(root)
+        for x, w in {**htmlmain.subtrees(root), 0: -1}.items():
+            seen.setdefault((host, x), {}).setdefault(text, []).append((w, root.words if x else 0))
+    want = set()
+    for at, by_text in seen.items():
+        words, page = sum(max(w for w, _ in v) for v in by_text.values()), sum(max(p for _, p in v) for v in by_text.values())
+        if len(by_text) >= 5 and (max(w for v in by_text.values() for w, _ in v) < 0 or 4 * words <= page):
+            want.add(at)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {(r["host"], r["hash"]) for r in htmlmain.templates(pages).collect()} == want and want
+
+
 def test_html_pages(spark):
     """The generator's pages: an article of paragraphs between menus, adverts and footers."""
     import html
