@@ -1,9 +1,10 @@
 """Approximate nearest neighbours with a forest of hash prefixes.
 
-Rows are dealt into blocks by hash. Each block keeps, for every tree, a sorted array of long hash strings (signs of
-random projections). A query descends every tree to its longest matching prefix, then all trees ascend
-together, one bit at a time, until the matched runs hold enough rows; those are measured exactly.
-How many is enough is found on a bounded sample, for the recall asked for.
+Rows are dealt into cells by the first bits of a hash string (signs of random projections), and full cells into blocks. A
+query goes to the cells whose bits cost it the least to flip, as many as the recall needs, which is found on a bounded sample.
+Each block keeps, for every tree, a sorted array of long hash strings. A query descends every tree to its longest matching
+prefix, then all trees ascend together, one bit at a time, until the matched runs hold enough rows; those are measured
+exactly. How many are enough is found on the sample too: vectors in clusters need few, vectors without any structure nearly all.
 """
 
 from __future__ import annotations
@@ -93,15 +94,17 @@ class Block:
         starts = np.searchsorted(inverse[order], np.arange(len(first) + 1))
         self.members = [ids[order[a : min(b, a + k + 1)]] for a, b in zip(starts[:-1], starts[1:])]
         self.forest = Forest(x[first], trees, seed)
-        self.k, self.enough = k, max(4 * (k + 1), int(fraction * len(first) * trees / 8))
+        self.measured = 0  # rows that queries were compared with
+        self.k, self.enough = k, enough_for(fraction, len(first), k, trees)
 
     def nearest(self, ids: np.ndarray, q: np.ndarray) -> list[tuple[int, int, float]]:
         out, k = [], self.k
         for own, v, found in zip(ids.tolist(), q, self.forest.candidates(q, self.enough)):
             rough = self.forest.norms[found] - 2 * (self.forest.x[found] @ v)
-            if len(found) > 3 * k + 8:  # measured exactly below, in double precision
-                keep = np.argpartition(rough, 3 * k + 4)[: 3 * k + 5]
-                found = found[keep]
+            self.measured += len(found)
+            if len(found) > 3 * k + 8:  # measured exactly below, in double precision; what rounding can't tell apart stays
+                bar = np.partition(rough, 3 * k + 4)[3 * k + 4]
+                found = found[rough <= bar + 1e-9 * (1 + abs(bar) + float(v @ v))]
             d = exact(v, self.forest.x[found])
             best: list[tuple[float, int]] = []
             for c, s in zip(found.tolist(), d.tolist()):
@@ -110,49 +113,114 @@ class Block:
         return out
 
 
+def enough_for(fraction: float, rows: int, k: int, trees: int) -> int:
+    """Rows in the runs of all trees at which a query stops ascending: k and itself for each tree at least."""
+    return max(trees * (k + 1), int(fraction * rows * trees / 8))
+
+
 def fit_fraction(sample: np.ndarray, k: int, trees: int, seed: int, recall: float) -> float:
     """The smallest share of candidates (runs of all trees, over an eighth of trees x rows) that reaches the recall on the sample."""
     if len(sample) <= 20 * k:
         return 8.0
     forest = Forest(sample, trees, seed)
-    picked = np.arange(0, len(sample), max(1, len(sample) // 100))
-    true = [set(np.argsort(exact(sample[i], sample), kind="stable")[: k + 1].tolist()) for i in picked]
-    for fraction in (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 0.8, 1.2, 2.0, 4.0):
-        got = forest.candidates(sample[picked], max(4 * (k + 1), int(fraction * len(sample) * trees / 8)))
-        if np.mean([len(t & set(c.tolist())) / len(t) for t, c in zip(true, got)]) >= recall:
-            return fraction
-    return 8.0
-
-
-def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, trees: int = 24, recall: float = 0.97, seed: int = 11,
+    picked = np.arange(0, len(sample), max(1, len(sample) // 200))
+    true = [set(np.argsort(exact(sample[i], sample), kind="stable")[1 : k + 1].tolist()) for i in picked]
+
+    def reached(fraction: float) -> bool:
+        got = forest.candidates(sample[picked], enough_for(fraction, len(sample), k, trees))
+        return np.mean([len(t & set(c.tolist())) / len(t) for t, c in zip(true, got)]) >= recall
+
+    low, high = 0.005, 0.01
+    while not reached(high):
+        low, high = high, 2 * high
+        if high > 8:
+            return 8.0
+    for _ in range(3):
+        middle = (low * high) ** 0.5
+        low, high = (low, middle) if reached(middle) else (middle, high)
+    return high
+
+
+class Router:
+    """Cells of the first bits, the blocks of each, and how many cells a query is sent to."""
+
+    def __init__(self, sample: np.ndarray, rows: float, per_block: int, k: int, seed: int, recall: float):
+        self.bits = min(12, max(0, int(np.ceil(np.log2(max(1.0, rows / per_block)))))) if len(sample) > 20 * k else 0
+        self.center = sample.mean(0) if len(sample) else 0.0
+        self.planes = np.random.default_rng(seed + 1).standard_normal((sample.shape[1], self.bits))
+        share = np.bincount(self.cells(sample), minlength=1 << self.bits) / max(1, len(sample))
+        self.salts = np.maximum(1, np.ceil(share * rows / per_block)).astype(np.int64)
+        self.probes = 1 << self.bits
+        if self.bits:
+            picked = np.arange(0, len(sample), max(1, len(sample) // 200))
+            place = np.argsort(self.order(sample[picked]), axis=1)  # of each cell, in the query's order
+            own = self.cells(sample)
+            at = [place[j, own[np.argsort(exact(sample[i], sample), kind="stable")[1 : k + 1]]] for j, i in enumerate(picked)]
+            self.probes = int(np.quantile(np.concatenate(at), recall, method="higher")) + 1
+
+    def signs(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.center) @ self.planes
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        return (self.signs(x) > 0).astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """Cells by what it costs to flip the query's bits into theirs."""
+        s = self.signs(q)
+        every = np.arange(1 << self.bits)[:, None] >> np.arange(self.bits) & 1
+        flipped = (s > 0)[:, None, :] != every.astype(bool)
+        return np.argsort((flipped * np.abs(s)[:, None, :]).sum(2), axis=1, kind="stable")
+
+
+def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, trees: int = 24, recall: float = 0.95, seed: int = 11,
             rows_per_block: int = 1 << 14, sample_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: of each row of queries, the nearest k other rows found, ties to the smaller id.
 
     Both tables hold vec_id and embedding. Rows that are not usable() take no part; vectors are compared with
-    those of their own length only. Rows that share a vec_id with the query are its own and no candidates; repeated
-    query rows give one result. Fewer than k candidates: all. An empty table gives no rows. Other columns are left out.
-    A block is bounded by rows_per_block, whatever vectors are frequent, as rows are dealt by hash of vec_id. Queries are
-    sent to every block and stream through it.
+    those of their own length only. Rows that share a vec_id with the query are its own and no candidates; of rows that share one
+    among themselves the nearest counts, and of query rows the least vector. Fewer than k candidates: all. An empty table gives no
+    rows. Other columns are left out. The index is fitted on sample_rows rows, chosen by hash, and holds every row. A
+    block is bounded by rows_per_block as far as the sample tells, whatever vectors are frequent, as full cells are dealt by hash of vec_id.
     """
     spark = embeddings.sparkSession
     prepare(spark, 2048)
-    rows, asked = usable(embeddings), usable(queries).dropDuplicates(["vec_id"])
-    blocks = groups_for(rows.count(), rows_per_block)
-    picked = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(sample_rows).collect()  # bounded by sample_rows
+    rows, asked = usable(embeddings), usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    total = rows.count()
+    blocks = groups_for(total, rows_per_block)
+    picked = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "embedding").limit(sample_rows).collect()  # bounded by sample_rows
     by_length: dict[int, list] = {}
     for r in picked:
         by_length.setdefault(len(r["embedding"]), []).append(r["embedding"])
-    fractions = {n: fit_fraction(np.array(v), k, trees, seed, recall) for n, v in by_length.items()}
+    each = recall**0.5  # routing and forest miss alike, unless every cell is asked
+    routers = {n: Router(np.array(v), total * len(v) / len(picked), rows_per_block, k, seed, each) for n, v in by_length.items()}
+    fractions = {n: fit_fraction(np.array(v), k, trees, seed, each if routers[n].probes < len(routers[n].salts) else recall) for n, v in by_length.items()}
+    tools = spark.sparkContext.broadcast((fractions, routers))  # bounded by the sample
 
-    own = rows.select(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding")
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding")
-    dealt = own.unionByName(sent).withColumn("dim", F.size("embedding")).repartition(max(blocks, 1), "block").sortWithinPartitions("block", "dim", "kind")
+    def place(batches):
+        for pdf in batches:
+            for (kind, dim), part in pdf.assign(dim=pdf["embedding"].map(len)).groupby(["kind", "dim"], sort=False):
+                router = tools.value[1].get(int(dim))
+                ids = part["vec_id"].to_numpy(np.int64)
+                x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                if router is None:  # a length that the sample lacks: one block
+                    at = [(i, 0, 0) for i in range(len(ids))]
+                elif kind == 0:
+                    cells = router.cells(x)
+                    at = [(i, c, (v * 0x9E3779B97F4A7C15 >> 40 & 0xFFFFFF) % router.salts[c]) for i, (c, v) in enumerate(zip(cells.tolist(), ids.tolist()))]
+                else:
+                    at = [(i, c, s) for i, cells in enumerate(router.order(x)[:, : router.probes].tolist()) for c in cells for s in range(router.salts[c])]
+                i = [a[0] for a in at]
+                yield pd.DataFrame({"dim": dim, "cell": [a[1] for a in at], "salt": [a[2] for a in at], "kind": kind, "vec_id": ids[i], "embedding": list(x[i])})
+
+    both = rows.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)))
+    placed = both.mapInPandas(place, "dim int, cell int, salt int, kind int, vec_id long, embedding array<double>")
+    dealt = placed.repartition(2 * blocks, "dim", "cell", "salt").sortWithinPartitions("dim", "cell", "salt", "kind")
 
     def search(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         key, block = None, None
         for pdf in batches:
-            for now, part in pdf.groupby(["block", "dim"], sort=False):
+            for now, part in pdf.groupby(["dim", "cell", "salt"], sort=False):
                 if now != key:
                     key, held, block = now, [], None
                 for kind, p in part.groupby("kind", sort=True):
@@ -162,11 +230,13 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, trees: int =
                         held.append((ids, x))
                         continue
                     if block is None and held:
-                        block = Block(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), k, trees, seed, fractions.get(int(now[1]), 8.0))
+                        fraction = tools.value[0].get(int(now[0]), 8.0)
+                        block = Block(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), k, trees, seed, fraction)
                         held = []
                     if block is not None:
                         yield pd.DataFrame(block.nearest(ids, x), columns=["query_id", "vec_id", "score"])
 
     found = dealt.mapInPandas(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    own = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return own.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

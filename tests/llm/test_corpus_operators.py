@@ -364,6 +364,29 @@ def test_neighbours_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_neighbours_selective(spark):
+    """In clustered vectors a query goes to few cells and is compared with few rows."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 48))
+    x = np.concatenate([c + 0.15 * rng.standard_normal((80, 48)) for c in centres])
+    fraction = annforest.fit_fraction(x[::2], 10, 24, 11, 0.97)
+    block = annforest.Block(np.arange(len(x)), x, 10, 24, 11, fraction)
+    picked = np.arange(0, len(x), 40)
+    found: dict = {}
+    for q, i, _ in block.nearest(picked, x[picked]):
+        found.setdefault(q, set()).add(i)
+    true = {i: set(np.argsort(annforest.exact(x[i], x), kind="stable")[1:11].tolist()) for i in picked.tolist()}
+    assert np.mean([len(found[i] & true[i]) / 10 for i in true]) >= 0.95
+    assert block.measured < 0.1 * len(picked) * len(x)
+    router = annforest.Router(x[::2], 1 << 18, 1 << 14, 10, 11, 0.97)
+    assert router.bits == 4 and router.probes <= 8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in annforest.nearest(df, df.where("vec_id % 40 = 0"), rows_per_block=300).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[i] & true[i]) / 10 for i in true]) >= 0.93
+
+
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(40, 0, -1)] + [(100, [1.0, 2.5]), (101, [0.0, 0.0]), (102, None), (103, [nan, 1.0]), (104, [inf, 1.0]), (105, [None, 1.0]), (None, [1.0, 1.0]), (200, [1.0, 2.0, 3.0])]
