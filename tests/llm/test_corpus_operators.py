@@ -675,6 +675,31 @@ def test_pipeline_repeated_rows_and_null_ids(spark):
     assert corpus_pipeline.near_duplicates(spark, table(spark, []), SF).count() == 0
 
 
+def test_pipeline_edges(spark):
+    """Stages on null values, empty texts, repeated rows, extra columns named like results, and no rows at all."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rows, df = messy(spark)
+    extra = {c: F.lit(c) for c in ("row", "score", "lang_pred", "n_removed", "key_a", "_k", "class_id", "taken")}
+    wide = df.withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, table(spark, []), SF)
+        assert none.count() == 0, name
+        out = stage(spark, wide, SF)
+        if name == "packed":
+            assert out.groupBy("doc_id").count().count() == 8
+            continue
+        assert none.columns == df.columns and out.columns == wide.columns, name
+        for r in out.collect():
+            assert all(r[c] == c for c in extra), name
+            if r["doc_id"] == 4:
+                assert r["text"] == rows[4][1], name
+    # two runs in one session, both read at the end
+    first, second = corpus_pipeline.run(spark, SF), corpus_pipeline.run(spark, SF)
+    assert first.count() == second.count() > 0
+
+
 def brute_words_left(texts, n):
     """The words of each text that are in no run of n words that also starts elsewhere."""
     split = [WORD.findall(t) for t in texts]
