@@ -41,7 +41,7 @@ def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.remove(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffixdedup.remove(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_anchors")
 
 
 def op8_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
