@@ -83,8 +83,8 @@ def depth_for(threshold: float, trees: int, recall: float, most: int) -> int:
     return 1
 
 
-def tries(sets: np.ndarray, trees: int, least: int, most: int) -> list[list[int]]:
-    """Of every tree, the set's nodes from the prefix of `least` minima to that of `most`, each named by a hash of the prefix."""
+def tries(sets: np.ndarray, trees: int, least: int, most: int) -> list[int]:
+    """Of one tree after the other, the set's nodes from the prefix of `least` minima to that of `most`, named by hashes of tree and prefix."""
     rng = np.random.default_rng(4242)
     a = rng.integers(0, 1 << 63, trees * most, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, trees * most, dtype=np.uint64)
@@ -96,7 +96,7 @@ def tries(sets: np.ndarray, trees: int, least: int, most: int) -> list[list[int]
         y *= np.uint64(0xBF58476D1CE4E5B9)
         low[j : j + step] = y.min(1)
     raw = low.tobytes()
-    return [[xxhash.xxh3_64_intdigest(raw[8 * t * most : 8 * (t * most + d)], seed=t) - (1 << 63) for d in range(least, most + 1)] for t in range(trees)]
+    return [xxhash.xxh3_64_intdigest(raw[8 * t * most : 8 * (t * most + d)], seed=t) - (1 << 63) for t in range(trees) for d in range(least, most + 1)]
 
 
 def compare(sets: list[np.ndarray], keys: np.ndarray, mask: int, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
             yield pd.DataFrame(out, columns=["key_a", "key_b", "set_a", "set_b", "n_shingles", "paths"])
 
     texts = held.where("text IS NOT NULL").select(*key, "text")
-    signed = texts.mapInPandas(emit, "key_a long, key_b long, set_a long, set_b long, n_shingles long, paths array<array<long>>").checkpoint()
+    signed = texts.mapInPandas(emit, "key_a long, key_b long, set_a long, set_b long, n_shingles long, paths array<long>").checkpoint()
     # a text's key stands for it: equal texts give equal rows here
     of_text = signed.groupBy("key_a", "key_b").agg(F.min("set_a").alias("set_a"), F.min("set_b").alias("set_b"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("rows"))
     ids = held.select(*key, "doc_id").where("text IS NOT NULL").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("least"))
@@ -183,24 +183,28 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
         F.sum("rows").alias("rows"), F.min("least").alias("least"), F.min(F.struct("key_a", "key_b", "least")).alias("stands")).checkpoint()
 
     one = signed.groupBy("set_a", "set_b").agg(F.first("paths").alias("paths"))  # equal sets have equal prefixes
-    live = one.select("set_a", "set_b", F.posexplode("paths").alias("tree", "path"))
-    placed, groups, deeper = [], [], []
-    for level in range(high - low + 1):
-        nodes = live.withColumn("key", F.col("path")[level])
-        found = nodes.groupBy("tree", "key").agg(F.count("*").alias("g"), F.bit_xor("set_a").alias("x"), F.bit_xor("set_b").alias("y")).where("g >= 2")
-        last = level == high - low
-        groups.append(found if last else found.where(F.col("g") <= full))
-        placed.append(nodes.select("set_a", "set_b", "tree", "key"))
-        if not last:  # the sets of nodes that are too full stay below, on a longer prefix
-            live = nodes.join(found.where(F.col("g") > full).select("tree", "key"), ["tree", "key"], "left_semi").select("set_a", "set_b", "tree", "path")
-            deeper.append(live.select("set_a", "set_b", F.expr("shiftleft(1L, 2 * tree)").alias("deep")))
-    every = lambda x: reduce(DataFrame.unionByName, x)
-    same = every(groups).groupBy("g", "x", "y").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mask"), F.min(F.struct("tree", "key")).alias("at"))
-    kept = same.select(F.col("at.tree").alias("tree"), F.col("at.key").alias("key"), "g", "mask")
-    members = every(placed).join(kept, ["tree", "key"]).join(sets.select("set_a", "set_b", "rows", "stands.*"), ["set_a", "set_b"])
+    levels = high - low + 1
+    starts = [F.struct(F.lit(t).alias("tree"), F.slice("paths", t * levels + 1, levels).alias("path")) for t in range(trees)]
+    live = one.select("set_a", "set_b", F.explode(F.array(*starts)).alias("at")).select("set_a", "set_b", "at.tree", "at.path", F.col("at.path")[0].alias("key"))
+    nodes, deeper = [], []
+    for level in range(levels):
+        # a key names its tree too; few sets share a node with others, and only they go on
+        shared = live.join(live.groupBy("key").agg(F.count("*").alias("g")).where("g >= 2"), "key").checkpoint()
+        too_full = F.col("g") > full
+        if level == levels - 1 or shared.where(too_full).isEmpty():
+            nodes.append(shared)
+            break
+        nodes.append(shared.where(~too_full))
+        # the sets of nodes that are too full stay below, on a longer prefix
+        live = shared.where(too_full).select("set_a", "set_b", "tree", "path", F.col("path")[level + 1].alias("key"))
+        deeper.append(live.select("set_a", "set_b", F.expr("shiftleft(1L, 2 * tree)").alias("deep")))
+    placed = reduce(DataFrame.unionByName, nodes).select("set_a", "set_b", "tree", "key", "g")
+    groups = placed.groupBy("tree", "key").agg(F.first("g").alias("g"), F.bit_xor("set_a").alias("x"), F.bit_xor("set_b").alias("y"))
+    same = groups.groupBy("g", "x", "y").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mask"), F.min(F.struct("tree", "key")).alias("at"))
+    members = placed.join(same.select("at.tree", "at.key", "mask"), ["tree", "key"]).join(sets.select("set_a", "set_b", "rows", "stands.*"), ["set_a", "set_b"])
     # two bits a tree: how many minima longer than the shortest prefix the set's node is
     if deeper:
-        depths = every(deeper).groupBy("set_a", "set_b").agg(F.sum("deep").alias("deep"))
+        depths = reduce(DataFrame.unionByName, deeper).groupBy("set_a", "set_b").agg(F.sum("deep").alias("deep"))
         members = members.join(depths, ["set_a", "set_b"], "left")
     else:
         members = members.withColumn("deep", F.lit(0).cast("long"))
@@ -220,7 +224,8 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
                 s = shingles(text, k)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 sa, sb, raw = (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), s.tobytes()
-                prefixes = [path[deep >> 2 * t & 3] for t, path in enumerate(tries(s, trees, low, high))]
+                path = tries(s, trees, low, high)
+                prefixes = [path[t * levels + (deep >> 2 * t & 3)] for t in range(trees)]
                 for r in at:
                     m, o = int(r["_m"]), int(r["_o"])
                     for other in range(m):
