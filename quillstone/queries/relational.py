@@ -15,8 +15,10 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card-like rows made of parts."""
     p = table(spark, sf_dir, "part")
     bit = lambda i: F.expr(f"(p_size div {1 << i}) % 2 = 1")
+    dash = F.element_at(F.array(F.lit("—"), F.lit("–"), F.lit("-")), (F.col("p_partkey") % 3 + 1).cast("int"))
     raw = p.select(
-        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.concat_ws(" ", F.split("p_name", " ")[1], F.col("p_type")).alias("type_line"),
+        F.lit("{1}{W}").alias("mana_cost"), F.concat_ws("\n", "p_name", F.lit("Flying")).alias("oracle_text"), F.when(F.col("p_partkey") % 2 == 0, F.lit("2")).alias("power"),
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.concat_ws(" ", F.split("p_name", " ")[1], F.col("p_type"), F.when(F.col("p_partkey") % 5 != 0, F.concat(dash, F.lit(" "), F.split("p_name", " ")[0], F.lit("  Top-Class")))).alias("type_line"),
         F.array_compact(F.array(*[F.when(bit(i), c) for i, c in enumerate(C.COLORS)])).alias("colors"),
         F.array_compact(F.array(*[F.when(bit(i), c) for i, c in enumerate(C.COLORS)])).alias("color_identity"),
         (F.col("p_size") % 10).cast("double").alias("cmc"), F.element_at(F.array(*[F.lit(r) for r in [*C.RARITIES[:5], "odd"]]), (F.col("p_partkey") % 6 + 1).cast("int")).alias("rarity"),
@@ -29,8 +31,10 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CARDS = """cards AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS card_id, p_name AS name, split_part(p_name, ' ', 2) || ' ' || p_type AS type_line,
-    [split_part(p_name, ' ', 2), p_type] AS types,
+  SELECT CAST(p_partkey AS VARCHAR) AS card_id, p_name AS name,
+    split_part(p_name, ' ', 2) || ' ' || p_type || CASE WHEN p_partkey % 5 <> 0 THEN ' ' || ['—', '–', '-'][p_partkey % 3 + 1] || ' ' || split_part(p_name, ' ', 1) || '  Top-Class' ELSE '' END AS type_line,
+    [split_part(p_name, ' ', 2), p_type] AS types, CASE WHEN p_partkey % 5 <> 0 THEN [split_part(p_name, ' ', 1), 'Top-Class'] ELSE [] END AS subtypes,
+    p_name || chr(10) || 'Flying' AS oracle_text, CASE WHEN p_partkey % 2 = 0 THEN '2' END AS power,
     CASE WHEN p_size % 32 > 0 THEN list_filter([CASE WHEN p_size % 2 = 1 THEN 'W' END, CASE WHEN (p_size // 2) % 2 = 1 THEN 'U' END, CASE WHEN (p_size // 4) % 2 = 1 THEN 'B' END,
       CASE WHEN (p_size // 8) % 2 = 1 THEN 'R' END, CASE WHEN (p_size // 16) % 2 = 1 THEN 'G' END], lambda x: x IS NOT NULL) END AS colors,
     CAST(p_size % 10 AS DOUBLE) AS cmc, ['common', 'uncommon', 'rare', 'mythic', 'special', 'common'][p_partkey % 6 + 1] AS rarity, p_brand AS "set",
@@ -45,9 +49,41 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
 
 
-@query(f"WITH {CARDS} SELECT card_id, name, type_line, array_to_string(types, ',') AS types, array_to_string(colors, ',') AS colors, array_to_string(colors, ',') AS color_identity, cmc, rarity, \"set\" FROM cards")
+@query(f"WITH {CARDS} SELECT card_id, name, type_line, array_to_string(types, ',') AS types, array_to_string(subtypes, ',') AS subtypes, array_to_string(colors, ',') AS colors, array_to_string(colors, ',') AS color_identity, cmc, rarity, \"set\" FROM cards")
 def parse_cards_core(spark, d):
-    return _flat(C.split(cards(spark, d))[0])
+    return _flat(C.split(cards(spark, d))[0].drop("mana_cost", "oracle_text", "power", "toughness", "loyalty"))
+
+
+@query(f"""WITH {CARDS} SELECT name, '{{1}}{{W}}' AS mana_cost, array_to_string(types, ' ') || CASE WHEN len(subtypes) > 0 THEN ' — ' || array_to_string(subtypes, ' ') ELSE '' END AS type_line,
+oracle_text, power, CAST(NULL AS VARCHAR) AS toughness, CAST(NULL AS VARCHAR) AS loyalty FROM cards""")
+def card_inputs(spark, d):
+    """What the parser is given, made of parsed cards."""
+    return C.parser_input(C.split(cards(spark, d))[0])
+
+
+def _parts_of_suppliers(spark, d):
+    """Raw cards with related cards and faces as lists of maps."""
+    s = table(spark, d, "supplier")
+    text = lambda c: F.col(c).cast("string")
+    part = lambda k: F.create_map(F.lit("id"), F.concat(F.lit(f"A{k}-"), text("s_suppkey")), F.lit("component"), F.element_at(F.array(*[F.lit(x) for x in ("token", "meld_part", "odd")]), (F.col("s_suppkey") % 3 + 1).cast("int")),
+                                  F.lit("name"), F.col("s_name"), F.lit("type_line"), F.lit("Token"), F.lit("uri"), F.lit("u"))
+    face = F.map_filter(F.create_map(F.lit("name"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")), F.lit("type_line"), F.lit("Creature – Elf elf Scout"), F.lit("cmc"), text("s_nationkey"),
+                                     F.lit("colors"), F.lit('["W","X","G"]'), F.lit("layout"), F.when(F.col("s_suppkey") % 3 == 0, "odd"), F.lit("artist_id"), F.lit("AB")), lambda k, v: v.isNotNull())
+    return C.parse(s.select(text("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 4 != 0, F.array(part(1), part(2))).alias("all_parts"),
+                            F.when(F.col("s_suppkey") % 5 == 0, F.array().cast("array<map<string,string>>")).otherwise(F.array(face)).alias("card_faces")))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS card_id, 'a' || k || '-' || s_suppkey AS id, ['token', 'meld_part', 'combo_piece'][s_suppkey % 3 + 1] AS component, s_name AS name, 'Token' AS type_line, 'u' AS uri
+FROM supplier, (SELECT unnest([1, 2]) AS k) WHERE s_suppkey % 4 <> 0""")
+def related_cards(spark, d):
+    return _parts_of_suppliers(spark, d).select("card_id", F.explode("all_parts").alias("p")).select("card_id", "p.*")
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS card_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS name, '' AS mana_cost, 'Creature' AS types, 'Elf,Scout' AS subtypes, CAST(s_nationkey AS DOUBLE) AS cmc,
+'W,G' AS colors, CASE WHEN s_suppkey % 3 = 0 THEN 'normal' END AS layout, 'ab' AS artist_id, TRUE AS no_images FROM supplier WHERE s_suppkey % 5 <> 0""")
+def card_faces(spark, d):
+    f = _parts_of_suppliers(spark, d).select("card_id", F.explode("card_faces").alias("f"))
+    return _flat(f.select("card_id", *[F.col(f"f.{k}").alias(k) for k in ("name", "mana_cost", "types", "subtypes", "cmc", "colors", "layout", "artist_id")], F.col("f.image_uris").isNull().alias("no_images")))
 
 
 @query(f"WITH {CARDS} SELECT card_id, CAST(released_at AS VARCHAR) AS released_at, digital, promo, CAST(price AS DOUBLE) AS price FROM cards")
