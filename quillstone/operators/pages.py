@@ -108,7 +108,7 @@ def find(pages: DataFrame, query: str, per_field: int = 8) -> DataFrame:
         return site.search(site.index(pages), query, per_field)
     tag, _, words = query[1:].strip().partition(" ")
     if words.strip():
-        return site.search(site.index(pages.where(F.array_contains("tags", tag))), words, per_field)
+        return site.search(site.index(pages), words, per_field, among=pages.where(F.array_contains("tags", tag)))
     start = F.lower(F.lit(tag))
     hits = pages.select("slug", F.size(F.filter("tags", lambda t: F.startswith(F.lower(t), start))).alias("hits")).where("hits > 0")
     best = hits.orderBy(F.desc("hits"), "slug").limit(per_field)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import paths as P
 from quillstone.functions import text as X
+from quillstone.sources.io import shared_folder
 
 
 def backlinks(pages: DataFrame, slug: str = "slug", links: str = "links") -> DataFrame:
@@ -26,18 +27,17 @@ def edges(pages: DataFrame, remove_tags: tuple[str, ...] = ()) -> DataFrame:
 def neighbourhood(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """node, depth: nodes within so many undirected steps of the start nodes; a negative depth goes on to the end.
 
-    Each round joins the frontier alone and leaves out what was visited.
+    Each round joins the frontier alone and leaves out what was visited; it is written to the shared folder, so that no plan grows with the rounds.
     """
-    both = links.select("source", "target").unionByName(links.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    shared_folder(links.sparkSession)
+    both = links.select("source", "target").unionByName(links.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct().checkpoint()
     seen = start.select("node").distinct().withColumn("depth", F.lit(0))
     frontier, d = seen, 0
     while d != depth:
         d += 1
-        new = frontier.join(both, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
-        if depth < 0:
-            new = new.checkpoint()
-            if new.isEmpty():
-                break
+        new = frontier.join(both, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
+        if new.isEmpty():
+            break
         seen, frontier = seen.unionByName(new), new
     return seen
 
@@ -100,8 +100,11 @@ def index(pages: DataFrame, fields: tuple[str, ...] = ("title", "content")) -> D
     return out.groupBy("field", "token", "slug").agg(F.count("*").alias("hits"))
 
 
-def search(inverted: DataFrame, query: str, per_field: int = 8) -> DataFrame:
-    """slug, place: pages whose tokens start with every term; titles come before contents, more hits before fewer."""
+def search(inverted: DataFrame, query: str, per_field: int = 8, among: DataFrame | None = None, before: int = 10_000) -> DataFrame:
+    """slug, place: pages whose tokens start with every term; titles come before contents, more hits before fewer.
+
+    With among (slug), the first `before` pages of a field are looked for in it, and the first per_field of those stay.
+    """
     terms = query.lower().split()
     match = F.lit(False)
     for t in terms:
@@ -110,7 +113,11 @@ def search(inverted: DataFrame, query: str, per_field: int = 8) -> DataFrame:
     which = F.array(*[F.when(F.col("token").startswith(t), F.lit(i)) for i, t in enumerate(terms)])
     found = hit.withColumn("_w", F.explode(F.filter(which, lambda x: x.isNotNull()))).groupBy("field", "slug").agg(F.countDistinct("_w").alias("terms"), F.sum("hits").alias("hits"))
     best = found.where(F.col("terms") == len(set(terms)))
-    ranked = best.withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("hits"), "slug"))).where(F.col("place") <= per_field)
+    place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("hits"), "slug"))
+    if among is not None:
+        first = best.withColumn("place", place).where(F.col("place") <= max(before, per_field))
+        best = first.drop("place").join(among.select("slug").distinct(), "slug", "left_semi")
+    ranked = best.withColumn("place", place).where(F.col("place") <= per_field)
     return ranked.withColumn("priority", F.when(F.col("field") == "title", 0).otherwise(1)).groupBy("slug").agg(F.min(F.struct("priority", "place")).alias("f")).select("slug", "f.priority", "f.place")
 
 

@@ -17,14 +17,62 @@ def knn(entries: DataFrame, targets: DataFrame, k: int = 5, card: str = "card_id
     Targets are a handful of named cards; beyond most_targets entries this raises an error rather than broadcast them. The
     rest is one pass over the entries, a maximum per pair of cards before the shuffle, and a top k.
     """
-    if targets.limit(most_targets + 1).count() > most_targets:
+    asked = targets.select(card, vector).limit(most_targets + 1).collect()  # bounded by most_targets
+    if len(asked) > most_targets:
         raise ValueError(f"more than {most_targets} target entries")
-    t = F.broadcast(targets.select(F.col(card).alias("target"), F.col(vector).alias("_t")))
-    scored = entries.join(t, F.col(card) != F.col("target")).select("target", card, V.cosine(F.col("_t"), F.col(vector)).alias("s")).where(~F.isnan("s"))
+    kind = entries.schema[card].dataType.simpleString()
+    names = [r[card] for r in asked]
+    shared = entries.sparkSession.sparkContext.broadcast((names, [np.asarray(r[vector], dtype=np.float64) for r in asked]))
+
+    def score(batches):
+        own, vectors = shared.value
+        wanted = sorted(set(own))
+        for pdf in batches:
+            pdf = pdf[pdf["v"].notna()]
+            if not len(pdf) or not own:
+                continue
+            if {len(v) for v in pdf["v"]} | {len(v) for v in vectors} != {len(vectors[0])}:
+                raise ValueError("vectors differ in length")
+            t, x = np.stack(vectors), np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = (x @ t.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(t, axis=1)[None, :])
+            for name in wanted:
+                best = s[:, [i for i, n in enumerate(own) if n == name]].max(1)
+                ok = ~np.isnan(best) & (pdf["c"] != name).to_numpy()
+                yield pd.DataFrame({"target": name, card: pdf["c"].to_numpy()[ok], "s": best[ok]})
+
+    scored = entries.select(F.col(card).alias("c"), F.col(vector).alias("v")).where(F.col("c").isNotNull()).mapInPandas(score, f"target {kind}, {card} {kind}, s double")
     best = scored.groupBy("target", card).agg(F.max("s").alias("similarity"))
     return top_per_group(best, ["target"], [F.desc("similarity"), F.col(card)], k)
 
 
+def masked_means(rows: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
+    """key, mean: of each key the mean per dimension of the vectors whose mask is 1, zeros if none; sums are made before the shuffle."""
+    parts = rows.select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("k", "x"), mask)
+    means = parts.groupBy(key, "k").agg(F.coalesce(F.avg(F.when(F.col(mask) == 1, F.col("x"))), F.lit(0.0)).alias("m"))
+    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda p: p["m"]).alias("mean"))  # a row a dimension
+
+
+def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, vector: str = "embedding", most: int = 10_000) -> DataFrame:
+    """key, cluster_id, distance (squared) of the nearest of at most `most` centroids (cluster_id, centroid), ties to the smaller id."""
+    held = centroids.select("cluster_id", "centroid").limit(most + 1).collect()  # bounded by most
+    if len(held) > most:
+        raise ValueError(f"more than {most} centroids")
+    held.sort(key=lambda r: r["cluster_id"])
+    shared = points.sparkSession.sparkContext.broadcast(([r["cluster_id"] for r in held], np.array([r["centroid"] for r in held], dtype=np.float64)))
+    kind, name = points.schema[key].dataType.simpleString(), centroids.schema["cluster_id"].dataType.simpleString()
+
+    def place(batches):
+        ids, c = shared.value
+        for pdf in batches:
+            x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+            at = ((c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
+            d = x - c[at]
+            yield pd.DataFrame({key: pdf[key], "cluster_id": [ids[i] for i in at], "distance": (d * d).sum(1)})
+
+    return points.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(place, f"{key} {kind}, cluster_id {name}, distance double")
+
+
 def assign(points: DataFrame, centroids: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """cluster_id (from 1) and squared distance of every point's own cluster; centroids: cluster_id, centroid."""
     return points.join(centroids, "cluster_id").select(key, "cluster_id", V.squared_distance(F.col(vector), F.col("centroid")).alias("distance"))

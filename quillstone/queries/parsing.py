@@ -61,12 +61,7 @@ def parse_summary(spark, d):
 
 
 def _folder(spark) -> str:
-    from pathlib import Path
-
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if top is None:
-        top = str(Path("/tmp/checkpoints"))
-    return f"{top}/{uuid.uuid4().hex}"
+    return f"{io.shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")

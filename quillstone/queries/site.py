@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import site as S
+from quillstone.plans import site_build as site_build_plan
 from quillstone.queries.registry import query, table
+from quillstone.sources import io
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,3 +129,33 @@ def described_tags(spark, d):
     tags = table(spark, d, "part").select(F.col("p_brand").alias("tag")).distinct()
     authored = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")).alias("tag"), F.col("n_name").alias("title"))
     return S.described(tags, authored, "tag", "Tag: ")
+
+
+@query("""SELECT 'notes/s-' || s_suppkey AS slug, s_name AS title, 'type/' || s_nationkey || CASE WHEN s_suppkey % 2 = 0 THEN ',even' ELSE '' END || ',in-text' AS tags, 'notes/s-' || (s_suppkey + 1) AS links FROM supplier WHERE s_suppkey % 7 <> 0""")
+def site_build(spark, d):
+    """Suppliers as pages with headers, built into a site; the index of contents as it was written."""
+    top = f"{io.shared_folder(spark)}/{uuid.uuid4().hex}"
+    write_suppliers(spark, d, f"{top}/source")
+    site_build_plan.build(spark, f"{top}/source", f"{top}/site", f"{top}/work", ignore=("^private/",))
+    entry = F.from_json(F.decode("content", "utf-8"), "slug string, title string, tags array<string>, links array<string>")
+    index = io.read_binary(spark, f"{top}/site/static/index", "*.json").select(entry.alias("e"))
+    return index.select("e.slug", "e.title", F.array_join("e.tags", ",").alias("tags"), F.array_join("e.links", ",").alias("links"))
+
+
+def write_suppliers(spark, d, folder):
+    s = table(spark, d, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    head = F.concat(F.lit('---\ntitle: "'), "s_name", F.lit('"\ntags:\n  - type/'), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, "\n  - even").otherwise(""), F.lit("\naliases: [old/"), key, F.lit("]\ndraft: "),
+                    F.when(F.col("s_suppkey") % 7 == 0, "true").otherwise("false"), F.lit("\ndate: 2024-02-03\n---\nSee [[notes/s "), (F.col("s_suppkey") + 1).cast("string"), F.lit("]] and #in-text here.\n"))
+    own = s.select(F.concat(F.lit("notes/s "), key, F.lit(".md")).alias("path"), head.alias("content"))
+    private = s.select(F.concat(F.lit("private/s"), key, F.lit(".md")).alias("path"), F.lit("not: [to be read").alias("content"))
+    io.write_files(own.unionByName(private), folder).count()
+
+
+@query("""SELECT * FROM (SELECT 'aliases' AS emitter, count(*) AS n FROM supplier WHERE s_suppkey % 7 <> 0 UNION ALL SELECT 'feed', 1 UNION ALL SELECT 'index', count(*) FROM supplier WHERE s_suppkey % 7 <> 0
+UNION ALL SELECT 'pages', count(*) FROM supplier WHERE s_suppkey % 7 <> 0 UNION ALL SELECT 'sitemap', 1)""")
+def site_files(spark, d):
+    """Files that each emitter has made."""
+    top = f"{io.shared_folder(spark)}/{uuid.uuid4().hex}"
+    write_suppliers(spark, d, f"{top}/source")
+    return site_build_plan.build(spark, f"{top}/source", f"{top}/site", f"{top}/work", ignore=("^private/",)).groupBy("emitter").agg(F.count("*").alias("n"))

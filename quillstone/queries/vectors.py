@@ -35,8 +35,8 @@ def flattened_components(spark, d):
 
 @query("SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean FROM embeddings WHERE vec_id % 2 = 1 GROUP BY label")
 def masked_mean_pooling(spark, d):
-    rows = table(spark, d, "embeddings").groupBy("label").agg(F.collect_list("embedding").alias("v"), F.collect_list(F.col("vec_id") % 2).alias("m"))
-    return rows.select("label", F.round(V.masked_mean(F.col("v"), F.col("m"))[0], 6).alias("mean"))
+    means = VO.masked_means(table(spark, d, "embeddings").withColumn("mask", F.col("vec_id") % 2), "label", "embedding", "mask")
+    return means.select("label", F.round(F.col("mean")[0], 6).alias("mean"))
 
 
 @query()
@@ -70,6 +70,25 @@ def embedding_noise(spark, d):
     return table(spark, d, "embeddings").select("vec_id", V.noise(F.col("embedding"), F.col("vec_id"), 1e-3, 42).alias("embedding"))
 
 
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, TRUE AS moved, TRUE AS near, TRUE AS again FROM embeddings")
+def embedding_noise_bounds(spark, d):
+    """Noise moves every vector a little, and the same on every run."""
+    e = table(spark, d, "embeddings")
+    noisy = V.noise(F.col("embedding"), F.col("vec_id"), 1e-3, 42)
+    far = F.array_max(F.zip_with(noisy, F.col("embedding").cast("array<double>"), lambda a, b: F.abs(a - b)))
+    return e.select("vec_id", F.size(noisy).alias("n"), (far > 0).alias("moved"), (far < 1e-3 * 7).alias("near"), (noisy == V.noise(F.col("embedding"), F.col("vec_id"), 1e-3, 42)).alias("again"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id AS cluster_id, v AS m FROM e WHERE vec_id < 5),
+d AS (SELECT e.vec_id, cluster_id, pow(list_distance(v, m), 2) AS distance, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(v, m), cluster_id) AS k FROM e, c)
+SELECT vec_id, cluster_id, round(distance, 6) AS distance FROM d WHERE k = 1""")
+def kmeans_nearest_centroid(spark, d):
+    """Every vector with the nearest of given centroids."""
+    e = table(spark, d, "embeddings")
+    centroids = e.where("vec_id < 5").select(F.col("vec_id").alias("cluster_id"), F.col("embedding").alias("centroid"))
+    return VO.nearest_centroid(e, centroids, "vec_id").withColumn("distance", F.round("distance", 6))
+
+
 @query("""SELECT 'Passive Abilities' AS series, '#9467bd' AS color, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y, 'vector ' || vec_id AS hover FROM embeddings WHERE label <> 0""")
 def scatter_chart(spark, d):
     e = table(spark, d, "embeddings").select(F.when(F.col("label") == 0, "Full").otherwise("passive").alias("text_type"), F.concat(F.lit("vector "), "vec_id").alias("text"), F.col("embedding").cast("array<double>").alias("components"))

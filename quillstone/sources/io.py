@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,52 @@ def record_diagnostics(lines: DataFrame, schema: str, preview: int = 500) -> Dat
         F.substring("value", 1, preview).alias("preview"), F.get_json_object("value", "$.name").alias("name"))
 
 
+def checked(spark: SparkSession, path: str, schema: str, shown: int = 20, preview: int = 500) -> DataFrame:
+    """Lines of JSON as rows. If any doesn't fit the schema, the first few are printed, with their name and a preview, and it is an error."""
+    bad = record_diagnostics(spark.read.text(path), schema, preview).limit(shown).collect()  # `shown` rows at most
+    for r in bad:
+        print(f"record {r['name'] or 'without a name'} does not fit: {r['preview']}")
+    if bad:
+        raise ValueError(f"{path}: records that do not fit the schema, {bad[0]['name']} among them")
+    return read_json_lines(spark, path, schema)
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """path, bytes: every row (path, content as text or binary) as a file below the folder, a shared one.
+
+    Tasks write where the rows are; a task that runs again writes the same files again. It is done when the result is read.
+    """
+    def write(batches):
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        for pdf in batches:
+            sizes = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                raw = content.encode("utf-8", "surrogatepass") if isinstance(content, str) else bytes(content or b"")
+                whole = posixpath.normpath(posixpath.join(top, path.lstrip("/")))
+                if not whole.startswith(top.rstrip("/") + "/"):
+                    raise ValueError(f"{path} leads out of the folder")
+                system.create_dir(posixpath.dirname(whole), recursive=True)
+                with system.open_output_stream(whole) as out:
+                    out.write(raw)
+                sizes.append(len(raw))
+            yield pd.DataFrame({"path": pdf["path"], "bytes": sizes})
+
+    return rows.select("path", "content").mapInPandas(write, "path string, bytes long")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; a local one only where no cluster is."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints")
+    return sc.getCheckpointDir()
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', mode="FAILFAST")
 

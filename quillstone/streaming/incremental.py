@@ -26,26 +26,45 @@ def affected(pages: DataFrame, changed: DataFrame, key: str = "slug") -> DataFra
     return by_tag.unionByName(changed.select(key).join(pages.select(key), key, "left_semi")).distinct()
 
 
-def run_counts(spark: SparkSession, path: str, schema, folder: str, files_per_batch: int = 1) -> DataFrame:
+def _states(spark: SparkSession, top: str) -> list[int]:
+    """Epochs whose states are whole tables, in order."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(top)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    names = [(str(f.getPath().getName()), f.getPath()) for f in system.listStatus(path)]
+    return sorted(int(n[6:]) for n, at in names if n.startswith("state-") and system.exists(jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")))
+
+
+def run_counts(spark: SparkSession, path: str, schema, folder: str, files_per_batch: int = 1, name: str | None = None, keep: int = 2) -> DataFrame:
     """event_type, n, total: counts kept by a file stream through foreachBatch, each batch merged into the table once.
 
-    Every state is a table of its own, named by the batch, so that a batch that is run again writes the same state again.
+    Every state is a table of its own, named by the batch. A batch starts from the last whole state before its own, found in the folder, so
+    that a batch that is run again writes the same state again, and a run of the same name goes on where the last one stopped.
+    The last `keep` states stay; older ones are deleted.
     """
-    top = f"{folder}/counts-{uuid.uuid4().hex}"
-    last: dict[str, int] = {}
+    top = f"{folder}/counts-{name or uuid.uuid4().hex}"
 
     def merge(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
         now = batch.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
-        if "epoch" in last and last["epoch"] < epoch:
-            now = now.unionByName(session.read.parquet(f"{top}/state-{last['epoch']}"))
+        before = [e for e in _states(session, top) if e < epoch]
+        if before:
+            now = now.unionByName(session.read.parquet(f"{top}/state-{before[-1]}"))
         now.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(28,2)").alias("total")).write.mode("overwrite").parquet(f"{top}/state-{epoch}")
-        last["epoch"] = epoch
+        jvm = session.sparkContext._jvm
+        for old in before[: -max(1, keep - 1)]:
+            at = jvm.org.apache.hadoop.fs.Path(f"{top}/state-{old}")
+            at.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{top}/state-{last['epoch']}")
+    held = _states(spark, top)
+    if not held:  # no file has come yet
+        return spark.createDataFrame([], "event_type string, n long, total decimal(28,2)")
+    return spark.read.parquet(f"{top}/state-{held[-1]}")
 
 
 def windowed(events: DataFrame, width: str = "1 hour", delay: str | None = None) -> DataFrame:
