@@ -51,13 +51,15 @@ def pca_project(spark, d):
 
 @query()
 def umap_layout(spark, d):
-    return VO.umap(R.sample_n(table(spark, d, "embeddings"), "vec_id", 300), "vec_id", neighbors=15, epochs=50)
+    """All vectors; fewer epochs than the default, as each is a job."""
+    return VO.umap(table(spark, d, "embeddings"), "vec_id", neighbors=15, epochs=6)
 
 
 @query()
 def umap_grid_chart(spark, d):
-    points = R.sample_n(table(spark, d, "embeddings"), "vec_id", 150)
-    return charts.grid(VO.umap_grid(points, "vec_id", neighbors=(4, 8), min_dists=(0.25, 0.75), epochs=20))
+    """Half of the vectors, as the operator samples them; four combinations of a few epochs."""
+    points = R.sample_share(table(spark, d, "embeddings"), "vec_id", 0.5)
+    return charts.grid(VO.umap_grid(points, "vec_id", neighbors=(4, 8), min_dists=(0.25, 0.75), epochs=2))
 
 
 @query()

@@ -64,8 +64,30 @@ def test_vectors(spark):
     assert abs(m["m"]) < 0.2 and abs(m["s"] - 2) < 0.2
     with pytest.raises(ValueError):
         VO.knn(df, spark.range(5).select(F.lit("x").alias("card_id"), F.array(F.lit(1.0)).alias("embedding")), most_targets=3)
-    with pytest.raises(ValueError):
-        VO.umap(spark.range(9).select("id", F.array(F.lit(1.0)).alias("embedding")), "id", most=5)
+
+
+def test_layout(spark):
+    """Neighbours as brute force has them, and clusters that come together in the plane."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + 0.1 * rng.standard_normal((40, 6)) for c in 3 * np.eye(6)[:3]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    near = {(r["source"], r["target"]) for r in VO.neighbour_graph(df, "id", 5).collect()}
+    assert near == {(i, int(j)) for i in range(120) for j in np.argsort(d[i])[:5]}
+    parts = VO.neighbour_graph(df, "id", 5, bucket=30).collect()
+    assert np.mean([(r["source"], r["target"]) in near for r in parts]) > 0.6 and len({r["source"] for r in parts}) == 120
+    got = {r["id"]: tuple(r["components"]) for r in VO.umap(df, "id", neighbors=8, min_dist=0.1, epochs=3).collect()}
+    y = np.array([got[i] for i in range(120)])
+    own = np.repeat([0, 1, 2], 40)
+    closest = [np.argsort(((y - y[i]) ** 2).sum(1))[1:6] for i in range(120)]
+    assert np.mean([(own[c] == own[i]).mean() for i, c in enumerate(closest)]) > 0.8
+    graph = VO.fuzzy_graph(VO.neighbour_graph(df, "id", 4))
+    once = lambda: sorted(map(tuple, VO.layout(df.select("id"), graph, 0.5, 1, 7).collect()))
+    assert [x[0] for x in once()] == list(range(120))
+    assert VO.umap(df.limit(0), "id", epochs=1).count() == 0
 
 
 def test_projections(spark):
