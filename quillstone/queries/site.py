@@ -63,16 +63,16 @@ def folder_rollup(spark, d):
     return S.folders(pages(spark, d)).select("folder", "n", "modified")
 
 
-@query(f"WITH {PAGES}, b AS (SELECT split_part(slug, '/', 2) AS base, count(*) AS n, min(slug) AS slug FROM pages_ GROUP BY 1 HAVING count(*) = 1), l AS (SELECT CAST(l_partkey + l_linenumber * 300 AS VARCHAR) AS link FROM lineitem WHERE l_orderkey % 50 = 0) SELECT link, coalesce(slug, link) AS slug FROM l LEFT JOIN b ON base = link")
+@query(f"WITH {PAGES}, b AS (SELECT split_part(slug, '/', 2) AS base, count(*) AS n, min(slug) AS slug FROM pages_ GROUP BY 1 HAVING count(*) = 1), l AS (SELECT CAST(l_partkey + l_linenumber * 300 AS VARCHAR) AS link FROM lineitem) SELECT link, coalesce(slug, link) AS slug FROM l LEFT JOIN b ON base = link")
 def shortest_link_resolution(spark, d):
-    links = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select((F.col("l_partkey") + F.col("l_linenumber") * 300).cast("string").alias("link"))
+    links = table(spark, d, "lineitem").select((F.col("l_partkey") + F.col("l_linenumber") * 300).cast("string").alias("link"))
     return S.shortest_links(links, pages(spark, d))
 
 
 @query(f"WITH {PAGES}, b AS (SELECT split_part(slug, '/', 2) AS base, count(*) AS n, min(slug) AS slug FROM pages_ GROUP BY 1 HAVING count(*) = 1), l AS (SELECT CAST(l_partkey + l_linenumber * 300 AS VARCHAR) AS link FROM lineitem) SELECT link, coalesce(slug, link) AS slug FROM l LEFT JOIN b ON base = link")
 def shortest_link_resolution_all(spark, d):
-    links = table(spark, d, "lineitem").select((F.col("l_partkey") + F.col("l_linenumber") * 300).cast("string").alias("link"))
-    return S.shortest_links(links, pages(spark, d))
+    """The older name of the same query."""
+    return shortest_link_resolution(spark, d)
 
 
 @query(f"WITH {PAGES} SELECT slug, title FROM pages_ ORDER BY modified DESC NULLS LAST, lower(title), slug LIMIT 10")
