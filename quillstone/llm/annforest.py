@@ -9,6 +9,8 @@ exactly. How many are enough is found on the sample too: vectors in clusters nee
 
 from __future__ import annotations
 
+from itertools import batched
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -148,7 +150,7 @@ class Router:
         self.bits = min(12, max(0, int(np.ceil(np.log2(max(1.0, rows / per_block)))))) if len(sample) > 20 * k else 0
         self.center = sample.mean(0) if len(sample) else 0.0
         self.planes = np.random.default_rng(seed + 1).standard_normal((sample.shape[1], self.bits))
-        share = np.bincount(self.cells(sample), minlength=1 << self.bits) / max(1, len(sample))
+        share = np.bincount(self.cells(sample), minlength=1 << self.bits) / len(sample) if len(sample) else np.ones(1)
         self.salts = np.maximum(1, np.ceil(share * rows / per_block)).astype(np.int64)
         self.probes = 1 << self.bits
         if self.bits:
@@ -171,6 +173,12 @@ class Router:
         flipped = (s > 0)[:, None, :] != every.astype(bool)
         return np.argsort((flipped * np.abs(s)[:, None, :]).sum(2), axis=1, kind="stable")
 
+    def asked(self, q: np.ndarray):
+        """(query, cell, salt) of the blocks that each query is sent to; cells are put in order for a few queries at a time."""
+        for start in range(0, len(q), 32):
+            for i, cells in enumerate(self.order(q[start : start + 32])[:, : self.probes].tolist(), start):
+                yield from ((i, c, s) for c in cells for s in range(self.salts[c]))
+
 
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, trees: int = 24, recall: float = 0.95, seed: int = 11,
             rows_per_block: int = 1 << 14, sample_rows: int = 4096) -> DataFrame:
@@ -180,37 +188,37 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, trees: int =
     those of their own length only. Rows that share a vec_id with the query are its own and no candidates; of rows that share one
     among themselves the nearest counts, and of query rows the least vector. Fewer than k candidates: all. An empty table gives no
     rows. Other columns are left out. The index is fitted on sample_rows rows, chosen by hash, and holds every row. A
-    block is bounded by rows_per_block as far as the sample tells, whatever vectors are frequent, as full cells are dealt by hash of vec_id.
+    block is bounded by rows_per_block as far as the sample tells, whatever vectors are frequent, as full cells are dealt by hash of vec_id;
+    vectors of a length that the sample lacks are dealt by their count, and all of them are measured.
     """
     spark = embeddings.sparkSession
     prepare(spark, 2048)
     rows, asked = usable(embeddings), usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    total = rows.count()
-    blocks = groups_for(total, rows_per_block)
+    counts = {r["n"]: r["count"] for r in rows.groupBy(F.size("embedding").alias("n")).count().collect()}  # a row a length of vectors
+    blocks = groups_for(sum(counts.values()), rows_per_block)
     picked = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "embedding").limit(sample_rows).collect()  # bounded by sample_rows
     by_length: dict[int, list] = {}
     for r in picked:
         by_length.setdefault(len(r["embedding"]), []).append(r["embedding"])
     each = recall**0.5  # routing and forest miss alike, unless every cell is asked
-    routers = {n: Router(np.array(v), total * len(v) / len(picked), rows_per_block, k, seed, each) for n, v in by_length.items()}
+    routers = {n: Router(np.array(by_length.get(n, np.zeros((0, n)))), c, rows_per_block, k, seed, each) for n, c in counts.items()}
     fractions = {n: fit_fraction(np.array(v), k, trees, seed, each if routers[n].probes < len(routers[n].salts) else recall) for n, v in by_length.items()}
     tools = spark.sparkContext.broadcast((fractions, routers))  # bounded by the sample
 
     def place(batches):
         for pdf in batches:
             for (kind, dim), part in pdf.assign(dim=pdf["embedding"].map(len)).groupby(["kind", "dim"], sort=False):
-                router = tools.value[1].get(int(dim))
+                router = tools.value[1][int(dim)]
                 ids = part["vec_id"].to_numpy(np.int64)
                 x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                if router is None:  # a length that the sample lacks: one block
-                    at = [(i, 0, 0) for i in range(len(ids))]
-                elif kind == 0:
+                if kind == 0:
                     cells = router.cells(x)
-                    at = [(i, c, (v * 0x9E3779B97F4A7C15 >> 40 & 0xFFFFFF) % router.salts[c]) for i, (c, v) in enumerate(zip(cells.tolist(), ids.tolist()))]
+                    places = ((i, c, (v * 0x9E3779B97F4A7C15 >> 40 & 0xFFFFFF) % router.salts[c]) for i, (c, v) in enumerate(zip(cells.tolist(), ids.tolist())))
                 else:
-                    at = [(i, c, s) for i, cells in enumerate(router.order(x)[:, : router.probes].tolist()) for c in cells for s in range(router.salts[c])]
-                i = [a[0] for a in at]
-                yield pd.DataFrame({"dim": dim, "cell": [a[1] for a in at], "salt": [a[2] for a in at], "kind": kind, "vec_id": ids[i], "embedding": list(x[i])})
+                    places = router.asked(x)
+                for at in batched(places, 4096):  # a query's copies can be many
+                    i = [a[0] for a in at]
+                    yield pd.DataFrame({"dim": dim, "cell": [a[1] for a in at], "salt": [a[2] for a in at], "kind": kind, "vec_id": ids[i], "embedding": list(x[i])})
 
     both = rows.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)))
     placed = both.mapInPandas(place, "dim int, cell int, salt int, kind int, vec_id long, embedding array<double>")
