@@ -2,7 +2,8 @@
 
 A document's pre-tokens are leaves of a segment tree that holds sums of their token counts. An edit re-reads the text from
 the last boundary it can't have moved to the first old boundary that the new reading meets again; only pre-tokens
-between are encoded anew, and only the sums above them change.
+between are encoded anew, and only the sums above them change. The text is held as its pre-tokens alone, so an edit lays out no more
+than the chunks that it reads, however long the text is.
 """
 
 from __future__ import annotations
@@ -89,28 +90,31 @@ class Edit:
 
 
 class Document:
-    """A text with its pre-tokens in chunks, and trees of their lengths and token counts."""
+    """A text as its pre-tokens in chunks, and trees of their lengths and token counts."""
 
     def __init__(self, text: str):
         self.pattern, self.counts = tools()
-        self.text = text
         pre = self.pattern.findall(text)
         self.chunks = [pre[k : k + LEAVES] for k in range(0, len(pre), LEAVES)] or [[]]
         get = self.counts.__getitem__
         self.lengths = SumTree([sum(map(len, c)) for c in self.chunks])
         self.tokens = SumTree([sum(map(get, c)) for c in self.chunks])
-        self.encoded = 0
+        self.encoded = 0  # pre-tokens read anew for edits
+        self.read = 0  # characters laid out to read them
+
+    @property
+    def text(self) -> str:
+        return "".join(p for c in self.chunks for p in c)
 
     @property
     def n_tokens(self) -> int:
         return self.tokens.total
 
     def boundary(self, place: int) -> tuple[int, int, int]:
-        """(chunk, index in it, place) of the last pre-token boundary at or before the place."""
+        """(chunk, index in it, place) of the start of the pre-token that holds the place; the start of an empty text."""
+        if not self.lengths.total:
+            return 0, 0, 0
         chunk, at = self.lengths.find(max(0, place))
-        while chunk >= len(self.chunks) or (not self.chunks[chunk] and chunk):
-            chunk -= 1
-            at = self.lengths.find(0)[1] if chunk < 0 else sum(self.lengths.node[self.lengths.width : self.lengths.width + chunk])
         for k, p in enumerate(self.chunks[chunk]):
             if at + len(p) > place:
                 return chunk, k, at
@@ -118,14 +122,22 @@ class Document:
         return chunk, len(self.chunks[chunk]), at
 
     def apply(self, edit: Edit) -> None:
-        new = self.text[: edit.start] + edit.text + self.text[edit.stop :]
-        shift = len(new) - len(self.text)
+        """Read anew from the boundary before the edit until an old boundary is met beyond it; the rest of the text isn't touched."""
+        shift = len(edit.text) - (edit.stop - edit.start)
         # two characters before the edit are the furthest that a pre-token's end looks ahead
         chunk, k, at = self.boundary(edit.start - 2)
+        held, last = ["".join(self.chunks[chunk][k:])], chunk
+        size = len(held[0])
+        while at + size < edit.stop and last + 1 < len(self.chunks):
+            last += 1
+            held.append("".join(self.chunks[last]))
+            size += len(held[-1])
+        old = "".join(held)
+        window = old[: edit.start - at] + edit.text + old[edit.stop - at :]
         old_chunk, old_k, old_at = chunk, k, at
         fresh: list[str] = []
         place = at
-        while place < len(new):
+        while True:
             # old boundaries catch up; where both readings stop beyond the edit, they agree from there on
             while old_chunk < len(self.chunks) and old_at + shift < place:
                 if old_k >= len(self.chunks[old_chunk]):
@@ -135,13 +147,19 @@ class Document:
                 old_k += 1
             if place >= edit.start + len(edit.text) and old_at >= edit.stop and old_at + shift == place:
                 break
-            p = self.pattern.match(new, place)[0]
-            fresh.append(p)
-            place += len(p)
-        else:
-            old_chunk, old_k = len(self.chunks) - 1, len(self.chunks[-1])
+            found = self.pattern.match(window, place - at)
+            # an end that near to the window's could be another in the whole text
+            while (found is None or found.end() + 2 > len(window)) and last + 1 < len(self.chunks):
+                last += 1
+                window += "".join(self.chunks[last])
+                found = self.pattern.match(window, place - at)
+            if found is None:
+                old_chunk, old_k = len(self.chunks) - 1, len(self.chunks[-1])
+                break
+            fresh.append(found[0])
+            place = at + found.end()
         self.encoded += len(fresh)
-        self.text = new
+        self.read += len(window)
         if old_chunk >= len(self.chunks):
             old_chunk, old_k = len(self.chunks) - 1, len(self.chunks[-1])
         tail = self.chunks[old_chunk][old_k:]

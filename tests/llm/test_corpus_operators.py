@@ -401,6 +401,23 @@ def test_neighbours_edges(spark):
     assert annforest.nearest(small.limit(0), small.limit(0)).count() == 0
 
 
+def test_neighbours_of_rare_lengths(spark):
+    """Vectors of a length that the sample lacks are found whole, dealt into bounded blocks; a query's copies leave in slices."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(2 + i % 5).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in annforest.nearest(df, df.where("vec_id % 20 = 0"), rows_per_block=8, sample_rows=2).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q in range(0, 300, 20):
+        like = [(float(annforest.exact(np.array(rows[q][1]), np.array([v]))[0]), i) for i, v in rows if len(v) == len(rows[q][1]) and i != q]
+        assert [found[q][k] for k in range(1, 11)] == [i for _, i in sorted(like)[:10]]
+    router = annforest.Router(rng.standard_normal((400, 6)), 1 << 16, 1 << 12, 10, 11, 0.97)
+    asked = rng.standard_normal((70, 6))
+    want = [(i, c, s) for i, cells in enumerate(router.order(asked)[:, : router.probes].tolist()) for c in cells for s in range(router.salts[c])]
+    assert router.bits == 4 and list(router.asked(asked)) == want
+
+
 # 7
 
 
@@ -477,6 +494,28 @@ def test_edited_token_counts():
             assert doc.encoded - before <= len(new) + 40 + size
 
 
+def test_edits_of_a_long_text_read_little_of_it():
+    """Many edits of one long text lay out what is around them, and count as encoding the whole result does."""
+    rng = random.Random(12)
+    words = ["alpha", "beta", "12", "x@y.com", "me@site.org", "--", "don't", "\n\n"]
+    text = " ".join(rng.choice(words) for _ in range(60_000))
+    doc, edits = tokencount.Document(text), tokencount.masks(text, re.compile(tokencount.EMAIL), "<EMAIL>")
+    for e in edits:
+        doc.apply(e)
+    want = re.sub(tokencount.EMAIL, "<EMAIL>", text)
+    assert len(edits) > 10_000 and doc.text == want and doc.n_tokens == len(packing.Encoder.get().plain(want))
+    assert doc.read < 2_000 * len(edits) and doc.encoded < 20 * len(edits)
+    doc = tokencount.Document("a" * 50_000 + " " * 50_000 + "b")  # long pre-tokens, cut, joined and taken away
+    for e in (tokencount.Edit(49_990, 99_995, ""), tokencount.Edit(10, 20, " "), tokencount.Edit(3, len(doc.text) - 50_005, "c"), tokencount.Edit(0, 2, "")):
+        want = doc.text[: e.start] + e.text + doc.text[e.stop :]
+        doc.apply(e)
+        assert doc.text == want and doc.n_tokens == len(packing.Encoder.get().plain(want))
+    doc.apply(tokencount.Edit(0, len(doc.text), ""))
+    assert (doc.text, doc.n_tokens) == ("", 0)
+    doc.apply(tokencount.Edit(0, 0, "new text"))
+    assert (doc.text, doc.n_tokens) == ("new text", len(packing.Encoder.get().plain("new text")))
+
+
 def test_edited_token_counts_on_tables(spark):
     encoder = packing.Encoder.get()
     rows = docs_of(spark)[:100] + messy(spark)[0] + [(900, "write to me@site.org now, or you@x.y.com", "en", "s", 1)]
