@@ -142,7 +142,7 @@ def compare(sets: list[np.ndarray], keys: np.ndarray, mask: int, left: np.ndarra
 
 
 def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, depth: int = 6, recall: float = 0.999999, least_recall: float = 0.9999,
-         full: int = 128, block: int = 512, one_each: bool = False) -> DataFrame:
+         full: int = 128, block: int = 512, volume: int = 1 << 22, one_each: bool = False) -> DataFrame:
     """docs with n_shingles, class_id and n_links; with one_each, docs themselves, of each class one row.
 
     n_links is the number of other rows whose set has a Jaccard similarity of threshold or more with the row's own, copies
@@ -154,6 +154,8 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
     A pair at the threshold is found with `recall`, or `least_recall` if its nodes in all trees hold more than `full` sets; a more
     similar pair is found more surely. The row that stays of a class is that of the least doc_id, nulls last; among rows of one doc_id,
     that of the least hash. A class is one of linked sets here, whatever ids its rows have. Rows without shingles all stay.
+
+    Nodes of more than `block` sets, or of more than `volume` shingles in all, are dealt into blocks, so what meets in a task is bounded for long texts too.
     """
     spark = docs.sparkSession
     prepare(spark, 256)
@@ -182,10 +184,10 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
     sets = of_text.join(ids, ["key_a", "key_b"]).groupBy("set_a", "set_b").agg(
         F.sum("rows").alias("rows"), F.min("least").alias("least"), F.min(F.struct("key_a", "key_b", "least")).alias("stands")).checkpoint()
 
-    one = signed.groupBy("set_a", "set_b").agg(F.first("paths").alias("paths"))  # equal sets have equal prefixes
+    one = signed.groupBy("set_a", "set_b").agg(F.first("paths").alias("paths"), F.first("n_shingles").alias("n_shingles"))  # equal sets have equal prefixes
     levels = high - low + 1
     starts = [F.struct(F.lit(t).alias("tree"), F.slice("paths", t * levels + 1, levels).alias("path")) for t in range(trees)]
-    live = one.select("set_a", "set_b", F.explode(F.array(*starts)).alias("at")).select("set_a", "set_b", "at.tree", "at.path", F.col("at.path")[0].alias("key"))
+    live = one.select("set_a", "set_b", "n_shingles", F.explode(F.array(*starts)).alias("at")).select("set_a", "set_b", "n_shingles", "at.tree", "at.path", F.col("at.path")[0].alias("key"))
     nodes, deeper = [], []
     for level in range(levels):
         # a key names its tree too; few sets share a node with others, and only they go on
@@ -196,12 +198,12 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
             break
         nodes.append(shared.where(~too_full))
         # the sets of nodes that are too full stay below, on a longer prefix
-        live = shared.where(too_full).select("set_a", "set_b", "tree", "path", F.col("path")[level + 1].alias("key"))
+        live = shared.where(too_full).select("set_a", "set_b", "n_shingles", "tree", "path", F.col("path")[level + 1].alias("key"))
         deeper.append(live.select("set_a", "set_b", F.expr("shiftleft(1L, 2 * tree)").alias("deep")))
-    placed = reduce(DataFrame.unionByName, nodes).select("set_a", "set_b", "tree", "key", "g")
-    groups = placed.groupBy("tree", "key").agg(F.first("g").alias("g"), F.bit_xor("set_a").alias("x"), F.bit_xor("set_b").alias("y"))
-    same = groups.groupBy("g", "x", "y").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mask"), F.min(F.struct("tree", "key")).alias("at"))
-    members = placed.join(same.select("at.tree", "at.key", "mask"), ["tree", "key"]).join(sets.select("set_a", "set_b", "rows", "stands.*"), ["set_a", "set_b"])
+    placed = reduce(DataFrame.unionByName, nodes).select("set_a", "set_b", "n_shingles", "tree", "key", "g")
+    groups = placed.groupBy("tree", "key").agg(F.first("g").alias("g"), F.sum("n_shingles").alias("v"), F.bit_xor("set_a").alias("x"), F.bit_xor("set_b").alias("y"))
+    same = groups.groupBy("g", "x", "y").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mask"), F.min(F.struct("tree", "key")).alias("at"), F.max("v").alias("v"))
+    members = placed.drop("n_shingles").join(same.select("at.tree", "at.key", "mask", "v"), ["tree", "key"]).join(sets.select("set_a", "set_b", "rows", "stands.*"), ["set_a", "set_b"])
     # two bits a tree: how many minima longer than the shortest prefix the set's node is
     if deeper:
         depths = reduce(DataFrame.unionByName, deeper).groupBy("set_a", "set_b").agg(F.sum("deep").alias("deep"))
@@ -209,7 +211,7 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
     else:
         members = members.withColumn("deep", F.lit(0).cast("long"))
     # blocks of a large group: every pair of blocks is a task, so a set goes to as many as there are blocks
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("g") / block)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("g") / block), F.ceil(F.col("v") / volume)).cast("int")
     own = F.pmod(F.xxhash64("set_a", "set_b"), F.col("_m")).cast("int")
     wanted = members.withColumn("_m", blocks).withColumn("_o", own).groupBy("key_a", "key_b", "least", F.coalesce("deep", F.lit(0)).cast("long").alias("deep")).agg(
         F.collect_list(F.struct("tree", "key", "mask", "rows", "_m", "_o")).alias("nodes"))
@@ -218,8 +220,9 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
     first_text = named.join(wanted, (named["key_a"] == wanted["key_a"]) & (named["key_b"] == wanted["key_b"]) & named["doc_id"].eqNullSafe(wanted["least"])).select("text", "deep", "nodes")
 
     def send(batches):
+        columns = ["tree", "key", "lo", "hi", "own", "mask", "set_a", "set_b", "rows", "prefixes", "data"]
         for pdf in batches:
-            out = []
+            out, size = [], 0
             for text, deep, at in zip(pdf["text"], pdf["deep"], pdf["nodes"]):
                 s = shingles(text, k)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -231,7 +234,11 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 20, d
                     for other in range(m):
                         lo, hi = min(o, other), max(o, other)
                         out.append((r["tree"], r["key"], lo, hi, o, r["mask"], sa, sb, r["rows"], prefixes, raw))
-            yield pd.DataFrame(out, columns=["tree", "key", "lo", "hi", "own", "mask", "set_a", "set_b", "rows", "prefixes", "data"])
+                        size += len(raw)
+                        if size > 1 << 24:  # a long set of many nodes and blocks leaves in parts
+                            yield pd.DataFrame(out, columns=columns)
+                            out, size = [], 0
+            yield pd.DataFrame(out, columns=columns)
 
     sent_type = "tree int, key long, lo int, hi int, own int, mask long, set_a long, set_b long, rows long, prefixes array<long>, data binary"
     sent = first_text.mapInPandas(send, sent_type).repartition(n, "tree", "key", "lo", "hi").sortWithinPartitions("tree", "key", "lo", "hi", "set_a", "set_b")

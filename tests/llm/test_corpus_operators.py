@@ -558,8 +558,8 @@ def brute_join(rows):
     return Counter((r[0], least.get(root(i)), links[i]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("block, full", [(512, 128), (4, 128), (512, 2), (4, 3)])
-def test_jaccard_join(spark, block, full):
+@pytest.mark.parametrize("block, full, volume", [(512, 128, 1 << 22), (4, 128, 1 << 22), (512, 2, 1 << 22), (4, 3, 1 << 22), (512, 128, 600)])
+def test_jaccard_join(spark, block, full, volume):
     rng = random.Random(6)
     words = ["w%d" % i for i in range(300)]
     rows = messy(spark)[0]
@@ -575,7 +575,7 @@ def test_jaccard_join(spark, block, full):
         ws = list(hot)
         ws[rng.randrange(150)] = "edit%d" % i
         rows.append((len(rows) + 100, " ".join(ws), "en", "s", 1))
-    found = jaccardforest.join(clashing(table(spark, rows)), block=block, full=full).collect()
+    found = jaccardforest.join(clashing(table(spark, rows)), block=block, full=full, volume=volume).collect()
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == brute_join(rows)
     assert jaccardforest.join(table(spark, [])).count() == 0
 
