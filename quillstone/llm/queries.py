@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import annforest, cascade, ebquality, htmlmain, jaccardforest, langid, mixing, packing, suffixdedup, tokencount
+from quillstone.llm import annforest, cascade, divergence, ebquality, geneticpack, htmlmain, jaccardforest, langid, mixing, packing, suffixdedup, tokencount, whitening
 from quillstone.llm.common import read
 from quillstone.llm.oracles import ORACLES
 
@@ -58,10 +58,25 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p_doc", "site_mean", "path_mean", "quality_score", "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    exact = F.expr("try_cast(deviation AS long)")  # null where no long holds it
+    return found.select("vec_id", "component", "n", exact.alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geneticpack.pack(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_mix_sources, op2_html_main_text, op3_language_id, op4_quality_cascade, op5_pack_sequences,
-        op6_nearest_vectors, op7_suffix_dedup, op8_edited_token_counts, op9_ngram_jaccard_join, op10_site_quality)}
+        op6_nearest_vectors, op7_suffix_dedup, op8_edited_token_counts, op9_ngram_jaccard_join, op10_site_quality,
+        op11_whitening, op12_source_divergence, op13_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
