@@ -7,9 +7,11 @@ poorly filled sequences is dealt into groups once more and packed together.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,25 +23,28 @@ from quillstone.llm.common import groups_for, partitions, prepare, written
 
 
 class WordEncoder:
-    """Ids of a BPE vocabulary with word ends, as the `tokenizers` file gives them.
+    """Token ids, as bytes of four each, of a BPE vocabulary with word ends, as the `tokenizers` file gives them.
 
     Such a vocabulary encodes each piece of the pre-tokenizer's pattern by itself, so pieces met before are looked up and new ones go to
-    `tokenizers`. Texts with other characters than plain white space, printable ASCII and Latin letters, on which pattern engines could
-    differ, and texts with special tokens go to `tokenizers` whole.
+    `tokenizers` together. Texts with other characters than plain white space, printable ASCII and Latin letters, on which pattern engines
+    could differ, and texts that may hold special tokens go to `tokenizers` whole.
     """
 
     _kept: dict = {}
-    PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*\Z")
+    LAST = 0x24F
+    PLAIN = re.compile(f"[\t\n\r\x20-\x7e\xa1-{chr(LAST)}]*\\Z")
 
     def __init__(self, json_path: str, most_known: int = 500_000):
-        import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores
         self.full = Tokenizer.from_file(json_path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.most_known = most_known
-        # the pieces of the file's own pattern
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x21, self.LAST + 1) if unicodedata.category(chr(c))[0] == kind)
+        letter, number = of("L"), of("N")
+        # the pieces of the file's own pattern, over the characters of PLAIN
+        self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+").findall
 
     @classmethod
     def get(cls, json_path: str | None = None) -> WordEncoder:
@@ -50,23 +55,44 @@ class WordEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def __call__(self, text: str) -> list[int]:
-        if "<|" in text or not self.PLAIN.match(text):
-            return self.full.encode(text, add_special_tokens=False).ids
-        # small letters one by one, as the file's normalizer makes them
-        pieces = self.pieces(unicodedata.normalize("NFC", text).lower())
-        known = self.known
-        new = [w for w in set(pieces) if w not in known]
-        if new:
-            if len(known) > self.most_known:
-                known.clear()
-                new = list(set(pieces))
-            for w, e in zip(new, self.full.encode_batch(new, add_special_tokens=False)):
-                known[w] = e.ids
-        ids: list[int] = []
-        for w in pieces:
-            ids += known[w]
-        return ids
+    def whole(self, text: str) -> bytes:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """Encode pieces in one text: each is a word of it by itself."""
+        found = self.full.encode(" ".join(new), add_special_tokens=False)
+        word, ids = np.array(found.word_ids), np.array(found.ids, dtype="<u4")
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        if len(first) != len(new):
+            self.known.update((w, self.whole(w)) for w in new)
+            return
+        raw, ends = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+        self.known.update((w, raw[a:b]) for w, a, b in zip(new, ends, ends[1:]))
+
+    def many(self, texts: Iterable[str], pieces_at_once: int = 200_000) -> Iterator[bytes]:
+        """Ids of each text; new pieces of some texts are learnt together, and pieces_at_once or those of one longer text are held."""
+        held: list = []
+        count = 0
+
+        def ready() -> Iterator[bytes]:
+            new = list({w for p in held if isinstance(p, list) for w in p if w not in self.known})
+            if len(self.known) + len(new) > self.most_known:
+                self.known.clear()
+                new = list({w for p in held if isinstance(p, list) for w in p})
+            for k in range(0, len(new), 4096):
+                self.learn(new[k : k + 4096])
+            get = self.known.__getitem__
+            yield from (b"".join(map(get, p)) if isinstance(p, list) else self.whole(p) for p in held)
+            held.clear()
+
+        for text in texts:
+            plain = "<|" not in text and self.PLAIN.match(text)
+            held.append(self.pieces(text.lower()) if plain else text)
+            count += len(held[-1]) if plain else 0
+            if count > pieces_at_once:
+                yield from ready()
+                count = 0
+        yield from ready()
 
 
 class Rooms:
@@ -251,15 +277,15 @@ def pack(docs: DataFrame, capacity: int = 2048, separator_id: int = 0, per_group
     prepare(spark)
 
     def cut(batches):
-        encode = WordEncoder.get(json_path)
-        task, row = TaskContext.get().partitionId(), 0
+        encoder = WordEncoder.get(json_path)
+        task, row, end = TaskContext.get().partitionId(), 0, np.array([separator_id], dtype="<u4").tobytes()
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.array([*encode(text or ""), separator_id], dtype="<u4")
-                for at in range(0, len(ids), capacity):
-                    raw = ids[at : at + capacity].tobytes()
-                    out.append(((task << 38) + row, doc_id, at // capacity, at, len(raw) // 4, zlib.crc32(raw)))
+            for doc_id, ids in zip(pdf["doc_id"], encoder.many(t or "" for t in pdf["text"])):
+                ids += end
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    raw = ids[at : at + 4 * capacity]
+                    out.append(((task << 38) + row, doc_id, k, at // 4, len(raw) // 4, zlib.crc32(raw)))
                     row += 1
             yield pd.DataFrame(out, columns=["key", "doc_id", "piece", "start", "length", "ids_crc32"])
 
