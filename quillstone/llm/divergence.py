@@ -210,8 +210,10 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200, rows_per_block:
     prepare(spark)
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     counts = term_counts(named, bytes_at_once).repartition("lang", "term")
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("df")).where(F.col("df") >= least_docs).select("lang", "term", "lang_n")
-    summed = counts.join(kept.hint("shuffle_hash"), ["lang", "term"]).groupBy("lang", "source", "term", "lang_n").agg(F.sum("n").alias("n"))
+    # both uses read all columns of the counts, so the same shuffle serves both
+    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("df"), F.count("source").alias("rows"))
+    kept = kept.where((F.col("df") >= least_docs) & (F.col("rows") > 0)).select("lang", "term", "lang_n")
+    summed = counts.join(kept.hint("shuffle_hash"), ["lang", "term"]).groupBy("lang", "source", "term", "lang_n").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     kept = written(summed)
     # a row for each lang, and one for each group: small beside the counts
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.ceil(F.count("*") / rows_per_block).cast("int").alias("blocks"))
