@@ -22,11 +22,16 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import groups_for, partitions, prepare, written
 
 
+#: The sign that byte-level vocabularies write for each byte: itself if it is a printable one of Latin-1, else the next beyond them.
+PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTE_SIGNS = {b: chr(b) for b in PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
+
 class WordEncoder:
     """Token ids, as bytes of four each, of a BPE vocabulary with word ends, as the `tokenizers` file gives them.
 
-    Such a vocabulary encodes each piece of the pre-tokenizer's pattern by itself, so pieces met before are looked up and new ones go to
-    `tokenizers` together. Texts with other characters than plain white space, printable ASCII and Latin letters, on which pattern engines
+    Such a vocabulary encodes each piece of the pre-tokenizer's pattern by itself, and no piece goes across white space. So words between
+    white space that were met before are looked up, and pieces of new ones go to the model of `tokenizers`. Texts with other characters than plain white space, printable ASCII and Latin letters, on which pattern engines
     could differ, and texts that may hold special tokens go to `tokenizers` whole.
     """
 
@@ -34,12 +39,15 @@ class WordEncoder:
     LAST = 0x24F
     PLAIN = re.compile(f"[\t\n\r\x20-\x7e\xa1-{chr(LAST)}]*\\Z")
 
-    def __init__(self, json_path: str, most_known: int = 500_000):
+    def __init__(self, json_path: str, most_known: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores
         self.full = Tokenizer.from_file(json_path)
+        self.model = self.full.model
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.full.get_vocab_size())]
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.most_known = most_known
         of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x21, self.LAST + 1) if unicodedata.category(chr(c))[0] == kind)
         letter, number = of("L"), of("N")
@@ -58,41 +66,34 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        """Encode pieces in one text: each is a word of it by itself."""
-        found = self.full.encode(" ".join(new), add_special_tokens=False)
-        word, ids = np.array(found.word_ids), np.array(found.ids, dtype="<u4")
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        if len(first) != len(new):
-            self.known.update((w, self.whole(w)) for w in new)
-            return
-        raw, ends = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
-        self.known.update((w, raw[a:b]) for w, a, b in zip(new, ends, ends[1:]))
-
-    def many(self, texts: Iterable[str], pieces_at_once: int = 200_000) -> Iterator[bytes]:
-        """Ids of each text; new pieces of some texts are learnt together, and pieces_at_once or those of one longer text are held."""
-        held: list = []
-        count = 0
-
-        def ready() -> Iterator[bytes]:
-            new = list({w for p in held if isinstance(p, list) for w in p if w not in self.known})
-            if len(self.known) + len(new) > self.most_known:
-                self.known.clear()
-                new = list({w for p in held if isinstance(p, list) for w in p})
-            for k in range(0, len(new), 4096):
-                self.learn(new[k : k + 4096])
-            get = self.known.__getitem__
-            yield from (b"".join(map(get, p)) if isinstance(p, list) else self.whole(p) for p in held)
-            held.clear()
-
+    def learn(self, words: list[str]) -> None:
+        """Ids of words between white space: their pieces, each looked up or encoded by the model, which takes bytes as the signs that stand for them."""
+        known, parts, tokenize, ids_of = self.known, self.parts, self.model.tokenize, self.id_bytes
+        for w in words:
+            made = []
+            for p in (w,) if w.isascii() and w.isalpha() else self.pieces(w):
+                found = parts.get(p)
+                if found is None:
+                    signs = p if p.isascii() else "".join(map(BYTE_SIGNS.__getitem__, p.encode()))
+                    found = parts[p] = b"".join([ids_of[t.id] for t in tokenize(signs)])
+                made.append(found)
+            known[w] = b"".join(made)
+
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text."""
+        known, get = self.known, self.known.__getitem__
         for text in texts:
-            plain = "<|" not in text and self.PLAIN.match(text)
-            held.append(self.pieces(text.lower()) if plain else text)
-            count += len(held[-1]) if plain else 0
-            if count > pieces_at_once:
-                yield from ready()
-                count = 0
-        yield from ready()
+            if "<|" in text or not self.PLAIN.match(text):
+                yield self.whole(text)
+                continue
+            words = text.lower().split()
+            new = [w for w in set(words) if w not in known]
+            if len(known) + len(new) > self.most_known:
+                known.clear()
+                self.parts.clear()
+                new = list(set(words))
+            self.learn(new)
+            yield b"".join(map(get, words))
 
 
 class Rooms:
