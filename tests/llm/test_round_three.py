@@ -232,11 +232,10 @@ def test_word_encoder():
     rng = random.Random(6)
     alphabet = list("abcXYZ019'’.,!?-_ \t\n\r\x0b\x0c") + ["'s", "'LL", "é", "É", "ß", "ĳ", "İ", "ǅ", "ª", "²", "¼", " ", "­", "\x1c", "\x85", "<|endoftext|>", "日", "Σ", "é", "ﬀ", " "]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 25))) for _ in range(3000)]
-    for at_once in (40, 200_000):
-        for text, ids in zip(texts, enc.many(texts, at_once), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == full.encode(text, add_special_tokens=False).ids, repr(text)
+    for text, ids in zip(texts, enc.many(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == full.encode(text, add_special_tokens=False).ids, repr(text)
     small = geneticpack.WordEncoder(__import__("public_tokenizers").path("word_bpe_49k.json"), most_known=50)
-    assert list(small.many(texts, 100)) == list(enc.many(texts)) and len(small.known) < 400
+    assert list(small.many(texts)) == list(enc.many(texts)) and len(small.known) < 100
 
 
 def test_genetic_search_beats_best_fit():
