@@ -3,7 +3,8 @@
 Sources get target sizes by filling up: targets in proportion to weight, none above its cap.
 A low-discrepancy schedule then deals equal-token slots to sources: the n-th point of a
 golden-ratio sequence falls into one source's interval of the cumulative targets. The k-th slot of a source
-takes the k-th block of that source's shuffled stream of documents, which runs twice at most.
+takes the k-th block of that source's shuffled stream of documents, which runs twice at most. Slots are places in the mix: sorted by place,
+every stretch of it has the sources in proportion to their targets.
 
 A hot source never meets in one task: its documents are dealt into hash buckets of bounded size and its
 slots into chunks of the sequence, and both are numbered by adding the offsets of the buckets before.
@@ -66,10 +67,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
 
 
 def schedule(targets: DataFrame, slots: int, chunk: int = 1 << 16) -> DataFrame:
-    """slot, source, rank: the low-discrepancy sequence of sources, each slot ranked from 1 within its source.
-
-    Rank 0 isn't in the sequence: it is the opening slot that every source has.
-    """
+    """slot, source, rank: the low-discrepancy sequence of sources, each slot ranked from 1 within its source."""
     spark = targets.sparkSession
     edges = targets.where("target > 0").select(
         "source",
@@ -93,15 +91,15 @@ def schedule(targets: DataFrame, slots: int, chunk: int = 1 << 16) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0,
         seed: int = 7, docs_per_bucket: int = 4096, slots: int = 1 << 17) -> DataFrame:
-    """One row per document: doc_id, source, key_a, key_b, size, source_size, target, taken.
+    """One row per document: doc_id, source, key_a, key_b, size, source_size, target, taken, place.
 
     size is the number of words (0 of a null text); taken is how many of them the mix takes, counting
-    repeats. A null source is a source of its own. Repeated rows count as documents of their own and share
+    repeats. place is where the document first comes in the mix: the slot of the schedule that deals its first block, null if none is taken. A null source is a source of its own. Repeated rows count as documents of their own and share
     taken words in any order among themselves; documents without words take none. key_a and key_b are hashes of the row,
     to join whole texts again. Other columns are left out. An empty table gives no rows.
-    A source's first block opens the mix and the sequence deals the rest, with a little to spare. A source of a few blocks
-    that the sequence serves late gets the ranks it still lacks after it, and each source stops at its target, so a source's words
-    differ from its target by rounding, however large a block is.
+    The sequence deals the blocks, with a little to spare. A source of a few blocks that the sequence serves late gets the ranks it still lacks
+    in the slots after it, and each source stops at its target, so a source's words differ from its target by rounding, however large
+    a block is.
     """
     keyed = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"),
@@ -134,19 +132,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     pieces = runs.withColumn(
         "_block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"_lo div {block}"), F.expr(f"(_lo + size - 1) div {block}"))))
     )
-    dealt = schedule(targets, math.ceil(1.02 * slots) + 64).select(F.col("source").alias("_s"), F.col("rank").alias("_k"))
+    length = math.ceil(1.02 * slots) + 64
+    dealt = schedule(targets, length).select(F.col("source").alias("_s"), (F.col("rank") - 1).alias("_k"), F.col("slot").alias("_slot"))
     limit = F.floor(F.col("target") + 0.5)
-    # the ranks that the sequence has not come to: from one after its last to that of the target's last block
+    # the blocks that the sequence has not come to: from the one after its last to the target's last block
     got = dealt.groupBy(F.col("_s").alias("_g")).agg(F.max("_k").alias("_most"))
-    first = F.coalesce(F.col("_most"), F.lit(0)) + 1
-    behind = targets.join(got, F.col("source").eqNullSafe(F.col("_g")), "left").withColumn("_need", F.expr(f"(floor(target + 0.5) - 1) div {block}")).where(first <= F.col("_need"))
-    rest = behind.select(F.col("source").alias("_s"), F.explode(F.sequence(first, F.col("_need"))).alias("_k"))
-    opening = targets.select(F.col("source").alias("_s"), F.lit(0).cast("long").alias("_k"))
-    taken = pieces.join(dealt.unionByName(rest).unionByName(opening), pieces["source"].eqNullSafe(F.col("_s")) & (pieces["_block"] == F.col("_k")), "left")
+    first = F.coalesce(F.col("_most") + 1, F.lit(0))
+    behind = targets.join(got, F.col("source").eqNullSafe(F.col("_g")), "left").withColumn("_need", F.expr(f"(floor(target + 0.5) - 1) div {block}")).where((first <= F.col("_need")) & (limit > 0))
+    rest = behind.select(F.col("source").alias("_s"), F.explode(F.sequence(first, F.col("_need"))).alias("_k"), (F.lit(length + 1) - first).alias("_from"))
+    rest = rest.select("_s", "_k", (F.col("_k") + F.col("_from")).alias("_slot"))
+    taken = pieces.join(dealt.unionByName(rest), pieces["source"].eqNullSafe(F.col("_s")) & (pieces["_block"] == F.col("_k")), "left")
     part = F.least(F.col("_lo") + F.col("size"), (F.col("_block") + 1) * block, limit) - F.greatest(F.col("_lo"), F.col("_block") * block)
     words = F.when(F.col("_k").isNotNull(), F.greatest(part, F.lit(0)))
+    place = F.min(F.when(words > 0, F.col("_slot"))).alias("place")
     by = ["source", "_bucket", "_r", "doc_id", "key_a", "key_b", "size", "source_size", "target"]
-    return taken.groupBy(*by).agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken")).drop("_bucket", "_r")
+    return taken.groupBy(*by).agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"), place).drop("_bucket", "_r")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

@@ -13,7 +13,7 @@ from quillstone.llm.oracles import ORACLES
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "place")
 
 
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
