@@ -5,8 +5,8 @@ recur are deleted. A subtree has two hashes: one of all that is in it, and one o
 role, without digits) and no text, as a menu or an advert says something else on each page. A shape stands for a template only outside the
 article, where it is marked or an element made for the purpose, and holds little of its pages' words.
 
-What a host of few pages repeats can't be told. There, and inside an article, names decide: elements, roles, classes and ids that
-set a part of the page apart. Plain text blocks within an article are never taken for a template.
+What doesn't recur is left to names, on every host: elements, roles, classes and ids that set a part of the page apart, and the article where
+a page has one. Plain text blocks within an article are never taken for a template.
 """
 
 from __future__ import annotations
@@ -192,18 +192,16 @@ def subtrees(root: Node) -> dict[int, int]:
     return out
 
 
-def main_text(page: str, templates: frozenset[int] | set[int] | None = None) -> str:
+def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
     root = parse(page)
-    if templates is not None:
+    if templates:
         digest(root)
     return text_of(root, templates)
 
 
-def text_of(root: Node, templates: frozenset[int] | set[int] | None = None) -> str:
-    """The text outside of templates; if they are None, as of a host of few pages, that which no name sets apart."""
-    named = templates is None
-    known = templates or ()
-    has_article = named and any(n.name in ("article", "main") and not n.apart for n, _ in walk(root))
+def text_of(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> str:
+    """The text outside of templates and of what names set apart: that of the articles, if the page has any."""
+    has_article = any(n.name in ("article", "main") and not n.apart for n, _ in walk(root))
     blocks: list[str] = []
     now: list[str] = []
 
@@ -214,9 +212,9 @@ def text_of(root: Node, templates: frozenset[int] | set[int] | None = None) -> s
             blocks.append(text)
 
     def gone(x: Node) -> bool:
-        if x.apart == SILENT or x.apart and (named or x.article):
+        if templates and (x.digest in templates and templatable(x) or x.shape in templates and shapely(x, root.holds)):
             return True
-        return bool(known) and (x.digest in known and templatable(x) or x.shape in known and shapely(x, root.holds))
+        return bool(x.apart)
 
     todo: list = [root]
     inside = [not has_article]
@@ -254,7 +252,7 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, min_pages: int = 5) -> DataFrame:
-    """host, hash: the subtrees that the host has beside at least min_pages different main texts; of a host of so many, null if there is none.
+    """host, hash: the subtrees that the host has beside at least min_pages different main texts.
 
     Main texts are told by names here. Copies of a page, whatever their URLs, are one; the number does not rise with the size of the host.
     A shape must also hold a quarter of its pages' words at most, over all of them. Each (host, hash, main text) is counted once, dealt by all
@@ -271,7 +269,6 @@ def templates(pages: DataFrame, min_pages: int = 5) -> DataFrame:
                 found = subtrees(root)
                 content = xxhash.xxh3_64_intdigest(text_of(root).encode("utf-8", "surrogatepass")) - (1 << 63)
                 rows += [(h, x, content, words, root.words) for x, words in found.items()]
-                rows.append((h, 0, content, -1, 0))  # for the page itself
             yield pd.DataFrame(rows, columns=["host", "hash", "content", "words", "page_words"])
 
     found = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(emit, "host string, hash long, content long, words long, page_words long")
@@ -286,7 +283,7 @@ def templates_of_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
 
     def emit(batches):
         for pdf in batches:
-            rows = [(h, a, b, x) for h, a, b, page in zip(pdf["host"], pdf["a"], pdf["b"], pdf["html"]) for x in (0, *subtrees(parse(page or "")))]
+            rows = [(h, a, b, x) for h, a, b, page in zip(pdf["host"], pdf["a"], pdf["b"], pdf["html"]) for x in subtrees(parse(page or ""))]
             yield pd.DataFrame(rows, columns=["host", "a", "b", "hash"])
 
     found = pages.mapInPandas(emit, "host string, a long, b long, hash long").withColumn("salt", F.pmod("a", F.lit(salts)).cast("int"))
@@ -299,8 +296,8 @@ def extract(pages: DataFrame, min_pages: int = 5, broadcast_hashes: int = 200_00
     """pages with text and n_chars (code points) in place of html.
 
     A null html is empty, a null url has the empty host; repeated rows stay, but count once for templates. Other columns are kept,
-    those named text or n_chars are replaced. An empty table gives no rows. A host of min_pages different main texts goes by its templates,
-    others by names. Templates are broadcast if all hosts' lists hold broadcast_hashes hashes at most (8 bytes each); beyond
+    those named text or n_chars are replaced. An empty table gives no rows. What recurs beside min_pages different main texts of a host
+    goes as a template; what names set apart goes on every host, however many pages it has. Templates are broadcast if all hosts' lists hold broadcast_hashes hashes at most (8 bytes each); beyond
     that each page gets those that it has.
     """
     prepare(pages.sparkSession)
@@ -311,7 +308,7 @@ def extract(pages: DataFrame, min_pages: int = 5, broadcast_hashes: int = 200_00
 
     @F.pandas_udf("string")
     def text(page: pd.Series, hashes: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p or "", frozenset(h) if h is not None else None) for p, h in zip(page, hashes)], dtype=object)
+        return pd.Series([main_text(p or "", frozenset(h) if h is not None else frozenset()) for p, h in zip(page, hashes)], dtype=object)
 
     if known.count() <= broadcast_hashes:
         lists = known.groupBy(F.col("host").alias(at)).agg(F.collect_list("hash").alias(hashes))
