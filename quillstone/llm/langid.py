@@ -7,18 +7,19 @@ is fitted; texts are scored by batched matrix products with the landmarks.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import fresh, prepare
 from quillstone.llm.grams import packed, presence_by_segment, unpacked
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter; numerals such as those in circles or Roman ones are none.
+LETTER = regex.compile(r"\p{L}")
 DIMS = 1 << 13
 #: Bytes of a segment: presence of n-grams tells little of long texts, which hold them all.
 WIDTH = 768
@@ -121,7 +122,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score; und and 0 where the text is null or has no letter.
 
     Every row is judged by its whole text alone; rows, repeated ones too, and all other columns stay. Columns named
-    lang_pred or score are replaced.
+    lang_pred or score are replaced. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     held = docs.drop("lang_pred", "score")
