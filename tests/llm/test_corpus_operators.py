@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empty texts and tables, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -118,6 +119,58 @@ def test_mixing_schedule_is_spread(spark):
         assert all(abs(seen[x] - n / 3) < 6 for x in "abc")  # equal weights, so equal shares of every prefix
 
 
+def simulated(found, per_bucket, slots, targets):
+    """(taken, place) of each document by key, from the golden-ratio sequence played slot by slot; a block comes from the shuffled stream."""
+    by = {}
+    for r in found:
+        by.setdefault(r["source"], []).append(r)
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    total = sum(targets[s] for s in names)
+    block, length = max(1, math.ceil(total / slots)), math.ceil(1.02 * slots) + 64
+    edges, at = [], 0.0
+    for s in names:
+        edges.append((int(at / total * 2**31), int((at + targets[s]) / total * 2**31) if s != names[-1] else 2**31, s))
+        at += targets[s]
+    words, out = {}, {}
+    for s in names:
+        n = len(by[s])
+        order = sorted(by[s], key=lambda r: (r["key_a"] % (n // per_bucket + 1), r["key_a"], r["key_b"], r["doc_id"] or -1))
+        words[s] = [r for _ in range(2) for r in order for _ in range(r["size"])]
+        out |= {(r["key_a"], r["key_b"]): [0, None] for r in order}
+    drawn = Counter()
+
+    def draw(s, slot):
+        lo = drawn[s] * block
+        drawn[s] += 1
+        for r in words[s][lo : min(lo + block, int(targets[s] + 0.5))]:
+            cell = out[r["key_a"], r["key_b"]]
+            cell[0] += 1
+            cell[1] = min(cell[1] or slot, slot)
+
+    for slot in range(1, length + 1):
+        u = slot * mixing.STEP % 2**31
+        draw(next(s for lo, hi, s in edges if lo <= u < hi), slot)
+    for s in names:
+        for k in range(1, 1 + max(0, -(-int(targets[s] + 0.5) // block) - drawn[s])):
+            draw(s, length + k)
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_mixing_by_simulation(spark, monkeypatch):
+    """Takes and places are those of a schedule played slot by slot; another schedule gives other places."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 40)), "en", rng.choice(["a", "a", "a", "b", "c", None]), 1) for i in range(300)] + [(999, "x y z", "en", "tiny", 1)]
+    df = table(spark, rows)
+    found = mixing.mix(df, docs_per_bucket=32, slots=256).collect()
+    targets = {r["source"]: r["target"] for r in found}
+    assert {(r["key_a"], r["key_b"]): (r["taken"], r["place"]) for r in found} == simulated(found, 32, 256, targets)
+    for other in (lambda t, n, chunk=0, real=mixing.schedule: real(t, n).where("false"), lambda t, n, chunk=0, real=mixing.schedule: real(t, n).withColumn("slot", 1 + (7 * mixing.F.col("slot")) % n)):
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "schedule", other)
+            moved = {(r["key_a"], r["key_b"]): r["place"] for r in mixing.mix(df, docs_per_bucket=32, slots=256).collect()}
+        assert sum(moved[r["key_a"], r["key_b"]] != r["place"] for r in found) > 100
+
+
 def test_mixing_edges(spark):
     empty = table(spark, [])
     assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
@@ -182,9 +235,71 @@ def test_html_templates_decide(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = {r["page_id"]: r["text"] for r in htmlmain.extract(pages).collect()}
     assert found == want == {r["page_id"]: r["text"] for r in htmlmain.extract(pages, broadcast_hashes=0).collect()}
-    assert all(htmlmain.main_text(h, frozenset()) != want[i] for i, _, h in rows)  # without them, the rest stays
-    # names alone would miss boilerplate within the article
-    assert any(htmlmain.main_text(h) != want[i] for i, _, h in rows)
+    # names alone would miss boilerplate within the article, and that of pages without one
+    assert all(htmlmain.main_text(h) != want[i] for i, _, h in rows)
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 50])
+def test_html_one_off_parts_go_on_hosts_of_any_size(spark, n):
+    odd = "<div class='sidebar related'>Only here: read about our summer fair</div><div class='cookie-notice'>We use cookies, once.</div>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{odd if i == 0 else ''}<main><article><p>T{i} own words {i * 7}</p></article></main><div>By us</div></body>") for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmlmain.extract(pages).collect()} == {i: f"T{i} own words {i * 7}" for i in range(n)}
+
+
+def brute_text(page, counts):
+    """Recursive: recurring subtrees (by their exact source, counted over the host) and what names set apart go, then blocks."""
+    root = htmlmain.parse(page)
+    htmlmain.digest(root)
+    blocks, now = [], []
+
+    def flush():
+        if text := " ".join(__import__("html").unescape("".join(now)).split()):
+            blocks.append(text)
+        now.clear()
+
+    def has(node):
+        return any(not isinstance(x, str) and (x.name in ("article", "main") and not x.apart or has(x)) for x in node.items)
+
+    whole = not has(root)
+
+    def visit(node, inside):
+        for x in node.items:
+            if isinstance(x, str):
+                if inside:
+                    now.append(x)
+                continue
+            block = x.name in htmlmain.BLOCK
+            if block:
+                flush()
+            if x.name == "br" and not x.apart:
+                now.append(" " if inside else "")
+            elif not x.apart and not (htmlmain.templatable(x) and counts.get(x.digest, 0) >= 5 or htmlmain.shapely(x, root.holds) and counts.get(x.shape, 0) >= 5):
+                visit(x, inside or x.name in ("article", "main"))
+            if block:
+                flush()
+
+    visit(root, whole)
+    flush()
+    return "\n".join(blocks)
+
+
+def test_html_texts_by_brute_force(spark):
+    rows, _ = own_pages()
+    rows += [(r["page_id"] + 1000, r["url"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    seen: dict = {}
+    for _, url, html in rows:
+        root = htmlmain.parse(html)
+        text = htmlmain.text_of(root)
+        for x, w in htmlmain.subtrees(root).items():
+            seen.setdefault((re.match(r"https?://([^/]*)", url)[1].lower(), x), {}).setdefault(text, []).append((w, root.words))
+    counts: dict = {}
+    for (host, x), by_text in seen.items():
+        if max(w for v in by_text.values() for w, _ in v) < 0 or 4 * sum(max(w for w, _ in v) for v in by_text.values()) <= sum(max(p for _, p in v) for v in by_text.values()):
+            counts.setdefault(host, {})[x] = len(by_text)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in htmlmain.extract(pages).collect()}
+    assert found == {i: brute_text(html, counts.get(re.match(r"https?://([^/]*)", url)[1].lower(), {})) for i, url, html in rows}
 
 
 def test_html_templates_counted(spark):
@@ -195,8 +310,8 @@ def test_html_templates_counted(spark):
     for _, url, html in rows:
         root = htmlmain.parse(html)
         host, text = re.match(r"https?://([^/]*)", url)[1].lower(), htmlmain.text_of(root)
-        for x, w in {**htmlmain.subtrees(root), 0: -1}.items():
-            seen.setdefault((host, x), {}).setdefault(text, []).append((w, root.words if x else 0))
+        for x, w in htmlmain.subtrees(root).items():
+            seen.setdefault((host, x), {}).setdefault(text, []).append((w, root.words))
     want = set()
     for at, by_text in seen.items():
         words, page = sum(max(w for w, _ in v) for v in by_text.values()), sum(max(p for _, p in v) for v in by_text.values())
@@ -240,6 +355,9 @@ def test_language_edges(spark):
         und = text is None or not any(c.isalpha() for c in text)
         assert (r["lang_pred"] == "und") == und and 0 <= r["score"] <= 1
     assert langid.identify(table(spark, []), model).count() == 0
+    odd = ["½ ½", "² 12", "①", "Ⅷ", "٣", "_", "ª"]  # the last is a letter
+    got = [r["lang_pred"] for r in langid.identify(table(spark, [(i, t, None, None, 1) for i, t in enumerate(odd)]), model).orderBy("doc_id").collect()]
+    assert got[:-1] == ["und"] * (len(odd) - 1) and got[-1] != "und"
     nothing = langid.train(table(spark, [(1, None, "en", None, 1), (2, "text", None, None, 1)]))
     assert [r["lang_pred"] for r in langid.identify(table(spark, [(1, "abc", None, None, 1)]), nothing).collect()] == ["und"]
 
