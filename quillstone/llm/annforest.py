@@ -189,7 +189,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, trees: int =
     among themselves the nearest counts, and of query rows the least vector. Fewer than k candidates: all. An empty table gives no
     rows. Other columns are left out. The index is fitted on sample_rows rows, chosen by hash, and holds every row. A
     block is bounded by rows_per_block as far as the sample tells, whatever vectors are frequent, as full cells are dealt by hash of vec_id;
-    vectors of a length that the sample lacks are dealt by their count, and all of them are measured.
+    vectors of a length that the sample lacks are dealt by their count, and all of them are measured. So are those of a table no larger than the sample.
     """
     spark = embeddings.sparkSession
     prepare(spark, 2048)
@@ -202,7 +202,8 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, trees: int =
         by_length.setdefault(len(r["embedding"]), []).append(r["embedding"])
     each = recall**0.5  # routing and forest miss alike, unless every cell is asked
     routers = {n: Router(np.array(by_length.get(n, np.zeros((0, n)))), c, rows_per_block, k, seed, each) for n, c in counts.items()}
-    fractions = {n: fit_fraction(np.array(v), k, trees, seed, each if routers[n].probes < len(routers[n].salts) else recall) for n, v in by_length.items()}
+    all_in = sum(counts.values()) <= sample_rows  # then all are measured
+    fractions = {n: 8.0 if all_in else fit_fraction(np.array(v), k, trees, seed, each if routers[n].probes < len(routers[n].salts) else recall) for n, v in by_length.items()}
     tools = spark.sparkContext.broadcast((fractions, routers))  # bounded by the sample
 
     def place(batches):

@@ -297,11 +297,11 @@ def _picked(repeated: DataFrame, *names: str) -> DataFrame:
 STRING = "hash long, strings long, key_a long, key_b long, first long, copies long, data binary"
 
 
-def repeats(docs: DataFrame, length: int = 400, strings_per_task: int = 2048, by_word: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(key_a, key_b, ranges; key_a, key_b, n_anchors) of each distinct text with any; the key is a hash of the text.
+def repeats(docs: DataFrame, length: int = 400, strings_per_task: int = 2048, by_word: bool = False) -> DataFrame:
+    """key_a, key_b, ranges of each distinct text with any; the key is a hash of the text.
 
-    Ranges are those of bytes that repeat. Anchors are the 64-byte strings by which its windows are dealt that windows elsewhere are dealt by too. With by_word, length is a number of words, and ranges are those of coded(). A hash of more than strings_per_task distinct
-    strings is refined.
+    Ranges are those of bytes that repeat. With by_word, length is a number of words, and ranges are those of coded(). A hash of more than
+    strings_per_task distinct strings is refined.
     """
     least = 2 * length - 1 if by_word else length
     length = length * WIDE if by_word else length
@@ -373,8 +373,7 @@ def repeats(docs: DataFrame, length: int = 400, strings_per_task: int = 2048, by
         return pd.DataFrame(rows, columns=["key_a", "key_b", "lo", "hi"]).astype("int64")
 
     near = dealt.mapInPandas(sort, "key_a long, key_b long, lo long, hi long")
-    ranges = whole.unionByName(near).groupBy("key_a", "key_b").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
-    return ranges, repeated.groupBy("key_a", "key_b").agg(F.size(F.collect_set("hash")).cast("long").alias("n_anchors"))
+    return whole.unionByName(near).groupBy("key_a", "key_b").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
 
 
 def _refined(strings: DataFrame, length: int, strings_per_task: int) -> tuple[DataFrame, DataFrame]:
@@ -422,10 +421,7 @@ def _refined(strings: DataFrame, length: int, strings_per_task: int) -> tuple[Da
 
 
 def remove(docs: DataFrame, length: int = 400, keep_text: bool = False, by_word: bool = False, **options) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept_sha256, and with text as the bytes kept if asked for, else with n_anchors and without text.
-
-    n_anchors tells of passages shared that are too short to go: the 64-byte strings, each the one of least hash in a window of
-    `length` bytes, that are so elsewhere in the input as well.
+    """docs with n_bytes, n_removed, n_spans and kept_sha256, and with text as the bytes kept if asked for, else without text.
 
     A byte goes if a string of `length` bytes over it also starts elsewhere in the input, the same document included.
     A null text is empty, texts shorter than length keep all. Repeated rows are documents of their own, so equal long texts
@@ -434,12 +430,10 @@ def remove(docs: DataFrame, length: int = 400, keep_text: bool = False, by_word:
     word to their last, whatever white space is between them (words are compared by 48 bits of hash). Other columns stay; those named like a result are replaced. An empty table gives no rows.
     """
     prepare(docs.sparkSession, 256)
-    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_anchors"]
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     held = docs.drop(*results)
     ka, kb, ranges, cut, sha, gone, parts, least = fresh(held, "key_a", "key_b", "ranges", "cut", "sha", "gone", "parts", "least")
-    found, anchors = repeats(docs, length, by_word=by_word, **options)
-    names = {"key_a": ka, "key_b": kb, "ranges": ranges}
-    found, anchors = found.withColumnsRenamed(names), anchors.withColumnsRenamed(names)
+    found = repeats(docs, length, by_word=by_word, **options).withColumnsRenamed({"key_a": ka, "key_b": kb, "ranges": ranges})
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = held.withColumns({ka: F.xxhash64(whole), kb: F.xxhash64(F.lit(1), whole)})
 
@@ -473,6 +467,6 @@ def remove(docs: DataFrame, length: int = 400, keep_text: bool = False, by_word:
     asked = found.join(first, [ka, kb]).withColumn(least, F.coalesce(least, F.lit("")))
     cut_texts = keyed.select(ka, kb, F.coalesce(place, F.lit("")).alias(least), "text").join(asked, [ka, kb, least]).withColumn(cut, kept("text", ranges))
     changed = cut_texts.groupBy(ka, kb).agg(F.max(f"{cut}.n_removed").alias(gone), F.max(f"{cut}.n_spans").alias(parts), F.max(f"{cut}.kept_sha256").alias(sha))
-    row = keyed.select(*own(ka, kb, F.sha2(whole, 256).alias("kept_sha256"))).join(changed, [ka, kb], "left").join(anchors, [ka, kb], "left")
+    row = keyed.select(*own(ka, kb, F.sha2(whole, 256).alias("kept_sha256"))).join(changed, [ka, kb], "left")
     count = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
-    return row.select(*others, "n_bytes", count(gone, "n_removed"), count(parts, "n_spans"), F.coalesce(sha, "kept_sha256").alias("kept_sha256"), count("n_anchors", "n_anchors"))
+    return row.select(*others, "n_bytes", count(gone, "n_removed"), count(parts, "n_spans"), F.coalesce(sha, "kept_sha256").alias("kept_sha256"))
