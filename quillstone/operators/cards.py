@@ -110,10 +110,11 @@ def faces(maps: Column) -> Column:
     return F.when(F.size(maps) > 0, F.transform(maps, one))
 
 
-def parse(raw: DataFrame) -> DataFrame:
+def parse(raw: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Raw rows to typed cards: unknown rarities are common, unknown colours go, a bad release date is an error.
 
     Columns of RAW that the table lacks are null. Legalities stay a map of status, and legal tells for each format if it may be played.
+    Of the record of some ninety columns only the given ones are built.
     """
     from pyspark.sql.types import StructType
 
@@ -123,23 +124,26 @@ def parse(raw: DataFrame) -> DataFrame:
     lists = lambda name, values: F.transform(F.coalesce(name, F.array().cast("array<string>")), lambda x: enum(x, values))
     plain = [f.name for f in schema]
     changed = {
-        "oracle_id": F.lower("oracle_id"), "layout": enum(c("layout"), LAYOUTS), "image_status": F.when(c("image_status").isNotNull(), enum(F.lower("image_status"), IMAGE_STATUSES)),
-        "image_uris": F.when(c("image_uris").isNotNull(), F.struct(*[_key(c("image_uris"), k).alias(k) for k in IMAGES])), "oracle_text": normalize(c("oracle_text")),
-        "flavor_text": normalize(c("flavor_text")), **{k: colors(c(k)) for k in ("colors", "color_identity", "color_indicator", "produced_mana")},
-        "cmc": F.coalesce("cmc", F.lit(0.0)), "all_parts": related(c("all_parts")), "card_faces": faces(c("card_faces")), "games": lists(c("games"), PLATFORMS),
-        "finishes": lists(c("finishes"), FINISHES), "set_id": F.lower("set_id"), "set_type": enum(c("set_type"), SET_TYPES), "rarity": enum(c("rarity"), RARITIES),
-        "card_back_id": F.lower("card_back_id"), "artist_ids": F.transform("artist_ids", F.lower), "illustration_id": F.lower("illustration_id"), "border_color": enum(c("border_color"), BORDERS),
-        "frame": enum(c("frame"), FRAMES), "security_stamp": F.when(c("security_stamp").isin(*STAMPS), c("security_stamp")), "released_at": F.to_date("released_at"),
-        **{k: F.coalesce(k, F.lit(False)) for k in ("digital", "promo")},
-        "prices": F.struct(*[_key(c("prices"), k).try_cast("decimal(18,4)").alias(k) for k in PRICES]),
-        "preview": F.when(F.size("preview") > 0, F.struct(F.to_date(F.when(_key(c("preview"), "previewed_at") != "", _key(c("preview"), "previewed_at"))).alias("previewed_at"),
-                                                          *[_key(c("preview"), k).alias(k) for k in ("source_uri", "source")])),
+        "oracle_id": lambda: F.lower("oracle_id"), "layout": lambda: enum(c("layout"), LAYOUTS),
+        "image_status": lambda: F.when(c("image_status").isNotNull(), enum(F.lower("image_status"), IMAGE_STATUSES)),
+        "image_uris": lambda: F.when(c("image_uris").isNotNull(), F.struct(*[_key(c("image_uris"), k).alias(k) for k in IMAGES])),
+        "oracle_text": lambda: normalize(c("oracle_text")), "flavor_text": lambda: normalize(c("flavor_text")),
+        **{k: lambda k=k: colors(c(k)) for k in ("colors", "color_identity", "color_indicator", "produced_mana")},
+        "cmc": lambda: F.coalesce("cmc", F.lit(0.0)), "all_parts": lambda: related(c("all_parts")), "card_faces": lambda: faces(c("card_faces")),
+        "games": lambda: lists(c("games"), PLATFORMS), "finishes": lambda: lists(c("finishes"), FINISHES), "set_id": lambda: F.lower("set_id"),
+        "set_type": lambda: enum(c("set_type"), SET_TYPES), "rarity": lambda: enum(c("rarity"), RARITIES), "card_back_id": lambda: F.lower("card_back_id"),
+        "artist_ids": lambda: F.transform("artist_ids", F.lower), "illustration_id": lambda: F.lower("illustration_id"), "border_color": lambda: enum(c("border_color"), BORDERS),
+        "frame": lambda: enum(c("frame"), FRAMES), "security_stamp": lambda: F.when(c("security_stamp").isin(*STAMPS), c("security_stamp")),
+        "released_at": lambda: F.to_date("released_at"), **{k: lambda k=k: F.coalesce(k, F.lit(False)) for k in ("digital", "promo")},
+        "prices": lambda: F.struct(*[_key(c("prices"), k).try_cast("decimal(18,4)").alias(k) for k in PRICES]),
+        "preview": lambda: F.when(F.size("preview") > 0, F.struct(F.to_date(F.when(_key(c("preview"), "previewed_at") != "", _key(c("preview"), "previewed_at"))).alias("previewed_at"),
+                                                                  *[_key(c("preview"), k).alias(k) for k in ("source_uri", "source")])),
+        "card_id": lambda: F.lower("id"), "types": lambda: types(c("type_line")), "subtypes": lambda: subtypes(c("type_line")),
+        "legal": lambda: F.struct(*[F.coalesce(_key(c("legalities"), k).isin("legal", "restricted"), F.lit(False)).alias(k) for k in FORMATS]),
+        "price": lambda: price(_key(c("prices"), "usd"), _key(c("prices"), "usd_foil"), _key(c("prices"), "usd_etched")),
     }
-    return held.select(
-        F.lower("id").alias("card_id"), *[changed.get(k, c(k)).alias(k) for k in plain if k != "id"], types(c("type_line")).alias("types"), subtypes(c("type_line")).alias("subtypes"),
-        F.struct(*[F.coalesce(_key(c("legalities"), k).isin("legal", "restricted"), F.lit(False)).alias(k) for k in FORMATS]).alias("legal"),
-        price(_key(c("prices"), "usd"), _key(c("prices"), "usd_foil"), _key(c("prices"), "usd_etched")).alias("price"),
-    )
+    every = ["card_id", *[k for k in plain if k != "id"], "types", "subtypes", "legal", "price"]
+    return held.select(*[(changed[k]() if k in changed else c(k)).alias(k) for k in every if columns is None or k in columns])
 
 
 def split(cards: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,11 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Play formats whose legality can be asked for.
-FORMATS = (
-    "standard future historic timeless gladiator pioneer explorer modern legacy pauper vintage penny commander oathbreaker "
-    "standardbrawl brawl alchemy paupercommander duel oldschool premodern predh"
-).split()
+from quillstone.operators.cards import FORMATS
 
 
 @dataclass(frozen=True)
@@ -34,11 +30,11 @@ def _array(values) -> Column:
 
 
 def legal(format: str | None, now: str, exclude_unreleased: bool) -> Column:
-    """Legal in the format, or not yet released unless those are excluded; blank or unknown formats keep all."""
+    """Legal or restricted in the format, or not yet released unless those are excluded; blank or unknown formats keep all."""
     name = (format or "").strip().lower()
     if name not in FORMATS:
         return F.lit(True)
-    ok = F.coalesce(F.try_element_at("legalities", F.lit(name)) == "legal", F.lit(False))
+    ok = F.coalesce(F.col(f"legal.{name}"), F.lit(False))
     return ok if exclude_unreleased else ok | F.coalesce(F.col("released_at") > F.lit(now).cast("date"), F.lit(False))
 
 

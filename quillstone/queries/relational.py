@@ -11,8 +11,8 @@ from quillstone.operators import relational as R
 from quillstone.queries.registry import query, table
 
 
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Card-like rows made of parts."""
+def cards(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Card-like rows made of parts, with the given columns or all; a third of them is banned, and a third is restricted, not legal, without status or legal."""
     p = table(spark, sf_dir, "part")
     bit = lambda i: F.expr(f"(p_size div {1 << i}) % 2 = 1")
     dash = F.element_at(F.array(F.lit("—"), F.lit("–"), F.lit("-")), (F.col("p_partkey") % 3 + 1).cast("int"))
@@ -24,12 +24,14 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size") % 10).cast("double").alias("cmc"), F.element_at(F.array(*[F.lit(r) for r in [*C.RARITIES[:5], "odd"]]), (F.col("p_partkey") % 6 + 1).cast("int")).alias("rarity"),
         F.col("p_brand").alias("set"), F.concat(F.lit("20"), F.lpad((F.col("p_size") % 30).cast("string"), 2, "0"), F.lit("-01-15")).alias("released_at"),
         (F.col("p_partkey") % 7 == 0).alias("digital"), (F.col("p_partkey") % 11 == 0).alias("promo"),
-        F.create_map(F.lit("commander"), F.when(F.col("p_partkey") % 3 == 0, "banned").otherwise("legal")).alias("legalities"),
+        F.when(F.expr("p_partkey % 3 < 2 OR p_partkey div 3 % 4 < 3"), F.create_map(F.lit("commander"), F.expr("CASE p_partkey % 3 WHEN 0 THEN 'banned' WHEN 1 THEN 'legal' ELSE element_at(array('restricted', 'not_legal', null), cast(p_partkey div 3 % 4 + 1 AS int)) END"))).alias("legalities"),
         F.create_map(F.lit("usd"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_retailprice").cast("string")), F.lit("usd_foil"), F.when(F.col("p_partkey") % 8 != 0, F.lit("12.50")), F.lit("usd_etched"), F.lit("bad")).alias("prices"),
     )
-    return C.parse(raw)
+    return C.parse(raw, list(columns) or None)
 
 
+FLAGS = ("digital", "promo", "legal", "released_at")
+
 CARDS = """cards AS (
   SELECT CAST(p_partkey AS VARCHAR) AS card_id, p_name AS name,
     split_part(p_name, ' ', 2) || ' ' || p_type || CASE WHEN p_partkey % 5 <> 0 THEN ' ' || ['—', '–', '-'][p_partkey % 3 + 1] || ' ' || split_part(p_name, ' ', 1) || '  Top-Class' ELSE '' END AS type_line,
@@ -39,7 +41,7 @@ CARDS = """cards AS (
       CASE WHEN (p_size // 8) % 2 = 1 THEN 'R' END, CASE WHEN (p_size // 16) % 2 = 1 THEN 'G' END], lambda x: x IS NOT NULL) END AS colors,
     CAST(p_size % 10 AS DOUBLE) AS cmc, ['common', 'uncommon', 'rare', 'mythic', 'special', 'common'][p_partkey % 6 + 1] AS rarity, p_brand AS "set",
     CAST('20' || lpad(CAST(p_size % 30 AS VARCHAR), 2, '0') || '-01-15' AS DATE) AS released_at, p_partkey % 7 = 0 AS digital, p_partkey % 11 = 0 AS promo,
-    p_partkey % 3 <> 0 AS legal,
+    p_partkey % 3 = 1 OR p_partkey % 3 = 2 AND p_partkey // 3 % 4 = 0 AS legal,
     CAST(CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice WHEN p_partkey % 8 <> 0 THEN 12.5 ELSE 0 END AS DECIMAL(18,4)) AS price
   FROM part)"""
 
@@ -51,14 +53,14 @@ def _flat(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {CARDS} SELECT card_id, name, type_line, array_to_string(types, ',') AS types, array_to_string(subtypes, ',') AS subtypes, array_to_string(colors, ',') AS colors, array_to_string(colors, ',') AS color_identity, cmc, rarity, \"set\" FROM cards")
 def parse_cards_core(spark, d):
-    return _flat(C.split(cards(spark, d))[0].drop("mana_cost", "oracle_text", "power", "toughness", "loyalty"))
+    return _flat(cards(spark, d, *C.CORE).drop("mana_cost", "oracle_text", "power", "toughness", "loyalty"))
 
 
 @query(f"""WITH {CARDS} SELECT name, '{{1}}{{W}}' AS mana_cost, array_to_string(types, ' ') || CASE WHEN len(subtypes) > 0 THEN ' — ' || array_to_string(subtypes, ' ') ELSE '' END AS type_line,
 oracle_text, power, CAST(NULL AS VARCHAR) AS toughness, CAST(NULL AS VARCHAR) AS loyalty FROM cards""")
 def card_inputs(spark, d):
     """What the parser is given, made of parsed cards."""
-    return C.parser_input(C.split(cards(spark, d))[0])
+    return C.parser_input(cards(spark, d, *C.CORE))
 
 
 def _parts_of_suppliers(spark, d):
@@ -88,40 +90,40 @@ def card_faces(spark, d):
 
 @query(f"WITH {CARDS} SELECT card_id, CAST(released_at AS VARCHAR) AS released_at, digital, promo, CAST(price AS DOUBLE) AS price FROM cards")
 def parse_cards_meta(spark, d):
-    return _flat(C.split(cards(spark, d))[1].drop("legalities").withColumn("released_at", F.col("released_at").cast("string")))
+    return _flat(cards(spark, d, *C.META).drop("legalities").withColumn("released_at", F.col("released_at").cast("string")))
 
 
 @query(f"WITH {CARDS} SELECT card_id, cmc FROM cards WHERE (legal OR released_at > DATE '2020-01-01') AND NOT digital AND NOT promo")
 def filter_legality_override(spark, d):
-    return cards(spark, d).where(FI.predicate(FI.FilterOptions(), now="2020-01-01")).select("card_id", "cmc")
+    return cards(spark, d, "card_id", "cmc", *FLAGS).where(FI.predicate(FI.FilterOptions(), now="2020-01-01")).select("card_id", "cmc")
 
 
 @query(f"WITH {CARDS} SELECT card_id FROM cards WHERE legal AND NOT digital AND NOT promo")
 def filter_exclude_unreleased(spark, d):
-    return cards(spark, d).where(FI.predicate(FI.FilterOptions(exclude_unreleased=True), now="2020-01-01")).select("card_id")
+    return cards(spark, d, "card_id", *FLAGS).where(FI.predicate(FI.FilterOptions(exclude_unreleased=True), now="2020-01-01")).select("card_id")
 
 
 @query(f"WITH {CARDS} SELECT card_id FROM cards WHERE list_has_any(colors, ['W', 'R'])")
 def filter_any_color(spark, d):
-    return cards(spark, d).where(FI.any_of("colors", ["W", "R"])).select("card_id")
+    return cards(spark, d, "card_id", "colors").where(FI.any_of("colors", ["W", "R"])).select("card_id")
 
 
 @query(f"WITH {CARDS} SELECT card_id FROM cards WHERE colors IS NOT NULL AND list_has_all(['W', 'U', 'B'], colors)")
 def filter_identity_subset(spark, d):
-    return cards(spark, d).where(FI.subset_of("color_identity", ["W", "U", "B"])).select("card_id")
+    return cards(spark, d, "card_id", "color_identity").where(FI.subset_of("color_identity", ["W", "U", "B"])).select("card_id")
 
 
 @query(f"""WITH {CARDS} SELECT card_id, name FROM cards WHERE len(list_intersect(list_transform(types, lambda x: lower(x)), ['widget', 'economy'])) > 0 AND rarity IN ('rare', 'mythic')
 AND lower("set") IN ('brand#2', 'brand#17', 'brand#5') AND cmc >= 2 AND cmc <= 8 AND NOT digital AND NOT promo""")
 def filter_chain_all(spark, d):
     o = FI.FilterOptions(format=None, types=("WIDGET", "Economy"), rarities=("rare", "mythic"), sets=("BRAND#2", "brand#17", "Brand#5"), min_cmc=2, max_cmc=8)
-    return cards(spark, d).where(FI.predicate(o)).select("card_id", "name")
+    return cards(spark, d, "card_id", "name", "types", "rarity", "set", "cmc", *FLAGS).where(FI.predicate(o)).select("card_id", "name")
 
 
 @query(f"""WITH {CARDS}, v AS (SELECT CASE WHEN digital THEN 'digital' WHEN promo THEN 'promo' WHEN colors IS NULL THEN 'colorless' END AS step FROM cards)
 SELECT step, count(*) AS removed FROM v WHERE step IS NOT NULL GROUP BY step""")
 def filter_chain_report(spark, d):
-    return FI.chain(cards(spark, d), [("digital", ~F.col("digital")), ("promo", ~F.col("promo")), ("colorless", F.size("colors") > 0)])[1]
+    return FI.chain(cards(spark, d, "card_id", "colors", *FLAGS), [("digital", ~F.col("digital")), ("promo", ~F.col("promo")), ("colorless", F.size("colors") > 0)])[1]
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type <> 'error' AND event_type IN ('click', 'view', 'error')")
