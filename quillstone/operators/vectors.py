@@ -1,17 +1,14 @@
-"""Nearest neighbours, clusters, projections and layouts of embeddings."""
+"""Nearest neighbours of named cards, clusters, projections and encodings of embeddings."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import vectors as V
 from quillstone.operators.relational import top_per_group
-from quillstone.sources.io import shared_folder
 
 
 def knn(entries: DataFrame, targets: DataFrame, k: int = 5, card: str = "card_id", vector: str = "embedding", most_targets: int = 1000) -> DataFrame:
@@ -104,123 +101,6 @@ def pca(points: DataFrame, key: str, rank: int = 50, vector: str = "embedding",
     return PCA(k=rank, inputCol="features", outputCol="out").fit(scaled).transform(scaled).select(key, vector_to_array("out").alias("components"))
 
 
-def fuzzy_graph(neighbours: DataFrame) -> DataFrame:
-    """a, b, weight: memberships from neighbour distances (source, target, d), joined for both directions."""
-    own = Window.partitionBy("source")  # k rows each
-    near = neighbours.withColumn("rho", F.min("d").over(own)).withColumn("sigma", F.avg("d").over(own))
-    w = near.withColumn("w", F.exp(-F.greatest(F.col("d") - F.col("rho"), F.lit(0.0)) / F.greatest("sigma", F.lit(1e-9))))
-    pairs = w.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "w")
-    return pairs.groupBy("a", "b").agg((1 - F.product(1 - F.col("w"))).alias("weight"))
-
-
-def neighbour_graph(points: DataFrame, key: str, k: int, vector: str = "embedding", tables: int = 8, bucket: int = 512, seed: int = 43) -> DataFrame:
-    """source, target, d: of every point the nearest k of those that share a hash of it in some table; of up to bucket points, all are compared.
-
-    A hash is signs of random projections. Points of one hash are compared with each other in groups of about `bucket`; a fuller hash is
-    dealt out, so no group grows with the points. Null vectors have no neighbours.
-    """
-    flat = points.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    kind = points.schema[key].dataType.simpleString()
-    first = flat.limit(1000).collect()  # to centre the projections; bounded
-    if not first:
-        return points.sparkSession.createDataFrame([], f"source {kind}, target {kind}, d double")
-    center = np.mean([r["v"] for r in first], axis=0)
-    bits = max(0, math.ceil(math.log2(max(1, flat.count()) / bucket)))
-    bits, tables = (bits + 1, tables) if bits else (0, 1)
-    planes = np.random.default_rng(seed).standard_normal((tables, len(center), bits))
-
-    def code(batches):
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["v"].to_numpy()) - center
-                for t in range(tables):
-                    yield pd.DataFrame({"t": t, "code": (x @ planes[t] > 0) @ (1 << np.arange(bits)) if bits else 0, "id": pdf["id"], "v": pdf["v"]})
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy()
-        squares = (x * x).sum(1)
-        d = np.sqrt(np.maximum(squares[:, None] + squares[None] - 2 * x @ x.T, 0))
-        np.fill_diagonal(d, np.inf)
-        order = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-        return pd.DataFrame({"source": np.repeat(ids, order.shape[1]), "target": ids[order].ravel(), "d": np.take_along_axis(d, order, 1).ravel()})
-
-    coded = flat.mapInPandas(code, f"t int, code long, id {kind}, v array<double>")
-    sizes = coded.groupBy("t", "code").agg(F.ceil(F.count("*") / bucket).alias("parts"))
-    dealt = coded.join(sizes, ["t", "code"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    found = dealt.groupBy("t", "code", "part").applyInPandas(near, f"source {kind}, target {kind}, d double")
-    return top_per_group(found.groupBy("source", "target").agg(F.min("d").alias("d")), ["source"], [F.col("d"), F.col("target")], k).select("source", "target", "d")
-
-
-def curve(min_dist: float) -> tuple[float, float]:
-    """a and b of 1 / (1 + a r^2b), nearest to 1 up to min_dist and an exponential fall beyond."""
-    r = np.linspace(1e-3, 3, 300)
-    want = np.where(r < min_dist, 1.0, np.exp(-(r - min_dist)))
-    a, b = np.exp(np.linspace(-3, 2, 80))[:, None, None], np.linspace(0.4, 2.5, 80)[None, :, None]
-    i, j = np.unravel_index(((1 / (1 + a * r ** (2 * b)) - want) ** 2).sum(2).argmin(), (80, 80))
-    return float(a[i, 0, 0]), float(b[0, j, 0])
-
-
-def layout(nodes: DataFrame, edges: DataFrame, min_dist: float, epochs: int, seed: int, negative: int = 5) -> DataFrame:
-    """id, x, y: places of the nodes (id, and x and y to start from, else random ones), drawn together along edges (a, b, weight) and pushed off from some `negative` others an epoch.
-
-    Each epoch is a join of edges with places and a sum by node, and is written to the shared folder. Others are met by equal hashes of
-    one slot a node, so nothing is numbered or gathered. The first places and all draws are hashes: runs agree.
-    """
-    shared_folder(nodes.sparkSession)
-    a, b = curve(min_dist)
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight"))
-    pulled = both.groupBy("id").agg(F.sum("weight").alias("total"))
-    both = both.join(pulled, "id").withColumn("w", F.col("weight") / F.col("total")).select("id", "other", "w").checkpoint()
-    unit = lambda salt: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    slots = nodes.count()
-    slot = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(slots)).alias("slot")
-    start = nodes if "x" in nodes.columns else nodes.select("id", (20 * unit(1) - 10).alias("x"), (20 * unit(2) - 10).alias("y"))
-    at = start.checkpoint()
-    held = lambda c: F.greatest(F.least(c, F.lit(4.0)), F.lit(-4.0))
-    dx, dy = F.col("x") - F.col("p"), F.col("y") - F.col("q")
-    r = dx * dx + dy * dy
-    pull = F.when(r > 0, -2 * a * b * F.pow(r, F.lit(b - 1)) / (1 + a * F.pow(r, F.lit(b)))).otherwise(0.0)
-    push = 2 * b / ((0.001 + r) * (1 + a * F.pow(r, F.lit(b))))
-    for e in range(epochs):
-        rate = 1 - e / epochs
-        there = at.select(F.col("id").alias("other"), F.col("x").alias("p"), F.col("y").alias("q"))
-        near = both.join(at, "id").join(there, "other").select("id", (held(pull * dx) * F.col("w")).alias("gx"), (held(pull * dy) * F.col("w")).alias("gy"))
-        draw = at.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(negative)))).withColumn("slot", F.pmod(F.xxhash64("id", F.lit(seed), F.lit(e), "k"), F.lit(slots)))
-        met = draw.join(at.select(slot, F.col("id").alias("other"), F.col("x").alias("p"), F.col("y").alias("q")), "slot").where("id <> other")
-        far = met.select("id", (held(push * dx) / negative).alias("gx"), (held(push * dy) / negative).alias("gy"))
-        moves = near.unionByName(far).groupBy("id").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
-        moved = lambda c, g: (F.col(c) + rate * F.coalesce(g, F.lit(0.0))).alias(c)
-        at = at.join(moves, "id", "left").select("id", moved("x", "gx"), moved("y", "gy")).checkpoint()
-    return at
-
-
-def umap(points: DataFrame, key: str, neighbors: int = 50, min_dist: float = 0.75, epochs: int = 500, seed: int = 43, vector: str = "embedding") -> DataFrame:
-    """key, components (two): a layout of the fuzzy neighbour graph of all points, whatever their number, from their principal components."""
-    held = points.where(F.col(vector).isNotNull())
-    graph = fuzzy_graph(neighbour_graph(held, key, neighbors, vector, seed=seed))
-    start = held.select(F.col(key).alias("id")).distinct()
-    if held.limit(3).count() == 3:
-        c = pca(held, key, 2, vector)
-        start = c.groupBy(F.col(key).alias("id")).agg(*[(3 * F.min(F.col("components")[i])).alias(n) for i, n in enumerate(("x", "y"))])
-    return layout(start, graph, min_dist, epochs, seed).select(F.col("id").alias(key), F.array("x", "y").alias("components"))
-
-
-def umap_grid(points: DataFrame, key: str, neighbors: tuple[int, ...] = (2, 4, 6, 8), min_dists: tuple[float, ...] = (0.25, 0.5, 0.75), epochs: int = 100, seed: int = 42) -> DataFrame:
-    """Layouts of every combination from random places, with coordinates scaled to [0, 1] within each; the seed grows by one a combination."""
-    from quillstone.operators.relational import minmax
-
-    out, i = None, 0
-    nodes = points.select(F.col(key).alias("id")).distinct()
-    for n in neighbors:
-        shared_folder(points.sparkSession)
-        graph = fuzzy_graph(neighbour_graph(points, key, n, seed=seed)).checkpoint()
-        for d in min_dists:
-            placed = layout(nodes, graph, d, epochs, seed + i)
-            one = placed.select(F.lit(n).alias("n_neighbors"), F.lit(d).alias("min_dist"), F.lit(seed).alias("seed"), F.col("id").alias(key), "x", "y")
-            out, i = one if out is None else out.unionByName(one), i + 1
-    return minmax(out, ["x", "y"], ["n_neighbors", "min_dist"])
-
-
 def encode(texts: DataFrame, key: str, text: str = "text", dims: int = 384) -> DataFrame:
     """key, embedding: a hashing encoder that needs no weights; token counts hashed to signed dimensions, unit length."""
     from quillstone.functions.text import search_tokens

@@ -6,10 +6,15 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import vectors as V
 from quillstone.operators import charts
+from quillstone.operators import layouts as L
+from quillstone.operators import neighbours as N
 from quillstone.operators import relational as R
 from quillstone.operators import vectors as VO
 from quillstone.queries.registry import query, table
 
+#: Vectors without clusters, as those of the tables are, can't keep much of their neighbourhoods in a plane.
+TRUST = 0.6
+
 
 @query("""WITH e AS (SELECT vec_id, vec_id % 97 AS card_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT t.card_id AS target, c.card_id, max(list_cosine_similarity(t.v, c.v)) AS similarity FROM e t, e c WHERE t.card_id IN (3, 50, 96) AND t.card_id <> c.card_id GROUP BY ALL)
 SELECT target, card_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, card_id) AS rank FROM s) WHERE rank <= 5""")
@@ -51,15 +56,33 @@ def pca_project(spark, d):
 
 @query()
 def umap_layout(spark, d):
-    """All vectors; fewer epochs than the default, as each is a job."""
-    return VO.umap(table(spark, d, "embeddings"), "vec_id", neighbors=15, epochs=6)
+    """All vectors, with the defaults of the operator: 50 neighbours, 500 epochs."""
+    return L.umap(table(spark, d, "embeddings"), "vec_id")
 
 
 @query()
 def umap_grid_chart(spark, d):
-    """Half of the vectors, as the operator samples them; four combinations of a few epochs."""
+    """Half of the vectors, as the operator samples them; all twelve combinations of 100 epochs."""
     points = R.sample_share(table(spark, d, "embeddings"), "vec_id", 0.5)
-    return charts.grid(VO.umap_grid(points, "vec_id", neighbors=(4, 8), min_dists=(0.25, 0.75), epochs=2))
+    return charts.grid(L.umap_grid(points, "vec_id"))
+
+
+@query("SELECT count(*) AS points, count(*) FILTER (vec_id % 20 = 0) AS queries, TRUE AS over_95 FROM embeddings")
+def neighbour_recall(spark, d):
+    """The graph by descent from small buckets, against the exact neighbours of every twentieth vector."""
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 20 = 0")
+    exact = N.exact_neighbours(e, asked, "vec_id", 15)
+    share = N.recall(N.neighbour_graph(e, "vec_id", 15, bucket=64), exact)
+    return e.agg(F.count("*").alias("points"), F.count_if(F.col("vec_id") % 20 == 0).alias("queries")).withColumn("over_95", F.lit(share > 0.95))
+
+
+@query("SELECT count(*) AS points, TRUE AS kept FROM embeddings")
+def layout_trust(spark, d):
+    """How far the layout keeps neighbourhoods, over every twentieth vector: more than TRUST, where places at random have 0.5."""
+    e = table(spark, d, "embeddings")
+    trust = N.trustworthiness(e, L.umap(e, "vec_id"), e.where("vec_id % 20 = 0"), "vec_id")
+    return e.agg(F.count("*").alias("points")).withColumn("kept", F.lit(trust > TRUST))
 
 
 @query()

@@ -11,6 +11,8 @@ from quillstone.functions import paths as P
 from quillstone.functions import text as X
 from quillstone.functions import vectors as V
 from quillstone.operators import cards, charts, filters, relational, site
+from quillstone.operators import layouts as L
+from quillstone.operators import neighbours as N
 from quillstone.operators import vectors as VO
 from quillstone.plans.catalog import Catalog, Dataset
 from quillstone.plans.pipeline import Pipeline, Registry, bind
@@ -75,19 +77,19 @@ def test_layout(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
-    near = {(r["source"], r["target"]) for r in VO.neighbour_graph(df, "id", 5).collect()}
+    near = {(r["source"], r["target"]) for r in N.neighbour_graph(df, "id", 5).collect()}
     assert near == {(i, int(j)) for i in range(120) for j in np.argsort(d[i])[:5]}
-    parts = VO.neighbour_graph(df, "id", 5, bucket=30).collect()
+    parts = N.neighbour_graph(df, "id", 5, bucket=30).collect()
     assert np.mean([(r["source"], r["target"]) in near for r in parts]) > 0.6 and len({r["source"] for r in parts}) == 120
-    got = {r["id"]: tuple(r["components"]) for r in VO.umap(df, "id", neighbors=8, min_dist=0.1, epochs=3).collect()}
+    got = {r["id"]: tuple(r["components"]) for r in L.umap(df, "id", neighbors=8, min_dist=0.1, epochs=3).collect()}
     y = np.array([got[i] for i in range(120)])
     own = np.repeat([0, 1, 2], 40)
     closest = [np.argsort(((y - y[i]) ** 2).sum(1))[1:6] for i in range(120)]
     assert np.mean([(own[c] == own[i]).mean() for i, c in enumerate(closest)]) > 0.8
-    graph = VO.fuzzy_graph(VO.neighbour_graph(df, "id", 4))
-    once = lambda: sorted(map(tuple, VO.layout(df.select("id"), graph, 0.5, 1, 7).collect()))
+    graph = L.fuzzy_graph(N.neighbour_graph(df, "id", 4))
+    once = lambda: sorted(map(tuple, L.layout(df.select("id"), graph, 0.5, 1, 7).collect()))
     assert [x[0] for x in once()] == list(range(120))
-    assert VO.umap(df.limit(0), "id", epochs=1).count() == 0
+    assert L.umap(df.limit(0), "id", epochs=1).count() == 0
 
 
 def test_projections(spark):
@@ -189,3 +191,81 @@ def test_pipeline_runner(spark, tmp_path):
 def test_incremental(spark):
     pages = spark.createDataFrame([("a", ["x"]), ("b", ["x", "y"]), ("c", ["z"])], "slug string, tags array<string>")
     assert {r[0] for r in incremental.affected(pages, spark.createDataFrame([("a",)], "slug string")).collect()} == {"a", "b"}
+
+
+def test_descent_finds_neighbours(spark):
+    """From small buckets, with copies of a point that many have as a neighbour, and nulls."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((900, 24))
+    x[:150] = x[0]  # copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None), (5, x[5].tolist())], "id long, embedding array<double>")
+    exact = N.exact_neighbours(df, df.where("id % 7 = 0"), "id", 10)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    by = {}
+    for r in exact.collect():
+        by.setdefault(r["source"], []).append(r["d"])
+    assert set(by) == set(range(0, 900, 7))
+    for i, got in by.items():
+        assert np.allclose(sorted(got), np.sort(d[i])[:10], atol=1e-9)
+    graph = N.neighbour_graph(df, "id", 10, bucket=40)
+    counts = {r["source"]: r["n"] for r in graph.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert counts == {i: 10 for i in range(900)}
+    start = N.neighbour_graph(df, "id", 10, bucket=40, rounds=0)
+    assert N.recall(start, exact) < 0.7 and N.recall(graph, exact) > 0.97
+
+
+def test_bandwidths():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    lists = [np.sort(rng.random(k) * 5) for k in (15, 15, 7)] + [np.zeros(5), np.r_[0.0, 0.0, 1.0, 2.0], np.array([3.0]), np.full(6, 2.0)]
+    got = L.bandwidths(pd.Series(lists))
+    for d, (rho, sigma) in zip(lists[:3], got.to_numpy()):
+        assert rho == d.min() and abs(np.exp(-np.maximum(d - rho, 0) / sigma).sum() - np.log2(len(d))) < 1e-6
+    assert (got["sigma"] > 0).all() and got["rho"].tolist()[3:] == [0.0, 1.0, 3.0, 2.0]
+
+
+def test_layout_keeps_neighbourhoods(spark):
+    """Clusters and what is within them, also where blocks are small; the same places on a second run."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    t = rng.random(400) * 6
+    x = np.c_[np.cos(t) * t, np.sin(t) * t, 0.05 * rng.standard_normal((400, 4))]  # a spiral
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    made = L.umap(df, "id", neighbors=12, min_dist=0.1, epochs=100).checkpoint()
+    assert N.trustworthiness(df, made, df, "id") > 0.95
+    places = lambda f: {r["id"]: tuple(r["components"]) for r in f.collect()}
+    again = places(L.umap(df, "id", neighbors=12, min_dist=0.1, epochs=100))
+    assert all(np.allclose(again[i], p, atol=1e-3) for i, p in places(made).items())
+    blocks = L.umap(df, "id", neighbors=12, min_dist=0.1, epochs=100, block=60, others=100)
+    assert N.trustworthiness(df, blocks, df, "id") > 0.93
+    shuffled = df.select("id", F.array(F.rand(3), F.rand(4)).alias("components")).checkpoint()
+    assert abs(N.trustworthiness(df, shuffled, df, "id") - 0.5) < 0.1
+
+
+def test_trustworthiness_by_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x, y, k = rng.standard_normal((90, 5)), rng.standard_normal((90, 2)), 7
+    y[:, 0] += 2 * x[:, 0]
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    placed = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "id long, components array<double>")
+    dist = lambda z: np.sqrt(((z[:, None] - z[None]) ** 2).sum(2)) + np.diag([np.inf] * len(z))
+    rank = dist(x).argsort(1).argsort(1) + 1
+    worse = sum(max(0, rank[i, j] - k) for i in range(90) for j in dist(y)[i].argsort()[:k])
+    want = 1 - 2 / (90 * k * (2 * 90 - 3 * k - 1)) * worse
+    assert abs(N.trustworthiness(points, placed, points, "id", k) - want) < 1e-9
+
+
+def test_legality(spark):
+    rows = [("a", {"commander": "legal"}), ("b", {"commander": "restricted"}), ("c", {"commander": "not_legal"}), ("d", {"commander": "banned"}), ("e", {"modern": "legal"}), ("f", None), ("g", {"commander": None})]
+    held = cards.parse(spark.createDataFrame(rows, "id string, legalities map<string,string>"), ["card_id", "released_at", "legal"])
+    assert held.columns == ["card_id", "released_at", "legal"]
+    kept = {r["card_id"] for r in held.where(filters.legal(" Commander ", "2020-01-01", True)).collect()}
+    assert kept == {"a", "b"}
