@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from quillstone.functions import paths as P
 
 PARENTHESES = r"\s*\([^)]*\)"
+#: What is code or a comment in markdown, as one match each: fenced blocks, to a fence of the same sign that is no shorter or to the end, spans between runs of
+#: equally many backticks on a line, and comments.
+FENCE = r"(?m:^ {0,3})(?:(?<fence>`{3,})[^`\n]*|(?<tilde>~{3,})[^\n]*)(?:\n(?s:.*?)(?<=\n) {0,3}(?:\k<fence>`*|\k<tilde>~*)[ \t]*(?=\n|\z)|\n(?s:.*)\z|\z)"
+SPAN = r"(?<!`)(?<ticks>`+)(?!`)[^\n]*?(?<!`)\k<ticks>(?!`)"
+COMMENT = r"(?s:<!--.*?(?:-->|\z))"
+CODE = f"{FENCE}|{SPAN}|{COMMENT}"
 
 
 def normalize(c: Column) -> Column:
@@ -120,23 +126,43 @@ def reading_minutes(c: Column, words_per_minute: int = 200) -> Column:
     return F.ceil(F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")) / words_per_minute)
 
 
+def without_code(c: Column, fill: str = " ") -> Column:
+    """The text with `fill` in place of each fenced block, code span and comment."""
+    return F.regexp_replace(c, CODE, fill)
+
+
+def without_blocks(c: Column) -> Column:
+    """The text without fenced blocks and comments; code spans stay, as in headings."""
+    return F.regexp_replace(c, f"{FENCE}|{COMMENT}", "")
+
+
+def outside_code(c: Column, change) -> Column:
+    """change(text) of what is neither code nor a comment; those stay as they are, in their places."""
+    pieces, held = F.split(c, CODE, -1), F.concat(F.regexp_extract_all(c, F.lit(CODE), F.lit(0)), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.transform(pieces, change), held, lambda a, b: F.concat(a, b)), "")
+
+
 def wikilinks(c: Column) -> Column:
-    """Targets of [[target#heading|label]] links."""
-    return F.transform(F.regexp_extract_all(c, F.lit(r"!?\[\[([^\[\]|#\\]*)(?:#[^\[\]|]*)?(?:\\?\|[^\[\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
+    """Targets of [[target#heading|label]] links outside of code."""
+    return F.transform(F.regexp_extract_all(without_code(c), F.lit(r"!?\[\[([^\[\]|#\\]*)(?:#[^\[\]|]*)?(?:\\?\|[^\[\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
 
 
 def hashtags(c: Column) -> Column:
-    """Distinct #tags, which aren't numbers alone."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(r"(?:^|\s)#([\p{L}\p{N}_/-]+)"), F.lit(1)), lambda t: ~t.rlike(r"^[\d/]+$")))
+    """Distinct #tags outside of code, which aren't numbers alone."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(without_code(c), F.lit(r"(?:^|\s)#([\p{L}\p{N}_/-]+)"), F.lit(1)), lambda t: ~t.rlike(r"^[\d/]+$")))
 
 
 def markup(c: Column) -> Column:
-    """Comments go, highlights and arrows become HTML, block references are cut off."""
-    c = F.regexp_replace(c, r"(?s)%%.*?%%", "")
-    c = F.regexp_replace(c, r"==([^=]+)==", "<mark>$1</mark>")
-    for a, b in (("<-->", "&harr;"), ("-->", "&rarr;"), ("<--", "&larr;"), ("==>", "&rArr;"), ("<==", "&lArr;")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.regexp_replace(c, r"(?m) \^([-_A-Za-z0-9]+)$", "")
+    """Comments go, highlights and arrows become HTML, block references are cut off; code stays as it is."""
+
+    def changed(t: Column) -> Column:
+        t = F.regexp_replace(t, r"(?s)%%.*?%%", "")
+        t = F.regexp_replace(t, r"==([^=]+)==", "<mark>$1</mark>")
+        for a, b in (("<-->", "&harr;"), ("-->", "&rarr;"), ("<--", "&larr;"), ("==>", "&rArr;"), ("<==", "&lArr;")):
+            t = F.replace(t, F.lit(a), F.lit(b))
+        return F.regexp_replace(t, r"(?m) \^([-_A-Za-z0-9]+)$", "")
+
+    return outside_code(c, changed)
 
 
 def roam(c: Column) -> Column:

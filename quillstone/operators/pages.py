@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import paths as P
 from quillstone.functions import text as X
 
+#: ![[page#reference|label]], as both engines read it.
+EMBED = r"!\[\[([^\[\]|#\\]+)(#[^\[\]|]*)?(?:\\?\|[^\[\]]*)?\]\]"
+ANY_EMBED = re.compile(EMBED)
+
 
 def content_index(pages: DataFrame, include_empty: bool = True) -> DataFrame:
     """slug, entry: title, distinct links, tags and content as JSON; a page without text is left out unless it is to be kept."""
@@ -100,19 +107,77 @@ def embeds(references: DataFrame, pages: DataFrame) -> DataFrame:
     return references.join(texts, "target", "left").select("slug", "target", "reference", X.embedded(F.col("_c"), F.col("reference")).alias("body"))
 
 
-def find(pages: DataFrame, query: str, per_field: int = 8) -> DataFrame:
-    """slug, priority, place for what a user types: words search titles, then contents; #tag searches tags; #tag words search the pages with that tag."""
+def expand(pages: DataFrame) -> DataFrame:
+    """slug, content: texts with what they embed, ![[page]], ![[page#heading]] and ![[page#^block]], in its place, and what that embeds in turn.
+
+    A page is shown once in a text, where it comes first; where it comes again, and where a text embeds itself, a note says so. Embeds of pages that aren't
+    there stay as they are, and so do those in code. What meets in a task is a text and the pages that end up in it, each once.
+    """
+    from quillstone.operators import site
+
+    embeds = F.regexp_extract_all(X.without_code(F.col("content")), F.lit(EMBED), F.lit(1))
+    held = pages.select("slug", "content").withColumn("embeds", F.array_distinct(F.transform(embeds, lambda x: P.slugify(F.trim(x)))))
+    pairs = site.transclude(held)
+    parts = pairs.join(held.select(F.col("slug").alias("included"), F.col("content").alias("body")), "included")
+    own = held.where(F.size("embeds") > 0).select("slug", F.col("slug").alias("included"), F.col("content").alias("body"))
+    # a slug for each way in which an embed may be written, made by the same function as the pages' own
+    names = held.select("slug", F.explode(F.array_distinct(embeds)).alias("name")).select("name").distinct().withColumn("to", P.slugify(F.trim("name")))
+    asked = parts.unionByName(own)
+    written = asked.select("slug", "included", "body", F.array_distinct(F.regexp_extract_all(X.without_code(F.col("body")), F.lit(EMBED), F.lit(0))).alias("embeds"))
+    each = written.select("slug", "included", F.explode("embeds").alias("embed"))
+    each = each.withColumns({"name": F.regexp_extract("embed", EMBED, 1), "reference": F.regexp_extract("embed", EMBED, 2)}).join(names, "name")
+    bodies = held.select(F.col("slug").alias("to"), F.col("content").alias("target"))
+    filled = each.join(bodies, "to", "left").select("slug", "included", "embed", "to", X.embedded(F.col("target"), F.when(F.startswith("reference", F.lit("#^")), F.col("reference")).when(
+        F.col("reference") != "", F.concat(F.lit("#"), P.slug_anchor(F.substring("reference", 2, 1 << 30)))).otherwise("")).alias("part"))
+
+    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
+        slug = pdf["slug"].iloc[0]
+        body = next((r.part for r in pdf.itertuples() if r.embed is None), None)
+        known = {(r.included, r.embed): (r.to, r.part) for r in pdf.itertuples() if r.embed is not None}
+        seen, out = {slug}, []
+        todo: list[tuple[str, str, int]] = [(slug, body, 0)]
+        while todo:
+            page, text, at = todo.pop()
+            for m in ANY_EMBED.finditer(text, at):
+                to, part = known.get((page, m[0]), (None, None))
+                if to is None:
+                    continue
+                out.append(text[at : m.start()])
+                todo.append((page, text, m.end()))
+                if to in seen:
+                    out.append(f"Circular transclusion detected: {to}")
+                elif part is None:
+                    out.append(m[0])
+                    seen.add(to)
+                else:
+                    seen.add(to)
+                    todo.append((to, part, 0))
+                break
+            else:
+                out.append(text[at:])
+        return pd.DataFrame({"slug": [slug], "content": ["".join(out)]})
+
+    whole = own.select("slug", "included", F.lit(None).cast("string").alias("embed"), F.lit(None).cast("string").alias("to"), F.col("body").alias("part"))
+    made = filled.unionByName(whole).groupBy("slug").applyInPandas(assemble, "slug string, content string")
+    return made.unionByName(held.where(F.size("embeds") == 0).select("slug", "content"))
+
+
+def find(pages: DataFrame, query: str, per_field: int = 8, per_tag: int = 5, stored: DataFrame | None = None) -> DataFrame:
+    """slug, priority, place for what a user types: words search titles, then contents; #tag searches tags; #tag words search the pages with that tag.
+
+    stored: an index that store_index has written; without one it is made of the pages.
+    """
     from quillstone.operators import site
 
     if not query.startswith("#"):
-        return site.search(site.index(pages), query, per_field)
+        return site.search(stored if stored is not None else site.index(pages), query, per_field)
     tag, _, words = query[1:].strip().partition(" ")
     if words.strip():
-        return site.search(site.index(pages), words, per_field, among=pages.where(F.array_contains("tags", tag)))
+        return site.search(stored if stored is not None else site.index(pages), words, per_field, among=pages.where(F.array_contains("tags", tag)))
     start = F.lower(F.lit(tag))
     hits = pages.select("slug", F.size(F.filter("tags", lambda t: F.startswith(F.lower(t), start))).alias("hits")).where("hits > 0")
-    best = hits.orderBy(F.desc("hits"), "slug").limit(per_field)
-    ranked = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("hits")).alias("h"), "slug"))).alias("rows"))  # per_field rows at most
+    best = hits.orderBy(F.desc("hits"), "slug").limit(per_tag)
+    ranked = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("hits")).alias("h"), "slug"))).alias("rows"))  # per_tag rows at most
     return ranked.select(F.posexplode("rows").alias("place", "r")).select("r.slug", F.lit(2).alias("priority"), (F.col("place") + 1).alias("place"))
 
 

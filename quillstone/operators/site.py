@@ -80,15 +80,24 @@ def listed(pages: DataFrame, folders_first: bool = False) -> DataFrame:
     return pages.orderBy(*([~P.is_folder(F.col("slug"))] if folders_first else []), *keys)
 
 
-def transclude(pages: DataFrame, depth: int = 5) -> DataFrame:
-    """slug, included: the pages that each page embeds, in turn, without cycles and up to a depth."""
-    links = pages.select(F.col("slug").alias("s"), F.explode("embeds").alias("t"))
-    now = links.select(F.col("s").alias("slug"), F.col("t").alias("included"), F.array("s", "t").alias("path")).where("s <> t")
-    out = now
-    for _ in range(depth - 1):
-        now = now.join(links, F.col("included") == F.col("s")).where(~F.array_contains("path", F.col("t"))).select("slug", F.col("t").alias("included"), F.concat("path", F.array("t")).alias("path"))
-        out = out.unionByName(now)
-    return out.select("slug", "included").distinct()
+def transclude(pages: DataFrame, depth: int | None = None) -> DataFrame:
+    """slug, included: the pages that each page embeds, in turn, itself left out; up to a depth, or all.
+
+    Pairs are kept, not paths, and the rounds end when no pair is new. Without a depth each round doubles the steps that pairs stand for. Rounds are
+    written to the shared folder.
+    """
+    shared_folder(pages.sparkSession)
+    links = pages.select("slug", F.explode("embeds").alias("included")).where("slug <> included").distinct().checkpoint()
+    seen, new, d = links, links, 1
+    while depth is None or d < depth:
+        d += 1
+        by = (seen if depth is None else links).select(F.col("slug").alias("included"), F.col("included").alias("next"))
+        further = (seen if depth is None else new).join(by, "included").select("slug", F.col("next").alias("included")).where("slug <> included").distinct()
+        new = further.join(seen, ["slug", "included"], "left_anti").checkpoint()
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new).checkpoint()
+    return seen
 
 
 def index(pages: DataFrame, fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
@@ -100,24 +109,55 @@ def index(pages: DataFrame, fields: tuple[str, ...] = ("title", "content")) -> D
     return out.groupBy("field", "token", "slug").agg(F.count("*").alias("hits"))
 
 
+def store_index(pages: DataFrame, folder: str, parts: int | None = None, fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
+    """The inverted index as a table in a folder, in ranges of tokens, sorted within: a prefix is in few files, and in few row groups of them."""
+    whole = index(pages, fields)
+    spread = whole.repartitionByRange(parts, "token", "field", "slug") if parts else whole.repartitionByRange("token", "field", "slug")
+    spread.sortWithinPartitions("token", "field", "slug").write.mode("errorifexists").parquet(folder)
+    return pages.sparkSession.read.schema(whole.schema).parquet(folder)
+
+
+def after(prefix: str) -> str | None:
+    """The least string that is greater than all strings with the prefix; None if there is none."""
+    for k in range(len(prefix) - 1, -1, -1):
+        code = ord(prefix[k])
+        if code < 0x10FFFF:
+            return prefix[:k] + chr(0xE000 if code + 1 == 0xD800 else code + 1)
+    return None
+
+
+def starting(column: str, prefix: str) -> F.Column:
+    """Whether the column starts with the prefix, as a range that a scan can prune by."""
+    end = after(prefix)
+    least = F.col(column) >= prefix
+    return least & (F.col(column) < end) if end else least
+
+
 def search(inverted: DataFrame, query: str, per_field: int = 8, among: DataFrame | None = None, before: int = 10_000) -> DataFrame:
     """slug, place: pages whose tokens start with every term; titles come before contents, more hits before fewer.
 
-    With among (slug), the first `before` pages of a field are looked for in it, and the first per_field of those stay.
+    The terms are ranges of tokens, which reach the scan of a stored index. With among (slug), the first `before` pages of a field are looked
+    for in it, and the first per_field of those stay.
     """
     terms = query.lower().split()
     match = F.lit(False)
     for t in terms:
-        match = match | F.col("token").startswith(t)
+        match = match | starting("token", t)
     hit = inverted.where(match)
     which = F.array(*[F.when(F.col("token").startswith(t), F.lit(i)) for i, t in enumerate(terms)])
     found = hit.withColumn("_w", F.explode(F.filter(which, lambda x: x.isNotNull()))).groupBy("field", "slug").agg(F.countDistinct("_w").alias("terms"), F.sum("hits").alias("hits"))
     best = found.where(F.col("terms") == len(set(terms)))
-    place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("hits"), "slug"))
+
+    def first(rows: DataFrame, n: int) -> DataFrame:
+        """The first n of each field: ranked in parts before, so that no task ranks all hits."""
+        order = [F.desc("hits"), F.col("slug")]
+        part = F.row_number().over(Window.partitionBy("field", F.pmod(F.xxhash64("slug"), F.lit(32))).orderBy(*order))
+        few = rows.withColumn("place", part).where(F.col("place") <= n)
+        return few.withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy(*order))).where(F.col("place") <= n)
+
     if among is not None:
-        first = best.withColumn("place", place).where(F.col("place") <= max(before, per_field))
-        best = first.drop("place").join(among.select("slug").distinct(), "slug", "left_semi")
-    ranked = best.withColumn("place", place).where(F.col("place") <= per_field)
+        best = first(best, max(before, per_field)).drop("place").join(among.select("slug").distinct(), "slug", "left_semi")
+    ranked = first(best, per_field)
     return ranked.withColumn("priority", F.when(F.col("field") == "title", 0).otherwise(1)).groupBy("slug").agg(F.min(F.struct("priority", "place")).alias("f")).select("slug", "f.priority", "f.place")
 
 
@@ -132,8 +172,8 @@ def best_window(docs: DataFrame, key: str, text: str, terms: list[str], width: i
 
 
 def headings(docs: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
-    """key, ordinal, depth, title, anchor: headings of a text with more than one, depths from 0, anchors made unique by number."""
-    found = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "raw")).where(F.col("raw").rlike(rf"^#{{1,{most}}} \S"))
+    """key, ordinal, depth, title, anchor: headings of a text with more than one, depths from 0, anchors made unique by number; code and comments have none."""
+    found = docs.select(key, F.posexplode(F.split(X.without_blocks(F.col(text)), "\n")).alias("line", "raw")).where(F.col("raw").rlike(rf"^#{{1,{most}}} \S"))
     rows = found.select(key, "line", F.length(F.regexp_extract("raw", r"^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("raw", r"^#+\s+", "")).alias("title"))
     slug = F.regexp_replace(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}\s_-]", ""), r"\s", "-")
     of = Window.partitionBy(key)
@@ -142,6 +182,24 @@ def headings(docs: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
     return numbered.where("n > 1").select(key, "ordinal", "depth", "title", F.when(F.col("_k") > 0, F.concat_ws("-", "_s", F.col("_k").cast("string"))).otherwise(F.col("_s")).alias("anchor"))
 
 
+def ordered(rows: DataFrame, key: str, coarse: list[F.Column], fine: list[F.Column], name: str = "place") -> DataFrame:
+    """rows with their place (from 1) within the key, in order of coarse and then fine.
+
+    The rows of a key are numbered apart for each value of coarse, and the counts of those before are added, so that a key with most rows is no
+    single task. coarse should hold the leading part of the order.
+    """
+    marks = [f"_c{i}" for i in range(len(coarse))]
+    held = rows.select("*", *[c.alias(m) for c, m in zip(coarse, marks)])
+    inside = held.withColumn("_in", F.row_number().over(Window.partitionBy(key, *marks).orderBy(*fine)))
+    counts = held.groupBy(key, *marks).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)  # a row for each value of coarse
+    offsets = counts.select(F.col(key).alias("_key"), *[F.col(m).alias(f"{m}_") for m in marks], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = inside[key].eqNullSafe(offsets["_key"])
+    for m in marks:
+        same = same & inside[m].eqNullSafe(offsets[f"{m}_"])
+    return inside.join(offsets, same).withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before", "_key", *marks, *[f"{m}_" for m in marks])
+
+
 def feed(pages: DataFrame, base: str, n: int = 10) -> DataFrame:
     """The newest pages as feed items."""
     e = X.escape_html

@@ -6,6 +6,7 @@ each row becomes a file, written where the row is.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,18 +17,30 @@ from quillstone.functions import paths as P
 from quillstone.functions import text as X
 from quillstone.operators import pages as PG
 from quillstone.sources import front, io
+from quillstone.sources.ignore import ignored
+from quillstone.streaming import incremental
 
 Step = Callable[[DataFrame], DataFrame]
 
 
-def read_pages(spark: SparkSession, folder: str, pattern: str = "*.md", ignore: tuple[str, ...] = ()) -> DataFrame:
-    """path (below the folder), text, modified: files below the folder, but for those whose path an ignore expression matches."""
-    files = io.read_binary(spark, folder, pattern)
-    path = F.regexp_replace("path", r"^.*?" + r"\Q" + folder.split(":", 1)[-1].rstrip("/") + r"\E/", "")
-    found = files.select(path.alias("path"), F.decode("content", "utf-8").alias("text"), F.col("modificationTime").alias("changed"))
+def kept_paths(files: DataFrame, folder: str, ignore: tuple[str, ...], rules: str | None) -> DataFrame:
+    """Files with their path below the folder, but for those that an ignore expression or the rules of an ignore file leave out."""
+    found = files.withColumn("path", io.below(F.col("path"), folder))
     for x in ignore:
         found = found.where(~F.col("path").rlike(x))
-    return found
+    return found if rules is None else found.where(~ignored(F.col("path"), rules))
+
+
+def read_pages(spark: SparkSession, folder: str, pattern: str = "*.md", ignore: tuple[str, ...] = (), rules: str | None = None) -> DataFrame:
+    """path (below the folder), text, changed: the markdown files below the folder that aren't ignored."""
+    files = kept_paths(io.read_binary(spark, folder, pattern), folder, ignore, rules)
+    return files.select("path", F.decode("content", "utf-8").alias("text"), F.col("modificationTime").alias("changed"))
+
+
+def asset_files(spark: SparkSession, folder: str, ignore: tuple[str, ...] = (), rules: str | None = None, below: str = "") -> DataFrame:
+    """path, content: all other files below the folder that aren't ignored, byte for byte, by the slug of their path; a file is a row, of 2 GB at most."""
+    files = kept_paths(io.read_binary(spark, folder), folder, ignore, rules).where(~F.col("path").endswith(".md"))
+    return files.select(F.concat(F.lit(below), P.file_slug(F.col("path"))).alias("path"), "content")
 
 
 def headers(pages: DataFrame) -> DataFrame:
@@ -107,17 +120,73 @@ def feed_files(pages: DataFrame, base: str = "example.com", n: int = 10) -> Data
     return items.select(F.lit("index.xml").alias("path"), F.concat(F.lit('<?xml version="1.0" encoding="UTF-8" ?><rss version="2.0"><channel>'), "b", F.lit("</channel></rss>")).alias("content"))
 
 
+def _parts(rows: DataFrame, key: str, folder: F.Column, most: int) -> DataFrame:
+    """path, content: for each key a list of links to its pages (slug, title, modified), newest first, in parts of `most`; rows without a slug give empty lists.
+
+    The first part is the list's own page, the others are numbered. A key with most pages is split before anything of it is gathered.
+    """
+    from quillstone.operators import site
+
+    recent = [F.coalesce(-F.unix_date("modified"), F.lit(1 << 30)), F.substring(F.lower("title"), 1, 2)]
+    placed = site.ordered(rows.where(F.col("slug").isNotNull()), key, recent, [F.lower("title"), F.col("slug")])
+    part = F.floor((F.col("place") - 1) / most) + 1
+    item = F.concat(F.lit('<li><a href="/'), P.simplify(F.col("slug")), F.lit('">'), X.escape_html(F.col("title")), F.lit("</a></li>"))
+    lists = placed.groupBy(F.col(key).alias("_k"), part.alias("_part")).agg(F.array_sort(F.collect_list(F.struct("place", item.alias("item")))).alias("items"))  # `most` at most
+    every = rows.groupBy(key, "heading").agg(F.count("slug").alias("n"))
+    joined = every.join(lists, every[key] == F.col("_k"), "left").withColumn("_part", F.coalesce("_part", F.lit(1)))
+    body = F.coalesce(F.array_join(F.transform("items", lambda x: x["item"]), ""), F.lit(""))
+    last = F.greatest(F.ceil(F.col("n") / most), F.lit(1))
+    more = F.when(F.col("_part") < last, F.concat(F.lit('<a rel="next" href="/'), folder, F.lit("/"), (F.col("_part") + 1).cast("string"), F.lit('">next</a>'))).otherwise("")
+    html = F.concat(F.lit("<!DOCTYPE html><html><head><title>"), X.escape_html(F.col("heading")), F.lit("</title></head><body><p>"), F.col("n").cast("string"), F.lit(" items under this heading.</p><ul>"), body, F.lit("</ul>"), more, F.lit("</body></html>"))
+    return joined.select(F.concat(folder, F.when(F.col("_part") > 1, F.concat(F.lit("/"), F.col("_part").cast("string"))).otherwise(""), F.lit(".html")).alias("path"), html.alias("content"))
+
+
+def _dated(pages: DataFrame) -> DataFrame:
+    return pages.select("slug", "title", "tags", F.to_date(F.try_to_timestamp("dates.modified")).alias("modified"))
+
+
+def tag_files(pages: DataFrame, most: int = 1000) -> DataFrame:
+    """For every tag, and the tags above it, a page that lists its pages; an authored page tags/<tag> gives it its title. tags/index lists all tags."""
+    from quillstone.operators import site
+
+    each = _dated(pages).select("slug", "title", "modified", F.explode("tags").alias("t")).where("t <> ''").select("slug", "title", "modified", F.explode(X.prefixes(F.split("t", "/"), "/")).alias("tag")).distinct()
+    authored = pages.where(F.startswith("slug", F.lit("tags/"))).select(F.substring("slug", 6, 1 << 30).alias("tag"), F.col("title"))
+    titles = site.described(each.select("tag").distinct(), authored, "tag", "Tag: ").select("tag", F.col("title").alias("heading"))
+    rows = each.join(titles, "tag")
+    tags = titles.select(F.lit("index").alias("tag"), F.concat(F.lit("tags/"), "tag").alias("slug"), F.col("tag").alias("title"), F.lit(None).cast("date").alias("modified"), F.lit("Tag Index").alias("heading"))
+    return _parts(rows.unionByName(tags), "tag", F.concat(F.lit("tags/"), "tag"), most)
+
+
+def folder_files(pages: DataFrame, most: int = 1000) -> DataFrame:
+    """For every folder, but those below tags, a page that lists the pages in it, however deep; one with an index page of its own has its title."""
+    from quillstone.operators import site
+
+    shown = _dated(pages).where(~F.startswith("slug", F.lit("tags/")))
+    each = shown.select("slug", "title", "modified", F.explode(P.parents(F.col("slug"))).alias("folder")).where(F.col("folder") != "")
+    authored = pages.where(F.col("slug").endswith("/index")).select(F.regexp_replace("slug", "/index$", "").alias("folder"), "title")
+    titles = site.described(each.select("folder").distinct(), authored, "folder", "Folder: ").select("folder", F.col("title").alias("heading"))
+    own = each.withColumn("slug", F.when(F.col("slug") != F.concat("folder", F.lit("/index")), F.col("slug")))
+    return _parts(own.join(titles, "folder"), "folder", F.concat("folder", F.lit("/index")), most)
+
+
 EMITTERS: dict[str, Step] = {"pages": page_files, "aliases": alias_files, "index": index_files, "sitemap": sitemap_files, "feed": feed_files}
+#: With pages of tags and folders.
+ALL_EMITTERS: dict[str, Step] = {"tags": tag_files, "folders": folder_files, **EMITTERS}
 
 
-def build(spark: SparkSession, source: str, target: str, work: str, ignore: tuple[str, ...] = (), transformers: tuple[Step, ...] = TRANSFORMERS,
-          filters: tuple[Step, ...] = FILTERS, emitters: dict[str, Step] | None = None) -> DataFrame:
-    """emitter, path, bytes of the files made in target, a new folder; pages are written to work once, between parsing and emitting."""
-    pages = read_pages(spark, source, ignore=ignore)
+def parsed(spark: SparkSession, source: str, folder: str, ignore: tuple[str, ...], rules: str | None, transformers: tuple[Step, ...], filters: tuple[Step, ...]) -> DataFrame:
+    """The pages of a source after all steps, written to the folder once, between parsing and emitting."""
+    pages = read_pages(spark, source, ignore=ignore, rules=rules)
     for step in (*transformers, *filters):
         pages = step(pages)
-    pages.write.parquet(f"{work}/pages")
-    held = spark.read.parquet(f"{work}/pages")
+    pages.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def build(spark: SparkSession, source: str, target: str, work: str, ignore: tuple[str, ...] = (), transformers: tuple[Step, ...] = TRANSFORMERS,
+          filters: tuple[Step, ...] = FILTERS, emitters: dict[str, Step] | None = None, rules: str | None = None) -> DataFrame:
+    """emitter, path, bytes of the files made in target, a new folder."""
+    held = parsed(spark, source, f"{work}/pages", ignore, rules, transformers, filters)
     chosen = EMITTERS if emitters is None else emitters
 
     def emit(item: tuple[str, Step]) -> str:
@@ -128,3 +197,44 @@ def build(spark: SparkSession, source: str, target: str, work: str, ignore: tupl
     with ThreadPoolExecutor(max(1, len(chosen))) as pool:
         list(pool.map(emit, chosen.items()))
     return spark.read.parquet(f"{work}/files/*").select("emitter", "path", "bytes")
+
+
+def update(spark: SparkSession, source: str, target: str, work: str, ignore: tuple[str, ...] = (), transformers: tuple[Step, ...] = TRANSFORMERS,
+           filters: tuple[Step, ...] = FILTERS, emitters: dict[str, Step] | None = None, rules: str | None = None, static: str | None = None) -> DataFrame:
+    """action (write, remove or keep), emitter, path, digest, bytes: brings target to what a full build of the source, its assets and a static folder gives.
+
+    work holds a manifest for each update: every file with the digest of its content. Contents are made and hashed first; only those whose digest
+    the last manifest lacks are made again and written, and files that it has in excess are removed. Where two emitters name a file,
+    the earlier one makes it. A manifest is the last thing that an update writes, so one that was cut short is done over by the next.
+    """
+    chosen = ALL_EMITTERS if emitters is None else emitters
+    numbers = incremental.tables(spark, work, "manifest-")
+    now = (numbers[-1] if numbers else 0) + 1
+    run = f"{work}/run-{uuid.uuid4().hex}"
+    held = parsed(spark, source, f"{run}/pages", ignore, rules, transformers, filters)
+    makers: list[tuple[str, Callable[[], DataFrame]]] = [(name, lambda step=step: step(held)) for name, step in chosen.items()]
+    makers.append(("assets", lambda: asset_files(spark, source, ignore, rules)))
+    if static is not None:
+        makers.append(("static", lambda: asset_files(spark, static, below="static/")))
+
+    def rows() -> DataFrame:
+        out = None
+        for k, (name, make) in enumerate(makers):
+            one = make().select(F.lit(k).alias("k"), F.lit(name).alias("emitter"), "path", F.col("content").cast("binary").alias("content"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    digests = rows().select("path", F.struct("k", "emitter", F.sha2("content", 256).alias("digest"), F.octet_length("content").cast("long").alias("bytes")).alias("f"))
+    digests.groupBy("path").agg(F.min("f").alias("f")).select("path", "f.emitter", "f.digest", "f.bytes").write.parquet(f"{run}/digests")
+    new = spark.read.parquet(f"{run}/digests")
+    last = spark.read.parquet(f"{work}/manifest-{numbers[-1]}") if numbers else new.limit(0)
+    before = last.select("path", F.col("digest").alias("_digest"), F.col("emitter").alias("_emitter"), F.col("bytes").alias("_bytes"))
+    both = new.join(before, "path", "full")
+    action = F.when(F.col("digest").isNull(), "remove").when(F.col("digest") == F.col("_digest"), "keep").otherwise("write")
+    both.select(action.alias("action"), F.coalesce("emitter", "_emitter").alias("emitter"), "path", F.coalesce("digest", "_digest").alias("digest"), F.coalesce("bytes", "_bytes").alias("bytes")).write.parquet(f"{run}/actions")
+    actions = spark.read.parquet(f"{run}/actions")
+    changed = actions.where("action = 'write'").select("emitter", "path")
+    io.write_files(rows().join(changed, ["emitter", "path"], "left_semi").select("path", "content"), target).agg(F.count("*")).collect()
+    io.remove_files(actions.where("action = 'remove'"), target).agg(F.count("*")).collect()
+    new.write.parquet(f"{work}/manifest-{now}")
+    return actions

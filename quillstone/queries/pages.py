@@ -106,7 +106,7 @@ def search_snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", X.highlight(F.col("text"), "th que", trim=True).alias("snippet"))
 
 
-_FACET = "SELECT slug, 2 AS priority, CAST(row_number() OVER (ORDER BY hits DESC, slug) AS INTEGER) AS place FROM (SELECT slug, len(list_filter(tags, lambda t: starts_with(lower(t), 'brand#1'))) AS hits FROM pages_) WHERE hits > 0 ORDER BY hits DESC, slug LIMIT 8"
+_FACET = "SELECT slug, 2 AS priority, CAST(row_number() OVER (ORDER BY hits DESC, slug) AS INTEGER) AS place FROM (SELECT slug, len(list_filter(tags, lambda t: starts_with(lower(t), 'brand#1'))) AS hits FROM pages_) WHERE hits > 0 ORDER BY hits DESC, slug LIMIT 5"
 
 
 @query(f"WITH {PAGES} {_FACET}")

@@ -87,7 +87,8 @@ _HITS = """t AS (SELECT 'title' AS field, slug, unnest(string_split(lower(title)
 r AS (SELECT field, slug, row_number() OVER (PARTITION BY field ORDER BY hits DESC, slug) AS place FROM f WHERE terms = 2)
 SELECT slug, priority, CAST(place AS INTEGER) AS place FROM (SELECT slug, CASE WHEN field = 'title' THEN 0 ELSE 1 END AS priority, place, row_number() OVER (PARTITION BY slug ORDER BY CASE WHEN field = 'title' THEN 0 ELSE 1 END, place) AS k FROM r WHERE place <= 8) WHERE k = 1""")
 def search_basic(spark, d):
-    return S.search(S.index(pages(spark, d)), "red wid")
+    """A search in the index as it is stored."""
+    return S.search(S.store_index(pages(spark, d), f"{io.shared_folder(spark)}/{uuid.uuid4().hex}"), "red wid")
 
 
 @query(f"""WITH {PAGES}, {_HITS} SELECT field, token, slug, count(*) AS hits FROM t GROUP BY ALL""")

@@ -69,6 +69,25 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
     return rows.select("path", "content").mapInPandas(write, "path string, bytes long")
 
 
+def remove_files(rows: DataFrame, folder: str) -> DataFrame:
+    """path: files (path) below the folder, taken away where the rows are; one that isn't there is gone already. It is done when the result is read."""
+
+    def unlink(batches):
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        for pdf in batches:
+            for path in pdf["path"]:
+                whole = posixpath.normpath(posixpath.join(top, path.lstrip("/")))
+                if not whole.startswith(top.rstrip("/") + "/"):
+                    raise ValueError(f"{path} leads out of the folder")
+                if system.get_file_info(whole).type == fs.FileType.File:
+                    system.delete_file(whole)
+            yield pdf[["path"]]
+
+    return rows.select("path").mapInPandas(unlink, "path string")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where no cluster is."""
     sc = spark.sparkContext
@@ -92,11 +111,20 @@ def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
-def glob_files(spark: SparkSession, path: str, pattern: str = "*.md", ignore: tuple[str, ...] = ()) -> DataFrame:
-    """Paths below a folder by name pattern, without those that an ignore expression matches, sorted."""
+def below(path: F.Column, folder: str) -> F.Column:
+    """A file's path without that of the folder it was found in."""
+    return F.regexp_replace(path, r"^.*?" + r"\Q" + folder.split(":", 1)[-1].rstrip("/") + r"\E/", "")
+
+
+def glob_files(spark: SparkSession, path: str, pattern: str = "*.md", ignore: tuple[str, ...] = (), rules: str | None = None) -> DataFrame:
+    """Paths below a folder by name pattern, without those that an ignore expression or the rules of an ignore file leave out, sorted."""
+    from quillstone.sources.ignore import ignored
+
     found = read_binary(spark, path, pattern).select("path", "length", "modificationTime")
     for x in ignore:
         found = found.where(~F.col("path").rlike(x))
+    if rules is not None:
+        found = found.where(~ignored(below(F.col("path"), path), rules))
     return found.orderBy("path")
 
 

@@ -26,15 +26,15 @@ def affected(pages: DataFrame, changed: DataFrame, key: str = "slug") -> DataFra
     return by_tag.unionByName(changed.select(key).join(pages.select(key), key, "left_semi")).distinct()
 
 
-def _states(spark: SparkSession, top: str) -> list[int]:
-    """Epochs whose states are whole tables, in order."""
+def tables(spark: SparkSession, top: str, prefix: str = "state-") -> list[int]:
+    """Numbers of the whole tables <prefix><number> in a folder, in order."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(top)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not system.exists(path):
         return []
     names = [(str(f.getPath().getName()), f.getPath()) for f in system.listStatus(path)]
-    return sorted(int(n[6:]) for n, at in names if n.startswith("state-") and system.exists(jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")))
+    return sorted(int(n[len(prefix) :]) for n, at in names if n.startswith(prefix) and system.exists(jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")))
 
 
 def run_counts(spark: SparkSession, path: str, schema, folder: str, files_per_batch: int = 1, name: str | None = None, keep: int = 2) -> DataFrame:
@@ -49,7 +49,7 @@ def run_counts(spark: SparkSession, path: str, schema, folder: str, files_per_ba
     def merge(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
         now = batch.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
-        before = [e for e in _states(session, top) if e < epoch]
+        before = [e for e in tables(session, top) if e < epoch]
         if before:
             now = now.unionByName(session.read.parquet(f"{top}/state-{before[-1]}"))
         now.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(28,2)").alias("total")).write.mode("overwrite").parquet(f"{top}/state-{epoch}")
@@ -61,7 +61,7 @@ def run_counts(spark: SparkSession, path: str, schema, folder: str, files_per_ba
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    held = _states(spark, top)
+    held = tables(spark, top)
     if not held:  # no file has come yet
         return spark.createDataFrame([], "event_type string, n long, total decimal(28,2)")
     return spark.read.parquet(f"{top}/state-{held[-1]}")
