@@ -86,6 +86,30 @@ def move(at: np.ndarray, head: np.ndarray, tail: np.ndarray, beside: np.ndarray,
     at[:] = everyone[:n]
 
 
+def mover(shared, curves: dict[int, tuple[float, float]], seed: int, first: int, last: int, epochs: int, negative: int):
+    """A function that moves a block of points (combo, block, id, x, y, other, every, ox, oy) through some epochs."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        combo, which = int(pdf["combo"].iloc[0]), int(pdf["block"].iloc[0])
+        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+        xy = pdf[["x", "y"]].to_numpy(np.float64, copy=True)
+        linked = pdf[pdf["other"].notna()]
+        if len(linked):
+            head = np.repeat(linked.index.to_numpy(), [len(o) for o in linked["other"]])
+            other, every, ox, oy = (np.concatenate(linked[c].to_list()) for c in ("other", "every", "ox", "oy"))
+            tail = pd.Index(pdf["id"]).get_indexer(other)
+            away = tail < 0
+            _, where, number = np.unique(other[away], return_index=True, return_inverse=True)
+            tail[away] = len(xy) + number
+            beside = np.c_[ox[away], oy[away]][where].astype(np.float64)
+            a, b = curves[combo]
+            rng = np.random.default_rng([seed, combo, which, first])
+            move(xy, head, tail, beside, every.astype(np.float64), shared.value[combo], first, last, epochs, a, b, negative, rng)
+        return pd.DataFrame({"combo": combo, "id": pdf["id"], "x": xy[:, 0], "y": xy[:, 1]})
+
+    return run
+
+
 def layouts(nodes: DataFrame, edges: DataFrame, min_dists: dict[int, float], epochs: int, seed: int, negative: int = 5, together: int = 25,
             block: int = 20_000, others: int = 4096) -> DataFrame:
     """combo, id, x, y: a layout for each combo. nodes: combo, id (and x, y to start from, else random ones); edges: combo, a, b, weight.
@@ -129,29 +153,11 @@ def layouts(nodes: DataFrame, edges: DataFrame, min_dists: dict[int, float], epo
         shared = spark.sparkContext.broadcast({c: np.array(v) for c, v in far.items()})
         last = min(first + together, epochs)
         there = at.select("combo", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-        near = both.join(there, ["combo", "other"]).groupBy("combo", "id").agg(F.collect_list(F.struct("other", "every", "ox", "oy")).alias("edges"))
+        listed = F.array_sort(F.collect_list(F.struct("other", "every", "ox", "oy")))  # a point's edges
+        near = both.join(there, ["combo", "other"]).groupBy("combo", "id").agg(listed.alias("e"))
+        near = near.select("combo", "id", *[F.col(f"e.{c}").alias(c) for c in ("other", "every", "ox", "oy")])
         rows = placed.join(near, ["combo", "id"], "left")
-
-        def run(pdf: pd.DataFrame, first=first, last=last, shared=shared) -> pd.DataFrame:
-            combo, which = int(pdf["combo"].iloc[0]), int(pdf["block"].iloc[0])
-            pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-            place = {v: i for i, v in enumerate(pdf["id"].tolist())}
-            xy, beside = pdf[["x", "y"]].to_numpy(np.float64, copy=True), []
-            head, tail, every = [], [], []
-            for i, mine in enumerate(pdf["edges"]):
-                for e in sorted(mine, key=lambda e: e["other"]) if mine is not None else ():
-                    j = place.get(e["other"])
-                    if j is None:
-                        j = place[e["other"]] = len(xy) + len(beside)
-                        beside.append((e["ox"], e["oy"]))
-                    head.append(i)
-                    tail.append(j)
-                    every.append(e["every"])
-            a, b = curves[combo]
-            rng = np.random.default_rng([seed, combo, which, first])
-            move(xy, np.array(head, np.int64), np.array(tail, np.int64), np.array(beside, np.float64).reshape(-1, 2), np.array(every), shared.value[combo], first, last, epochs, a, b, negative, rng)
-            return pd.DataFrame({"combo": combo, "id": pdf["id"], "x": xy[:, 0], "y": xy[:, 1]})
-
+        run = mover(shared, curves, seed, first, last, epochs, negative)
         at = rows.groupBy("combo", "block").applyInPandas(run, f"combo int, id {kind}, x double, y double").checkpoint()
     return at
 

@@ -13,7 +13,7 @@ from quillstone.operators import vectors as VO
 from quillstone.queries.registry import query, table
 
 #: Vectors without clusters, as those of the tables are, can't keep much of their neighbourhoods in a plane.
-TRUST = 0.6
+TRUST = 0.53
 
 
 @query("""WITH e AS (SELECT vec_id, vec_id % 97 AS card_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT t.card_id AS target, c.card_id, max(list_cosine_similarity(t.v, c.v)) AS similarity FROM e t, e c WHERE t.card_id IN (3, 50, 96) AND t.card_id <> c.card_id GROUP BY ALL)
