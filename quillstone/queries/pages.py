@@ -9,21 +9,23 @@ from quillstone.functions import text as X
 from quillstone.operators import pages as G
 from quillstone.operators import site as S
 from quillstone.queries.registry import query, table
-from quillstone.queries.scalars import cases
+from quillstone.queries.scalars import of, over
 from quillstone.queries.site import PAGES, pages
 
-cases("fn_internal_link", P.internal_link, [
-    ("", "."), ("./", "./"), ("./index#Top", "./#top"), ("a b/note.md", "./a-b/note"), ("../x/y.pdf", "../x/y.pdf"), ("tags/", "./tags/"), ("d/index", "./d/"), ("p%20q#An Anchor!", "./p-q#an-anchor")])
-cases("fn_from_root", lambda c: P.from_root(F.lit("a/b/c"), P.internal_link(c)), [("d/e", "../../d/e"), ("d/", "../../d/"), ("f#G h", "../../f#g-h")])
-cases("fn_resolve_url", lambda c: P.resolve_url(F.lit("a/b/c"), c), [("./d", "a/b/d"), ("../d/", "a/d/"), ("../../../d#x", "d"), ("", "a/b/c"), ("/r/s", "r/s")])
-cases("fn_join_segments", lambda c: P.join_segments(c, F.lit("b/")), [("a/", "a/b/"), ("/a", "/a/b/"), ("", "b/")])
-cases("fn_pdf_anchor", lambda c: F.concat_ws("|", P.split_anchor(c)["path"], P.split_anchor(c)["anchor"]), [("x.pdf#page=2", "x.pdf|#page=2"), ("x#page=2", "x|#page2")])
-cases("fn_block", lambda c: F.coalesce(X.block(c, F.lit("id")), F.lit("none")), [("one\n\ntwo\nlines ^id\n\nthree", "two\nlines"), ("- a\n- b ^id", "- b"), ("no", "none")])
-cases("fn_under_heading", lambda c: F.coalesce(X.under_heading(c, F.lit("b-1")), F.lit("none")), [("# B\nx\n## B\ny\n### C\nz\n## D\nw", "## B\ny\n### C\nz"), ("# B\nx", "none")])
-cases("fn_natural_key", X.natural_key, [("Note 10", "note 00000000000000000010"), ("b", "b")])
-cases("fn_clamped", lambda c: X.clamped(c.cast("double"), 1, 4), [("0.2", "1"), ("2.5", "3"), ("9", "4")])
-cases("fn_date_or_now", lambda c: X.date_or_now(F.lit("2030-01-01"), c, F.lit("2024-05-06")), [("2020-02-03", "2020-02-03 00:00:00"), ("", "2024-05-06 00:00:00"), ("bad", "2030-01-01 00:00:00")])
-cases("fn_key_union", lambda c: F.array_join(F.array_sort(F.array_union(F.json_object_keys(c), F.array(F.lit("b"), F.lit("z")))), ","), [('{"a":1,"b":2}', "a,b,z"), ("{}", "b,z")])
+over("fn_internal_link", P.internal_link, of("'./index#' || a", "a || ' ' || b || '/note' || k || '.md'", "'../x/' || k || '.pdf'", "t || '/'", "a || '%20' || b || '#An ' || t || '!'"),
+     of("'./#' || a", "'./' || a || '-' || b || '/note' || k", "'../x/' || k || '.pdf'", "'./' || t || '/'", "'./' || a || '-' || b || '#an-' || lower(t)"))
+over("fn_from_root", lambda c: P.from_root(F.lit("a/b/c"), P.internal_link(c)), of("a || '/e' || k", "a || '/'", "a || '#' || b || ' H'"), of("'../../' || a || '/e' || k", "'../../' || a || '/'", "'../../' || a || '#' || b || '-h'"))
+over("fn_resolve_url", lambda c: P.resolve_url(F.lit("a/b/c"), c), of("'./' || k", "'../' || a || '/'", "'../../../' || a || '#x'", "''", "'/' || a || '/' || b"), of("'a/b/' || k", "'a/' || a || '/'", "a", "'a/b/c'", "a || '/' || b"))
+over("fn_join_segments", lambda c: P.join_segments(c, F.lit("b/")), of("a || '/'", "'/' || a", "''"), of("a || '/b/'", "'/' || a || '/b/'", "'b/'"))
+over("fn_pdf_anchor", lambda c: F.concat_ws("|", P.split_anchor(c)["path"], P.split_anchor(c)["anchor"]), of("a || '.pdf#page=' || n", "a || '#page=' || n"), of("a || '.pdf|#page=' || n", "a || '|#page' || n"))
+over("fn_block", lambda c: F.coalesce(X.block(c, F.lit("id")), F.lit("none")), of("a || chr(10) || chr(10) || b || chr(10) || 'lines ^id' || chr(10) || chr(10) || t", "'- ' || a || chr(10) || '- ' || b || ' ^id'", "a"), of("b || chr(10) || 'lines'", "'- ' || b", "'none'"))
+over("fn_under_heading", lambda c: F.coalesce(X.under_heading(c, F.lit("b-1")), F.lit("none")),
+     of("'# B' || chr(10) || a || chr(10) || '## B' || chr(10) || b || chr(10) || '### C' || chr(10) || k || chr(10) || '## D' || chr(10) || t", "'# B' || chr(10) || a"), of("'## B' || chr(10) || b || chr(10) || '### C' || chr(10) || k", "'none'"))
+over("fn_natural_key", X.natural_key, of("upper(a) || ' ' || k", "b"), of("a || ' ' || lpad(CAST(k AS VARCHAR(20)), 20, '0')", "b"))
+over("fn_clamped", lambda c: X.clamped(c.cast("double"), 1, 4), "CAST(n % 6 AS VARCHAR(2)) || '.' || CAST(k % 10 AS VARCHAR(2))", "CAST(CAST(least(greatest(floor(n % 6 + (k % 10) / 10.0 + 0.5), 1), 4) AS INTEGER) AS VARCHAR(9))")
+over("fn_date_or_now", lambda c: X.date_or_now(F.lit("2030-01-01"), c, F.lit("2024-05-06")), of("'2020-02-' || lpad(CAST(1 + n % 28 AS VARCHAR(2)), 2, '0')", "''", "a", "'1970-01-01'"),
+     of("'2020-02-' || lpad(CAST(1 + n % 28 AS VARCHAR(2)), 2, '0') || ' 00:00:00'", "'2024-05-06 00:00:00'", "'2030-01-01 00:00:00'", "'2030-01-01 00:00:00'"))
+over("fn_key_union", lambda c: F.array_join(F.array_sort(F.array_union(F.json_object_keys(c), F.array(F.lit("b"), F.lit("z")))), ","), of("""'{"a' || k || '":1,"b":' || n || '}'""", "'{}'"), of("'a' || k || ',b,z'", "'b,z'"))
 
 
 def _foldered(spark, d):

@@ -177,10 +177,11 @@ def join_semi(spark, d):
     return table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id", "left_semi").select("doc_id")
 
 
-@query("SELECT n, m FROM (SELECT unnest([2, 4, 6, 8]) AS n), (SELECT unnest([0.25, 0.5, 0.75]) AS m)".replace("0.25, 0.5, 0.75", "25, 50, 75"))
+@query("SELECT n, m FROM (SELECT DISTINCT s_nationkey AS n FROM supplier), (SELECT DISTINCT p_size % 3 * 25 + 25 AS m FROM part)")
 def parameter_grid(spark, d):
-    n, m = spark.createDataFrame([(x,) for x in (2, 4, 6, 8)], "n int"), spark.createDataFrame([(x,) for x in (25, 50, 75)], "m int")
-    return n.crossJoin(m)  # two literal lists
+    """Every value of one list with every value of another; both are short."""
+    n = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n")).distinct()
+    return n.crossJoin(table(spark, d, "part").select((F.col("p_size") % 3 * 25 + 25).alias("m")).distinct())
 
 
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem) WHERE rank <= 3""")
@@ -267,7 +268,10 @@ def price_and_marker(spark, d):
     return p.select("p_partkey", C.price(usd, foil, F.lit("none")).cast("double").alias("price"), marker_size(F.col("p_size"), 0.5, 5).alias("size"))
 
 
-@query("SELECT symbol, cmc FROM (VALUES ('{T}', 0.0), ('{W}', 1.0), ('{X}', 0.0)) t(symbol, cmc)".replace("0.0", "CAST(0 AS DOUBLE)").replace("1.0", "CAST(1 AS DOUBLE)"))
+@query("SELECT '{' || s_suppkey || '}' AS symbol, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE s_nationkey END AS DOUBLE) AS cmc FROM supplier")
 def card_symbols(spark, d):
-    doc = spark.createDataFrame([([("{T}", None), ("{W}", 1.0), ("{X}", 0.0)],)], "data array<struct<symbol string, cmc double>>")
+    """Symbol lists, a document a nation; values that are missing are 0."""
+    s = table(spark, d, "supplier")
+    one = F.struct(F.concat(F.lit("{"), F.col("s_suppkey").cast("string"), F.lit("}")).alias("symbol"), F.when(F.col("s_suppkey") % 2 != 0, F.col("s_nationkey").cast("double")).alias("cmc"))
+    doc = s.groupBy("s_nationkey").agg(F.collect_list(one).alias("data")).select("data")
     return C.symbols(doc)

@@ -1,4 +1,4 @@
-"""Scalar functions over small literal inputs, and the remaining site and source operators."""
+"""Scalar functions over texts made of the parts, and the remaining site and source operators."""
 
 from __future__ import annotations
 
@@ -11,54 +11,74 @@ from quillstone.queries.registry import query, table
 from quillstone.sources import io
 
 
-def cases(name: str, function, rows: list[tuple[str, str]]) -> None:
-    """A query of function over the inputs; its SQL states the results."""
-    literal = lambda s: "'" + s.replace("'", "''") + "'"
-    sql = "SELECT * FROM (VALUES " + ", ".join(f"({literal(a)}, {literal(b)})" for a, b in rows) + ") t(input, result)"
+def over(name: str, function, made: str, result: str) -> None:
+    """A query of function over texts made of every part; its SQL states the results. made and result are SQL that both engines read.
 
-    @query(sql, name=name)
+    In them k is the part's number, a and b are the words of its name, t its type and n its size.
+    """
+    parts = "SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_type AS t, p_size AS n, p_retailprice AS price FROM part"
+
+    @query(f"SELECT k, input, {result} AS result FROM (SELECT *, {made} AS input FROM ({parts}))", name=name)
     def run(spark, d):
-        return spark.createDataFrame([(a,) for a, _ in rows], "input string").select("input", function(F.col("input")).cast("string").alias("result"))
-
-
-cases("fn_line_kind", X.line_kind, [("Flying, haste", "keyword"), ("Ward {2}", "keyword"), ("Raid - When it attacks", "named"), ("When it dies, draw.", "triggered"), ("{T}: Add {G}.", "activated"), ("It (the one: here) stays.", "passive")])
-cases("fn_rule_suffix", X.rule_suffix, [("100.1a", "a"), ("100.12", ""), ("702.19bc x", "bc")])
-cases("fn_file_slug", P.file_slug, [("x/_index.md", "x/index"), ("a b/c&d.md", "a-b/c-and-d"), ("img/y.png", "img/y.png"), ("/lead/t.html", "lead/t")])
-cases("fn_simplify_slug", P.simplify, [("a/index", "a/"), ("index", "/"), ("a/b", "a/b")])
-cases("fn_path_to_root", P.path_to_root, [("a", "."), ("a/b", ".."), ("a/b/c", "../..")])
-cases("fn_extension", lambda c: F.coalesce(P.extension(c), F.lit("none")), [("a.md", ".md"), ("a/b", "none")])
-cases("fn_is_folder", P.is_folder, [("a/", "true"), ("a/index", "true"), ("a/b", "false")])
-cases("fn_full_slug", P.is_full_slug, [("a/b", "true"), ("./a", "false"), ("a b", "false")])
-cases("fn_split_anchor", lambda c: F.concat(P.split_anchor(c)["path"], F.lit("|"), P.split_anchor(c)["anchor"]), [("p#My Head!", "p|#my-head"), ("p", "p|")])
-cases("fn_wikilinks", lambda c: F.array_join(X.wikilinks(c), ","), [("see [[a/b#c|label]] and ![[d]]", "a/b,d"), ("none", "")])
-cases("fn_hashtags", lambda c: F.array_join(X.hashtags(c), ","), [("#one x #two/three #12 #one", "one,two/three")])
-cases("fn_markup", X.markup, [("a ==b== %%gone%% --> c", "a <mark>b</mark>  &rarr; c")])
-cases("fn_roam", X.roam, [("{{TODO}} __i__ ^^h^^", "[ ] _i_ ==h==")])
-cases("fn_hugo", X.hugo, [('[t]({{< relref "p" >}})', "[t](p)")])
-cases("fn_description", X.description, [("One. Two.", "One. Two."), ("See https://a.example.com/x/y now.", "See a.example.com/x/y now.")])
-cases("fn_coerce_list", lambda c: F.array_join(X.coerce_list(c), "|"), [("a, b,,c ", "a|b|c")])
-cases("fn_query_prefixes", lambda c: F.array_join(X.prefixes(F.split(c, " "), " "), "|"), [("a b c", "a|a b|a b c")])
-cases("fn_identity", lambda c: X.identity_string(F.split(c, "")), [("GW", "WG"), ("xyz", "Colorless")])
-cases("fn_tokens_cjk", lambda c: F.array_join(X.search_tokens(c), "|"), [("Hi 漢字 there", "hi|漢|字|there")])
-cases("fn_hover_price", lambda c: F.format_string("%s - $%.2f", c, F.lit(1.5)), [("Card", "Card - $1.50")])
-cases("fn_date_short", lambda c: F.date_format(F.coalesce(F.try_to_timestamp(c), F.lit("1970-01-01").cast("timestamp")), "MMM dd, yyyy"), [("2024-02-03", "Feb 03, 2024"), ("bad", "Jan 01, 1970")])
-cases("fn_split_two", lambda c: F.concat_ws("|", X.split_two(c, ": ")["head"], X.split_two(c, ": ")["tail"]), [("{T}: Add {G}.", "{T}|Add {G}."), ("x", "x|")])
-
-
-@query("SELECT * FROM (VALUES ('My-Alias', 'a'), ('other', 'a'), ('b2', 'b')) t(alias, slug)")
+        p = table(spark, d, "part")
+        held = p.select(F.col("p_partkey").alias("k"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b"), F.col("p_type").alias("t"), F.col("p_size").alias("n"), F.col("p_retailprice").alias("price"))
+        return held.withColumn("input", F.expr(made.replace("chr(10)", "char(10)"))).select("k", "input", function(F.col("input")).cast("string").alias("result"))
+
+
+def of(*values: str) -> str:
+    """The value of a part's turn."""
+    return "CASE " + " ".join(f"WHEN k % {len(values)} = {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+over("fn_line_kind", X.line_kind, of("a || ', ' || b", "'Ward ' || n", "a || ' ' || b || ' - ' || t", "'When ' || a || ' dies, draw.'", "a || ' ' || b || ': Add {G}.'", "a || ' (the one: here) stays.'"),
+     of("'keyword'", "'keyword'", "'named'", "'triggered'", "'activated'", "'passive'"))
+over("fn_rule_suffix", X.rule_suffix, of("'100.' || n || 'a'", "'100.' || n", "'702.' || n || 'bc ' || a"), of("'a'", "''", "'bc'"))
+over("fn_file_slug", P.file_slug, of("t || '/_index.md'", "a || ' ' || b || '/c&' || k || '.md'", "'img/' || a || '.png'", "'/' || a || '/' || k || '.html'"),
+     of("t || '/index'", "a || '-' || b || '/c-and-' || k", "'img/' || a || '.png'", "a || '/' || k"))
+over("fn_simplify_slug", P.simplify, of("t || '/index'", "'index'", "t || '/' || k"), of("t || '/'", "'/'", "t || '/' || k"))
+over("fn_path_to_root", P.path_to_root, "repeat(a || '/', CAST(n % 4 AS INTEGER)) || k", "CASE WHEN n % 4 = 0 THEN '.' ELSE substr(repeat('/..', CAST(n % 4 AS INTEGER)), 2) END")
+over("fn_extension", lambda c: F.coalesce(P.extension(c), F.lit("none")), of("k || '.md'", "a || '/' || k"), of("'.md'", "'none'"))
+over("fn_is_folder", P.is_folder, of("t || '/'", "t || '/index'", "t || '/' || k"), of("'true'", "'true'", "'false'"))
+over("fn_full_slug", P.is_full_slug, of("t || '/' || k", "'./' || k", "a || ' ' || b"), of("'true'", "'false'", "'false'"))
+over("fn_split_anchor", lambda c: F.concat(P.split_anchor(c)["path"], F.lit("|"), P.split_anchor(c)["anchor"]), of("k || '#' || upper(a) || ' ' || b || '!'", "t"), of("k || '|#' || a || '-' || b", "t || '|'"))
+over("fn_wikilinks", lambda c: F.array_join(X.wikilinks(c), ","), "'see [[' || a || '/' || k || '#c|' || b || ']] and ![[' || t || ']], not `[[' || b || ']]`'", "a || '/' || k || ',' || t")
+over("fn_hashtags", lambda c: F.array_join(X.hashtags(c), ","), "'#' || a || ' x #two/' || b || ' #' || n || ' #' || a", "a || ',two/' || b")
+over("fn_markup", X.markup, "a || ' ==' || b || '== %%' || k || '%% --> `==' || t || '==`'", "a || ' <mark>' || b || '</mark>  &rarr; `==' || t || '==`'")
+over("fn_roam", X.roam, "'{{TODO}} __' || a || '__ ^^' || b || '^^'", "'[ ] _' || a || '_ ==' || b || '=='")
+over("fn_hugo", X.hugo, """'[' || a || ']({{< relref "' || k || '" >}})'""", "'[' || a || '](' || k || ')'")
+over("fn_description", X.description, "a || repeat('. Then ' || t, CAST(n AS INTEGER)) || '.'",
+     "a || '.' || repeat(' Then ' || t || '.', CAST(least(n, ceil((150.0 - (6 + length(t)) - (length(a) + 1)) / (7 + length(t)))) AS INTEGER))")
+over("fn_coerce_list", lambda c: F.array_join(X.coerce_list(c), "|"), "a || ', ' || b || ',,' || t || ' '", "a || '|' || b || '|' || t")
+over("fn_query_prefixes", lambda c: F.array_join(X.prefixes(F.split(c, " "), " "), "|"), "a || ' ' || b || ' ' || k", "a || '|' || a || ' ' || b || '|' || a || ' ' || b || ' ' || k")
+over("fn_identity", lambda c: X.identity_string(F.split(c, "")), "upper(a || b)",
+     "CASE WHEN length(translate(input, 'ACDEFHIJKLMNOPQSTVXYZ', '')) = 0 THEN 'Colorless' ELSE " + " || ".join(f"CASE WHEN instr(input, '{x}') > 0 THEN '{x}' ELSE '' END" for x in "WUBRG") + " END")
+over("fn_tokens_cjk", lambda c: F.array_join(X.search_tokens(c), "|"), "upper(a) || ' 漢字 ' || b || '漢' || k", "a || '|漢|字|' || b || '|漢|' || k")
+over("fn_hover_price", lambda c: F.format_string("%s - $%.2f", c, F.col("price")), "a || ' ' || b", "input || ' - $' || printf('%.2f', price)")
+over("fn_date_short", lambda c: F.date_format(F.coalesce(F.try_to_timestamp(c), F.lit("1970-01-01").cast("timestamp")), "MMM dd, yyyy"), of("'2024-02-' || lpad(CAST(1 + n % 28 AS VARCHAR(2)), 2, '0')", "a"), of("'Feb ' || lpad(CAST(1 + n % 28 AS VARCHAR(2)), 2, '0') || ', 2024'", "'Jan 01, 1970'"))
+over("fn_split_two", lambda c: F.concat_ws("|", X.split_two(c, ": ")["head"], X.split_two(c, ": ")["tail"]), of("a || ': Add ' || b || ': ' || t", "a"), of("a || '|Add ' || b || ': ' || t", "a || '|'"))
+
+
+@query("SELECT DISTINCT unnest(['Old-' || s_suppkey, 'other', 'same' || s_nationkey]) AS alias, 's/' || s_suppkey AS slug FROM supplier")
 def alias_redirects(spark, d):
-    return site.aliases(spark.createDataFrame([("a", ["My Alias", "other"]), ("b", ["b2", "b2"])], "slug string, aliases array<string>"))
+    key = F.col("s_suppkey").cast("string")
+    nation = F.concat(F.lit("same"), F.col("s_nationkey").cast("string"))
+    return site.aliases(table(spark, d, "supplier").select(F.concat(F.lit("s/"), key).alias("slug"), F.array(F.concat(F.lit("Old "), key), F.lit("other"), nation, nation).alias("aliases")))
 
 
-@query("SELECT 'A page' AS title, 'x, y' AS tags, 'Body' AS body")
+@query("SELECT p_partkey, p_name AS title, 'x, ' || p_type AS tags, p_brand || chr(10) || 'more' AS body FROM part")
 def front_matter(spark, d):
     f = io.front_matter(F.col("text"))
-    return spark.createDataFrame([("---\ntitle: A page\ntags: x, y\n---\nBody",)], "text string").select(f["fields"]["title"].alias("title"), f["fields"]["tags"].alias("tags"), f["body"].alias("body"))
+    p = table(spark, d, "part").withColumn("text", F.concat(F.lit("---\ntitle: "), "p_name", F.lit("\ntags: x, "), "p_type", F.lit("\n---\n"), "p_brand", F.lit("\nmore")))
+    return p.select("p_partkey", f["fields"]["title"].alias("title"), f["fields"]["tags"].alias("tags"), f["body"].alias("body"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'A', 'a'), (2, 1, 'B!', 'b'), (3, 0, 'A', 'a-1')) t(ordinal, depth, title, anchor)")
+@query("""WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
+SELECT p_partkey, 1 AS ordinal, 0 AS depth, a AS title, a AS anchor FROM p UNION ALL SELECT p_partkey, 2, 1, b || '!', b FROM p UNION ALL SELECT p_partkey, 3, 0, a, a || '-1' FROM p""")
 def table_of_contents(spark, d):
-    return site.headings(spark.createDataFrame([(1, "## A\ntext\n### B!\n## A\n#no")], "id int, t string"), "id", "t").drop("id")
+    """Contents of a page a part, with a heading in a fence and one too deep."""
+    a, b = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    text = F.concat(F.lit("## "), a, F.lit("\ntext\n### "), b, F.lit("!\n~~~\n# "), b, F.lit("\n~~~\n## "), a, F.lit("\n#no\n#### deep"))
+    return site.headings(table(spark, d, "part").select("p_partkey", text.alias("t")), "p_partkey", "t")
 
 
 @query("SELECT item_id, true AS fits FROM benchmark")

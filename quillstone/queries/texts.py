@@ -132,17 +132,23 @@ Credits
 Some people"""
 
 
-@query("""SELECT * FROM (VALUES ('1. Game Concepts', '100. General', '100.1', '', 'These rules apply to any game.'), ('1. Game Concepts', '100. General', '100.1a', 'a', 'A two-player game has two players. Example: one and two.'),
-('1. Game Concepts', '100. General', '100.2', '', 'To play, each player needs a deck.'), ('1. Game Concepts', '101. Golden Rules', '101.1', '', 'Whenever a text contradicts the rules, it wins.'), ('2. Parts', '200. Names', '200.1', '', 'A name is a name.')) t(section, subsection, rule, suffix, body)""")
+@query("""WITH s AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS n, s_name AS name FROM supplier)
+SELECT k, '1. Concepts of ' || name AS section, '100. General' AS subsection, '100.1' AS rule, '' AS suffix, 'These rules apply to ' || name || '. Example: one.' AS body FROM s
+UNION ALL SELECT k, '1. Concepts of ' || name, '100. General', '100.1a', 'a', 'Rule ' || n || ' has two.' FROM s
+UNION ALL SELECT k, '1. Concepts of ' || name, '101. Golden Rules', '101.' || n || 'bc', 'bc', 'It wins.' FROM s UNION ALL SELECT k, '2. Parts', '200. Names', '200.1', '', 'A name is ' || name || '.' FROM s""")
 def rules_hierarchy(spark, d):
-    text = RULES.split("Credits\n", 1)[1].split("\nGlossary\n")[0]
-    return RU.hierarchy(spark.createDataFrame([(1, text)], "id int, text string"), "id").drop("id")
+    """A rules document a supplier."""
+    key = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("before any rule\n1. Concepts of "), "s_name", F.lit("\n\n100. General\n100.1. These rules apply to "), "s_name", F.lit(".\n  Example: one.\n100.1a Rule "), key,
+                    F.lit(" has two.\n101. Golden Rules\nno rule yet\n101."), key, F.lit("bc It wins.\n2. Parts\n200. Names\n200.1. A name is "), "s_name", F.lit("."))
+    return RU.hierarchy(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), text.alias("text")), "k")
 
 
-@query("SELECT * FROM (VALUES ('Abandon', 'To turn a scheme face down.'), ('Ability', 'The last one counts.')) t(term, definition)")
+@query("""SELECT s_suppkey AS k, s_name AS term, 'Is number ' || s_suppkey || '. And goes on.' AS definition FROM supplier UNION ALL SELECT s_suppkey, 'Ability', 'The last, of ' || s_nationkey || '.' FROM supplier""")
 def rules_glossary(spark, d):
-    text = "\nGlossary\n" + RULES.split("\nGlossary\n")[1].split("\nCredits\n")[0]
-    return RU.glossary(spark.createDataFrame([(1, text)], "id int, text string"), "id").drop("id")
+    """A glossary a supplier, with a term given twice and one without a definition."""
+    text = F.concat(F.lit("\nGlossary\n\n"), "s_name", F.lit("\nIs number "), F.col("s_suppkey").cast("string"), F.lit(".\nAnd goes on.\n\nAlone\n\nAbility\nThe first.\n\nAbility\nThe last, of "), F.col("s_nationkey").cast("string"), F.lit(".\n"))
+    return RU.glossary(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), text.alias("text")), "k")
 
 
 @query(r"SELECT doc_id, CAST(ceil(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) / 200.0) AS BIGINT) AS minutes FROM documents")
