@@ -19,6 +19,7 @@ from quillstone.llm.common import fresh, prepare, written
 from quillstone.llm.grams import packed, presence
 
 DIMS = 1 << 11
+SALTS = 32
 _SYMBOL = re.compile(r"[#*$%&|<>!_=~^\\/{}\[\]]")
 
 
@@ -83,11 +84,11 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def score(docs: DataFrame, classifier: Classifier, site: Column, path: Column, floor: float = 0.2) -> DataFrame:
+def score(docs: DataFrame, classifier: Classifier, site: Column, path: Column, floor: float = 0.2, broadcast_paths: int = 200_000) -> DataFrame:
     """docs with p_doc, site_mean, path_mean (posteriors), quality_score and kept (score of floor or more) in place of text.
 
     A null text counts as empty; null sites and paths are groups of their own. All documents, repeated rows too, count in their groups;
-    the groups' sums are made before the shuffle. Texts are classified once, and what follows reads the written probabilities.
+    the groups' sums are made before the shuffle. Posteriors are broadcast if there are broadcast_paths paths at most. Texts are classified once, and what follows reads the written probabilities.
     Columns named like a result are replaced, the others stay. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -115,9 +116,15 @@ def score(docs: DataFrame, classifier: Classifier, site: Column, path: Column, f
     strength = float(min(max(within / max(between, 1e-9), 1.0), 1e4))
     site_mean = sites.select(F.col("site").alias("a"), ((F.col("s") + strength * mean) / (F.col("n") + strength)).alias("site_mean"))
     shrunk = (F.col("s") + strength * F.col("site_mean")) / (F.col("n") + strength)
-    path_mean = paths.join(site_mean, F.col("site").eqNullSafe(F.col("a"))).select("site", "path", "site_mean", shrunk.alias("path_mean"))
-    joined = judged.join(path_mean, judged[at].eqNullSafe(path_mean["site"]) & judged[below].eqNullSafe(path_mean["path"]))
+    path_mean = written(paths.join(site_mean, F.col("site").eqNullSafe(F.col("a"))).select("site", "path", "site_mean", shrunk.alias("path_mean")))
+    dealt, salted, same = judged, F.broadcast(path_mean), F.lit(True)
+    if path_mean.count() > broadcast_paths:  # then a path's row goes to every salt, and its documents are dealt over the salts
+        (salt,) = fresh(judged, "salt")
+        dealt = judged.withColumn(salt, F.pmod(F.xxhash64(*judged.columns), F.lit(SALTS)).cast("int"))
+        salted = path_mean.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = dealt[salt] == salted["_at"]
+    joined = dealt.join(salted, dealt[at].eqNullSafe(path_mean["site"]) & dealt[below].eqNullSafe(path_mean["path"]) & same)
     odds = _logit(F.col("p_doc")) + _logit(F.col("path_mean")) - _logit(F.lit(mean))
     means = {c: path_mean[c] for c in ("site_mean", "path_mean")}
-    scored = joined.select(*[judged[c] for c in others], judged["p_doc"], *means.values(), (1 / (1 + F.exp(-odds))).alias("quality_score"))
+    scored = joined.select(*[dealt[c] for c in others], dealt["p_doc"], *means.values(), (1 / (1 + F.exp(-odds))).alias("quality_score"))
     return scored.withColumn("kept", F.col("quality_score") >= floor)

@@ -743,6 +743,35 @@ def test_site_quality(spark):
         assert min(mean, r["site_mean"]) - 1e-9 <= r["path_mean"] <= max(mean, r["site_mean"]) + 1e-9
 
 
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_site_posteriors_by_brute_force(spark, most):
+    """Posteriors and scores computed again from the documents' own probabilities, with the paths broadcast and dealt over salts."""
+    from pyspark.sql import functions as F
+
+    docs = [(i, t, None if i % 13 == 0 else lang, "hot" if i % 3 else s, n) for i, t, lang, s, n in docs_of(spark)]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    df = table(spark, docs)
+    rows = ebquality.score(df, ebquality.fit(df, labels), F.col("source"), F.col("lang"), broadcast_paths=most).collect()
+    paths: dict = {}
+    for r in rows:
+        paths.setdefault((r["source"], r["lang"]), []).append(r["p_doc"])
+    n, k, total = len(rows), len(paths), sum(r["p_doc"] for r in rows)
+    mean, q, b = total / n, sum(r["p_doc"] ** 2 for r in rows), sum(sum(v) ** 2 / len(v) for v in paths.values())
+    within = max((q - b) / max(n - k, 1), 1e-6)
+    between = max((b - total**2 / n) / max(k - 1, 1) - within, 0) / max(n / k, 1)
+    strength = min(max(within / max(between, 1e-9), 1.0), 1e4)
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for r in rows:
+        site = [p for (s, _), v in paths.items() if s == r["source"] for p in v]
+        site_mean = (sum(site) + strength * mean) / (len(site) + strength)
+        own = paths[r["source"], r["lang"]]
+        path_mean = (sum(own) + strength * site_mean) / (len(own) + strength)
+        score = 1 / (1 + math.exp(-(logit(r["p_doc"]) + logit(path_mean) - logit(mean))))
+        assert (r["site_mean"], r["path_mean"], r["quality_score"]) == pytest.approx((site_mean, path_mean, score), abs=1e-9)
+        assert r["kept"] == (r["quality_score"] >= 0.2)
+    assert len(rows) == len(docs)
+
+
 def test_site_quality_edges(spark):
     from pyspark.sql import functions as F
 
