@@ -30,7 +30,7 @@ SELECT * FROM (
 SELECT 'pages' AS emitter, count(*) FILTER (edited AND NOT gone) AS written, count(*) FILTER (gone) AS removed, count(*) AS files_before, count(*) FILTER (NOT gone) AS files, TRUE AS same FROM before
 UNION ALL SELECT 'aliases', 0, count(*) FILTER (gone), count(*), count(*) FILTER (NOT gone), TRUE FROM before
 UNION ALL SELECT 'index', count(*) FILTER (edited AND NOT gone), count(*) FILTER (gone), count(*), count(*) FILTER (NOT gone), TRUE FROM before
-UNION ALL SELECT 'assets', 1, 1, (SELECT count(*) FROM supplier WHERE s_suppkey % 50 = 0), (SELECT count(*) FROM supplier WHERE s_suppkey % 50 = 0), TRUE)""")
+UNION ALL SELECT 'assets', 1, 1, (SELECT count(*) FROM supplier WHERE s_suppkey % 5 = 0), (SELECT count(*) FROM supplier WHERE s_suppkey % 5 = 0), TRUE)""")
 def site_update(spark, d):
     """A build, then one after edits and deletions that writes and removes only what differs, against a whole build of the same source; the emitters whose files are as many as pages."""
     top = fresh_folder(spark)
@@ -39,7 +39,7 @@ def site_update(spark, d):
     s = table(spark, d, "supplier")
     key = F.col("s_suppkey").cast("string")
     name = F.concat(F.lit("assets/a-"), key, F.lit(".bin"))
-    io.write_files(s.where("s_suppkey % 50 = 0").select(name.alias("path"), F.encode(F.repeat(key, 9), "utf-8").alias("content")), source).count()
+    io.write_files(s.where("s_suppkey % 5 = 0").select(name.alias("path"), F.encode(F.repeat(key, 9), "utf-8").alias("content")), source).count()
     first = site_build.update(spark, source, f"{top}/site", f"{top}/work", ignore=("^private/",))
     counts = first.where("action = 'write'").groupBy("emitter").agg(F.count("*").alias("files_before"))
     # edits of a third of the notes, a tenth of them deleted, and an asset exchanged for another
@@ -49,8 +49,8 @@ def site_update(spark, d):
     edited.write.parquet(f"{top}/edited")
     io.write_files(spark.read.parquet(f"{top}/edited"), source).count()
     io.remove_files(s.where("s_suppkey % 10 = 0").select(note.alias("path")), source).count()
-    io.remove_files(s.where("s_suppkey = 50").select(name.alias("path")), source).count()
-    io.write_files(s.where("s_suppkey = 50").select(F.lit("assets/b.bin").alias("path"), F.lit("b").alias("content")), source).count()
+    io.remove_files(s.where("s_suppkey = 5").select(name.alias("path")), source).count()
+    io.write_files(s.where("s_suppkey = 5").select(F.lit("assets/b.bin").alias("path"), F.lit("b").alias("content")), source).count()
     actions = site_build.update(spark, source, f"{top}/site", f"{top}/work", ignore=("^private/",))
     site_build.update(spark, source, f"{top}/whole", f"{top}/work2", ignore=("^private/",))
     files = lambda at: io.read_binary(spark, at).select(io.below(F.col("path"), at).alias("path"), F.sha2("content", 256).alias("digest"))
