@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillstone.operators import filters as FI
 from quillstone.operators import pages as G
+from quillstone.operators import rules as RU
 from quillstone.operators import site as S
 from quillstone.plans import site_build
 from quillstone.queries.registry import query, table
 from quillstone.queries.site import _HITS, PAGES, pages, write_suppliers
-from quillstone.sources import ignore, io, json_array
+from quillstone.sources import front, ignore, io, json_array
 from quillstone.streaming import folder_changes, keyed_state
 
 
@@ -208,3 +210,68 @@ def headings_outside_code(spark, d):
 
     text = F.array_join(F.transform(lines, headed), "\n")
     return S.headings(docs.select("doc_id", text.alias("text")), "doc_id", "text")
+
+
+@query("""SELECT p_partkey, t, array_to_string(costs, '|') AS costs, effect FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'When ' || p_name || ' dies' END AS t,
+ CASE WHEN p_partkey % 3 = 1 THEN ['{T}', 'Pay ' || p_size] ELSE [] END AS costs, CASE p_partkey % 3 WHEN 0 THEN 'draw.' WHEN 1 THEN 'Add ' || p_type || '.' ELSE p_name END AS effect FROM part)""")
+def ability_costs(spark, d):
+    """Triggers, lists of costs and effects of lines made of parts."""
+    k = F.col("p_partkey") % 3
+    line = F.when(k == 0, F.concat(F.lit("When "), "p_name", F.lit(" dies, draw."))).when(k == 1, F.concat(F.lit("{T}, , Pay "), F.col("p_size").cast("string"), F.lit(" : Add "), "p_type", F.lit("."))).otherwise(F.col("p_name"))
+    a = RU.ability(line)
+    return table(spark, d, "part").select("p_partkey", a["trigger"].alias("t"), F.coalesce(F.array_join(a["costs"], "|"), F.lit("")).alias("costs"), a["effect"].alias("effect"))
+
+
+@query(f"""WITH {PAGES}, f AS (SELECT CASE WHEN CAST(split_part(slug, '/', 2) AS BIGINT) % 4 = 0 THEN slug || '/' ELSE slug END AS slug, title, modified FROM pages_)
+SELECT slug, CAST(row_number() OVER (ORDER BY slug NOT LIKE '%/', modified DESC NULLS LAST, lower(title), slug) AS INTEGER) AS place FROM f QUALIFY place <= 25""")
+def folders_first(spark, d):
+    """The first pages of a list that has folders before others."""
+    p = pages(spark, d).withColumn("slug", F.when(F.split_part("slug", F.lit("/"), F.lit(2)).cast("long") % 4 == 0, F.concat("slug", F.lit("/"))).otherwise(F.col("slug")))
+    first = S.listed(p, folders_first=True).limit(25).agg(F.collect_list("slug").alias("s"))  # twenty-five rows, in order
+    return first.select(F.posexplode("s").alias("place", "slug")).select("slug", (F.col("place") + 1).alias("place"))
+
+
+@query("SELECT p_partkey, p_name AS text FROM part")
+def data_urls(spark, d):
+    """What data: URLs hold."""
+    url = F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("p_name", "utf-8")))
+    return table(spark, d, "part").select("p_partkey", F.decode(io.strip_data_prefix(url), "utf-8").alias("text"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '2020-01-' || lpad(CAST(1 + s_nationkey AS VARCHAR), 2, '0') ELSE '2022-01-01' END AS created,
+CASE WHEN s_suppkey % 3 = 0 THEN '2021-05-05' WHEN s_suppkey % 2 = 0 THEN '2020-01-' || lpad(CAST(1 + s_nationkey AS VARCHAR), 2, '0') WHEN s_suppkey % 5 = 0 THEN '2023-03-03' ELSE '2022-02-02' END AS modified FROM supplier""")
+def dates_by_precedence(spark, d):
+    """Dates of a page by its header, then history, then files."""
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    date = F.when(k % 2 == 0, F.array(F.concat(F.lit("2020-01-"), F.lpad((F.col("s_nationkey") + 1).cast("string"), 2, "0"))))
+    fields = F.map_filter(F.create_map(F.lit("date"), date, F.lit("modified"), F.when(k % 3 == 0, F.array(F.lit("2021-05-05")))), lambda name, v: v.isNotNull())
+    found = front.dates(fields, F.when(k % 5 == 0, "2023-03-03"), F.lit("2022-01-01"), F.lit("2022-02-02"))
+    return s.select("s_suppkey", found["created"].alias("created"), found["modified"].alias("modified"))
+
+
+@query("SELECT path FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN '.git/' || p_name WHEN 1 THEN 'a/.git/' || p_partkey WHEN 2 THEN 'a.git/' || p_partkey ELSE p_type || '/' || p_partkey END AS path FROM part) WHERE path NOT LIKE '.git/%' AND path NOT LIKE '%/.git/%'")
+def watched_paths(spark, d):
+    """Paths of change events that aren't of the history's own folder."""
+    k = F.col("p_partkey")
+    path = F.when(k % 4 == 0, F.concat(F.lit(".git/"), "p_name")).when(k % 4 == 1, F.concat(F.lit("a/.git/"), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("a.git/"), k.cast("string"))).otherwise(F.concat("p_type", F.lit("/"), k.cast("string")))
+    return table(spark, d, "part").select(path.alias("path")).where(FI.not_ignored(F.col("path")))
+
+
+@query("SELECT s_suppkey AS k, s_name AS name, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def source_json_array(spark, d):
+    """Arrays of JSON over several lines, a file a nation."""
+    top = fresh_folder(spark)
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = s.groupBy("n_nationkey").agg(F.collect_list(F.struct(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.struct(F.col("n_name").alias("name")).alias("nation"))).alias("rows"))
+    io.write_files(rows.select(F.concat("n_nationkey", F.lit(".json")).alias("path"), F.to_json("rows", {"pretty": "true"}).alias("content")), f"{top}/json").count()
+    return io.read_json(spark, f"{top}/json", "k long, name string, nation struct<name: string>").select("k", "name", F.col("nation.name").alias("nation"))
+
+
+@query("SELECT n_regionkey AS region, len(list(n_name)) AS n, min(n_name) AS first FROM nation GROUP BY n_regionkey")
+def source_json_document(spark, d):
+    """One JSON document a region, read by its schema."""
+    top = fresh_folder(spark)
+    doc = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    io.write_files(doc.select(F.concat("n_regionkey", F.lit(".json")).alias("path"), F.to_json(F.struct(F.col("n_regionkey").alias("region"), "names"), {"pretty": "true"}).alias("content")), f"{top}/json").count()
+    return io.read_json(spark, f"{top}/json", "region long, names array<string>").select("region", F.size("names").cast("long").alias("n"), F.col("names")[0].alias("first"))
