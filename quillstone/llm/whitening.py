@@ -7,6 +7,7 @@ driver holds, is a matrix of dimension x range, whatever the number of rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import prepare
+from quillstone.llm.common import partitions, prepare
 
 #: An entry beyond this times 1024 has no long with room for its own differences, so its row takes no part.
 LARGEST = float(1 << 50)
@@ -50,6 +51,21 @@ def split(n: int, sums: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s // n for s in sums], dtype=np.int64), np.array([(s % n) / n for s in sums])
 
 
+def gathered(parts: DataFrame) -> DataFrame:
+    """part: some sums of the tasks' matrices, as many as the root of the partitions, so that no number is shuffled by itself for every task."""
+
+    def add(batches):
+        total = None
+        for b in batches:
+            if len(b):
+                rows = matrix(b.column(0), len(b.column(0).flatten()) // len(b))
+                total = rows.sum(0) if total is None else total + rows.sum(0)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([total], pa.list_(pa.float64()))})
+
+    return parts.repartition(max(1, math.isqrt(partitions(parts.sparkSession)))).mapInArrow(add, "part array<double>")
+
+
 def range_pass(x: DataFrame, n: int, sums: list[int], q: np.ndarray) -> tuple[np.ndarray, float]:
     """V q and the trace of V, of all rows: each task sums its rows' products, and the tasks' matrices are summed by entry."""
     dims, width = q.shape
@@ -64,8 +80,7 @@ def range_pass(x: DataFrame, n: int, sums: list[int], q: np.ndarray) -> tuple[np
                 trace += float((y * y).sum())
         yield pa.RecordBatch.from_pydict({"part": pa.array([[trace, *total.ravel()]], pa.list_(pa.float64()))})
 
-    parts = x.select("x").mapInArrow(products, "part array<double>")
-    got = parts.select(F.posexplode("part").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()  # dims * width + 1 numbers
+    got = gathered(x.select("x").mapInArrow(products, "part array<double>")).select(F.posexplode("part").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()  # dims * width + 1 numbers
     flat = np.zeros(dims * width + 1)
     for r in got:
         flat[r["i"]] = r["v"] / n
