@@ -20,18 +20,13 @@ def _flat(points: DataFrame, key: str, vector: str) -> DataFrame:
     return held.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _mixed(*columns) -> F.Column:
-    """A hash that orders rows alike on every run, but otherwise at random."""
-    return F.xxhash64(*columns)
-
-
 def by_hash(flat: DataFrame, k: int, tables: int, bucket: int, n: int, seed: int) -> DataFrame:
     """source, target, d: of every point the nearest k of those that share a hash of it in some table.
 
     A hash is signs of random projections. Points of one hash are compared in groups of about `bucket`; a fuller hash is dealt out by id.
     """
     kind = flat.schema["id"].dataType.simpleString()
-    first = flat.orderBy(_mixed("id", F.lit(seed)), "id").limit(1000).collect()  # to centre the projections; bounded
+    first = flat.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1000).collect()  # to centre the projections; bounded
     center = np.mean([r["v"] for r in first], axis=0)
     bits = max(0, math.ceil(math.log2(max(1, n) / bucket)))
     bits, tables = (bits + 1, tables) if bits else (0, 1)
@@ -103,13 +98,13 @@ def descend(flat: DataFrame, graph: DataFrame, wide: int, n: int, rounds: int, u
         known = flat.join(radius, "id", "left").select("id", "v", F.coalesce("radius", F.lit(float("inf"))).alias("radius"))
         sides = graph.select(F.col("source").alias("at"), F.col("target").alias("id"), "fresh").unionByName(graph.select(F.col("target").alias("at"), F.col("source").alias("id"), "fresh"))
         # ranked by a hash, so what meets at a point that many have as a neighbour is bounded before the shuffle as well
-        some = Window.partitionBy("at", "fresh").orderBy(_mixed("id", "at", F.lit(seed + r)), "id")
+        some = Window.partitionBy("at", "fresh").orderBy(F.xxhash64("id", "at", F.lit(seed + r)), "id")
         chosen = sides.withColumn("k", F.row_number().over(some)).where(F.col("k") <= 2 * wide).groupBy("at", "id").agg(F.max("fresh").alias("fresh"))
         met = chosen.join(known, "id").groupBy("at").agg(F.collect_list(F.struct("id", "fresh", "radius", "v")).alias("met")).where(F.exists("met", lambda m: m["fresh"]))
         found = met.select("met").mapInArrow(meet, pair_type).where("source <> target")
         both = graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True)))
         once = both.groupBy("source", "target").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
-        near = Window.partitionBy("source").orderBy("d", _mixed("source", "target"), "target")
+        near = Window.partitionBy("source").orderBy("d", F.xxhash64("source", "target"), "target")
         graph = once.withColumn("k", F.row_number().over(near)).where(F.col("k") <= wide).drop("k").checkpoint()
         if graph.where("fresh").count() <= until * n * wide:
             break
@@ -132,7 +127,7 @@ def neighbour_graph(points: DataFrame, key: str, k: int, vector: str = "embeddin
         return points.sparkSession.createDataFrame([], f"source {kind}, target {kind}, d double")
     wide = max(spare * k, 20)
     start = by_hash(flat, k if n <= bucket else wide, tables, bucket, n, seed)
-    near = [F.col("d"), _mixed("source", "target"), F.col("target")]
+    near = [F.col("d"), F.xxhash64("source", "target"), F.col("target")]
     if n <= bucket:
         return top_per_group(start, ["source"], near, k).select("source", "target", "d")
     once = top_per_group(start.groupBy("source", "target").agg(F.min("d").alias("d")), ["source"], near, wide).select("source", "target", "d")

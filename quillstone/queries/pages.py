@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quillstone.functions import paths as P
 from quillstone.functions import text as X
 from quillstone.operators import pages as G
-from quillstone.operators import site as S
 from quillstone.queries.registry import query, table
 from quillstone.queries.scalars import of, over
 from quillstone.queries.site import PAGES, pages

@@ -13,7 +13,7 @@ from quillstone.functions import text as X
 from quillstone.operators import pages as PG
 from quillstone.operators import site
 from quillstone.plans import site_build
-from quillstone.sources import ignore, io, json_array
+from quillstone.sources import ignore, json_array
 from quillstone.streaming import folder_changes, keyed_state
 
 
