@@ -112,7 +112,7 @@ def descend(flat: DataFrame, graph: DataFrame, wide: int, n: int, rounds: int, u
 
 
 def neighbour_graph(points: DataFrame, key: str, k: int, vector: str = "embedding", tables: int = 4, bucket: int = 512, seed: int = 43,
-                    rounds: int = 15, until: float = 0.001, spare: int = 2) -> DataFrame:
+                    rounds: int = 15, until: float = 0.001, spare: int = 3) -> DataFrame:
     """source, target, d: the nearest k others of every point. Of up to `bucket` points all are compared; beyond, the graph starts with points
     that share a hash and is refined by neighbours of neighbours, with lists of k times `spare` and 20 at least.
 
