@@ -85,7 +85,7 @@ def test_json_array(spark, tmp_path, capsys):
     path = tmp_path / "a.json"
     for text in (json.dumps(rows), json.dumps(rows, indent=2, ensure_ascii=False), "﻿" + json.dumps(rows)):
         path.write_text(text, encoding="utf-8")
-        for chunk in (64, 1000, 1 << 20):
+        for chunk in (300, 1 << 20):
             got = json_array.read(spark, str(path), "name string, a long", chunk=chunk).orderBy("number").collect()
             assert [(r["number"], r["name"], r["a"]) for r in got] == [(i, x["name"], x["a"]) for i, x in enumerate(rows)]
     for text, n in (("[]", 0), (" [ ] \n", 0), ("[1]", 1), ('["]",[2,3],{"a":"\\\\"}]', 3)):
