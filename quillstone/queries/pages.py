@@ -107,12 +107,12 @@ def search_snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", X.highlight(F.col("text"), "th que", trim=True).alias("snippet"))
 
 
-_FACET = "SELECT slug, 2 AS priority, CAST(row_number() OVER (ORDER BY hits DESC, slug) AS INTEGER) AS place FROM (SELECT slug, len(list_filter(tags, lambda t: starts_with(lower(t), 'brand#1'))) AS hits FROM pages_) WHERE hits > 0 ORDER BY hits DESC, slug LIMIT 5"
+_FACET = "SELECT slug, 2 AS priority, CAST(row_number() OVER (ORDER BY hits DESC, slug) AS INTEGER) AS place FROM (SELECT slug, len(list_filter(tags, lambda t: starts_with(lower(t), 'brand#1'))) AS hits FROM pages_) WHERE hits > 0 ORDER BY hits DESC, slug LIMIT 8"
 
 
 @query(f"WITH {PAGES} {_FACET}")
 def search_tag_facet(spark, d):
-    return G.find(pages(spark, d), "#Brand#1")
+    return G.find(pages(spark, d), "#Brand#1", per_tag=8)
 
 
 @query(f"WITH {PAGES}, c AS (SELECT * FROM pages_ WHERE title LIKE 'red%') SELECT DISTINCT 'folder' AS kind, split_part(slug, '/', 1) AS name FROM c UNION SELECT DISTINCT 'tag', unnest(['type', tags[1], tags[2]]) FROM c")
