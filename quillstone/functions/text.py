@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstone.functions.once import let
+
 from quillstone.functions import paths as P
 
 PARENTHESES = r"\s*\([^)]*\)"
@@ -194,14 +196,13 @@ def highlight(c: Column, query: str, trim: bool = False, width: int = 30) -> Col
     """Words that hold a term are marked. Trimmed: from `width` words before the window with most words that start with a term,
     the last of equal ones, twice that width; three dots show what was cut off. A window that ends the text is never chosen."""
     terms = query_terms(query)
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    n = F.size(words)
+    split = F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
-    def starts(w: Column) -> Column:
+    def starts(low: Column) -> Column:
         found = F.lit(False)
         for t in terms:
-            found = found | F.lower(w).startswith(t.lower())
-        return found.cast("int")
+            found = found | low.startswith(t.lower())
+        return found.cast("long")
 
     def mark(w: Column) -> Column:
         out = w
@@ -211,22 +212,31 @@ def highlight(c: Column, query: str, trim: bool = False, width: int = 30) -> Col
         return out
 
     if not trim:
-        return F.array_join(F.transform(words, mark), " ")
-    # one pass over the words: a mask of the hits among the last `width` of them; a lambda that named the words again would split the text anew each time
+        return F.array_join(F.transform(split, mark), " ")
+    # words, their hits and the best place are bound, so that each is worked out once; one pass keeps a mask of the hits among the last `width` words
     if not 0 < width < 63:
         raise ValueError("width must be from 1 to 62")
     zero = F.struct(F.lit(0).cast("long").alias("mask"), F.lit(0).alias("i"), F.lit(0).alias("most"), F.lit(0).alias("at"))
 
-    def step(acc: Column, w: Column) -> Column:
-        mask = F.shiftleft(acc["mask"], 1).bitwiseOR(starts(w).cast("long")).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    def step(acc: Column, hit: Column) -> Column:
+        mask = F.shiftleft(acc["mask"], 1).bitwiseOR(hit).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
         better = (acc["i"] >= width - 1) & (F.bit_count(mask) >= acc["most"])
         return F.struct(mask.alias("mask"), (acc["i"] + 1).alias("i"), F.when(better, F.bit_count(mask)).otherwise(acc["most"]).alias("most"), F.when(better, acc["i"] - (width - 1)).otherwise(acc["at"]).alias("at"))
 
-    best = F.aggregate(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), zero, step, lambda acc: acc["at"])
-    start = F.greatest(best - width, F.lit(0))
-    end = F.greatest(F.least(start + 2 * width, n - 1), F.lit(0))
-    shown = F.array_join(F.transform(F.slice(words, start + 1, F.greatest(end - start, F.lit(0))), mark), " ")
-    return F.concat(F.when(start > 0, "...").otherwise(""), shown, F.when(n > 0, "...").otherwise(""))
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        hits = F.transform(F.transform(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.lower), starts)
+        # without a hit the last window is the best one
+        best = let(hits, lambda h: F.when(F.array_contains(h, F.lit(1).cast("long")), F.aggregate(h, zero, step, lambda acc: acc["at"])).otherwise(F.greatest(F.size(h) - width, F.lit(0))))
+
+        def shown(start: Column) -> Column:
+            end = F.greatest(F.least(start + 2 * width, n - 1), F.lit(0))
+            held = F.array_join(F.transform(F.slice(words, start + 1, F.greatest(end - start, F.lit(0))), mark), " ")
+            return F.concat(F.when(start > 0, "...").otherwise(""), held, F.when(n > 0, "...").otherwise(""))
+
+        return let(F.greatest(best - width, F.lit(0)), shown)
+
+    return let(split, cut)
 
 
 def under_heading(c: Column, anchor: Column) -> Column:
