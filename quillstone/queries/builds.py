@@ -158,11 +158,14 @@ def json_array_elements(spark, d):
     top = fresh_folder(spark)
     p = table(spark, d, "part")
     row = F.to_json(F.struct(F.col("p_partkey").alias("key"), F.concat("p_name", F.lit(' "[{,\\')).alias("name"), F.array(F.struct(F.col("p_size").alias("s"))).alias("more")))
-    most = p.agg(F.max("p_partkey")).first()[0]
-    least = p.agg(F.min("p_partkey")).first()[0]
-    line = F.concat(F.when(F.col("p_partkey") == least, "[ ").otherwise(""), row, F.when(F.col("p_partkey") == most, " ]").otherwise(","))
-    p.orderBy("p_partkey").select(line.alias("value"), "p_partkey").coalesce(1).sortWithinPartitions("p_partkey").select("value").write.text(f"{top}/array")
-    path = io.read_binary(spark, f"{top}/array", "*.txt").select("path").first()[0]
+    ends = p.agg(F.min("p_partkey").alias("least"), F.max("p_partkey").alias("most"))  # one row
+    at = p.select("p_partkey", row.alias("row")).join(F.broadcast(ends))
+    line = F.concat(F.when(F.col("p_partkey") == F.col("least"), "[ ").otherwise(""), "row", F.when(F.col("p_partkey") == F.col("most"), " ]").otherwise(","), F.lit("\n"))
+    few = F.floor(F.col("p_partkey") / 1000).alias("part")
+    lines = at.select(few, F.struct("p_partkey", line.alias("line")).alias("x")).groupBy("part").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # a thousand keys
+    made = lines.select(F.lit("array.json").alias("path"), "part", F.array_join(F.transform("xs", lambda x: x["line"]), "").alias("content"))
+    io.write_files(made, f"{top}/array").collect()  # one file
+    path = io.read_binary(spark, f"{top}/array", "*.json").select("path").first()[0]
     return json_array.read(spark, path, "key long, name string", chunk=1 << 13)
 
 

@@ -69,7 +69,8 @@ def elements(spark: SparkSession, path: str, chunk: int = 64 << 20) -> DataFrame
     if system.get_file_info(at).type != fs.FileType.File:
         raise FileNotFoundError(path)
     n = max(1, -(-size // chunk))
-    chunks = spark.range(0, n, 1, min(n, 100_000))
+    # a task takes many small chunks, or one large one
+    chunks = spark.range(0, n, 1, min(n, max(2 * spark.sparkContext.defaultParallelism, -(-size // (64 << 20)))))
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, at = _open(path)
