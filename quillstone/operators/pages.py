@@ -118,22 +118,19 @@ def expand(pages: DataFrame) -> DataFrame:
     embeds = F.regexp_extract_all(X.without_code(F.col("content")), F.lit(EMBED), F.lit(1))
     held = pages.select("slug", "content").withColumn("embeds", F.array_distinct(F.transform(embeds, lambda x: P.slugify(F.trim(x)))))
     pairs = site.transclude(held)
-    parts = pairs.join(held.select(F.col("slug").alias("included"), F.col("content").alias("body")), "included")
-    own = held.where(F.size("embeds") > 0).select("slug", F.col("slug").alias("included"), F.col("content").alias("body"))
-    # a slug for each way in which an embed may be written, made by the same function as the pages' own
-    names = held.select("slug", F.explode(F.array_distinct(embeds)).alias("name")).select("name").distinct().withColumn("to", P.slugify(F.trim("name")))
-    asked = parts.unionByName(own)
-    written = asked.select("slug", "included", "body", F.array_distinct(F.regexp_extract_all(X.without_code(F.col("body")), F.lit(EMBED), F.lit(0))).alias("embeds"))
-    each = written.select("slug", "included", F.explode("embeds").alias("embed"))
-    each = each.withColumns({"name": F.regexp_extract("embed", EMBED, 1), "reference": F.regexp_extract("embed", EMBED, 2)}).join(names, "name")
+    # each page's embeds are looked up once, whatever the number of texts that it ends up in; a slug is made by the same function as the pages' own
+    each = held.select("slug", F.explode(F.array_distinct(F.regexp_extract_all(X.without_code(F.col("content")), F.lit(EMBED), F.lit(0)))).alias("embed"))
+    each = each.withColumns({"to": P.slugify(F.trim(F.regexp_extract("embed", EMBED, 1))), "reference": F.regexp_extract("embed", EMBED, 2)})
     bodies = held.select(F.col("slug").alias("to"), F.col("content").alias("target"))
-    filled = each.join(bodies, "to", "left").select("slug", "included", "embed", "to", X.embedded(F.col("target"), F.when(F.startswith("reference", F.lit("#^")), F.col("reference")).when(
-        F.col("reference") != "", F.concat(F.lit("#"), P.slug_anchor(F.substring("reference", 2, 1 << 30)))).otherwise("")).alias("part"))
-
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        slug = pdf["slug"].iloc[0]
-        body = next((r.part for r in pdf.itertuples() if r.embed is None), None)
-        known = {(r.included, r.embed): (r.to, r.part) for r in pdf.itertuples() if r.embed is not None}
+    part = X.embedded(F.col("target"), F.when(F.startswith("reference", F.lit("#^")), F.col("reference")).when(
+        F.col("reference") != "", F.concat(F.lit("#"), P.slug_anchor(F.substring("reference", 2, 1 << 30)))).otherwise(""))
+    filled = each.join(bodies, "to", "left").select(F.col("slug").alias("included"), F.struct("embed", "to", part.alias("part")).alias("e"))
+    known = filled.groupBy("included").agg(F.collect_list("e").alias("embeds"))  # those of a page
+    own = held.where(F.size("embeds") > 0).select("slug", F.col("slug").alias("included"))
+    met = pairs.select("slug", "included").unionByName(own).join(known, "included").groupBy("slug").agg(F.collect_list(F.struct("included", "embeds")).alias("met"))
+
+    def assemble(slug: str, body: str, met: list) -> str:
+        known = {(m["included"], e["embed"]): (e["to"], e["part"]) for m in met for e in m["embeds"]}
         seen, out = {slug}, []
         todo: list[tuple[str, str, int]] = [(slug, body, 0)]
         while todo:
@@ -155,10 +152,13 @@ def expand(pages: DataFrame) -> DataFrame:
                 break
             else:
                 out.append(text[at:])
-        return pd.DataFrame({"slug": [slug], "content": ["".join(out)]})
+        return "".join(out)
+
+    @F.pandas_udf("string")
+    def assembled(slug: pd.Series, body: pd.Series, met: pd.Series) -> pd.Series:
+        return pd.Series([assemble(*row) for row in zip(slug, body, met)], dtype=object)
 
-    whole = own.select("slug", "included", F.lit(None).cast("string").alias("embed"), F.lit(None).cast("string").alias("to"), F.col("body").alias("part"))
-    made = filled.unionByName(whole).groupBy("slug").applyInPandas(assemble, "slug string, content string")
+    made = met.join(held.select("slug", "content"), "slug").select("slug", assembled("slug", "content", "met").alias("content"))
     return made.unionByName(held.where(F.size("embeds") == 0).select("slug", "content"))
 
 

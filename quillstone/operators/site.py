@@ -83,16 +83,28 @@ def listed(pages: DataFrame, folders_first: bool = False) -> DataFrame:
 def transclude(pages: DataFrame, depth: int | None = None) -> DataFrame:
     """slug, included: the pages that each page embeds, in turn, itself left out; up to a depth, or all.
 
-    Pairs are kept, not paths, and the rounds end when no pair is new. Without a depth each round doubles the steps that pairs stand for. Rounds are
+    Pairs are kept, not paths, and the rounds end when no pair is new. Without a depth each round doubles the steps that pairs stand for: what is
+    exactly so many steps away leads on to all that is up to as many steps from there, so that a chain meets each pair once. Rounds are
     written to the shared folder.
     """
     shared_folder(pages.sparkSession)
+    if depth is None:
+        seen = pages.select("slug", F.explode("embeds").alias("included")).where("slug <> included").distinct().checkpoint()
+        jump = seen  # pairs that are exactly 2^r steps apart, a page and itself among them
+        while True:
+            by = lambda rows: rows.select(F.col("slug").alias("included"), F.col("included").alias("next"))
+            step = lambda rows: jump.join(by(rows), "included").select("slug", F.col("next").alias("included")).distinct()
+            new = step(seen).where("slug <> included").join(seen, ["slug", "included"], "left_anti").checkpoint()
+            if new.isEmpty():
+                return seen
+            jump = step(jump).checkpoint()
+            seen = seen.unionByName(new).checkpoint()
     links = pages.select("slug", F.explode("embeds").alias("included")).where("slug <> included").distinct().checkpoint()
     seen, new, d = links, links, 1
-    while depth is None or d < depth:
+    while d < depth:
         d += 1
-        by = (seen if depth is None else links).select(F.col("slug").alias("included"), F.col("included").alias("next"))
-        further = (seen if depth is None else new).join(by, "included").select("slug", F.col("next").alias("included")).where("slug <> included").distinct()
+        by = links.select(F.col("slug").alias("included"), F.col("included").alias("next"))
+        further = new.join(by, "included").select("slug", F.col("next").alias("included")).where("slug <> included").distinct()
         new = further.join(seen, ["slug", "included"], "left_anti").checkpoint()
         if new.isEmpty():
             break
