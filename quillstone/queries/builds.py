@@ -46,7 +46,7 @@ def site_update(spark, d):
     counts = first.where("action = 'write'").groupBy("emitter").agg(F.count("*").alias("files_before"))
     # edits of a third of the notes, a tenth of them deleted, and an asset exchanged for another
     note = F.concat(F.lit("notes/s "), key, F.lit(".md"))
-    held = io.read_binary(spark, source, "*.md").select(io.below(F.col("path"), source).alias("path"), F.decode("content", "utf-8").alias("text"))
+    held = io.read_files(spark, source, "*.md").select("path", F.decode("content", "utf-8").alias("text"))
     edited = s.where("s_suppkey % 3 = 1 AND s_suppkey % 10 <> 0").select(note.alias("path")).join(held, "path").select("path", F.concat("text", F.lit("More, with #new.\n")).alias("content"))
     edited.write.parquet(f"{top}/edited")
     io.write_files(spark.read.parquet(f"{top}/edited"), source).count()
@@ -55,8 +55,9 @@ def site_update(spark, d):
     io.write_files(s.where("s_suppkey = 5").select(F.lit("assets/b.bin").alias("path"), F.lit("b").alias("content")), source).count()
     actions = site_build.update(spark, source, f"{top}/site", f"{top}/work", ignore=("^private/",))
     site_build.update(spark, source, f"{top}/whole", f"{top}/work2", ignore=("^private/",))
-    files = lambda at: io.read_binary(spark, at).select(io.below(F.col("path"), at).alias("path"), F.sha2("content", 256).alias("digest"))
-    differ = files(f"{top}/site").exceptAll(files(f"{top}/whole")).count() + files(f"{top}/whole").exceptAll(files(f"{top}/site")).count()
+    files = lambda at: io.read_files(spark, at).select("path", F.sha2("content", 256).alias("digest"))
+    site, whole = files(f"{top}/site"), files(f"{top}/whole")
+    differ = site.exceptAll(whole).count() + whole.exceptAll(site).count()
     done = actions.groupBy("emitter").agg(F.count_if(F.col("action") == "write").alias("written"), F.count_if(F.col("action") == "remove").alias("removed"), F.count_if(F.col("action") != "remove").alias("files"))
     found = done.join(counts, "emitter").where(F.col("emitter").isin("pages", "aliases", "index", "assets"))
     return found.select("emitter", "written", "removed", "files_before", "files").withColumn("same", F.lit(differ == 0))

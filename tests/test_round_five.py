@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from quillstone.operators import layouts as L
 from quillstone.operators import neighbours as N
+from quillstone.plans import site_build
+from quillstone.sources import io
 
 
 def shuffled(spark, run) -> int:
@@ -36,3 +38,16 @@ def test_layout_deals_edges_once(spark):
     edges = points.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(k)))).select(F.col("id").alias("a"), ((F.col("id") + F.col("j") * 37) % n).alias("b"), F.lit(1.0).alias("weight")).where("a <> b").checkpoint()
     few, many = (shuffled(spark, lambda t=t: L.layout(points, edges, 0.5, 20, 1, block=1000, together=t).count()) for t in (20, 2))
     assert many < 2 * few
+
+
+def test_files_are_listed_in_tasks(spark, tmp_path):
+    """The same files as Spark's reader finds, without a status of each on the driver: no plan has an index of files."""
+    for k, name in enumerate(["a.md", "b/c.md", "b/d e/f.md", "b/g.bin", "_h/i.md", ".j.md", "b/k#l.md"]):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * k)
+    own = io.read_files(spark, str(tmp_path), "*.md")
+    theirs = io.read_binary(spark, str(tmp_path), "*.md").select("path", "length", "content").collect()
+    assert {r["length"]: bytes(r["content"]) for r in own.collect()} == {0: b""} | {r["length"]: bytes(r["content"]) for r in theirs}  # theirs has no empty files
+    assert {r["path"] for r in own.collect()} == {"a.md", "b/c.md", "b/d e/f.md", "b/k#l.md"} and not own.inputFiles()
+    pages = site_build.read_pages(spark, str(tmp_path), ignore=("^b/d",))
+    assert {r["path"] for r in pages.collect()} == {"a.md", "b/c.md", "b/k#l.md"} and not pages.inputFiles()
