@@ -45,7 +45,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     is that of what is left. Repeated rows are occurrences of each other, and go as a whole if they have over 50 words. Extra columns stay. An
     empty table gives no rows.
     """
-    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    named = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")
     found = suffixdedup.remove(named, length=51, by_word=True, keep_text=True)
     lost = F.col("n_removed") > 0
     kept = found.where(~lost | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
